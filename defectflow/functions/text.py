@@ -62,10 +62,12 @@ def clean_serving(text: Column, collapse_ws: bool = False, null_token: str = "")
     Missing text becomes ``null_token``. Double spaces left by deleted codes
     stay unless ``collapse_ws`` is set.
     """
-    out = F.lower(F.coalesce(text, F.lit(null_token)))
+    lowered = F.lower(F.coalesce(text, F.lit(null_token)))
+    coded = lowered
     for pattern in EQUIPMENT_CODE_PATTERNS:
-        out = F.regexp_replace(out, "(?iU)" + pattern, "")
-    out = strip_punctuation(out)
+        coded = F.regexp_replace(coded, "(?iU)" + pattern, "")
+    # Every pattern needs a digit, so text without one skips all of them.
+    out = strip_punctuation(F.when(lowered.rlike(_UNICODE + r"\d"), coded).otherwise(lowered))
     if collapse_ws:
         out = collapse_whitespace(out)
     return strip(out)
@@ -79,10 +81,7 @@ def clean_training(text: Column, null_token: str = "") -> Column:
 
 def words(text: Column) -> Column:
     """White-space tokens; empty or missing text gives an empty array."""
-    body = strip(F.coalesce(text, F.lit("")))
-    return F.when(body == "", F.array().cast("array<string>")).otherwise(
-        F.split(body, rf"{_UNICODE}{_SPACE}+")
-    )
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), rf"{_UNICODE}{_SPACE}+"), "")
 
 
 def word_count(text: Column) -> Column:
@@ -122,7 +121,7 @@ def shorten(text: Column, length: int = 120, mark: str = "...") -> Column:
 
 def score_tokens(text: Column) -> Column:
     """Tokens of the overlap metrics: runs of ASCII letters and digits."""
-    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0))
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
 def ngrams(tokens: Column, n: int) -> Column:

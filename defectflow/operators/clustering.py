@@ -14,7 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA
+from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -102,24 +102,30 @@ class TopicTree:
         return spark.createDataFrame(rows, "step int, left int, right int, distance double, size long")
 
 
-def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed: int):
+def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed: int, weight: str | None):
     """Micro-clusters as ``(model, sizes, first ids, exact)``."""
-    usable = df.where(F.col(vector).isNotNull())
-    distinct = bounded_table(usable.select(F.col(vector).cast("array<double>").alias("v")).distinct(), max_micro)
+    mass = F.col(weight).cast("double") if weight else F.lit(1.0)
+    usable = df.where(F.col(vector).isNotNull()).select(
+        F.col(identifier).alias("id"), F.col(vector).cast("array<double>").alias("v"), mass.alias("w")
+    )
+    # A mergeable sketch first: exact distinct vectors are shuffled only if few.
+    guess = usable.agg(F.approx_count_distinct(F.xxhash64("v"))).first()[0]
+    distinct = bounded_table(usable.select("v").distinct(), max_micro) if guess <= 1.2 * max_micro else None
     if distinct is not None:
         centers, _ = to_matrix(distinct.column("v").combine_chunks())
         centers = centers[np.lexsort(centers.T[::-1])]
     else:
-        features = usable.select(array_to_vector(F.col(vector)).alias("features"))
-        fitted = KMeans(k=max_micro, seed=seed, maxIter=10, initSteps=2).fit(features)
+        # The assembler stores mostly-zero vectors sparsely, also in the cache.
+        dense = usable.select("w", array_to_vector("v").alias("dense"))
+        features = VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense)
+        fitted = KMeans(k=max_micro, seed=seed, maxIter=10, initSteps=2, weightCol="w").fit(features)
         centers = np.array(fitted.clusterCenters())
     start = Centroids(np.arange(len(centers), dtype="int32"), centers)
     found = (
-        usable.select(F.col(identifier).alias("id"), F.col(vector).alias("v"),
-                      start.nearest(F.col(vector))["cluster_id"].alias("micro"))
+        usable.select("id", "v", "w", start.nearest(F.col("v"))["cluster_id"].alias("micro"))
         .groupBy("micro")
-        .agg(F.count(F.lit(1)).alias("size"), F.min("id").alias("first_id"),
-             Summarizer.mean(array_to_vector("v")).alias("mean"))
+        .agg(F.sum("w").alias("size"), F.min("id").alias("first_id"),
+             Summarizer.mean(array_to_vector("v"), F.col("w")).alias("mean"))
         .select("micro", "size", "first_id", vector_to_array("mean").alias("mean"))
         .toArrow().sort_by("micro").combine_chunks()
     )
@@ -131,19 +137,19 @@ def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed
 
 
 def topic_tree(df: DataFrame, identifier: str, vector: str, linkage: str = "ward", max_micro: int = 512,
-               seed: int = 42) -> TopicTree:
-    """Build the merge tree of a table of vectors."""
-    return topic_trees(df, identifier, vector, (linkage,), max_micro, seed)[linkage]
+               seed: int = 42, weight: str | None = None) -> TopicTree:
+    """Build the merge tree of a table of vectors; ``weight`` counts copies of a row."""
+    return topic_trees(df, identifier, vector, (linkage,), max_micro, seed, weight)[linkage]
 
 
 def topic_trees(df: DataFrame, identifier: str, vector: str, linkages=LINKAGES, max_micro: int = 512,
-                seed: int = 42) -> dict[str, TopicTree]:
+                seed: int = 42, weight: str | None = None) -> dict[str, TopicTree]:
     """Trees of several linkages over one set of micro-clusters.
 
     Average and complete linkage see each micro-cluster as its mean, so they
     are exact only where the micro-clusters are the distinct vectors.
     """
-    model, sizes, first_ids, exact = _summaries(df, identifier, vector, max_micro, seed)
+    model, sizes, first_ids, exact = _summaries(df, identifier, vector, max_micro, seed, weight)
     return {
         name: TopicTree(model, sizes, first_ids, _merge_tree(model.matrix, sizes, name), exact) for name in linkages
     }

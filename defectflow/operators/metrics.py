@@ -155,23 +155,27 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
 
     @F.arrow_udf("struct<precision:double,recall:double>")
     def run(a: pa.Array, wa: pa.Array, b: pa.Array, wb: pa.Array) -> pa.Array:
-        def unit(cell):
-            rows = np.array(cell, dtype=float)
-            return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
-
-        precision, recall = [], []
-        for p, pw, r, rw in zip(a.to_pylist(), wa.to_pylist(), b.to_pylist(), wb.to_pylist()):
-            if not p or not r:
-                precision.append(0.0), recall.append(0.0)
+        def side(cells, weights):
+            ends = np.concatenate([[0], np.cumsum(np.asarray(cells.value_lengths()))])
+            inner = cells.flatten()
+            rows = np.asarray(inner.flatten(), dtype=float).reshape(len(inner), -1) if len(inner) else np.zeros((0, 0))
+            rows = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+            return ends, rows, np.asarray(weights.flatten(), dtype=float)
+
+        p_ends, p_all, p_weight = side(a, wa)
+        r_ends, r_all, r_weight = side(b, wb)
+        precision, recall = np.zeros(len(a)), np.zeros(len(a))
+        for i in range(len(a)):
+            p, pw = p_all[p_ends[i]:p_ends[i + 1]], p_weight[p_ends[i]:p_ends[i + 1]]
+            r, rw = r_all[r_ends[i]:r_ends[i + 1]], r_weight[r_ends[i]:r_ends[i + 1]]
+            if not len(p) or not len(r):
                 continue
-            p, r = unit(p), unit(r)
-            best_p, best_r = np.full(len(p), -np.inf), np.full(len(r), -np.inf)
+            best_p, best_r = np.empty(len(p)), np.full(len(r), -np.inf)
             for start in range(0, len(p), 1_024):
                 cosine = p[start:start + 1_024] @ r.T
                 best_p[start:start + 1_024] = cosine.max(axis=1)
                 best_r = np.maximum(best_r, cosine.max(axis=0))
-            precision.append(float(np.average(best_p, weights=pw)))
-            recall.append(float(np.average(best_r, weights=rw)))
+            precision[i], recall[i] = np.average(best_p, weights=pw), np.average(best_r, weights=rw)
         return pa.StructArray.from_arrays([pa.array(precision), pa.array(recall)], ["precision", "recall"])
 
     return run(x, wx, y, wy)

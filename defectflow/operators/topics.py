@@ -17,16 +17,19 @@ from defectflow.operators.lookups import bounded_table, skew_safe_join
 MAX_CENTROIDS = 2_048
 
 
-def cluster_centroids(df: DataFrame, cluster: str, vector: str) -> DataFrame:
+def cluster_centroids(df: DataFrame, cluster: str, vector: str, weight: str | None = None) -> DataFrame:
     """``(cluster_id, centroid, size)``: the mean vector of every cluster.
 
     Partial means are merged map-side, so the shuffle carries one vector per
-    cluster and map task however large a cluster is.
+    cluster and map task however large a cluster is. ``weight`` counts copies
+    of a row.
     """
+    mass = F.col(weight) if weight else F.lit(1)
     return (
         df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull())
         .groupBy(F.col(cluster).cast("int").alias("cluster_id"))
-        .agg(Summarizer.mean(array_to_vector(F.col(vector))).alias("_m"), F.count(F.lit(1)).alias("size"))
+        .agg(Summarizer.mean(array_to_vector(F.col(vector)), mass.cast("double")).alias("_m"),
+             F.sum(mass).cast("long").alias("size"))
         .select("cluster_id", vector_to_array("_m").alias("centroid"), "size")
     )
 

@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectflow.functions.text import EQUIPMENT_CODE_PATTERNS, TRAINING_CODE_PATTERN, clean_serving
+from defectflow.functions.vectors import to_matrix
 from defectflow.operators.topics import cluster_centroids, nearest_centroid
 from defectflow.sources.demo import findings, findings_sql, table
 
@@ -55,9 +58,21 @@ def turn_pairs(spark, sf_dir) -> DataFrame:
     return turns.select("conv_id", "turn", F.col("text").alias("prediction")).join(following, ["conv_id", "turn"])
 
 
-def micro_text(vector: Column) -> Column:
-    """A vector as text, in whole millionths, so that engines can be compared."""
-    return F.array_join(F.transform(vector, lambda x: F.round(x * 1e6).cast("long").cast("string")), ",")
+def micro_text(vector: Column, sparse: bool = False) -> Column:
+    """A vector as text, in whole millionths, so that engines can be compared.
+
+    Sparse text names the zero-based place of each non-zero entry.
+    """
+
+    @F.arrow_udf("string")
+    def show(v: pa.Array) -> pa.Array:
+        cells, _ = to_matrix(v)
+        whole = np.floor(np.abs(cells) * 1e6 + 0.5).astype("int64") * np.sign(cells).astype("int64")
+        if sparse:
+            return pa.array([",".join(f"{i}:{row[i]}" for i in np.flatnonzero(row)) for row in whole], pa.string())
+        return pa.array([",".join(map(str, row)) for row in whole], pa.string())
+
+    return show(vector)
 
 
 # SQL side -------------------------------------------------------------------

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from defectflow.functions import templates as tpl, text as tx
 from defectflow.functions.vectors import hash_embedding
 from defectflow.operators import stats
-from defectflow.plans.catalog import FINDINGS, clean_serving_sql, clean_training_sql, query
+from defectflow.plans.catalog import FINDINGS, clean_serving_sql, clean_training_sql, micro_text, query
 from defectflow.sources.demo import findings, table
 
 BOTH = f"WITH {FINDINGS}, corpus AS (SELECT 'f' AS kind, finding_id AS id, description AS text FROM findings UNION ALL SELECT 'd', doc_id, text FROM documents)"
@@ -112,7 +112,5 @@ sized AS (SELECT *, sum(c) OVER (PARTITION BY kind, id) AS n FROM cells),
 vectors AS (SELECT kind, id, string_agg(concat(b, ':', round(c * 1e6 / n)::BIGINT), ',' ORDER BY b) AS v FROM sized GROUP BY kind, id)
 SELECT kind, id, coalesce(v, '') AS vector FROM corpus LEFT JOIN vectors USING (kind, id)""")
 def hash_embedding_cells(spark, sf_dir):
-    vectors = corpus(spark, sf_dir).select("kind", "id", hash_embedding(tx.clean_serving(F.col("text"))).alias("v"))
-    cells = F.transform("v", lambda x, i: F.when(
-        x > 0, F.concat(i.cast("string"), F.lit(":"), F.round(x * 1e6).cast("long").cast("string"))))
-    return vectors.select("kind", "id", F.array_join(cells, ",").alias("vector"))
+    vector = hash_embedding(tx.clean_serving(F.col("text")))
+    return corpus(spark, sf_dir).select("kind", "id", micro_text(vector, sparse=True).alias("vector"))

@@ -11,6 +11,7 @@ from defectflow.functions.text import clean_serving, clean_training
 from defectflow.functions.vectors import hash_embedding, l2_normalize
 from defectflow.operators.clustering import topic_tree
 from defectflow.operators.topics import cluster_centroids
+from defectflow.session import write_and_reread
 
 CLEANERS = {"serving": clean_serving, "training": clean_training}
 
@@ -26,15 +27,30 @@ class TrainedTopics:
 
 def train_topics(findings: DataFrame, identifier: str, text: str = "description", k: int = 7, cleaner: str = "serving",
                  embed=hash_embedding, normalize: bool = True, max_micro: int = 512) -> TrainedTopics:
-    """Clean, embed, cluster, tag; empty texts are left out of the topics."""
+    """Clean, embed, cluster, tag; empty texts are left out of the topics.
+
+    Topics are learned from the distinct cleaned texts, weighted by their
+    copies and written once, so the passes of the clustering read vectors of
+    distinct texts only. Every finding is then labelled by a narrow map.
+    """
+    def vector_of(column: str):
+        return l2_normalize(embed(F.col(column))) if normalize else embed(F.col(column))
+
     cleaned = findings.withColumn("cleaned_description", CLEANERS[cleaner](F.col(text))).where(
         F.col("cleaned_description") != ""
     )
-    vector = embed(F.col("cleaned_description"))
-    embedded = cleaned.withColumn("vector", l2_normalize(vector) if normalize else vector)
-    tree = topic_tree(embedded, identifier, "vector", "ward", max_micro)
-    labelled = embedded.withColumn("cluster", tree.labels(F.col("vector"), k))
-    return TrainedTopics(labelled, cluster_centroids(labelled, "cluster", "vector"), cleaner)
+    texts = cleaned.groupBy("cleaned_description").agg(
+        F.count(F.lit(1)).alias("copies"), F.min(identifier).alias("first_id")
+    )
+    vectors = write_and_reread(
+        texts.select("first_id", "copies", vector_of("cleaned_description").alias("vector")), "text-vectors"
+    )
+    tree = topic_tree(vectors, "first_id", "vector", "ward", max_micro, weight="copies")
+    means = cluster_centroids(
+        vectors.withColumn("cluster", tree.labels(F.col("vector"), k)), "cluster", "vector", weight="copies"
+    )
+    embedded = cleaned.withColumn("vector", vector_of("cleaned_description"))
+    return TrainedTopics(embedded.withColumn("cluster", tree.labels(F.col("vector"), k)), means, cleaner)
 
 
 def training_rows(trained: TrainedTopics) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", **conf) -> SparkSession:
@@ -54,3 +54,16 @@ def write_and_reread(df, purpose: str):
     path = scratch_path(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Spread a freshly read input over the cores when it has too few splits.
+
+    Text cleaning and vector work are CPU-bound, and a small file is read as
+    one split. Inputs with at least one split per core are returned unchanged,
+    so large tables are never shuffled here. Apply to scans only.
+    """
+    spark = scan.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    splits = scan._jdf.queryExecution().toRdd().getNumPartitions()
+    return scan if splits >= cores else scan.repartition(cores)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from defectflow.session import spread
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
     "conversations"
@@ -45,12 +47,16 @@ FROM {orders}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sql = FINDINGS_SQL.replace("FROM embeddings", f"FROM parquet.`{sf_dir}/embeddings.parquet`")
-    return spark.sql(sql.format(string="STRING", orders=f"parquet.`{sf_dir}/orders.parquet`"))
+    sql = FINDINGS_SQL.replace("FROM embeddings", "FROM {embeddings}").replace("{string}", "STRING")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_orderkey", "o_orderpriority", "o_orderstatus", "o_orderdate"
+    )
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return spark.sql(sql, orders=spread(orders), embeddings=vectors)
 
 
 def findings_sql() -> str:
