@@ -104,10 +104,14 @@ def hash_embedding(text: Column, dims: int = HASH_DIMS) -> Column:
     return densify(F.transform(words(text), lambda t: token_bucket(t, dims)))
 
 
-def token_vector(token: Column, dims: int = TOKEN_DIMS) -> Column:
+def token_vector(token: Column) -> Column:
     """Default static token vector: one signed value per hex digit of its md5."""
-    digest = F.md5(token)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(dims)),
-        lambda i: F.conv(F.substr(digest, i, F.lit(1)), 16, 10).cast("double") - 7.5,
-    )
+
+    @F.arrow_udf("array<double>")
+    def digits(digest: pa.Array) -> pa.Array:
+        text = "".join(digest.to_pylist()).encode()
+        codes = np.frombuffer(text, dtype="uint8").reshape(-1, TOKEN_DIMS).astype("float64")
+        values = np.where(codes >= ord("a"), codes - ord("a") + 10, codes - ord("0"))
+        return from_matrix(values - 7.5, np.ones(len(digest), dtype=bool))
+
+    return digits(F.md5(token))

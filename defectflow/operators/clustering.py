@@ -1,10 +1,11 @@
 """Topic discovery: hierarchical clustering over bounded micro-clusters.
 
-Rows are condensed on the executors to at most ``max_micro`` summaries
-``(size, mean)``; only those summaries are merged on the driver. Ward's merge
-cost depends on sizes and means alone, so the tree is the exact Ward tree of
-the summaries, and of the rows when they have at most ``max_micro`` distinct
-vectors.
+Rows are condensed on the executors to a bounded number of summaries ``(size,
+mean)``: the distinct vectors where there are at most ``max_exact``, else
+``max_micro`` k-means cells. Only the summaries are merged on the driver.
+Ward's merge cost depends on sizes and means alone, so the tree is the exact
+Ward tree of the summaries, and of the rows when the summaries are their
+distinct vectors.
 """
 
 from __future__ import annotations
@@ -22,45 +23,50 @@ from pyspark.sql import Column, DataFrame, functions as F
 from defectflow.functions.vectors import scatter, to_matrix
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, top_per_group
-from defectflow.operators.topics import Centroids
+from defectflow.operators.topics import Centroids, nearest_rows
 
 LINKAGES = ("ward", "average", "complete")
+MAX_EXACT = 2_048
 
 
 def _merge_tree(means: np.ndarray, sizes: np.ndarray, linkage: str) -> list[tuple[int, int, float, int]]:
-    """Merge history of at most ``max_micro`` summaries by distance updates.
+    """Merge history of a bounded number of summaries, by distance updates.
 
-    Entry ``t`` joins two clusters into cluster ``m + t``.
+    Entry ``t`` joins two clusters into cluster ``m + t``. Each row keeps its
+    nearest partner, so a merge touches one row and the rows that pointed at it.
     """
     m = len(means)
     size = sizes.astype(float)
-    gap = np.sqrt(((means[:, None, :] - means[None, :, :]) ** 2).sum(axis=2)) if m <= 256 else np.stack(
-        [np.sqrt(((means - row) ** 2).sum(axis=1)) for row in means]
-    )
+    gap = np.stack([np.sqrt(((means - row) ** 2).sum(axis=1)) for row in means])
     if linkage == "ward":
         gap = gap * np.sqrt(2.0 * size[:, None] * size[None, :] / (size[:, None] + size[None, :]))
     np.fill_diagonal(gap, np.inf)
-    name = np.arange(m)
-    history = []
+    partner, best = gap.argmin(axis=1), gap.min(axis=1)
+    name, history = np.arange(m), []
     for step in range(m - 1):
-        i, j = divmod(int(gap.argmin()), m)
-        i, j = min(i, j), max(i, j)
-        height, a, b = gap[i, j], gap[i], gap[j]
+        i = int(best.argmin())
+        i, j = sorted((i, int(partner[i])))
+        height, a, b = gap[i, j], gap[i].copy(), gap[j].copy()
+        live = np.isfinite(a) & np.isfinite(b)
+        row = np.full(m, np.inf)
         if linkage == "ward":
-            scale = size[i] + size[j] + size
-            with np.errstate(invalid="ignore"):
-                row = np.sqrt(((size[i] + size) * a**2 + (size[j] + size) * b**2 - size * height**2) / scale)
+            near, far = (size[i] + size[live]) * a[live] ** 2, (size[j] + size[live]) * b[live] ** 2
+            row[live] = np.sqrt((near + far - size[live] * height**2) / (size[i] + size[j] + size[live]))
         elif linkage == "average":
-            row = (size[i] * a + size[j] * b) / (size[i] + size[j])
+            row[live] = (size[i] * a[live] + size[j] * b[live]) / (size[i] + size[j])
         else:
-            row = np.maximum(a, b)
-        row[[i, j]] = np.inf
-        row[~np.isfinite(a)] = np.inf
+            row[live] = np.maximum(a[live], b[live])
         size[i] += size[j]
         history.append((int(name[i]), int(name[j]), float(height), int(size[i])))
+        name[i] = m + step
         gap[i], gap[:, i] = row, row
         gap[j], gap[:, j] = np.inf, np.inf
-        name[i] = m + step
+        best[j] = np.inf
+        closer = row < best
+        best[closer], partner[closer] = row[closer], i
+        for k in np.flatnonzero(live & np.isin(partner, (i, j)) & ~closer):
+            partner[k], best[k] = gap[k].argmin(), gap[k].min()
+        partner[i], best[i] = gap[i].argmin(), gap[i].min()
     return history
 
 
@@ -90,11 +96,24 @@ class TopicTree:
         number = {root: i for i, root in enumerate(order)}
         return np.array([number[r] for r in roots], dtype="int32")
 
+    def label_sets(self, vector: Column, ks: list[int]) -> Column:
+        """Clusters of a vector at every ``k``, as an array in the order of ``ks``."""
+        table, matrix = np.stack([self.cut(k) for k in ks], axis=1), self.micro.matrix
+
+        @F.arrow_udf("array<int>")
+        def label(v: pa.Array) -> pa.Array:
+            points, valid = to_matrix(v)
+            found = table[nearest_rows(points, matrix)[0]] if len(points) else table[:0]
+            ends = np.concatenate([[0], np.cumsum(valid) * table.shape[1]]).astype("int32")
+            return pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(found.reshape(-1)), mask=None if valid.all() else pa.array(~valid)
+            )
+
+        return label(vector)
+
     def labels(self, vector: Column, k: int) -> Column:
         """Cluster of a vector when the tree is cut at ``k``."""
-        cut = [int(x) for x in self.cut(k)]
-        nearest = self.micro.nearest(vector)["cluster_id"]
-        return F.element_at(F.array(*[F.lit(x) for x in cut]), nearest + 1)
+        return self.label_sets(vector, [k])[0]
 
     def merge_table(self, spark) -> DataFrame:
         """``(step, left, right, distance, size)``, one row per merge."""
@@ -102,7 +121,8 @@ class TopicTree:
         return spark.createDataFrame(rows, "step int, left int, right int, distance double, size long")
 
 
-def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed: int, weight: str | None):
+def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, max_exact: int, seed: int,
+               weight: str | None):
     """Micro-clusters as ``(model, sizes, first ids, exact)``."""
     mass = F.col(weight).cast("double") if weight else F.lit(1.0)
     usable = df.where(F.col(vector).isNotNull()).select(
@@ -110,7 +130,7 @@ def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed
     )
     # A mergeable sketch first: exact distinct vectors are shuffled only if few.
     guess = usable.agg(F.approx_count_distinct(F.xxhash64("v"))).first()[0]
-    distinct = bounded_table(usable.select("v").distinct(), max_micro) if guess <= 1.2 * max_micro else None
+    distinct = bounded_table(usable.select("v").distinct(), max_exact) if guess <= 1.2 * max_exact else None
     if distinct is not None:
         centers, _ = to_matrix(distinct.column("v").combine_chunks())
         centers = centers[np.lexsort(centers.T[::-1])]
@@ -137,19 +157,19 @@ def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, seed
 
 
 def topic_tree(df: DataFrame, identifier: str, vector: str, linkage: str = "ward", max_micro: int = 512,
-               seed: int = 42, weight: str | None = None) -> TopicTree:
+               seed: int = 42, weight: str | None = None, max_exact: int = MAX_EXACT) -> TopicTree:
     """Build the merge tree of a table of vectors; ``weight`` counts copies of a row."""
-    return topic_trees(df, identifier, vector, (linkage,), max_micro, seed, weight)[linkage]
+    return topic_trees(df, identifier, vector, (linkage,), max_micro, seed, weight, max_exact)[linkage]
 
 
 def topic_trees(df: DataFrame, identifier: str, vector: str, linkages=LINKAGES, max_micro: int = 512,
-                seed: int = 42, weight: str | None = None) -> dict[str, TopicTree]:
+                seed: int = 42, weight: str | None = None, max_exact: int = MAX_EXACT) -> dict[str, TopicTree]:
     """Trees of several linkages over one set of micro-clusters.
 
     Average and complete linkage see each micro-cluster as its mean, so they
     are exact only where the micro-clusters are the distinct vectors.
     """
-    model, sizes, first_ids, exact = _summaries(df, identifier, vector, max_micro, seed, weight)
+    model, sizes, first_ids, exact = _summaries(df, identifier, vector, max_micro, max_exact, seed, weight)
     return {
         name: TopicTree(model, sizes, first_ids, _merge_tree(model.matrix, sizes, name), exact) for name in linkages
     }
@@ -179,7 +199,8 @@ def last_merges(merges: DataFrame, n: int = 30) -> DataFrame:
 def topic_drilldown(df: DataFrame, tree: TopicTree, vector: str, parents: int = 7, children: int = 15) -> DataFrame:
     """Rows per (parent topic, child topic) of one tree cut twice."""
     return (
-        df.select(tree.labels(F.col(vector), parents).alias("parent"), tree.labels(F.col(vector), children).alias("child"))
+        df.select(tree.label_sets(F.col(vector), [parents, children]).alias("_l"))
+        .select(F.col("_l")[0].alias("parent"), F.col("_l")[1].alias("child"))
         .groupBy("parent", "child").agg(F.count(F.lit(1)).alias("size"))
     )
 
@@ -363,10 +384,7 @@ def k_sweep(df: DataFrame, identifier: str, vector: str, k_min: int = 5, k_max:
     """``(k, silhouette)`` for every K, from one tree cut at each K."""
     tree = topic_tree(df, identifier, vector, "ward", max_micro)
     ks = list(range(k_min, k_max + 1))
-    cuts = np.stack([tree.cut(k) for k in ks], axis=1)
-    place = F.element_at(F.array(*[F.array(*[F.lit(int(x)) for x in row]) for row in cuts]),
-                         tree.micro.nearest(F.col(vector))["cluster_id"] + 1)
-    labelled = df.select(F.col(vector), place.alias("_l")).select(
+    labelled = df.select(F.col(vector), tree.label_sets(F.col(vector), ks).alias("_l")).select(
         vector, *[F.col("_l")[i].alias(str(k)) for i, k in enumerate(ks)]
     )
     score = {"euclidean": silhouette_exact, "squared": silhouette_squared}[metric]

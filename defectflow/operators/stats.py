@@ -29,13 +29,24 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
     if not group:
         base = base.withColumn("_all", F.lit(0))
     base = base.select(*keys, F.col(value).cast("double").alias("_v"))
+    out = _ranked(base, keys, _sketch(base, keys, probs, accuracy), probs, accuracy)
+    return out.select(*group, *[f"q{i}" for i in range(len(probs))])
+
+
+def _sketch(base: DataFrame, keys: list[str], probs: list[float], accuracy: int, *more: Column) -> DataFrame:
+    """Count, extremes, sketched brackets and any further aggregates per group."""
     margin = 3.0 / accuracy
     lows = F.percentile_approx("_v", [max(p - margin, 0.0) for p in probs], accuracy)
     highs = F.percentile_approx("_v", [min(p + margin, 1.0) for p in probs], accuracy)
-    stats = base.groupBy(*keys).agg(
+    return base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
-        lows.alias("_lows"), highs.alias("_highs"),
+        lows.alias("_lows"), highs.alias("_highs"), *more,
     )
+
+
+def _ranked(base: DataFrame, keys: list[str], sketch: DataFrame, probs: list[float], accuracy: int) -> DataFrame:
+    """Rank the values inside each bracket and interpolate."""
+    margin = 3.0 / accuracy
     brackets = F.array(*[
         F.struct(
             F.lit(i).alias("i"),
@@ -47,9 +58,8 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
         )
         for i, p in enumerate(probs)
     ])
-    stats = stats.select(*keys, brackets.alias("_b"))
     counted = (
-        lookup_join(base, stats, keys, "inner")
+        lookup_join(base, sketch.select(*keys, brackets.alias("_b")), keys, "inner")
         .select(*keys, "_v", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
         .groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.h").alias("_h"),
@@ -65,22 +75,21 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: list[flo
         F.min(F.when(F.col("_upto") > F.floor("_h"), F.col("_v"))).alias("_a"),
         F.min(F.when(F.col("_upto") > F.ceil("_h"), F.col("_v"))).alias("_z"),
     ).withColumn("_q", F.col("_a") + (F.col("_z") - F.col("_a")) * (F.col("_h") - F.floor("_h")))
-    out = picked.groupBy(*keys).agg(*[
+    return picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(f"q{i}") for i in range(len(probs))
     ])
-    return out.select(*group, *[f"q{i}" for i in range(len(probs))])
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """One row: count, mean, std (n-1), min, quartiles, max."""
-    basic = df.agg(
-        F.count(value).alias("count"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"),
-        F.min(value).cast("double").alias("min"), F.max(value).cast("double").alias("max"),
-    ).withColumn("_k", F.lit(1))
-    quartiles = exact_quantiles(df, [], value, [0.25, 0.5, 0.75]).withColumn("_k", F.lit(1))
-    return basic.join(quartiles, "_k", "left").select(
-        "count", "mean", "std", "min", F.col("q0").alias("p25"), F.col("q1").alias("p50"),
-        F.col("q2").alias("p75"), "max",
+    """One row: count, mean, std (n-1), min, quartiles, max. Two passes."""
+    probs, accuracy = [0.25, 0.5, 0.75], 10_000
+    base = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
+    sketch = _sketch(base, ["_all"], probs, accuracy, F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
+    held = df.sparkSession.createDataFrame(sketch.toArrow(), sketch.schema)  # one row
+    quartiles = _ranked(base, ["_all"], held, probs, accuracy)
+    return held.join(quartiles, "_all").select(
+        F.col("_n").alias("count"), "mean", "std", F.col("_min").alias("min"), F.col("q0").alias("p25"),
+        F.col("q1").alias("p50"), F.col("q2").alias("p75"), F.col("_max").alias("max"),
     )
 
 

@@ -60,7 +60,7 @@ class Centroids:
         @F.arrow_udf("struct<cluster_id:int,distance:double>")
         def assign(v: pa.Array) -> pa.Array:
             points, valid = to_matrix(v)
-            place, gap = _nearest(points, matrix) if len(points) else (np.zeros(0, int), np.zeros(0))
+            place, gap = nearest_rows(points, matrix) if len(points) else (np.zeros(0, int), np.zeros(0))
             out_id, out_gap = np.zeros(len(valid), dtype="int32"), np.zeros(len(valid))
             out_id[valid], out_gap[valid] = ids[place], gap
             return pa.StructArray.from_arrays(
@@ -70,7 +70,7 @@ class Centroids:
         return assign(vector)
 
 
-def _nearest(points: np.ndarray, matrix: np.ndarray, cells: int = 4_000_000):
+def nearest_rows(points: np.ndarray, matrix: np.ndarray, cells: int = 4_000_000):
     """Index of and distance to the nearest row of ``matrix``, for each point.
 
     Candidates come from one matrix product; where rounding leaves more than
@@ -125,7 +125,7 @@ def nearest_centroid_blocked(df: DataFrame, vector: str, centroids: DataFrame, b
 
     def best_of_block(keys, x, _tags, _other_keys, y, ids):
         order = np.argsort(ids, kind="stable")
-        place, gap = _nearest(x, y[order])
+        place, gap = nearest_rows(x, y[order])
         return {"key": keys, "cluster_id": ids[order][place], "distance": gap}
 
     found = pair_blocks(left, right, best_of_block, "key string, cluster_id int, distance double", block_rows)
