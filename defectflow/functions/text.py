@@ -40,11 +40,16 @@ what's when's where's who's why's would
 # written against; the four separators U+001C..U+001F count as white space.
 _UNICODE = "(?U)"
 _SPACE = r"[\s\x1c-\x1f]"
+# The same white space as characters.
+_SPACES = (
+    "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def strip(text: Column) -> Column:
-    """Remove white space at both ends (``trim`` only removes spaces)."""
-    return F.regexp_replace(text, rf"{_UNICODE}^{_SPACE}+|{_SPACE}+$", "")
+    """Remove white space at both ends (plain ``trim`` only removes spaces)."""
+    return F.trim(text, F.lit(_SPACES))
 
 
 def collapse_whitespace(text: Column) -> Column:

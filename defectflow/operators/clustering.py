@@ -24,6 +24,7 @@ from defectflow.functions.vectors import scatter, to_matrix
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, top_per_group
 from defectflow.operators.topics import Centroids, nearest_rows
+from defectflow.session import write_and_reread
 
 LINKAGES = ("ward", "average", "complete")
 MAX_EXACT = 2_048
@@ -332,10 +333,11 @@ def silhouette_exact(df: DataFrame, vector: str, clusters: list[str], block_rows
     for i in range(len(clusters)):
         part = table.filter(pa.compute.equal(table["which"], i)).sort_by("cluster")
         counts.append((part["cluster"].to_numpy(), part["n"].to_numpy().astype(float)))
-    keyed = points.select(
+    # Written once: the points are read as left and as right blocks.
+    keyed = write_and_reread(points.select(
         F.struct("l", "w", F.sha2(F.to_json(F.struct("v", "l")), 256).alias("h")).alias("key"),
         F.col("v").alias("vector"), F.struct("l", "w").alias("tag"),
-    )
+    ), "points")
 
     def sums_by_cluster(keys, x, _tags, _other, y, tags):
         gap = np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])

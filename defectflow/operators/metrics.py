@@ -107,14 +107,17 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
         (stem_tokens(F.col("p")) if stemmer else F.col("p")).alias("ps"),
         (stem_tokens(F.col("r")) if stemmer else F.col("r")).alias("rs"),
     )
-    side = F.explode(F.concat(
+    side = F.concat(
         F.transform(F.arrays_zip("p", "ps"), lambda t, i: F.struct(
             F.lit(True).alias("hyp"), i.alias("pos"), t["p"].alias("word"), t["ps"].alias("stem"))),
         F.transform(F.arrays_zip("r", "rs"), lambda t, i: F.struct(
             F.lit(False).alias("hyp"), i.alias("pos"), t["r"].alias("word"), t["rs"].alias("stem"))),
-    ))
+    )
     # One shuffle by pair; every window and aggregate below is within a pair.
-    free = both.repartition(*key).select(*key, side.alias("t")).select(*key, "t.*")
+    # Pairs without tokens keep one empty row.
+    free = both.repartition(*key).select(
+        *key, F.size("p").alias("_p"), F.size("r").alias("_r"), F.explode_outer(side).alias("t")
+    ).select(*key, "_p", "_r", "t.*")
     stages = [F.col("word")] + ([F.col("stem")] if stemmer else [])
     if synonyms is not None:
         groups = synonyms.select(F.col("word"), F.col("group").alias("_g"))
@@ -133,21 +136,20 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
             .withColumn("twin", F.when(F.col("_open"), other).otherwise(F.col("twin")))
             .drop("_form", "_open", "_n")
         )
-    follow = Window.partitionBy(*key).orderBy("pos")
-    matched = free.where(F.col("hyp") & F.col("twin").isNotNull()).select(*key, "pos", "twin").withColumn(
-        "new_chunk",
-        F.when((F.col("pos") == F.lag("pos").over(follow) + 1) & (F.col("twin") == F.lag("twin").over(follow) + 1), 0)
-        .otherwise(1),
+    follow = Window.partitionBy(*key, "_hit").orderBy("pos")
+    goes_on = (F.col("pos") == F.lag("pos").over(follow) + 1) & (F.col("twin") == F.lag("twin").over(follow) + 1)
+    aligned = (
+        free.withColumn("_hit", F.coalesce(F.col("hyp") & F.col("twin").isNotNull(), F.lit(False)))
+        .withColumn("_new", F.col("_hit") & ~F.coalesce(goes_on, F.lit(False)))
+        .groupBy(*key)
+        .agg(F.max("_p").alias("_p"), F.max("_r").alias("_r"), F.count_if("_hit").alias("matches"),
+             F.count_if("_new").alias("chunks"))
     )
-    aligned = matched.groupBy(*key).agg(F.count(F.lit(1)).alias("matches"), F.sum("new_chunk").alias("chunks"))
-    sizes = words.select(*key, F.size("p").alias("_p"), F.size("r").alias("_r"))
-    m, c = F.coalesce("matches", F.lit(0)), F.coalesce("chunks", F.lit(0))
+    m, c = F.col("matches"), F.col("chunks")
     precision, recall = _ratio(m, F.col("_p")), _ratio(m, F.col("_r"))
     mean = F.when(m > 0, precision * recall / (alpha * precision + (1 - alpha) * recall)).otherwise(F.lit(0.0))
     penalty = F.when(m > 0, gamma * F.pow(c / m, F.lit(beta))).otherwise(F.lit(0.0))
-    return sizes.join(aligned, key, "left").select(
-        *key, m.alias("matches"), c.alias("chunks"), (mean * (1 - penalty)).alias("score")
-    )
+    return aligned.select(*key, m, c, (mean * (1 - penalty)).alias("score"))
 
 
 def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
@@ -193,24 +195,25 @@ def bertscore(pairs: DataFrame, key: list[str], prediction: str, reference: str,
     sided = pairs.select(*key, F.explode(F.array(
         F.struct(F.lit(True).alias("hyp"), score_tokens(F.col(prediction)).alias("t")),
         F.struct(F.lit(False).alias("hyp"), score_tokens(F.col(reference)).alias("t")),
-    )).alias("s")).select(*key, "s.hyp", F.explode("s.t").alias("token"))
+    )).alias("s")).select(*key, "s.hyp", F.explode_outer("s.t").alias("token"))
+    known = F.col("token").isNotNull()
     counted = sided.groupBy(*key, "token").agg(
-        F.count_if("hyp").alias("p"), F.count_if(~F.col("hyp")).alias("r")
+        F.count_if(F.col("hyp") & known).alias("p"), F.count_if(~F.col("hyp") & known).alias("r")
     )
     if token_table is None:
-        held = counted.withColumn("vector", token_vector(F.col("token")))
+        held = counted.withColumn("vector", token_vector(F.coalesce("token", F.lit(""))))
     else:
-        held = lookup_join(counted, token_table.select("token", "vector"), ["token"], "inner")
+        held = lookup_join(counted, token_table.select("token", "vector"), ["token"])
 
     def side(weight: str):
-        return F.collect_list(F.when(F.col(weight) > 0, F.struct(F.col("vector"), F.col(weight).alias("w"))))
+        counts = (F.col(weight) > 0) & F.col("vector").isNotNull()
+        return F.collect_list(F.when(counts, F.struct(F.col("vector"), F.col(weight).alias("w"))))
 
     grouped = held.groupBy(*key).agg(side("p").alias("p"), side("r").alias("r"))
     scored = grouped.select(*key, _best_cosines(
         F.col("p.vector"), F.col("p.w"), F.col("r.vector"), F.col("r.w")
     ).alias("s")).select(*key, "s.precision", "s.recall")
-    whole = pairs.select(*key).join(scored, key, "left").fillna(0.0, ["precision", "recall"])
-    return whole.select(*key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
+    return scored.select(*key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
 def mean_scores(scores: DataFrame, *columns: str) -> DataFrame:

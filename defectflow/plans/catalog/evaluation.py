@@ -110,7 +110,7 @@ n AS (SELECT conv_id, turn, coalesce(matches, 0)::BIGINT AS matches, coalesce(ch
              len(regexp_extract_all(lower(prediction), '[a-z0-9]+')) AS pn, len(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS rn
       FROM pairs LEFT JOIN g USING (conv_id, turn))
 SELECT conv_id, turn, matches, chunks, round(CASE WHEN matches = 0 THEN 0 ELSE
-  (matches / pn) * (matches / rn) / (0.9 * matches / pn + 0.1 * matches / rn) * (1 - 0.5 * pow(chunks / matches, 3)) END, 6) AS score FROM n"""
+  (matches / pn) * (matches / rn) / (0.9 * (matches / pn) + (1 - 0.9::DOUBLE) * (matches / rn)) * (1 - 0.5 * pow(chunks / matches, 3)) END, 6) AS score FROM n"""
 
 
 @query("meteor", _meteor_sql())
