@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from defectflow.functions.vectors import scatter, to_matrix
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, top_per_group
+from defectflow.operators.sums import vector_means, vector_sums
 from defectflow.operators.topics import Centroids, nearest_rows
 from defectflow.session import write_and_reread
 
@@ -139,17 +140,12 @@ def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, max_
         # The assembler stores mostly-zero vectors sparsely, also in the cache.
         dense = usable.select("w", array_to_vector("v").alias("dense"))
         features = VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense)
-        fitted = KMeans(k=max_micro, seed=seed, maxIter=10, initSteps=2, weightCol="w").fit(features)
+        fitted = KMeans(k=max_micro, seed=seed, maxIter=5, initSteps=2, weightCol="w").fit(features)
         centers = np.array(fitted.clusterCenters())
     start = Centroids(np.arange(len(centers), dtype="int32"), centers)
-    found = (
-        usable.select("id", "v", "w", start.nearest(F.col("v"))["cluster_id"].alias("micro"))
-        .groupBy("micro")
-        .agg(F.sum("w").alias("size"), F.min("id").alias("first_id"),
-             Summarizer.mean(array_to_vector("v"), F.col("w")).alias("mean"))
-        .select("micro", "size", "first_id", vector_to_array("mean").alias("mean"))
-        .toArrow().sort_by("micro").combine_chunks()
-    )
+    sums = vector_sums(usable, [start.nearest(F.col("v"))["cluster_id"]], F.col("v"), F.col("w"), F.col("id"))
+    found = sums.select("key", F.col("n").alias("size"), F.col("first").alias("first_id"),
+                        vector_means().alias("mean")).toArrow().sort_by("key").combine_chunks()
     means, _ = to_matrix(found.column("mean").combine_chunks())
     if distinct is not None:
         means = centers
@@ -271,23 +267,18 @@ def silhouette_squared(df: DataFrame, vector: str, clusters: list[str]) -> DataF
     of ``clusters``, whatever the number of labelings, in one pass for the
     sums and one for the scores.
     """
-    usable = df.where(F.col(vector).isNotNull())
-    tagged = usable.select(F.col(vector).alias("v"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("l"))
-    sums = (
-        tagged.select("v", F.posexplode("l").alias("which", "cluster"))
-        .groupBy("which", "cluster")
-        .agg(Summarizer.metrics("sum", "count", "normL2").summary(array_to_vector("v")).alias("s"))
-        .select("which", "cluster", F.col("s.count").alias("n"), vector_to_array(F.col("s.sum")).alias("sum"),
-                F.aggregate(vector_to_array(F.col("s.normL2")), F.lit(0.0), lambda a, x: a + x * x).alias("sq"))
+    tagged = df.where(F.col(vector).isNotNull()).select(
+        F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("l")
     )
-    table = bounded_table(sums, 100_000)
+    sums = vector_sums(tagged, [F.col("l")[i] for i in range(len(clusters))], F.col("v"))
+    table = bounded_table(sums.select("which", "key", "n", "sums", "squares"), 100_000)
     if table is None:
         raise ValueError("too many clusters for a silhouette")
     stats = []
     for i in range(len(clusters)):
-        part = table.filter(pa.compute.equal(table["which"], i)).sort_by("cluster").combine_chunks()
-        matrix, _ = to_matrix(part.column("sum").combine_chunks())
-        stats.append((part["cluster"].to_numpy(), part["n"].to_numpy().astype(float), matrix, part["sq"].to_numpy()))
+        part = table.filter(pa.compute.equal(table["which"], i)).sort_by("key").combine_chunks()
+        matrix, _ = to_matrix(part.column("sums").combine_chunks())
+        stats.append((part["key"].to_numpy(), part["n"].to_numpy(), matrix, part["squares"].to_numpy()))
 
     @F.arrow_udf("array<double>")
     def scores(v: pa.Array, l: pa.Array) -> pa.Array:

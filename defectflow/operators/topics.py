@@ -6,13 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F
 
 from defectflow.functions.vectors import to_matrix
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, skew_safe_join
+from defectflow.operators.sums import vector_means, vector_sums
 
 MAX_CENTROIDS = 2_048
 
@@ -20,17 +19,12 @@ MAX_CENTROIDS = 2_048
 def cluster_centroids(df: DataFrame, cluster: str, vector: str, weight: str | None = None) -> DataFrame:
     """``(cluster_id, centroid, size)``: the mean vector of every cluster.
 
-    Partial means are merged map-side, so the shuffle carries one vector per
-    cluster and map task however large a cluster is. ``weight`` counts copies
-    of a row.
+    ``weight`` counts copies of a row.
     """
-    mass = F.col(weight) if weight else F.lit(1)
-    return (
-        df.where(F.col(cluster).isNotNull() & F.col(vector).isNotNull())
-        .groupBy(F.col(cluster).cast("int").alias("cluster_id"))
-        .agg(Summarizer.mean(array_to_vector(F.col(vector)), mass.cast("double")).alias("_m"),
-             F.sum(mass).cast("long").alias("size"))
-        .select("cluster_id", vector_to_array("_m").alias("centroid"), "size")
+    mass = F.col(weight) if weight else None
+    sums = vector_sums(df, [F.col(cluster)], F.col(vector), mass)
+    return sums.select(
+        F.col("key").alias("cluster_id"), vector_means().alias("centroid"), F.col("n").cast("long").alias("size")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectflow.functions.text import EQUIPMENT_CODE_PATTERNS, TRAINING_CODE_PATTERN, clean_serving
 from defectflow.functions.vectors import to_matrix
+from defectflow.operators.lookups import lookup_join
 from defectflow.operators.topics import cluster_centroids, nearest_centroid
 from defectflow.sources.demo import findings, findings_sql, table
 
@@ -47,7 +48,7 @@ def assigned(spark, sf_dir) -> DataFrame:
 
 def labelled_findings(spark, sf_dir) -> DataFrame:
     """Findings with cleaned text and the topic of their vector."""
-    rows = findings(spark, sf_dir).join(assigned(spark, sf_dir), "vec_id")
+    rows = lookup_join(findings(spark, sf_dir), assigned(spark, sf_dir), ["vec_id"], "inner")
     return rows.withColumn("clean", clean_serving(F.col("description")))
 
 

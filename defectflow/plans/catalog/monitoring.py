@@ -3,11 +3,15 @@
 from pyspark.sql import functions as F
 
 from defectflow.operators import monitoring as mon
-from defectflow.operators.topics import Centroids
+from defectflow.functions.rules import DEFAULT_ACTIONS, RULE_TOPICS, SERVING_TOPICS
+from defectflow.functions.text import clean_serving
+from defectflow.functions.vectors import hash_embedding, l2_normalize
+from defectflow.operators.topics import Centroids, cluster_centroids
 from defectflow.plans.catalog import (
-    ASSIGNED, LABELLED, assigned, centroids, labelled_findings, query,
+    ASSIGNED, FINDINGS, LABELLED, assigned, clean_serving_sql, labelled_findings, query, tag_sql,
 )
-from defectflow.plans.training import train_topics
+from defectflow.plans.catalog.tables import _list_sql, actions_sql
+from defectflow.plans.triage import triage_batch
 from defectflow.session import scratch_path
 from defectflow.sources.demo import findings, table
 from defectflow.sources.results import flatten_results
@@ -71,15 +75,50 @@ def stream_topic_distribution(spark, sf_dir):
     return spark.read.parquet(path).select(_day("window_start"), "event_type", "count")
 
 
-@query("stream_triage")
+# Topics in text space: one centroid per priority, the mean unit vector of its
+# findings' texts. SQL works on the non-zero cells only.
+_TEXT_TRIAGE = rf"""WITH {FINDINGS},
+cleaned AS (SELECT *, {clean_serving_sql('description')} AS clean FROM findings),
+tokens AS (SELECT finding_id, priority, unnest(regexp_extract_all(clean, '\S+')) AS t FROM cleaned),
+counted AS (SELECT finding_id, priority, ('0x' || substr(md5(t), 1, 8))::BIGINT % 384 AS b, count(*) AS c FROM tokens GROUP BY ALL),
+cells AS (SELECT finding_id, priority, b, c / sqrt(sum(c * c) OVER (PARTITION BY finding_id)) AS x FROM counted),
+sizes AS (SELECT priority, count(*) AS n FROM cleaned GROUP BY priority),
+middle AS (SELECT priority::INTEGER AS cluster_id, b, sum(x) / any_value(n) AS m FROM cells JOIN sizes USING (priority) GROUP BY ALL),
+norms AS (SELECT cluster_id, sum(m * m) AS mm FROM middle GROUP BY cluster_id),
+products AS (SELECT finding_id, cluster_id, sum(x * m) AS xm FROM cells JOIN middle USING (b) GROUP BY ALL),
+near AS (
+  SELECT finding_id, cluster_id FROM cleaned CROSS JOIN norms LEFT JOIN products USING (finding_id, cluster_id)
+  QUALIFY row_number() OVER (PARTITION BY finding_id ORDER BY mm - 2 * coalesce(xm, 0), cluster_id) = 1),
+acted AS (SELECT *, CASE WHEN clean = '' THEN {_list_sql(DEFAULT_ACTIONS)} ELSE {actions_sql(tag_sql('cluster_id', RULE_TOPICS), 'clean')} END AS actions
+          FROM cleaned JOIN near USING (finding_id))
+SELECT finding_id, description AS DESCRIPTION, priority AS PRIORITY, initial_recommendation AS INITIAL_RECOMMENDATION,
+       initial_recommendation AS PREDICTED_RECOMMENDATION, {tag_sql('cluster_id', SERVING_TOPICS)} AS TOPIC_CATEGORY,
+       concat('[STEPS:', len(actions), '] Actions: ',
+              array_to_string(list_transform(range(1, len(actions) + 1), lambda i: concat(i, '. ', actions[i])), ' ')) AS STRUCTURED_OUTPUT
+FROM acted"""
+
+
+def text_centroids(rows):
+    vector = l2_normalize(hash_embedding(clean_serving(F.col("description"))))
+    return cluster_centroids(rows.select(F.col("priority").cast("int").alias("p"), vector.alias("v")), "p", "v")
+
+
+@query("text_triage", _TEXT_TRIAGE)
+def text_triage(spark, sf_dir):
+    """Findings triaged by the vectors of their own text."""
+    rows = findings(spark, sf_dir)
+    return flatten_results(triage_batch(rows, "finding_id", text_centroids(rows)), ("finding_id",))
+
+
+@query("stream_triage", _TEXT_TRIAGE)
 def stream_triage(spark, sf_dir):
-    """Findings triaged as a file stream with topics learned beforehand."""
+    """The same triage over a file stream, file source to file sink."""
     rows = findings(spark, sf_dir)
-    trained = train_topics(rows, "finding_id")
+    model = Centroids.from_table(text_centroids(rows))
     source = scratch_path(spark, "incoming")
     rows.write.parquet(source)
     stream = streams.read_stream(spark, source, rows.schema)
-    out = streams.stream_triage(stream, Centroids.from_table(trained.centroids), ("finding_id",))
+    out = streams.stream_triage(stream, model, ("finding_id",))
     path = scratch_path(spark, "triaged")
     streams.write_available(out, path, path + "-checkpoint").awaitTermination()
     return flatten_results(spark.read.parquet(path), ("finding_id",))

@@ -12,7 +12,8 @@ from defectflow.functions.rules import (
 )
 from defectflow.functions.templates import classifier_text, summary_prompt
 from defectflow.functions.text import clean_serving
-from defectflow.functions.vectors import hash_embedding
+from defectflow.functions.vectors import hash_embedding, l2_normalize
+from defectflow.operators.lookups import lookup_join
 from defectflow.operators.models import predict_recommendation
 from defectflow.operators.topics import Centroids, nearest_centroid
 
@@ -37,14 +38,16 @@ def triage(
     generate: Callable[[Column], Column] | None = None,
     keep: tuple[str, ...] = (),
     topic_vector: str | None = None,
+    normalize: bool = True,
 ) -> DataFrame:
     """Triage every finding; ``keep`` carries further columns, such as an id.
 
     Two vectors are taken per finding: of the classifier text for the
     recommendation and of the cleaned text for the topic (``topic_vector``
-    names a column that holds the latter already). Without a classifier the
-    initial recommendation is passed on; without a generator the action rules
-    write the output. All steps are narrow, so nothing is shuffled.
+    names a column that holds the latter already); only the topic vector is
+    normalised, as in training. Without a classifier the initial
+    recommendation is passed on; without a generator the action rules write
+    the output. All steps are narrow, so nothing is shuffled.
     """
     rows = findings.withColumn("_clean", clean_serving(F.col("description")))
     if classifier is not None:
@@ -53,7 +56,8 @@ def triage(
     else:
         rows = rows.withColumn("predicted_recommendation", F.col("initial_recommendation"))
     if topic_vector is None:
-        rows = rows.withColumn("_tv", embed(F.col("_clean")))
+        vector = embed(F.col("_clean"))
+        rows = rows.withColumn("_tv", l2_normalize(vector) if normalize else vector)
     rows = nearest_centroid(rows, topic_vector or "_tv", centroids)
     return finish(rows, generate, keep)
 
@@ -71,9 +75,10 @@ def finish(rows: DataFrame, generate: Callable[[Column], Column] | None = None,
 def triage_assigned(findings: DataFrame, assigned: DataFrame, on: str, keep: tuple[str, ...] = ()) -> DataFrame:
     """Triage findings whose topics were assigned beforehand, in ``assigned(on, cluster_id)``.
 
-    The join carries ids only; vectors stay where they are.
+    The join carries ids only; vectors stay where they are. It is a broadcast
+    for a checked, small number of vectors and safe against hot ids beyond.
     """
-    rows = findings.join(assigned.select(on, "cluster_id"), on).withColumns({
+    rows = lookup_join(findings, assigned.select(on, "cluster_id"), [on], "inner").withColumns({
         "_clean": clean_serving(F.col("description")),
         "predicted_recommendation": F.col("initial_recommendation"),
     })

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from defectflow.session import spread
+
 
 def _strings(*names: str) -> StructType:
     return StructType([StructField(name, StringType()) for name in names])
@@ -51,13 +53,14 @@ def read_findings(spark: SparkSession, path: str, schema: StructType | None = No
     """Findings from CSV with a header; every column is a string.
 
     Columns follow the header unless a schema is given. Quoted line breaks are
-    kept, for which Spark reads each file in one task; pass
-    ``multi_line=False`` for large files known to have one record per line.
+    kept, for which Spark reads each file in one task (rows of few files are
+    then spread over the cores); pass ``multi_line=False`` for large files
+    known to have one record per line.
     """
     if check:
         check_csv_path(spark, path)
     schema = schema or _strings(*csv_columns(spark, path))
-    return (
+    return spread(
         spark.read.schema(schema).option("header", True).option("multiLine", multi_line).option("escape", '"')
         .option("enforceSchema", False).csv(path)
     )
