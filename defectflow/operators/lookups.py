@@ -2,17 +2,31 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 MAX_LOOKUP_ROWS = 20_000
 HOT_SHARE = 1_000
 
 
+def bounded_rows(df: DataFrame, max_rows: int):
+    """The rows of a small frame, or ``None`` when it has over ``max_rows`` rows.
+
+    ``collect`` on a limit reads a few partitions first and stops as soon as
+    it has enough, so finding out that a table is large is cheap.
+    """
+    rows = df.limit(max_rows + 1).collect()
+    return rows if len(rows) <= max_rows else None
+
+
 def bounded_table(df: DataFrame, max_rows: int):
-    """A small frame as an Arrow table, or ``None`` when it has over ``max_rows`` rows."""
-    table = df.limit(max_rows + 1).toArrow()
-    return table if table.num_rows <= max_rows else None
+    """``bounded_rows`` of numbers and vectors, as an Arrow table."""
+    rows = bounded_rows(df, max_rows)
+    if rows is None:
+        return None
+    return pa.Table.from_pylist([r.asDict(True) for r in rows], schema=to_arrow_schema(df.schema))
 
 
 def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
@@ -22,9 +36,9 @@ def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left
     Up to ``max_rows`` rows the table is broadcast and ``df`` is not shuffled;
     beyond that the join is ``skew_safe_join``.
     """
-    rows = bounded_table(table, max_rows)
+    rows = bounded_rows(table, max_rows)
     if rows is not None:
-        small = df.sparkSession.createDataFrame(rows, table.schema)
+        small = df.sparkSession.createDataFrame(rows, table.schema, verifySchema=False)
         return df.join(F.broadcast(small), on, how)
     return skew_safe_join(df, table, on, how)
 
