@@ -12,6 +12,7 @@ from defectflow.functions.vectors import to_matrix
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, skew_safe_join
 from defectflow.operators.sums import vector_means, vector_sums
+from defectflow.session import write_and_reread
 
 MAX_CENTROIDS = 2_048
 
@@ -108,9 +109,8 @@ def nearest_centroid_blocked(df: DataFrame, vector: str, centroids: DataFrame, b
     one block of each and keeps the best centroid per vector, so the rows that
     leave a task are vectors, never vector-centroid pairs.
     """
-    points = df.select(F.col(vector).alias("_v")).where(F.col("_v").isNotNull()).distinct().withColumn(
-        "_h", F.sha2(F.to_json(F.struct("_v")), 256)
-    )
+    distinct = df.select(F.col(vector).alias("_v")).where(F.col("_v").isNotNull()).distinct()
+    points = write_and_reread(distinct.withColumn("_h", F.sha2(F.to_json(F.struct("_v")), 256)), "points")
     left = points.select(F.col("_h").alias("key"), F.col("_v").alias("vector"), F.lit(0).alias("tag"))
     right = centroids.select(
         F.col("cluster_id").cast("string").alias("key"), F.col("centroid").alias("vector"),
