@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
+from defectflow.llm.mixing import mix_sources
 
 QUERIES = {}
 ORACLES = {}
@@ -34,3 +35,9 @@ def op10(spark, sf_dir):
     digest = F.sha2(without_spaces(whole(F.col("text"))), 256)
     docs = read(spark, sf_dir, "documents").withColumn("text_sha256", digest)
     return exact_dedup(docs, carry=["text_sha256"])
+
+
+@query("op2_mix_sources")
+def op2(spark, sf_dir):
+    mix = mix_sources(read(spark, sf_dir, "documents"), weights=(5, 2, 1))
+    return mix.select("doc_id", "size", "source_size", "target", "taken", "source_rank", "copies", "draws")
