@@ -8,6 +8,7 @@ from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
 from defectflow.llm.mixing import mix_sources
+from defectflow.llm.quality_rules import quality_rules
 
 QUERIES = {}
 ORACLES = {}
@@ -80,3 +81,11 @@ def op6(spark, sf_dir):
         F.length("trained").cast("long").alias("loss_chars"), F.sha2("trained", 256).alias("loss_sha256"),
         F.length("formatted").cast("long").alias("formatted_chars"),
     )
+
+
+@query("op9_quality_rules")
+def op9(spark, sf_dir):
+    found = quality_rules(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
