@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
+from defectflow.llm.html_text import extract_text
 from defectflow.llm.mixing import mix_sources
 from defectflow.llm.quality_rules import quality_rules
 
@@ -89,3 +90,9 @@ def op9(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
     )
+
+
+@query("op7_html_text")
+def op7(spark, sf_dir):
+    pages = extract_text(read(spark, sf_dir, "pages"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
