@@ -8,6 +8,7 @@ from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
 from defectflow.llm.html_text import extract_text
+from defectflow.llm.language_model import quality_classifier
 from defectflow.llm.mixing import mix_sources
 from defectflow.llm.quality_rules import quality_rules
 
@@ -96,3 +97,9 @@ def op9(spark, sf_dir):
 def op7(spark, sf_dir):
     pages = extract_text(read(spark, sf_dir, "pages"))
     return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
+@query("op4_quality_classifier")
+def op4(spark, sf_dir):
+    trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return quality_classifier(read(spark, sf_dir, "documents"), trusted)
