@@ -11,6 +11,7 @@ from defectflow.llm.html_text import extract_text
 from defectflow.llm.language_model import quality_classifier
 from defectflow.llm.mixing import mix_sources
 from defectflow.llm.quality_rules import quality_rules
+from defectflow.llm.sentencepiece_bpe import decode, encode
 
 QUERIES = {}
 ORACLES = {}
@@ -103,3 +104,13 @@ def op7(spark, sf_dir):
 def op4(spark, sf_dir):
     trusted = read(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
     return quality_classifier(read(spark, sf_dir, "documents"), trusted)
+
+
+@query("op1_sentencepiece")
+def op1(spark, sf_dir):
+    coded = encode(read(spark, sf_dir, "documents"))
+    texts = decode(coded, keep=["doc_id", "ids"], text_col="decoded")
+    return texts.select(
+        "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
+        F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
