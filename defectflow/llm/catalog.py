@@ -10,6 +10,7 @@ from defectflow.llm.exact_dedup import exact_dedup
 from defectflow.llm.html_text import extract_text
 from defectflow.llm.language_model import quality_classifier
 from defectflow.llm.mixing import mix_sources
+from defectflow.llm.ngram_join import link_near_copies
 from defectflow.llm.quality_rules import quality_rules
 from defectflow.llm.sentencepiece_bpe import decode, encode
 
@@ -114,3 +115,8 @@ def op1(spark, sf_dir):
         "doc_id", F.size("ids").cast("long").alias("n_pieces"), "ids",
         F.length("decoded").cast("long").alias("decoded_chars"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+@query("op5_ngram_jaccard_join")
+def op5(spark, sf_dir):
+    return link_near_copies(read(spark, sf_dir, "documents"))
