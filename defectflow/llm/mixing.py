@@ -72,10 +72,11 @@ def mix_sources(
     )
     placed = write_and_reread(placed, "mix-placed")
     blocks = _block_quotas(placed, sources)
-    quotas = blocks.groupBy("source_rank").agg(F.sum("_draws").alias("_quota"))
-    owners = _owners(_tree(quotas, levels, seed), sources, seed)
+    quotas = blocks.groupBy("source_rank").agg(F.sum("_draws").alias("_quota"), F.max("_held").alias("_held"))
+    held = sources.select("source_rank", "_passes").join(quotas, "source_rank")
+    owners = _owners(_tree(quotas, levels, seed), held, seed)
 
-    plan = blocks.join(owners, ["source_rank", "_block"], "left").select(
+    plan = blocks.join(owners, ["source_rank", "_index"], "left").select(
         "source_rank", "_block", "_partial", "_open", "_owners"
     )
     rows = placed.join(plan, ["source_rank", "_block"], "left")
@@ -146,12 +147,17 @@ def _block_quotas(placed: DataFrame, sources: DataFrame) -> DataFrame:
     sums = placed.groupBy("source_rank", "_block").agg(F.sum("size").alias("_words"))
     sums = write_and_reread(sums.withColumn("_chunk", F.expr(f"_block div {_CHUNK}")), "mix-blocks")
     earlier = Window.partitionBy("source_rank").orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    chunks = sums.groupBy("source_rank", "_chunk").agg(F.sum("_words").alias("_sum")).select(
-        "source_rank", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before")
+    chunks = sums.groupBy("source_rank", "_chunk").agg(F.sum("_words").alias("_sum"), F.count("*").alias("_n")).select(
+        "source_rank", "_chunk", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"),
+        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_nth"),
+        F.sum("_n").over(Window.partitionBy("source_rank")).alias("_held"),
+    )
+    within = Window.partitionBy("source_rank", "_chunk").orderBy("_block")
+    through = within.rowsBetween(Window.unboundedPreceding, -1)
+    ahead = F.col("_before") + F.coalesce(F.sum("_words").over(through), F.lit(0))
+    blocks = sums.join(chunks, ["source_rank", "_chunk"]).withColumns(
+        {"_ahead": ahead, "_index": F.col("_nth") + F.row_number().over(within) - 1}
     )
-    within = Window.partitionBy("source_rank", "_chunk").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.col("_before") + F.coalesce(F.sum("_words").over(within), F.lit(0))
-    blocks = sums.join(chunks, ["source_rank", "_chunk"]).withColumn("_ahead", ahead)
     blocks = blocks.join(sources.select("source_rank", "_passes", "_rest"), "source_rank").withColumn(
         "_open", F.col("_rest") - F.col("_ahead")
     )
@@ -159,7 +165,7 @@ def _block_quotas(placed: DataFrame, sources: DataFrame) -> DataFrame:
     partial = F.when(F.col("_rest") <= 0, "none").otherwise(partial)
     blocks = blocks.withColumn("_partial", partial)
     return write_and_reread(blocks.select(
-        "source_rank", "_block", "_partial", "_open",
+        "source_rank", "_block", "_partial", "_open", "_index", "_held",  # blocks without rows are passed over
         (F.col("_passes") + (F.col("_partial") != "none").cast("long")).alias("_draws"),
     ), "mix-quotas")
 
@@ -173,12 +179,11 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """
     nodes = quotas.agg(
         F.sort_array(F.collect_list(F.struct("source_rank", F.col("_quota").alias("count")))).alias("quotas")
-    ).select(F.lit(0).cast("long").alias("node"), "quotas")
+    ).select(F.lit(1).cast("long").alias("node"), "quotas")
     longs = "array<bigint>"
+    size = F.aggregate("quotas", F.lit(0).cast("long"), lambda n, q: n + q["count"])
     for level in range(levels):
-        size = F.aggregate("quotas", F.lit(0).cast("long"), lambda n, q: n + q["count"])
-
-        def split(state, quota, level=level):
+        def split(state, quota):
             draws = F.when(quota["count"] > 0, F.sequence(F.lit(1).cast("long"), quota["count"]))
             start = F.struct(
                 state["left"].alias("left"), state["open"].alias("open"), F.lit(0).cast("long").alias("taken"),
@@ -186,7 +191,7 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
             )
 
             def one(s, _):
-                luck = F.xxhash64(F.lit(seed), F.lit(level), F.col("node"), s["open"])
+                luck = F.xxhash64(F.lit(seed), F.lit(levels), F.col("node"), s["open"])
                 goes = (F.pmod(luck, s["open"]) < s["left"]).cast("long")
                 return F.struct(
                     (s["left"] - goes).alias("left"), (s["open"] - 1).alias("open"),
@@ -211,23 +216,27 @@ def _tree(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
         nodes = halves.select(F.explode(F.array(child(False), child(True))).alias("_child")).select("_child.*")
         nodes = nodes.repartition(2 ** (level + 1), "node") if level % 4 == 3 else nodes
     return write_and_reread(nodes, "mix-tree").select(
-        F.col("node").alias("shard"), F.inline("quotas")
+        (F.col("node") - 2**levels).alias("shard"), F.inline("quotas")
     )
 
 
-def _owners(leaves: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
-    """Per block the shards that draw it, one for each pass."""
+def _owners(leaves: DataFrame, held: DataFrame, seed: int) -> DataFrame:
+    """Per block the shards that draw it, one for each pass.
+
+    The shards of a source own runs of its draws in order. Every whole pass goes
+    through the blocks from another one on, the partial pass from the first.
+    """
     earlier = Window.partitionBy("source_rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     runs = leaves.withColumn("_start", F.coalesce(F.sum("count").over(earlier), F.lit(0))).where("count > 0")
-    runs = runs.join(sources.select("source_rank", "_blocks", "_passes"), "source_rank")
+    runs = runs.join(held, "source_rank")
     draws = runs.select(
-        "source_rank", "_blocks", "_passes", "shard",
+        "source_rank", "_held", "_passes", "shard",
         F.explode(F.sequence(F.col("_start"), F.col("_start") + F.col("count") - 1)).alias("_draw"),
-    ).withColumn("epoch", F.expr("_draw div _blocks"))
+    ).withColumn("epoch", F.expr("_draw div _held"))
     turn = F.when(
-        F.col("epoch") < F.col("_passes"), F.pmod(F.xxhash64(F.lit(seed), "source_rank", "epoch"), F.col("_blocks"))
+        F.col("epoch") < F.col("_passes"), F.pmod(F.xxhash64(F.lit(seed), "source_rank", "epoch"), F.col("_held"))
     ).otherwise(0)
-    place = F.pmod(F.col("_draw") + turn, F.col("_blocks"))
-    return draws.groupBy("source_rank", place.alias("_block")).agg(
+    place = F.pmod(F.col("_draw") + turn, F.col("_held"))
+    return draws.groupBy("source_rank", place.alias("_index")).agg(
         F.sort_array(F.collect_list(F.struct("epoch", "shard"))).alias("_owners")
     )
