@@ -11,6 +11,7 @@ from defectflow.llm.html_text import extract_text
 from defectflow.llm.language_model import quality_classifier
 from defectflow.llm.mixing import mix_sources
 from defectflow.llm.ngram_join import link_near_copies
+from defectflow.llm.passages import repeated_passages
 from defectflow.llm.pseudonyms import pseudonymize
 from defectflow.llm.quality_rules import quality_rules
 from defectflow.llm.sentencepiece_bpe import decode, encode
@@ -127,3 +128,8 @@ def op5(spark, sf_dir):
 def op8(spark, sf_dir):
     found = pseudonymize(read(spark, sf_dir, "documents"), key="key of the corpus")
     return found.select("doc_id", "text", "n_found", F.col("found").cast("array<struct<kind:string,pseudonym:string>>").alias("found"))
+
+
+@query("op3_suffix_dedup")
+def op3(spark, sf_dir):
+    return repeated_passages(read(spark, sf_dir, "documents"))
