@@ -51,6 +51,8 @@ def mix_sources(
     count. A source of size 0 has target 0. The same input and seed give the same
     mix, whatever the partitions. An empty table gives an empty result.
     """
+    if min(weights) <= 0:
+        raise ValueError("weights must be positive")
     sized = write_and_reread(
         docs.select(
             F.col(id_col).alias("_id"), F.col(source_col).cast("string").alias("_source"),
