@@ -14,9 +14,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
-_BATCH_CHARS = 4_000_000
+_BATCH_CHARS = 2_000_000
 _INDEX_BYTES = 1 << 20  # of distinct units that are indexed at once
-_CACHED_UNITS = 600_000
+_CACHED_UNITS = 400_000
 _SHORT = 40  # symbols up to which units are relaxed side by side
 
 
