@@ -34,3 +34,30 @@ def distinct_names(columns: list[str]) -> None:
     lower = [c.lower() for c in columns]
     if len(set(lower)) != len(lower):
         raise ValueError(f"columns would share a name: {sorted(columns)}")
+
+
+_BITS_PER_MAP = 8 * 4096  # fixed by bitmap_construct_agg
+
+
+def key_filter(keys: DataFrame, bits: int) -> DataFrame:
+    """A bit map of ``bits`` bits of the hashes of all columns of ``keys``, in rows of 4 KB.
+
+    Its size does not depend on the number of keys, so it may be broadcast.
+    """
+    if not 0 < bits <= 1 << 30 or bits % _BITS_PER_MAP:
+        raise ValueError(f"bits must be a multiple of {_BITS_PER_MAP}, 2**30 at most")
+    slots = keys.select(F.pmod(F.xxhash64(*keys.columns), F.lit(bits)).alias("_slot"))
+    return slots.groupBy(F.expr(f"_slot div {_BITS_PER_MAP}").alias("_map")).agg(
+        F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits")
+    )
+
+
+def maybe_among(rows: DataFrame, keys: list[str], filter_map: DataFrame, bits: int, name: str) -> DataFrame:
+    """``rows`` with a column ``name``: false where the key is surely not among those of the filter."""
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
+    marked = rows.withColumns({"_slot": slot, "_map": F.floor(slot / _BITS_PER_MAP)})
+    marked = marked.join(F.broadcast(filter_map), "_map", "left")
+    place = F.col("_slot") % _BITS_PER_MAP
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
+    return marked.withColumn(name, found).select(*rows.columns, name)

@@ -4,13 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from defectflow.llm.common import distinct_names, whole, without_spaces
+from defectflow.llm.common import distinct_names, key_filter, maybe_among, whole, without_spaces
 from defectflow.session import write_and_reread
 
-_BITS_PER_MAP = 8 * 4096  # fixed by bitmap_construct_agg
-
 
 def exact_dedup(
     docs: DataFrame,
@@ -42,8 +40,6 @@ def exact_dedup(
     the same answer. A null id is ordered before others. Empty tables give empty
     results. Columns of ``docs`` that are not named are never touched.
     """
-    if not 0 < filter_bits <= 1 << 30 or filter_bits % _BITS_PER_MAP:
-        raise ValueError(f"filter_bits must be a multiple of {_BITS_PER_MAP}, 2**30 at most")
     distinct_names([id_col, "keep_id", "group_size", "kept", *carry])
     text = whole(F.col(text_col))
     rows = docs.select(
@@ -52,14 +48,9 @@ def exact_dedup(
     ).withColumns({"_length": F.length("_text"), "_head": F.xxhash64(F.substring("_text", 1, prefix))})
 
     groups = rows.groupBy("_length", "_head").count().where("count > 1")
-    slot = F.pmod(F.xxhash64("_length", "_head"), F.lit(filter_bits))
-    survivors = groups.select(slot.alias("_slot")).groupBy(
-        F.expr(f"_slot div {_BITS_PER_MAP}").alias("_map")
-    ).agg(F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits"))
-
-    marked = rows.withColumn("_slot", slot).withColumn("_map", F.expr(f"_slot div {_BITS_PER_MAP}"))
-    marked = marked.join(F.broadcast(survivors), "_map", "left")
-    full = F.when(_bit(F.col("_bits"), F.col("_slot") % _BITS_PER_MAP), F.unhex(F.sha2("_text", 256)))
+    survivors = key_filter(groups.select("_length", "_head"), filter_bits)
+    marked = maybe_among(rows, ["_length", "_head"], survivors, filter_bits, "_shared")
+    full = F.when(F.col("_shared"), F.unhex(F.sha2("_text", 256)))
     hashed = write_and_reread(marked.select("_id", "_carry", "_length", "_chars", full.alias("_full")), "dedup-hash")
 
     shared = hashed.where("_full is not null")
@@ -94,9 +85,3 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     order = Window.partitionBy(id_col, "_content").orderBy(F.length(whole(F.col(text_col))).desc(), F.col(text_col))
     ranked = rows.withColumn("_content", content).withColumn("_place", F.row_number().over(order))
     return ranked.where("_place = 1").select(*docs.columns)
-
-
-def _bit(bits: Column, place: Column) -> Column:
-    """Whether bit ``place`` of a binary bit map is set; false for null."""
-    byte = F.conv(F.hex(F.substring(bits, (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
