@@ -111,6 +111,8 @@ def numbered_steps(actions: Column) -> Column:
 def parse_steps(text: Column) -> Column:
     """Struct ``declared, steps array<struct<step, action>>, consistent``.
 
+    A number with a point begins a step if it is the first one or follows the
+    number of the step before; others, such as amounts, belong to the action.
     ``consistent`` is false when the announced count and the listed steps
     differ, or when there is no announcement.
     """
@@ -118,12 +120,26 @@ def parse_steps(text: Column) -> Column:
     declared = F.try_to_number(F.regexp_extract(text, r"\[STEPS:(\d+)\]", 1), F.lit("999999999")).cast("int")
     body = F.regexp_replace(text, r"^\s*(\[STEPS:\d+\])?\s*(Actions:)?\s*", "")
     marker = r"(?:^|\s+)\d+\.\s+"
-    numbers = F.transform(
-        F.regexp_extract_all(body, F.lit(r"(?:^|\s)(\d+)\.\s"), F.lit(1)), lambda x: x.cast("int")
-    )
+    numbers = F.regexp_extract_all(body, F.lit(r"(?:^|\s)(\d+)\.\s"), F.lit(1))
     pieces = F.split(body, marker)
     actions = F.transform(F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0))), F.trim)
-    steps = F.zip_with(numbers, actions, lambda n, a: F.struct(n.alias("step"), a.alias("action")))
+    marked = F.zip_with(numbers, actions, lambda n, a: F.struct(n.alias("mark"), a.alias("action")))
+    empty = F.array().cast("array<struct<step:int,action:string>>")
+
+    def take(steps, piece):
+        number = piece["mark"].try_cast("int")
+        last = F.try_element_at(steps, F.lit(-1))
+        new = F.concat(steps, F.array(F.struct(number.alias("step"), piece["action"].alias("action"))))
+        joined = F.concat(
+            F.slice(steps, 1, F.greatest(F.size(steps) - 1, F.lit(0))),
+            F.array(F.struct(last["step"].alias("step"), F.trim(
+                F.concat(last["action"], F.lit(" "), piece["mark"], F.lit(". "), piece["action"])
+            ).alias("action"))),
+        )
+        starts = F.size(steps) == 0
+        return F.when(number.isNull() & starts, steps).when(starts | (number == last["step"] + 1), new).otherwise(joined)
+
+    steps = F.aggregate(marked, empty, take)
     return F.struct(
         declared.alias("declared"),
         steps.alias("steps"),

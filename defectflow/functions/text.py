@@ -129,6 +129,11 @@ def score_tokens(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), "")
 
 
+def letter_tokens(text: Column) -> Column:
+    """Lower-case runs of letters, marks and digits of any script."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{M}\p{N}]+"), F.lit(0))
+
+
 def ngrams(tokens: Column, n: int) -> Column:
     """Space-joined n-grams of a token array."""
     if n == 1:

@@ -232,7 +232,7 @@ def cluster_keywords(df: DataFrame, cluster: str, tokens: Column, n: int = 10, w
         scored = counts.join(spread, "term").withColumn("score", F.col("count") * F.log(clusters / F.col("_df")))
     else:
         raise ValueError("weight must be 'count' or 'tfidf'")
-    top = top_per_group(scored, [cluster], [F.desc("score"), F.col("term")], n, F.col("term"))
+    top = top_per_group(scored, [cluster], [F.desc("score"), F.col("term")], n)
     return top.select(cluster, "rank", "term", "count", "score")
 
 

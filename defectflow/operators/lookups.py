@@ -1,4 +1,4 @@
-"""Joins and rankings that hold up when one key owns a third of the rows."""
+"""Joins by key, rankings, and size-checked reads of small tables."""
 
 from __future__ import annotations
 
@@ -7,9 +7,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
-MAX_LOOKUP_ROWS = 20_000
-HOT_SHARE = 1_000
-
 
 def bounded_rows(df: DataFrame, max_rows: int):
     """The rows of a small frame, or ``None`` when it has over ``max_rows`` rows.
@@ -29,40 +26,17 @@ def bounded_table(df: DataFrame, max_rows: int):
     return pa.Table.from_pylist([r.asDict(True) for r in rows], schema=to_arrow_schema(df.schema))
 
 
-def lookup_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left",
-                max_rows: int = MAX_LOOKUP_ROWS) -> DataFrame:
-    """Join a lookup table with unique keys, after a check of its size.
+def keyed_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
+    """Plain join with a table of unique keys in which a null key equals a null key.
 
-    Up to ``max_rows`` rows the table is broadcast and ``df`` is not shuffled;
-    beyond that the join is ``skew_safe_join``.
+    Whether the table is broadcast, and whether hot keys are split, is left to
+    the adaptive planner, which knows the sizes in bytes.
     """
-    rows = bounded_rows(table, max_rows)
-    if rows is not None:
-        small = df.sparkSession.createDataFrame(rows, table.schema, verifySchema=False)
-        return df.join(F.broadcast(small), on, how)
-    return skew_safe_join(df, table, on, how)
-
-
-def skew_safe_join(df: DataFrame, table: DataFrame, on: list[str], how: str = "left") -> DataFrame:
-    """Left or inner join with a table of unique keys, hot keys kept apart.
-
-    A key is hot when more than ``1 / HOT_SHARE`` of the rows carry it, so
-    there are fewer than ``HOT_SHARE`` hot keys and their table rows can be
-    broadcast; all other rows take the ordinary shuffled join.
-    """
-    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    hot_keys = counts.where(F.col("_n") * HOT_SHARE > total).dropna(subset=on).select(*on)
-    rows = hot_keys.toArrow()
-    if rows.num_rows == 0:
-        return df.join(table, on, how)
-    hot = df.sparkSession.createDataFrame(rows, hot_keys.schema)
-    hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    columns = df.columns + [c for c in table.columns if c not in on]
-    marked = F.broadcast(hot)
-    hot_part = df.join(marked, on, "left_semi").join(F.broadcast(hot_table), on, how).select(*columns)
-    cold_part = df.join(marked, on, "left_anti").join(table, on, how).select(*columns)
-    return hot_part.unionByName(cold_part)
+    renamed = table.select(*[F.col(c).alias(f"_key_{c}") for c in on], *[c for c in table.columns if c not in on])
+    same = F.lit(True)
+    for c in on:
+        same = same & F.col(c).eqNullSafe(F.col(f"_key_{c}"))
+    return df.join(renamed, same, how).drop(*[f"_key_{c}" for c in on])
 
 
 def seeded_key(identifier: Column, seed: int = 42) -> Column:
@@ -70,19 +44,7 @@ def seeded_key(identifier: Column, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), identifier.cast("string")))
 
 
-def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int, spread: Column,
-                  salts: int = 64) -> DataFrame:
-    """First ``n`` rows of each group.
-
-    Each group is first cut to ``n`` rows within ``salts`` hash slices of
-    ``spread``, so no task sorts a whole large group.
-    """
-    columns = df.columns
-    sliced = df.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)))
-    near = Window.partitionBy(*group, "_salt").orderBy(*order)
-    final = Window.partitionBy(*group).orderBy(*order)
-    return (
-        sliced.withColumn("_r", F.row_number().over(near)).where(F.col("_r") <= n).drop("_r", "_salt")
-        .withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= n)
-        .select(*columns, "rank")
-    )
+def top_per_group(df: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
+    """First ``n`` rows of each group; Spark cuts every group to ``n`` rows before its shuffle."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
+    return df.withColumn("rank", rank).where(F.col("rank") <= n)

@@ -7,15 +7,17 @@ Token work is exploded, counted and joined by Spark, keyed by pair.
 
 from __future__ import annotations
 
+import hashlib
+from collections import Counter
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
 from defectflow.functions.stemming import stem_tokens
-from defectflow.functions.text import ngrams, score_tokens
-from defectflow.functions.vectors import token_vector
-from defectflow.operators.lookups import lookup_join
+from defectflow.functions.text import letter_tokens, ngrams, score_tokens
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -33,28 +35,33 @@ def _tokens(text: Column, stemmer: bool) -> Column:
 
 def rouge_n(pairs: DataFrame, key: list[str], prediction: str, reference: str, n: int = 1,
             stemmer: bool = True) -> DataFrame:
-    """N-gram overlap: ``key, precision, recall, f1``."""
+    """N-gram overlap: ``key, precision, recall, f1``. No shuffle.
+
+    The stemmer follows Porter's published rules; scorers with rules of their own
+    differ in a few words.
+    """
     # Tokens are a column of their own: array lambdas cannot hold the stemmer.
-    sides = pairs.select(
+    tokens = pairs.select(
         *key, _tokens(F.col(prediction), stemmer).alias("pt"), _tokens(F.col(reference), stemmer).alias("rt")
-    ).select(*key, F.explode(F.array(
-        F.struct(F.lit(1).alias("p"), F.lit(0).alias("r"), F.col("pt").alias("t")),
-        F.struct(F.lit(0).alias("p"), F.lit(1).alias("r"), F.col("rt").alias("t")),
-    )).alias("s"))
-    grams = sides.select(*key, "s.p", "s.r", F.explode_outer(ngrams(F.col("s.t"), n)).alias("gram"))
-    counted = grams.groupBy(*key, "gram").agg(F.sum("p").alias("p"), F.sum("r").alias("r"))
-    real = F.col("gram").isNotNull()
-    scored = counted.groupBy(*key).agg(
-        F.sum(F.when(real, F.least("p", "r")).otherwise(0)).alias("hit"),
-        F.sum(F.when(real, F.col("p")).otherwise(0)).alias("p"),
-        F.sum(F.when(real, F.col("r")).otherwise(0)).alias("r"),
-    )
+    ).select(*key, ngrams(F.col("pt"), n).alias("pt"), ngrams(F.col("rt"), n).alias("rt"))
+    scored = tokens.select(*key, common_items(F.col("pt"), F.col("rt")).alias("hit"),
+                           F.size("pt").alias("p"), F.size("rt").alias("r"))
     out = scored.withColumns({
         "precision": _ratio(F.col("hit"), F.col("p")), "recall": _ratio(F.col("hit"), F.col("r")),
     })
     return out.select(*key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def common_items(a: Column, b: Column) -> Column:
+    """Size of the intersection of two arrays as multisets."""
+
+    @F.arrow_udf("int")
+    def run(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([(Counter(p) & Counter(r)).total() for p, r in zip(x.to_pylist(), y.to_pylist())], pa.int32())
+
+    return run(a, b)
+
+
 def common_subsequence(a: Column, b: Column) -> Column:
     """Length of the longest common subsequence of two token arrays.
 
@@ -101,7 +108,7 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
     stage the last free occurrences of a form are aligned with each other, then
     the ones before them, and so on.
     """
-    words = pairs.select(*key, score_tokens(F.col(prediction)).alias("p"), score_tokens(F.col(reference)).alias("r"))
+    words = pairs.select(*key, letter_tokens(F.col(prediction)).alias("p"), letter_tokens(F.col(reference)).alias("r"))
     both = words.select(
         *key, "p", "r",
         (stem_tokens(F.col("p")) if stemmer else F.col("p")).alias("ps"),
@@ -121,7 +128,7 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
     stages = [F.col("word")] + ([F.col("stem")] if stemmer else [])
     if synonyms is not None:
         groups = synonyms.select(F.col("word"), F.col("group").alias("_g"))
-        free = lookup_join(free, groups, ["word"]).repartition(*key)
+        free = free.join(groups, "word", "left").repartition(*key)
         stages.append(F.col("_g"))
     free = free.withColumn("twin", F.lit(None).cast("int"))
     for form in stages:
@@ -183,39 +190,71 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
     return run(x, wx, y, wy)
 
 
+def digest_vectors(tokens: list[str]) -> list[list[float]]:
+    """The built-in token vectors: the md5 digits of the token, centred."""
+    return [[int(c, 16) - 7.5 for c in hashlib.md5(t.encode()).hexdigest()] for t in tokens]
+
+
 def bertscore(pairs: DataFrame, key: list[str], prediction: str, reference: str,
-              token_table: DataFrame | None = None) -> DataFrame:
+              token_table: DataFrame | None = None, factory: Callable | None = None) -> DataFrame:
     """Greedy cosine matching of token vectors: ``key, precision, recall, f1``.
 
-    Each token takes its best match on the other side. Tokens are counted
-    first, so a pair holds each distinct token once. ``token_table(token,
-    vector)`` supplies static vectors; tokens it lacks are left out. Without a
-    table, md5-derived vectors are used.
+    Each token takes its best match on the other side. Tokens are runs of
+    letters, marks and digits of any script. ``factory()`` gives, once per Python
+    worker, a model that maps a list of tokens to vectors; without it md5-derived
+    vectors are used. Nothing is shuffled then. ``token_table(token, vector)``
+    supplies static vectors by a join instead; tokens it lacks are left out.
     """
-    sided = pairs.select(*key, F.explode(F.array(
-        F.struct(F.lit(True).alias("hyp"), score_tokens(F.col(prediction)).alias("t")),
-        F.struct(F.lit(False).alias("hyp"), score_tokens(F.col(reference)).alias("t")),
-    )).alias("s")).select(*key, "s.hyp", F.explode_outer("s.t").alias("token"))
-    known = F.col("token").isNotNull()
-    counted = sided.groupBy(*key, "token").agg(
-        F.count_if(F.col("hyp") & known).alias("p"), F.count_if(~F.col("hyp") & known).alias("r")
-    )
+    sides = pairs.select(*key, letter_tokens(F.col(prediction)).alias("p"), letter_tokens(F.col(reference)).alias("r"))
     if token_table is None:
-        held = counted.withColumn("vector", token_vector(F.coalesce("token", F.lit(""))))
+        make = factory or (lambda: digest_vectors)
+
+        @F.arrow_udf("struct<precision:double,recall:double>")
+        def match(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            model = make()
+            for x, y in parts:
+                rows = list(zip(x.to_pylist(), y.to_pylist(), strict=True))
+                every = sorted({t for pair in rows for side in pair for t in side})
+                vectors = np.array(model(every), "float64").reshape(len(every), -1)
+                vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
+                place = {t: i for i, t in enumerate(every)}
+                yield pa.array([_greedy(p, r, place, vectors) for p, r in rows],
+                               pa.struct([("precision", pa.float64()), ("recall", pa.float64())]))
+
+        scored = sides.select(*key, match("p", "r").alias("s")).select(*key, "s.precision", "s.recall")
     else:
-        held = lookup_join(counted, token_table.select("token", "vector"), ["token"])
+        sided = sides.select(*key, F.explode(F.array(
+            F.struct(F.lit(True).alias("hyp"), F.col("p").alias("t")),
+            F.struct(F.lit(False).alias("hyp"), F.col("r").alias("t")),
+        )).alias("s")).select(*key, "s.hyp", F.explode_outer("s.t").alias("token"))
+        known = F.col("token").isNotNull()
+        counted = sided.groupBy(*key, "token").agg(
+            F.count_if(F.col("hyp") & known).alias("p"), F.count_if(~F.col("hyp") & known).alias("r")
+        )
+        held = counted.join(token_table.select("token", "vector"), "token", "left")
 
-    def side(weight: str):
-        counts = (F.col(weight) > 0) & F.col("vector").isNotNull()
-        return F.collect_list(F.when(counts, F.struct(F.col("vector"), F.col(weight).alias("w"))))
+        def side(weight: str):
+            counts = (F.col(weight) > 0) & F.col("vector").isNotNull()
+            return F.collect_list(F.when(counts, F.struct(F.col("vector"), F.col(weight).alias("w"))))
 
-    grouped = held.groupBy(*key).agg(side("p").alias("p"), side("r").alias("r"))
-    scored = grouped.select(*key, _best_cosines(
-        F.col("p.vector"), F.col("p.w"), F.col("r.vector"), F.col("r.w")
-    ).alias("s")).select(*key, "s.precision", "s.recall")
+        grouped = held.groupBy(*key).agg(side("p").alias("p"), side("r").alias("r"))
+        scored = grouped.select(*key, _best_cosines(
+            F.col("p.vector"), F.col("p.w"), F.col("r.vector"), F.col("r.w")
+        ).alias("s")).select(*key, "s.precision", "s.recall")
     return scored.select(*key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def _greedy(p: list[str], r: list[str], place: dict[str, int], vectors: np.ndarray) -> dict[str, float]:
+    if not p or not r:
+        return {"precision": 0.0, "recall": 0.0}
+    left, right = Counter(p), Counter(r)
+    gain = vectors[[place[t] for t in left]] @ vectors[[place[t] for t in right]].T
+    return {
+        "precision": float(np.average(gain.max(axis=1), weights=list(left.values()))),
+        "recall": float(np.average(gain.max(axis=0), weights=list(right.values()))),
+    }
+
+
 def mean_scores(scores: DataFrame, *columns: str) -> DataFrame:
     """Corpus means of per-pair scores, as one row."""
     names = columns or ("precision", "recall", "f1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from defectflow.operators.lookups import lookup_join, skew_safe_join
+from defectflow.operators.lookups import keyed_join
 from defectflow.operators.stats import exact_quantiles
 
 
@@ -36,10 +36,8 @@ def centroid_drift(df: DataFrame, ts: str, topic: str, distance: str, every: str
         F.count(F.lit(1)).alias("rows"), F.avg(distance).alias("mean_distance")
     )
     if median:
-        means = means.join(
-            exact_quantiles(rows, ["window_start", topic], distance, [0.5]).withColumnRenamed("q0", "median_distance"),
-            ["window_start", topic], "left",
-        )
+        medians = exact_quantiles(rows, ["window_start", topic], distance, [0.5])
+        means = keyed_join(means, medians.withColumnRenamed("q0", "median_distance"), ["window_start", topic])
     order = Window.partitionBy(topic).orderBy("window_start")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     first = F.nth_value("mean_distance", baseline + 1).over(whole)
@@ -53,18 +51,18 @@ def confidence_thresholds(df: DataFrame, topic: str, distance: str, quantile: fl
 
 def flag_low_confidence(df: DataFrame, topic: str, distance: str, thresholds: DataFrame) -> DataFrame:
     """Add ``threshold`` and ``needs_review``; topics without one need review."""
-    joined = lookup_join(df, thresholds, [topic])
+    joined = keyed_join(df, thresholds, [topic])
     return joined.withColumn("needs_review", F.coalesce(F.col(distance) > F.col("threshold"), F.lit(True)))
 
 
 def latest_corrections(corrections: DataFrame, identifier: str, label: str, *recency: Column) -> DataFrame:
-    """Newest correction per id, by a map-side combinable maximum."""
+    """Newest correction per id, by partial maxima (of strings, so Spark sorts within tasks)."""
     return corrections.groupBy(identifier).agg(F.max_by(F.col(label), F.struct(*recency)).alias("corrected_label"))
 
 
 def apply_corrections(df: DataFrame, identifier: str, label: str, latest: DataFrame) -> DataFrame:
     """Engineer corrections win over labels; ``was_corrected`` marks them."""
-    joined = skew_safe_join(df, latest, [identifier])
+    joined = df.join(latest, identifier, "left")
     return joined.select(
         *[F.coalesce("corrected_label", F.col(label)).alias(label) if c == label else F.col(c) for c in df.columns],
         F.col("corrected_label").isNotNull().alias("was_corrected"),

@@ -2,7 +2,7 @@
 
 A factory is called once per Python worker and returns a callable that maps a
 list of strings to a list of results. Distinct texts are computed once and
-joined back; texts that own a large share of the rows are joined by broadcast.
+joined back by a hash of the text.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
 from defectflow.functions.rules import numbered_steps
-from defectflow.operators.lookups import lookup_join, skew_safe_join
 from defectflow.session import write_and_reread
 
 
@@ -34,11 +33,12 @@ def _batched(factory: Callable, return_type: str, batch: int, options: dict):
 
 
 def _apply_distinct(df: DataFrame, text: str, output: str, factory, return_type: str, batch: int, options: dict):
-    texts = df.select(F.col(text)).where(F.col(text).isNotNull()).distinct()
-    computed = texts.withColumn(output, _batched(factory, return_type, batch, options)(F.col(text)))
-    # Written once, so that a model is never run again for the joins below.
-    table = write_and_reread(computed, "model-output")
-    return skew_safe_join(df, table, [text])
+    texts = df.select(F.col(text).alias("_text")).where(F.col(text).isNotNull()).distinct()
+    computed = texts.withColumn(output, _batched(factory, return_type, batch, options)(F.col("_text")))
+    # Written once, so that a model is never run again for the join below.
+    table = write_and_reread(computed.withColumn("_hash", F.md5("_text")), "model-output")
+    same = (F.md5(text) == F.col("_hash")) & (F.col(text) == F.col("_text"))
+    return df.join(table, same, "left").drop("_hash", "_text")
 
 
 def embed_text(df: DataFrame, text: str, factory: Callable, output: str = "embedding", batch: int = 32,
@@ -70,15 +70,14 @@ def rule_text(actions: Column) -> Column:
 def embed_token_table(df: DataFrame, identifier: str, tokens: str, table: DataFrame, output: str = "embedding"):
     """Mean of token vectors from a table ``(token, vector)``.
 
-    Tokens are counted per row before the join; frequent tokens are joined by
-    broadcast. Rows without a known token get a null vector.
+    Tokens are counted per row before the join. Rows without a known token get a null vector.
     """
     counted = (
         df.select(F.col(identifier).alias("_id"), F.explode(F.col(tokens)).alias("token"))
         .groupBy("_id", "token").agg(F.count(F.lit(1)).cast("double").alias("_w"))
     )
     means = (
-        lookup_join(counted, table.select("token", "vector"), ["token"], "inner")
+        counted.join(table.select("token", "vector"), "token")
         .groupBy("_id").agg(Summarizer.mean(array_to_vector("vector"), F.col("_w")).alias("_m"))
         .select(F.col("_id").alias(identifier), vector_to_array("_m").alias(output))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.window import Window
 
-from defectflow.operators.lookups import lookup_join, seeded_key, top_per_group
+from defectflow.operators.lookups import keyed_join, seeded_key, top_per_group
 
 
 def value_counts(df: DataFrame, column: str, by: str = "count") -> DataFrame:
@@ -59,7 +59,7 @@ def _ranked(base: DataFrame, keys: list[str], sketch: DataFrame, probs: list[flo
         for i, p in enumerate(probs)
     ])
     counted = (
-        lookup_join(base, sketch.select(*keys, brackets.alias("_b")), keys, "inner")
+        keyed_join(base, sketch.select(*keys, brackets.alias("_b")), keys, "inner")
         .select(*keys, "_v", F.explode("_b").alias("_b"))
         .where(F.col("_v") <= F.col("_b.hi"))
         .groupBy(*keys, F.col("_b.i").alias("_i"), F.col("_b.h").alias("_h"),
@@ -81,13 +81,17 @@ def _ranked(base: DataFrame, keys: list[str], sketch: DataFrame, probs: list[flo
 
 
 def describe(df: DataFrame, value: str) -> DataFrame:
-    """One row: count, mean, std (n-1), min, quartiles, max. Two passes."""
+    """One row: count, mean, std (n-1), min, quartiles, max.
+
+    Two passes. Without values the count is 0 and the rest null.
+    """
     probs, accuracy = [0.25, 0.5, 0.75], 10_000
     base = df.where(F.col(value).isNotNull()).select(F.lit(0).alias("_all"), F.col(value).cast("double").alias("_v"))
-    sketch = _sketch(base, ["_all"], probs, accuracy, F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
+    sketch = _sketch(base, [], probs, accuracy, F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("std"))
+    sketch = sketch.withColumn("_all", F.lit(0))
     held = df.sparkSession.createDataFrame(sketch.toArrow(), sketch.schema)  # one row
     quartiles = _ranked(base, ["_all"], held, probs, accuracy)
-    return held.join(quartiles, "_all").select(
+    return held.join(quartiles, "_all", "left").select(
         F.col("_n").alias("count"), "mean", "std", F.col("_min").alias("min"), F.col("q0").alias("p25"),
         F.col("q1").alias("p50"), F.col("q2").alias("p75"), F.col("_max").alias("max"),
     )
@@ -106,9 +110,7 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 def group_samples(df: DataFrame, group: str, identifier: str, n: int = 5, seed: int = 42) -> DataFrame:
     """``n`` seeded rows of each group, numbered by ``rank``."""
     keyed = df.withColumn("_key", seeded_key(F.col(identifier), seed))
-    return top_per_group(
-        keyed, [group], [F.col("_key"), F.col(identifier)], n, F.col(identifier)
-    ).drop("_key")
+    return top_per_group(keyed, [group], [F.col("_key"), F.col(identifier)], n).drop("_key")
 
 
 def stratified_split(df: DataFrame, stratum: str, identifier: str, seed: int = 42,
@@ -141,7 +143,7 @@ def stratified_split(df: DataFrame, stratum: str, identifier: str, seed: int = 4
     )
     inside = Window.partitionBy("_s", "_p").orderBy("_key")
     cut_keys = (
-        lookup_join(slim, cuts, ["_s", "_p"], "inner")
+        keyed_join(slim, cuts, ["_s", "_p"], "inner")
         .withColumn("_rank", F.row_number().over(inside))
         .withColumn("_cut", F.explode("_cuts"))
         .where(F.col("_cut._r") == F.col("_rank"))
@@ -150,7 +152,7 @@ def stratified_split(df: DataFrame, stratum: str, identifier: str, seed: int = 4
         ])
         .withColumnRenamed("_s", stratum)
     )
-    marked = lookup_join(keyed, cut_keys, [stratum], "left")
+    marked = keyed_join(keyed, cut_keys, [stratum], "left")
     split = F.when(F.col("_key") <= F.col("_cut0"), names[0])
     for i in range(1, len(shares)):
         split = split.when(F.col("_key") <= F.col(f"_cut{i}"), names[i])

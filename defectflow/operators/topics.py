@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from defectflow.functions.vectors import to_matrix
 from defectflow.operators.blocks import pair_blocks
-from defectflow.operators.lookups import bounded_table, skew_safe_join
+from defectflow.operators.lookups import bounded_table
 from defectflow.operators.sums import vector_means, vector_sums
 from defectflow.session import write_and_reread
 
@@ -124,7 +124,8 @@ def nearest_centroid_blocked(df: DataFrame, vector: str, centroids: DataFrame, b
 
     found = pair_blocks(left, right, best_of_block, "key string, cluster_id int, distance double", block_rows)
     best = found.groupBy("key").agg(F.min(F.struct("distance", "cluster_id")).alias("_b"))
-    table = points.join(best, points["_h"] == best["key"]).select(
-        F.col("_v").alias(vector), F.col("_b.cluster_id").alias("cluster_id"), F.col("_b.distance").alias("distance")
+    table = best.select(
+        F.col("key").alias("_h"), F.col("_b.cluster_id").alias("cluster_id"), F.col("_b.distance").alias("distance")
     )
-    return skew_safe_join(df, table, [vector])
+    hashed = df.withColumn("_h", F.when(F.col(vector).isNotNull(), F.sha2(F.to_json(F.struct(F.col(vector).alias("_v"))), 256)))
+    return hashed.join(table, "_h", "left").select(*df.columns, "cluster_id", "distance")

@@ -10,6 +10,7 @@ from defectflow.plans.catalog import PAIRS, labelled_findings, query, tag_sql, t
 from defectflow.plans.catalog.tables import ACTED, _list_sql, actions_sql, acted, split_sql
 
 KEY = ["conv_id", "turn"]
+_LETTERS = r"[\p{L}\p{M}\p{N}]+"
 # Steps whose omission is unsafe; used by the step score query.
 CRITICAL_STEPS = ["Isolate pump", "Isolate affected area", "Pressure test", "Verify power supply", "Test operation",
                   "Inspect equipment", "Assess condition"]
@@ -96,7 +97,7 @@ def rouge_stemmed(spark, sf_dir):
 def _meteor_sql() -> str:
     def side(column):
         return (f"SELECT conv_id, turn, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM "
-                f"(SELECT conv_id, turn, regexp_extract_all(lower({column}), '[a-z0-9]+') AS t FROM pairs)")
+                f"(SELECT conv_id, turn, regexp_extract_all(lower({column}), '{_LETTERS}') AS t FROM pairs)")
 
     numbered = "row_number() OVER (PARTITION BY conv_id, turn, w ORDER BY pos DESC) AS k"
     return f"""WITH {PAIRS},
@@ -107,7 +108,7 @@ c AS (SELECT conv_id, turn, CASE WHEN a = lag(a) OVER w + 1 AND b = lag(b) OVER
       FROM m WINDOW w AS (PARTITION BY conv_id, turn ORDER BY a)),
 g AS (SELECT conv_id, turn, count(*) AS matches, sum(fresh) AS chunks FROM c GROUP BY ALL),
 n AS (SELECT conv_id, turn, coalesce(matches, 0)::BIGINT AS matches, coalesce(chunks, 0)::BIGINT AS chunks,
-             len(regexp_extract_all(lower(prediction), '[a-z0-9]+')) AS pn, len(regexp_extract_all(lower(reference), '[a-z0-9]+')) AS rn
+             len(regexp_extract_all(lower(prediction), '{_LETTERS}')) AS pn, len(regexp_extract_all(lower(reference), '{_LETTERS}')) AS rn
       FROM pairs LEFT JOIN g USING (conv_id, turn))
 SELECT conv_id, turn, matches, chunks, round(CASE WHEN matches = 0 THEN 0 ELSE
   (matches / pn) * (matches / rn) / (0.9 * (matches / pn) + (1 - 0.9::DOUBLE) * (matches / rn)) * (1 - 0.5 * pow(chunks / matches, 3)) END, 6) AS score FROM n"""
@@ -128,7 +129,7 @@ def meteor_stemmed(spark, sf_dir):
 def _bertscore_sql() -> str:
     def side(column):
         return (f"SELECT conv_id, turn, w, count(*) AS c FROM (SELECT conv_id, turn, "
-                f"unnest(regexp_extract_all(lower({column}), '[a-z0-9]+')) AS w FROM pairs) GROUP BY ALL")
+                f"unnest(regexp_extract_all(lower({column}), '{_LETTERS}')) AS w FROM pairs) GROUP BY ALL")
 
     vector = f"list_transform(range(1, {TOKEN_DIMS + 1}), lambda i: (strpos('0123456789abcdef', md5(w)[i]) - 1)::DOUBLE - 7.5)"
     return f"""{PAIRS},

@@ -6,7 +6,6 @@ from defectflow.functions.rules import SERVING_TOPICS, RULE_TOPICS, topic_tag
 from defectflow.functions.text import words
 from defectflow.functions.vectors import cosine_similarity, euclidean_distance, l2_normalize
 from defectflow.operators import clustering as cl, models
-from defectflow.operators.lookups import lookup_join
 from defectflow.operators.stats import group_samples, stratified_split
 from defectflow.plans.catalog import (
     ASSIGNED, CENTROIDS, FINDINGS, LABELLED, assigned, centroids, embeddings, labelled_findings, micro_sql,
@@ -61,7 +60,7 @@ SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], centroid), 6) A
 FROM embeddings JOIN centroids ON label = cluster_id""")
 def cosine_pairs(spark, sf_dir):
     own = centroids(spark, sf_dir).select(F.col("cluster_id").alias("label"), "centroid")
-    rows = lookup_join(embeddings(spark, sf_dir), own, ["label"], "inner")
+    rows = embeddings(spark, sf_dir).join(own, "label")
     a, b = F.col("embedding").cast("array<double>"), F.col("centroid")
     return rows.select("vec_id", F.round(cosine_similarity(a, b), 6).alias("cosine"),
                        F.round(euclidean_distance(a, b), 6).alias("distance"))

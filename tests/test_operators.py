@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from defectflow.functions.vectors import cosine_similarity, euclidean_distance, hash_embedding, l2_normalize
 from defectflow.operators import clustering as cl, metrics, models, monitoring as mon, stats
-from defectflow.operators.lookups import lookup_join, skew_safe_join, top_per_group
+from defectflow.operators.lookups import keyed_join, top_per_group
 from defectflow.operators.providers import embed_text, embed_token_table, generate_text
 from defectflow.operators.topics import Centroids, cluster_centroids, nearest_centroid, nearest_centroid_blocked
 
@@ -71,21 +71,59 @@ def test_centroids_with_copies(spark):
 
 # joins and rankings --------------------------------------------------------
 
-def test_skew_safe_join_keeps_every_row(spark):
+def test_keyed_join_keeps_every_row(spark):
     rows = [(i, "hot" if i % 3 == 0 else f"k{i % 5000}") for i in range(9000)] + [(9001, None)]
     df = spark.createDataFrame(rows, "id long, k string")
-    table = spark.createDataFrame([("hot", 1)] + [(f"k{i}", i) for i in range(0, 5000, 2)], "k string, x int")
-    expected = sorted((r.id, r.x) for r in df.join(table, "k", "left").collect())
-    assert sorted((r.id, r.x) for r in skew_safe_join(df, table, ["k"]).collect()) == expected
-    assert sorted((r.id, r.x) for r in lookup_join(df, table, ["k"], max_rows=10).collect()) == expected
-    assert sorted((r.id, r.x) for r in lookup_join(df, table, ["k"]).collect()) == expected
-    inner = sorted((r.id, r.x) for r in df.join(table, "k").collect())
-    assert sorted((r.id, r.x) for r in skew_safe_join(df, table, ["k"], "inner").collect()) == inner
+    table = spark.createDataFrame([("hot", 1), (None, -1)] + [(f"k{i}", i) for i in range(0, 5000, 2)], "k string, x int")
+    held = {r.k: r.x for r in table.collect()}
+    got = keyed_join(df, table, ["k"])
+    assert got.columns == ["id", "k", "x"]
+    assert {r.id: r.x for r in got.collect()} == {i: held.get(k) for i, k in rows}
+    inner = keyed_join(df, table, ["k"], "inner")
+    assert {r.id: r.x for r in inner.collect()} == {i: held[k] for i, k in rows if k in held}
+
+
+def test_null_groups_are_groups(spark):
+    df = spark.createDataFrame([(i, None if i < 500 else "a") for i in range(1000)], "id long, s string")
+    split = stats.stratified_split(df, "s", "id").groupBy("s", "split").count().collect()
+    assert {(r.s, r.split): r["count"] for r in split} == {
+        (s, name): n for s in (None, "a") for name, n in (("train", 350), ("val", 75), ("test", 75))}
+    values = df.withColumn("x", F.col("id").cast("double"))
+    medians = {r.s: r.q0 for r in stats.exact_quantiles(values, ["s"], "x", [0.5]).collect()}
+    assert medians == {None: 249.5, "a": 749.5}
+
+
+def test_describe_without_values(spark):
+    empty = spark.createDataFrame([(None,)], "x double")
+    for df in (empty, empty.limit(0)):
+        rows = stats.describe(df, "x").collect()
+        assert len(rows) == 1 and rows[0]["count"] == 0 and rows[0]["mean"] is None and rows[0]["p50"] is None
+
+
+def test_steps_with_amounts_and_long_numbers(spark):
+    texts = ["Actions: 1. a 99999999999. b", "1. Torque to 5. Nm 2. Check", "[STEPS:2] Actions: 1. x 2. y", "99999999999. z", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", parse_steps(F.col("t")).alias("p"))
+    got = {r.i: ([(s.step, s.action) for s in r.p.steps], r.p.consistent) for r in df.collect()}
+    assert got == {
+        0: ([(1, "a 99999999999. b")], False), 1: ([(1, "Torque to 5. Nm"), (2, "Check")], False),
+        2: ([(1, "x"), (2, "y")], True), 3: ([], False), 4: ([], False)}
+
+
+def test_alignment_scores_in_any_script(spark):
+    from defectflow.operators.metrics import bertscore, meteor
+
+    same, other = "утечка масла у насоса café", "caf cr me"
+    pairs = spark.createDataFrame([(0, same, same), (1, "café crème", other), (2, "", "a")], "i int, p string, r string")
+    assert {r.i: round(r.f1, 6) for r in bertscore(pairs, ["i"], "p", "r").collect()}[0] == 1.0
+    scores = {r.i: r for r in meteor(pairs, ["i"], "p", "r", stemmer=False).collect()}
+    assert scores[0].matches == 5 and scores[1].matches == 0 and scores[2].score == 0
+    lengths = bertscore(pairs, ["i"], "p", "r", factory=lambda: lambda tokens: [[1.0, len(t)] for t in tokens])
+    assert {r.i: round(r.f1, 6) for r in lengths.collect()}[0] == 1.0
 
 
 def test_top_per_group(spark):
     df = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id") % 7).alias("g"))
-    out = top_per_group(df, ["g"], [F.desc("id")], 4, F.col("id")).collect()
+    out = top_per_group(df, ["g"], [F.desc("id")], 4).collect()
     values = {}
     for r in df.collect():
         values.setdefault(r.g, []).append(r.id)
