@@ -9,12 +9,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
+from defectflow.llm.common import key_filter, maybe_among
 from defectflow.llm.links import components
 from defectflow.session import write_and_reread
 
 WIDTH = 5
 _SLOTS = 1 << 18  # of the frequency sketch
 _SIGN_BITS = 1024
+#: An entry of a list holds the place of its shingle in the order in its low bits; the rest names the list.
+_PLACE_BITS = 20
+_PLACE_MASK = (1 << _PLACE_BITS) - 1
+_FILTER_BITS = 1 << 26
 _MULTIPLIERS = [np.uint64(m) for m in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
 )]
@@ -24,20 +29,25 @@ _STEP = 1024
 _NEAREST = 3
 
 
-class _Codes(dict):
+class WordCodes(dict):
+    """Eight bytes for every word; a bounded number of them are remembered."""
+
     def __missing__(self, word):
         if len(self) > 500_000:
             self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
+        self[word] = code = xxhash.xxh3_64_digest(word)
         return code
 
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), "u8")
+
 
-def shingles(text: str | None, codes: dict) -> np.ndarray:
+def shingles(text: str | None, codes: WordCodes) -> np.ndarray:
     """The sorted distinct 64-bit codes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()  # ASCII letters and white space only
     if not words:
         return np.zeros(0, "uint64")
-    found = np.array(list(map(codes.__getitem__, words)), "uint64")
+    found = codes.of(words)
     width = min(WIDTH, len(found))
     mixed = np.full(len(found) - width + 1, width, "uint64")
     for i in range(width):
@@ -45,7 +55,8 @@ def shingles(text: str | None, codes: dict) -> np.ndarray:
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0x94D049BB133111EB)
     mixed ^= mixed >> np.uint64(29)
-    return np.unique(mixed)
+    mixed.sort()
+    return mixed[np.concatenate(([True], mixed[1:] != mixed[:-1]))]
 
 
 def _needed(n, m):
@@ -91,26 +102,20 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     same = signed.where("n > 0 and id is not null").groupBy("n", "key_a", "key_b").agg(F.min("id").alias("set_id"))
     same = write_and_reread(same, "join-sets")
     sets = signed.join(same.select(F.col("set_id").alias("id"), "n", "key_a", "key_b"), ["id", "n", "key_a", "key_b"])
-    lists = sets.select("id", "n", F.posexplode("prefix").alias("place", "token"))
-    lists = lists.repartition("token").sortWithinPartitions("token", "n", "id")
-    shared = write_and_reread(
-        lists.mapInArrow(_leaders, "token bigint, id bigint, n bigint, place int, leader bigint"), "join-lists"
-    )
+    lists = sets.select("id", F.explode("prefix").alias("entry"))
+    lists = lists.repartition(F.shiftright("entry", _PLACE_BITS)).sortWithinPartitions("entry", "id")
+    shared = write_and_reread(lists.mapInArrow(_leaders, "token bigint, id bigint, place int, leader bigint"), "join-lists")
     near = shared.where("leader <> id").groupBy("id", "leader").count()
     by_count = Window.partitionBy("id").orderBy(F.col("count").desc(), "leader")
     near = near.withColumn("_k", F.row_number().over(by_count)).where(f"_k <= {_NEAREST}")
     near = write_and_reread(near.select(F.col("id").alias("a"), F.col("leader").alias("b")), "join-nearest")
 
-    members = write_and_reread(shared.select("id").distinct(), "join-members")
-    codes = write_and_reread(
-        rows.join(members, "id", "left_semi").mapInArrow(_code_sets, "id bigint, codes binary"), "join-codes"
-    )
-    signs = sets.select("id", "n", "sign").join(members, "id", "left_semi").dropDuplicates(["id"])
-    signs = write_and_reread(signs, "join-signs")
-    links = _verify(near, signs, codes)
+    signs = write_and_reread(sets.select("id", "n", "sign").dropDuplicates(["id"]), "join-signs")
+    links = _verify(near, signs, rows)
     found = write_and_reread(components(links), "join-components")
 
-    placed = shared.select("token", "id", "n", "place").join(found.withColumnRenamed("node", "id"), "id", "left")
+    state = signs.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = shared.select("token", "id", "place").join(state, "id")
     placed = placed.select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("component"))
     placed = write_and_reread(placed, "join-placed")
     mixed = placed.groupBy("token").agg(
@@ -118,7 +123,7 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ).where("_low <> _high")
     mixed = write_and_reread(mixed.select("token", F.ceil(F.col("_size") / _BLOCK).alias("_blocks")), "join-mixed")
     rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, "a bigint, b bigint").distinct()
-    links = links.unionByName(_verify(write_and_reread(rest, "join-pairs"), signs, codes))
+    links = links.unionByName(_verify(write_and_reread(rest, "join-pairs"), signs, rows))
     classes = components(write_and_reread(links, "join-links")).withColumnRenamed("node", "set_id")
     known = write_and_reread(same.join(classes, "set_id", "left").select(
         "n", "key_a", "key_b", "set_id", F.coalesce("component_id", "set_id").alias("component_id")
@@ -144,7 +149,7 @@ def _weights(rows: DataFrame) -> np.ndarray:
     """For each slot of the sketch 0, or the bit length of its count if that is well above the mean."""
 
     def count(batches):
-        codes, held = _Codes(), np.zeros(_SLOTS, "int64")
+        codes, held = WordCodes(), np.zeros(_SLOTS, "int64")
         for batch in batches:
             for text in batch.column(0):
                 slots = (shingles(text.as_py(), codes) >> np.uint64(46)).astype("int64")
@@ -164,7 +169,7 @@ def _weights(rows: DataFrame) -> np.ndarray:
 
 
 def _signatures(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
+    codes = WordCodes()
     for batch in batches:
         n, keys, signs, prefixes = [], [], [], []
         for text in batch.column("text"):
@@ -176,7 +181,9 @@ def _signatures(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Itera
             signs.append(np.packbits(odd.astype("uint8")))
             rank = weights[(found >> np.uint64(46)).astype("int64")]
             order = np.argsort(rank, kind="stable") if rank.any() else np.arange(size)
-            prefixes.append(found[order[: size - -(-3 * size // 4) + 1]] if size else found)
+            first = found[order[: size - -(-3 * size // 4) + 1]] if size else found
+            places = np.minimum(np.arange(len(first), dtype="uint64"), np.uint64(_PLACE_MASK))
+            prefixes.append(first & ~np.uint64(_PLACE_MASK) | places)
         keys = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
         sign = pa.array(np.concatenate(signs).view("<i8")) if signs else pa.array([], pa.int64())
         words = _SIGN_BITS // 64
@@ -191,7 +198,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Itera
 
 
 def _code_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
+    codes = WordCodes()
     for batch in batches:
         found = [shingles(t.as_py(), codes).tobytes() for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "codes"])
@@ -221,22 +228,25 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lists with two sets or more; leader: the first of the list that is large enough to link."""
-    for piece in _pieces(batches):
-        token, n = piece["token"], piece["n"]
+    """Rows of lists with two sets or more; leader: the first of the list, or of its piece."""
+    def by_list():
+        for batch in batches:
+            entry = batch.column("entry").to_numpy()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(entry >> _PLACE_BITS), batch.column("id"), pa.array((entry & _PLACE_MASK).astype("int32"))],
+                ["token", "id", "place"],
+            )
+
+    for piece in _pieces(by_list()):
+        token = piece["token"]
         change = np.concatenate(([True], token[1:] != token[:-1], [True]))
-        lone = change[:-1] & change[1:]
-        if lone.all():
+        keep = ~(change[:-1] & change[1:])
+        if not keep.any():
             continue
-        keep = ~lone
-        token, n, ids, place = token[keep], n[keep], piece["id"][keep], piece["place"][keep]
-        group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-        width = int(n.max()) + 2
-        leader = ids[np.searchsorted(group * width + n, group * width - (-3 * n // 4))]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(x) for x in (token, ids, n, place.astype("int32"), leader)],
-            ["token", "id", "n", "place", "leader"],
-        )
+        token, ids, place = token[keep], piece["id"][keep], piece["place"][keep]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        leader = np.repeat(ids[starts], np.diff(np.append(starts, len(ids))))
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids, place, leader)], ["token", "id", "place", "leader"])
 
 
 def _block_pairs(lists: DataFrame) -> DataFrame:
@@ -283,8 +293,12 @@ def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarr
     return np.stack((rows["id"][left][i], rows["id"][right][j]))
 
 
-def _verify(pairs: DataFrame, signs: DataFrame, codes: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link: first by the parity signs, then by probing one set with the other."""
+def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that link: first by the parity signs, then by probing one set with the other.
+
+    Texts are read again for the sets of likely pairs alone; a bit map of their
+    ids leaves the others where they are.
+    """
     for side in ("a", "b"):
         pairs = pairs.join(signs.select(
             F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sign").alias(f"sign_{side}")
@@ -296,6 +310,11 @@ def _verify(pairs: DataFrame, signs: DataFrame, codes: DataFrame) -> DataFrame:
     total = F.col("n_a") + F.col("n_b")
     likely = pairs.where((differ * 7 <= total) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")))
     likely = write_and_reread(likely.select("a", "b"), "join-likely")
+    wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    wanted = write_and_reread(wanted, "join-wanted")
+    texts = maybe_among(rows, ["id"], key_filter(wanted, _FILTER_BITS), _FILTER_BITS, "_maybe").where("_maybe")
+    texts = texts.drop("_maybe").join(wanted.hint("merge"), "id", "left_semi")
+    codes = write_and_reread(texts.mapInArrow(_code_sets, "id bigint, codes binary"), "join-codes")
     for side in ("a", "b"):
         likely = likely.join(codes.select(F.col("id").alias(side), F.col("codes").alias(f"codes_{side}")), side)
 
@@ -308,10 +327,8 @@ def _verify(pairs: DataFrame, signs: DataFrame, codes: DataFrame) -> DataFrame:
                     a, b = b, a
                 common = int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)) if len(a) else 0
                 good.append(common > 0 and common >= _needed(len(a), len(b)))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("a").filter(pa.array(good, pa.bool_())), batch.column("b").filter(pa.array(good, pa.bool_()))],
-                ["a", "b"],
-            )
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     found = likely.select("a", "b", "codes_a", "codes_b").mapInArrow(probe, "a bigint, b bigint")
     return write_and_reread(found, "join-verified")

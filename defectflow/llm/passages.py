@@ -6,23 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from defectflow.llm.ngram_join import WordCodes
 from defectflow.session import write_and_reread
 
 _GRAM = 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-class _Codes(dict):
-    def __missing__(self, word):
-        if len(self) > 500_000:
-            self.clear()
-        self[word] = code = xxhash.xxh3_64_intdigest(word)
-        return code
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x94D049BB133111EB)
     return x ^ (x >> np.uint64(29))
@@ -31,10 +23,10 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class WordHashes:
     """Hashes of any run of words of one text, from one array of prefix sums."""
 
-    def __init__(self, text: str, codes: dict):
+    def __init__(self, text: str, codes: WordCodes):
         self.words = text.encode("utf-8", "surrogatepass").split()  # ASCII white space only
         n = len(self.words)
-        values = np.array(list(map(codes.__getitem__, self.words)), "uint64")
+        values = codes.of(self.words)
         with np.errstate(over="ignore"):
             powers = np.full(n + 1, _STEP)
             powers[:1] = 1
@@ -204,7 +196,7 @@ def _merge(starts: list[int], width: int) -> list[dict[str, int]]:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
+    codes = WordCodes()
     for batch in batches:
         held = []
         for key, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True):
@@ -220,7 +212,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Rec
 
 
 def _windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    codes = _Codes()
+    codes = WordCodes()
     for batch in batches:
         for text, asked in zip(batch.column("text"), batch.column("asked"), strict=True):
             hashes = WordHashes(text.as_py() or "", codes)
