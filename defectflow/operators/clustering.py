@@ -1,11 +1,11 @@
-"""Topic discovery: hierarchical clustering over bounded micro-clusters.
-
-Rows are condensed on the executors to a bounded number of summaries ``(size,
-mean)``: the distinct vectors where there are at most ``max_exact``, else
-``max_micro`` k-means cells. Only the summaries are merged on the driver.
-Ward's merge cost depends on sizes and means alone, so the tree is the exact
-Ward tree of the summaries, and of the rows when the summaries are their
-distinct vectors.
+"""Topic discovery: hierarchical clustering by a method that the caller names.
+
+``exact`` builds Ward's tree of the distinct vectors: in every round the
+executors find each cluster's nearest partner, and pairs that are nearest to each
+other are merged, which gives the same tree as one merge at a time. The work is
+quadratic in the distinct vectors. ``micro`` condenses the rows to a stated number
+of k-means cells and builds the tree of the cells, with any linkage; its work is
+linear. The number of rows never picks the method.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from defectflow.functions.vectors import scatter, to_matrix
 from defectflow.operators.blocks import pair_blocks
@@ -28,7 +28,7 @@ from defectflow.operators.topics import Centroids, nearest_rows
 from defectflow.session import write_and_reread
 
 LINKAGES = ("ward", "average", "complete")
-MAX_EXACT = 2_048
+METHODS = ("exact", "micro")
 
 
 def _merge_tree(means: np.ndarray, sizes: np.ndarray, linkage: str) -> list[tuple[int, int, float, int]]:
@@ -74,13 +74,12 @@ def _merge_tree(means: np.ndarray, sizes: np.ndarray, linkage: str) -> list[tupl
 
 @dataclass
 class TopicTree:
-    """Micro-clusters, how often and where they occur, and their merge history."""
+    """The cells of the method ``micro``, how often and where they occur, and their merge history."""
 
     micro: Centroids
     sizes: np.ndarray
     first_ids: np.ndarray
     history: list[tuple[int, int, float, int]]
-    exact: bool
 
     def cut(self, k: int) -> np.ndarray:
         """Label of every micro-cluster at ``k`` clusters, numbered by smallest member id."""
@@ -113,9 +112,9 @@ class TopicTree:
 
         return label(vector)
 
-    def labels(self, vector: Column, k: int) -> Column:
-        """Cluster of a vector when the tree is cut at ``k``."""
-        return self.label_sets(vector, [k])[0]
+    def label(self, df: DataFrame, vector: str, ks: list[int], output: str) -> DataFrame:
+        """Add the clusters of a vector column at every ``k``, as an array. A narrow map."""
+        return df.withColumn(output, self.label_sets(F.col(vector), ks))
 
     def merge_table(self, spark) -> DataFrame:
         """``(step, left, right, distance, size)``, one row per merge."""
@@ -123,66 +122,206 @@ class TopicTree:
         return spark.createDataFrame(rows, "step int, left int, right int, distance double, size long")
 
 
-def _summaries(df: DataFrame, identifier: str, vector: str, max_micro: int, max_exact: int, seed: int,
-               weight: str | None):
-    """Micro-clusters as ``(model, sizes, first ids, exact)``."""
+def _usable(df: DataFrame, identifier: str, vector: str, weight: str | None) -> DataFrame:
     mass = F.col(weight).cast("double") if weight else F.lit(1.0)
-    usable = df.where(F.col(vector).isNotNull()).select(
+    return df.where(F.col(vector).isNotNull()).select(
         F.col(identifier).alias("id"), F.col(vector).cast("array<double>").alias("v"), mass.alias("w")
     )
-    # A mergeable sketch first: exact distinct vectors are shuffled only if few.
-    guess = usable.agg(F.approx_count_distinct(F.xxhash64("v"))).first()[0]
-    distinct = bounded_table(usable.select("v").distinct(), max_exact) if guess <= 1.2 * max_exact else None
-    if distinct is not None:
-        centers, _ = to_matrix(distinct.column("v").combine_chunks())
+
+
+def _cells(usable: DataFrame, cells: int, seed: int, max_iter: int, tol: float):
+    """The k-means cells as ``(model, sizes, first ids)``.
+
+    With no more distinct vectors than cells, each is a cell, as k-means would
+    have it.
+    """
+    distinct = usable.groupBy(_vector_hash(F.col("v")).alias("h")).agg(F.first("v").alias("v"))
+    few = bounded_table(distinct.select("v"), cells)
+    if few is not None:
+        centers, _ = to_matrix(few.column("v").combine_chunks())
         centers = centers[np.lexsort(centers.T[::-1])]
     else:
         # The assembler stores mostly-zero vectors sparsely, also in the cache.
         dense = usable.select("w", array_to_vector("v").alias("dense"))
         features = VectorAssembler(inputCols=["dense"], outputCol="features").transform(dense)
-        fitted = KMeans(k=max_micro, seed=seed, maxIter=5, initSteps=2, weightCol="w").fit(features)
+        fitted = KMeans(k=cells, seed=seed, maxIter=max_iter, tol=tol, weightCol="w").fit(features)
         centers = np.array(fitted.clusterCenters())
     start = Centroids(np.arange(len(centers), dtype="int32"), centers)
     sums = vector_sums(usable, [start.nearest(F.col("v"))["cluster_id"]], F.col("v"), F.col("w"), F.col("id"))
     found = sums.select("key", F.col("n").alias("size"), F.col("first").alias("first_id"),
                         vector_means().alias("mean")).toArrow().sort_by("key").combine_chunks()
     means, _ = to_matrix(found.column("mean").combine_chunks())
-    if distinct is not None:
-        means = centers
     model = Centroids(np.arange(len(means), dtype="int32"), means)
-    return model, found.column("size").to_numpy(), found.column("first_id").to_numpy(), distinct is not None
+    return model, found.column("size").to_numpy(), found.column("first_id").to_numpy()
+
+
+def topic_tree(df: DataFrame, identifier: str, vector: str, method: str, cells: int | None = None,
+               linkage: str = "ward", seed: int = 42, weight: str | None = None, max_iter: int = 100,
+               tol: float = 1e-6, last: int = 256):
+    """Build the merge tree of a table of vectors; ``weight`` counts copies of a row.
+
+    ``method`` is ``"exact"`` or ``"micro"``; the latter needs ``cells``, the number
+    of k-means cells that stand for the rows and are merged by the driver.
+    ``exact`` knows Ward's linkage only; its ``last`` clusters are merged by the
+    driver, which shortens the rounds of few clusters and changes no result.
+    """
+    if method == "micro":
+        return topic_trees(df, identifier, vector, cells, (linkage,), seed, weight, max_iter, tol)[linkage]
+    if method != "exact":
+        raise ValueError(f"method must be one of {METHODS}")
+    if linkage != "ward" or cells is not None:
+        raise ValueError("the exact method has Ward's linkage and no cells")
+    return WardTree.build(_usable(df, identifier, vector, weight), last)
+
+
+def topic_trees(df: DataFrame, identifier: str, vector: str, cells: int, linkages=LINKAGES, seed: int = 42,
+                weight: str | None = None, max_iter: int = 100, tol: float = 1e-6) -> dict[str, TopicTree]:
+    """Trees of several linkages over one set of ``cells`` k-means cells.
+
+    Average and complete linkage see each cell as its mean.
+    """
+    if not cells or cells < 2:
+        raise ValueError("the micro method needs the number of cells")
+    model, sizes, first_ids = _cells(_usable(df, identifier, vector, weight), cells, seed, max_iter, tol)
+    return {name: TopicTree(model, sizes, first_ids, _merge_tree(model.matrix, sizes, name)) for name in linkages}
+
+
+def _vector_hash(vector: Column) -> Column:
+    return F.when(vector.isNotNull(), F.sha2(F.to_json(F.struct(vector.cast("array<double>").alias("v"))), 256))
 
 
-def topic_tree(df: DataFrame, identifier: str, vector: str, linkage: str = "ward", max_micro: int = 512,
-               seed: int = 42, weight: str | None = None, max_exact: int = MAX_EXACT) -> TopicTree:
-    """Build the merge tree of a table of vectors; ``weight`` counts copies of a row."""
-    return topic_trees(df, identifier, vector, (linkage,), max_micro, seed, weight, max_exact)[linkage]
+def _nearest_of_block(keys, x, sizes, other, y, other_sizes):
+    """Each left cluster's nearest right cluster by Ward's cost; of equals the one with the lowest number."""
+    order = np.argsort(other)
+    other, y, mass = other[order], y[order], other_sizes[order].astype(float)
+    height, partner = np.empty(len(keys)), np.empty(len(keys), dtype="int64")
+    for i, row in enumerate(x):
+        own = float(sizes[i])
+        gap = np.sqrt(((y - row) ** 2).sum(axis=1)) * np.sqrt(2.0 * own * mass / (own + mass))
+        gap[other == keys[i]] = np.inf
+        best = int(gap.argmin())
+        height[i], partner[i] = gap[best], other[best]
+    return {"c": keys, "height": height, "low": np.minimum(keys, partner), "high": np.maximum(keys, partner)}
 
 
-def topic_trees(df: DataFrame, identifier: str, vector: str, linkages=LINKAGES, max_micro: int = 512,
-                seed: int = 42, weight: str | None = None, max_exact: int = MAX_EXACT) -> dict[str, TopicTree]:
-    """Trees of several linkages over one set of micro-clusters.
+@dataclass
+class WardTree:
+    """Ward's tree of distinct vectors as tables.
 
-    Average and complete linkage see each micro-cluster as its mean, so they
-    are exact only where the micro-clusters are the distinct vectors.
+    ``leaves`` has ``hash, c``: every distinct vector and its number, in the order
+    of first ids; a cluster goes by the lowest number in it. ``merges`` has
+    ``step, low, high, height, size``, ordered by height.
     """
-    model, sizes, first_ids, exact = _summaries(df, identifier, vector, max_micro, max_exact, seed, weight)
-    return {
-        name: TopicTree(model, sizes, first_ids, _merge_tree(model.matrix, sizes, name), exact) for name in linkages
-    }
 
+    leaves: DataFrame
+    merges: DataFrame
+    n: int
 
-def ward_cluster(df: DataFrame, identifier: str, vector: str, k: int = 7, max_micro: int = 512,
-                 seed: int = 42) -> DataFrame:
+    @classmethod
+    def build(cls, usable: DataFrame, last: int) -> "WardTree":
+        spark = usable.sparkSession
+        distinct = usable.groupBy(_vector_hash(F.col("v")).alias("hash")).agg(
+            F.first("v").alias("mean"), F.sum("w").alias("size"), F.min("id").alias("first")
+        )
+        numbered = distinct.withColumn("c", F.row_number().over(Window.orderBy("first", "hash")).cast("long") - 1)
+        leaves = write_and_reread(numbered.select("hash", "c", "mean", "size"), "ward-leaves")
+        clusters, left = leaves.select("c", "mean", "size"), leaves.count()
+        n, rounds = left, []
+        while left > max(last, 1):
+            keyed = clusters.select(F.col("c").alias("key"), F.col("mean").alias("vector"), F.col("size").alias("tag"))
+            found = pair_blocks(keyed, keyed, _nearest_of_block, "c long, height double, low long, high long")
+            best = found.groupBy("c").agg(F.min(F.struct("height", "low", "high")).alias("e")).select("e.*")
+            mutual = best.groupBy("low", "high").agg(F.first("height").alias("height"), F.count("*").alias("k")).where("k = 2")
+            a = clusters.select(F.col("c").alias("low"), F.col("mean").alias("x"), F.col("size").alias("s"))
+            b = clusters.select(F.col("c").alias("high"), F.col("mean").alias("y"), F.col("size").alias("t"))
+            merged = write_and_reread(mutual.drop("k").join(a, "low").join(b, "high"), "ward-round")
+            rounds.append(merged.select(
+                F.lit(len(rounds)).alias("round"), "low", "high", "height", (F.col("s") + F.col("t")).alias("size")
+            ))
+            gone = merged.select(F.explode(F.array("low", "high")).alias("c"))
+            mean = F.zip_with("x", "y", lambda p, q: (p * F.col("s") + q * F.col("t")) / (F.col("s") + F.col("t")))
+            clusters = write_and_reread(clusters.join(gone, "c", "left_anti").unionByName(merged.select(
+                F.col("low").alias("c"), mean.alias("mean"), (F.col("s") + F.col("t")).alias("size")
+            )), "ward-clusters")
+            left = clusters.count()
+        table = clusters.toArrow().sort_by("c").combine_chunks()  # at most ``last`` rows
+        schema = "round int, low long, high long, height double, size double"
+        rest = []
+        if table.num_rows > 1:
+            names = table["c"].to_pylist()
+            means, _ = to_matrix(table["mean"].combine_chunks())
+            for x, y, height, _ in _merge_tree(means, table["size"].to_numpy(), "ward"):
+                low, high = sorted((names[x], names[y]))
+                names.append(low)
+                rest.append((len(rounds) + len(rest), low, high, height, 0.0))
+            sizes = dict(zip(table["c"].to_pylist(), table["size"].to_pylist()))
+            for i, (r, low, high, height, _) in enumerate(rest):
+                sizes[low] += sizes[high]
+                rest[i] = (r, low, high, height, sizes[low])
+        history = spark.createDataFrame(rest, schema)
+        for one in rounds:
+            history = history.unionByName(one)
+        step = F.row_number().over(Window.orderBy("height", "round", "low")).cast("int") - 1
+        merges = write_and_reread(history.withColumn("step", step), "ward-merges")
+        return cls(leaves.select("hash", "c"), merges, n)
+
+    def merge_table(self, spark=None) -> DataFrame:
+        """``(step, left, right, distance, size)``, one row per merge; step ``t`` makes cluster ``n + t``."""
+        before = Window.partitionBy("low").orderBy("step")
+        left = self.merges.withColumn("left", F.coalesce(self.n + F.lag("step").over(before), F.col("low")))
+        made = self.merges.groupBy(F.col("low").alias("high")).agg(F.max("step").alias("_made"))
+        return left.join(made, "high", "left").select(
+            "step", F.col("left").cast("int").alias("left"),
+            F.coalesce(self.n + F.col("_made"), F.col("high")).cast("int").alias("right"),
+            F.col("height").alias("distance"), F.col("size").cast("long").alias("size"),
+        )
+
+    def label(self, df: DataFrame, vector: str, ks: list[int], output: str) -> DataFrame:
+        """Add the clusters of a vector column at every ``k``, as an array, numbered by smallest member.
+
+        The leaves are led to the clusters of the largest ``k`` by pointer jumping;
+        coarser cuts follow from the last merges, fewer than that ``k``.
+        """
+        most = min(max(ks), self.n)
+        jumps = self.merges.where(F.col("step") < self.n - most).select(F.col("high").alias("c"), F.col("low").alias("root"))
+        jumps = write_and_reread(jumps, "ward-jumps")
+        while True:
+            onward = jumps.select(F.col("c").alias("root"), F.col("root").alias("next"))
+            moved = write_and_reread(
+                jumps.join(onward, "root", "left").select("c", F.coalesce("next", "root").alias("root"),
+                                                          F.col("next").isNotNull().alias("moved")), "ward-jumps")
+            jumps = moved.select("c", "root")
+            if not moved.where("moved").limit(1).count():
+                break
+        top = self.merges.where(F.col("step") >= self.n - most).orderBy("step").select("low", "high").collect()
+        held = self.leaves.select("c").join(jumps.select("c"), "c", "left_anti")
+        roots = sorted(r.c for r in held.collect())  # at most the largest k
+        table = {r: [] for r in roots}
+        for k in ks:
+            parent = dict(zip(roots, roots))
+            for merge in top[: max(most - k, 0)]:
+                parent = {r: merge.low if p == merge.high else p for r, p in parent.items()}
+            number = {p: i for i, p in enumerate(sorted(set(parent.values())))}
+            for r in roots:
+                table[r].append(number[parent[r]])
+        labels = df.sparkSession.createDataFrame(list(table.items()), "root long, labels array<int>")
+        led = self.leaves.join(jumps, "c", "left").select("hash", F.coalesce("root", "c").alias("root"))
+        led = write_and_reread(led.join(labels, "root").select(F.col("hash").alias("_hash"), F.col("labels").alias(output)),
+                               "ward-labels")
+        return df.withColumn("_hash", _vector_hash(F.col(vector))).join(led, "_hash", "left").drop("_hash")
+
+
+def ward_cluster(df: DataFrame, identifier: str, vector: str, k: int = 7, method: str = "exact",
+                 cells: int | None = None, seed: int = 42) -> DataFrame:
     """Add ``cluster``: Ward clustering into ``k`` groups."""
-    tree = topic_tree(df, identifier, vector, "ward", max_micro, seed)
-    return df.withColumn("cluster", tree.labels(F.col(vector), k))
+    tree = topic_tree(df, identifier, vector, method, cells, seed=seed)
+    return tree.label(df, vector, [k], "cluster").withColumn("cluster", F.col("cluster")[0])
 
 
-def linkage_compare(df: DataFrame, identifier: str, vector: str, k: int = 7, max_micro: int = 512) -> DataFrame:
-    """Cluster sizes under each linkage: ``(linkage, cluster, size)``."""
+def linkage_compare(df: DataFrame, identifier: str, vector: str, cells: int, k: int = 7) -> DataFrame:
+    """Cluster sizes under each linkage of k-means cells: ``(linkage, cluster, size)``."""
     rows = []
-    for name, tree in topic_trees(df, identifier, vector, LINKAGES, max_micro).items():
+    for name, tree in topic_trees(df, identifier, vector, cells).items():
         sizes = np.bincount(tree.cut(k), weights=tree.sizes)
         rows += [(name, i, int(n)) for i, n in enumerate(sizes)]
     return df.sparkSession.createDataFrame(rows, "linkage string, cluster int, size long")
@@ -193,10 +332,10 @@ def last_merges(merges: DataFrame, n: int = 30) -> DataFrame:
     return merges.orderBy(F.desc("step")).limit(n)
 
 
-def topic_drilldown(df: DataFrame, tree: TopicTree, vector: str, parents: int = 7, children: int = 15) -> DataFrame:
+def topic_drilldown(df: DataFrame, tree, vector: str, parents: int = 7, children: int = 15) -> DataFrame:
     """Rows per (parent topic, child topic) of one tree cut twice."""
     return (
-        df.select(tree.label_sets(F.col(vector), [parents, children]).alias("_l"))
+        tree.label(df.select(vector), vector, [parents, children], "_l")
         .select(F.col("_l")[0].alias("parent"), F.col("_l")[1].alias("child"))
         .groupBy("parent", "child").agg(F.count(F.lit(1)).alias("size"))
     )
@@ -259,6 +398,14 @@ def _score(own: np.ndarray, label: np.ndarray, counts: np.ndarray) -> np.ndarray
     return np.where((counts[label] == 1) | ~np.isfinite(outside), 0.0, score)
 
 
+def _labelled(df: DataFrame, vector: str, clusters: list[str]) -> DataFrame:
+    """Rows with a vector and all labels; ``rows`` of a silhouette counts these only."""
+    good = F.col(vector).isNotNull()
+    for c in clusters:
+        good = good & F.col(c).isNotNull()
+    return df.where(good)
+
+
 def silhouette_squared(df: DataFrame, vector: str, clusters: list[str]) -> DataFrame:
     """Mean silhouette under squared Euclidean distance, for several labelings.
 
@@ -267,7 +414,7 @@ def silhouette_squared(df: DataFrame, vector: str, clusters: list[str]) -> DataF
     of ``clusters``, whatever the number of labelings, in one pass for the
     sums and one for the scores.
     """
-    tagged = df.where(F.col(vector).isNotNull()).select(
+    tagged = _labelled(df, vector, clusters).select(
         F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("l")
     )
     sums = vector_sums(tagged, [F.col("l")[i] for i in range(len(clusters))], F.col("v"))
@@ -310,7 +457,7 @@ def silhouette_exact(df: DataFrame, vector: str, clusters: list[str], block_rows
     """
     labels = [F.col(c).cast("int") for c in clusters]
     points = (
-        df.where(F.col(vector).isNotNull())
+        _labelled(df, vector, clusters)
         .select(F.col(vector).cast("array<double>").alias("v"), F.array(*labels).alias("l"))
         .groupBy("v", "l").agg(F.count(F.lit(1)).alias("w"))
     )
@@ -372,12 +519,15 @@ def silhouette_exact(df: DataFrame, vector: str, clusters: list[str], block_rows
     )
 
 
-def k_sweep(df: DataFrame, identifier: str, vector: str, k_min: int = 5, k_max: int = 19, metric: str = "euclidean",
-            max_micro: int = 512) -> DataFrame:
-    """``(k, silhouette)`` for every K, from one tree cut at each K."""
-    tree = topic_tree(df, identifier, vector, "ward", max_micro)
+def k_sweep(df: DataFrame, identifier: str, vector: str, k_min: int = 5, k_max: int = 19, metric: str = "squared",
+            method: str = "exact", cells: int | None = None) -> DataFrame:
+    """``(k, silhouette)`` for every K, from one tree cut at each K.
+
+    The metric ``"euclidean"`` compares all pairs of distinct points.
+    """
+    tree = topic_tree(df, identifier, vector, method, cells)
     ks = list(range(k_min, k_max + 1))
-    labelled = df.select(F.col(vector), tree.label_sets(F.col(vector), ks).alias("_l")).select(
+    labelled = tree.label(df.select(vector), vector, ks, "_l").select(
         vector, *[F.col("_l")[i].alias(str(k)) for i, k in enumerate(ks)]
     )
     score = {"euclidean": silhouette_exact, "squared": silhouette_squared}[metric]

@@ -155,18 +155,59 @@ def ward_cluster(spark, sf_dir):
 
 @query("linkage_compare")
 def linkage_compare(spark, sf_dir):
-    return cl.linkage_compare(embeddings(spark, sf_dir), "vec_id", "embedding", 7)
+    return cl.linkage_compare(embeddings(spark, sf_dir), "vec_id", "embedding", cells=256, k=7)
 
 
 @query("merge_table")
 def merge_table(spark, sf_dir):
-    tree = cl.topic_tree(embeddings(spark, sf_dir), "vec_id", "embedding")
-    return cl.last_merges(tree.merge_table(spark), 30)
+    tree = cl.topic_tree(embeddings(spark, sf_dir), "vec_id", "embedding", "exact")
+    return cl.last_merges(tree.merge_table(), 30)
+
+
+def _label_tree(merges: int) -> str:
+    """Ward's tree of the ten label means, weighted by their rows, merge by merge."""
+    cost = "list_distance(a.mean, b.mean) * sqrt(2.0 * a.size * b.size / (a.size + b.size))"
+    mean = ("list_transform(range(1, len(a.mean) + 1), lambda k: (a.mean[k] * a.size + b.mean[k] * b.size) / (a.size + b.size))")
+    parts = [CENTROIDS, """
+sizes AS (SELECT label AS cluster_id, count(*) AS size FROM embeddings GROUP BY label),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY cluster_id) - 1 AS c, size, centroid AS mean, [cluster_id] AS members,
+         row_number() OVER (ORDER BY cluster_id) - 1 AS node FROM centroids JOIN sizes USING (cluster_id))"""]
+    for i in range(merges):
+        parts.append(f"""
+p{i} AS MATERIALIZED (
+  SELECT a.c AS low, b.c AS high, a.node AS l, b.node AS r, a.size + b.size AS size, {cost} AS height, {mean} AS mean,
+         list_concat(a.members, b.members) AS members
+  FROM c{i} a JOIN c{i} b ON a.c < b.c ORDER BY height, low, high LIMIT 1),
+c{i + 1} AS MATERIALIZED (
+  SELECT * FROM c{i} WHERE c NOT IN (SELECT unnest([low, high]) FROM p{i})
+  UNION ALL SELECT low, size, mean, members, (SELECT count(*) FROM c0) + {i} FROM p{i})""")
+    return ",".join(parts)
+
+
+@query("ward_merges", f"WITH {_label_tree(9)} " + " UNION ALL ".join(
+    f"SELECT {i} AS step, l::INTEGER AS left, r::INTEGER AS right, round(height, 6) AS distance, size FROM p{i}" for i in range(9)))
+def ward_merges(spark, sf_dir):
+    """Every merge found by the executors."""
+    tree = cl.topic_tree(centroids(spark, sf_dir), "cluster_id", "centroid", "exact", weight="size", last=1)
+    return tree.merge_table().withColumn("distance", F.round("distance", 6))
+
+
+@query("ward_drilldown", f"""WITH {_label_tree(6)},
+parents AS (SELECT row_number() OVER (ORDER BY c) - 1 AS parent, unnest(members) AS label FROM c6),
+children AS (SELECT row_number() OVER (ORDER BY c) - 1 AS child, unnest(members) AS label FROM c3)
+SELECT parent::INTEGER AS parent, child::INTEGER AS child, count(*) AS size
+FROM embeddings JOIN parents USING (label) JOIN children USING (label) GROUP BY ALL""")
+def ward_drilldown(spark, sf_dir):
+    means = centroids(spark, sf_dir)
+    tree = cl.topic_tree(means, "cluster_id", "centroid", "exact", weight="size", last=1)
+    rows = embeddings(spark, sf_dir).select("label").join(means.withColumnRenamed("cluster_id", "label"), "label")
+    return cl.topic_drilldown(rows, tree, "centroid", parents=4, children=7)
 
 
 @query("k_sweep")
 def k_sweep(spark, sf_dir):
-    return cl.k_sweep(embeddings(spark, sf_dir), "vec_id", "embedding")
+    return cl.k_sweep(embeddings(spark, sf_dir), "vec_id", "embedding", metric="euclidean")
 
 
 @query("k_sweep_squared")
@@ -177,7 +218,7 @@ def k_sweep_squared(spark, sf_dir):
 @query("topic_drilldown")
 def topic_drilldown(spark, sf_dir):
     rows = embeddings(spark, sf_dir)
-    return cl.topic_drilldown(rows, cl.topic_tree(rows, "vec_id", "embedding"), "embedding")
+    return cl.topic_drilldown(rows, cl.topic_tree(rows, "vec_id", "embedding", "exact"), "embedding")
 
 
 @query("project_2d")

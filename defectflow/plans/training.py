@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from defectflow.functions.rules import RULE_TOPICS, action_sequence, topic_tag
+from defectflow.functions.rules import RULE_TOPICS, default_workflow, topic_tag
 from defectflow.functions.text import clean_serving, clean_training
 from defectflow.functions.vectors import hash_embedding, l2_normalize
 from defectflow.operators.clustering import topic_tree
@@ -26,8 +26,11 @@ class TrainedTopics:
 
 
 def train_topics(findings: DataFrame, identifier: str, text: str = "description", k: int = 7, cleaner: str = "serving",
-                 embed=hash_embedding, normalize: bool = True, max_micro: int = 512) -> TrainedTopics:
-    """Clean, embed, cluster, tag; empty texts are left out of the topics.
+                 embed=hash_embedding, normalize: bool = True, method: str = "micro", cells: int | None = 512) -> TrainedTopics:
+    """Clean, embed, cluster, tag.
+
+    Findings whose text cleans to nothing teach no topic; they stay, with a null
+    cluster. ``method`` and ``cells`` are those of ``topic_tree``.
 
     Topics are learned from the distinct cleaned texts, weighted by their
     copies and written once, so the passes of the clustering read vectors of
@@ -36,26 +39,27 @@ def train_topics(findings: DataFrame, identifier: str, text: str = "description"
     def vector_of(column: str):
         return l2_normalize(embed(F.col(column))) if normalize else embed(F.col(column))
 
-    cleaned = findings.withColumn("cleaned_description", CLEANERS[cleaner](F.col(text))).where(
-        F.col("cleaned_description") != ""
-    )
-    texts = cleaned.groupBy("cleaned_description").agg(
+    cleaned = findings.withColumn("cleaned_description", CLEANERS[cleaner](F.col(text)))
+    some = F.col("cleaned_description") != ""
+    texts = cleaned.where(some).groupBy("cleaned_description").agg(
         F.count(F.lit(1)).alias("copies"), F.min(identifier).alias("first_id")
     )
     vectors = write_and_reread(
         texts.select("first_id", "copies", vector_of("cleaned_description").alias("vector")), "text-vectors"
     )
-    tree = topic_tree(vectors, "first_id", "vector", "ward", max_micro, weight="copies")
-    means = cluster_centroids(
-        vectors.withColumn("cluster", tree.labels(F.col("vector"), k)), "cluster", "vector", weight="copies"
-    )
-    embedded = cleaned.withColumn("vector", vector_of("cleaned_description"))
-    return TrainedTopics(embedded.withColumn("cluster", tree.labels(F.col("vector"), k)), means, cleaner)
+    tree = topic_tree(vectors, "first_id", "vector", method, cells, weight="copies")
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        return tree.label(rows, "vector", [k], "cluster").withColumn("cluster", F.col("cluster")[0])
+
+    means = cluster_centroids(labelled(vectors), "cluster", "vector", weight="copies")
+    embedded = cleaned.withColumn("vector", F.when(some, vector_of("cleaned_description")))
+    return TrainedTopics(labelled(embedded), means, cleaner)
 
 
 def training_rows(trained: TrainedTopics) -> DataFrame:
-    """Labelled rows with rule topic and action sequence."""
-    topic = topic_tag(F.col("cluster"), RULE_TOPICS)
+    """Labelled rows with rule topic and actions; empty texts have no topic and the general actions."""
+    topic = F.when(F.col("cluster").isNotNull(), topic_tag(F.col("cluster"), RULE_TOPICS))
     return trained.labelled.withColumn("topic", topic).withColumn(
-        "actions", action_sequence(F.col("topic"), F.col("cleaned_description"))
+        "actions", default_workflow(F.col("topic"), F.col("cleaned_description"))
     )

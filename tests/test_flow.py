@@ -120,11 +120,13 @@ def test_triage_is_narrow(spark, rows):
 
 def test_training_flow(spark, rows, tmp_path):
     trained = train_topics(rows, "id", k=3)
-    assert trained.centroids.count() == 3 and trained.labelled.count() == 16  # texts of codes only are left out
+    assert trained.centroids.count() == 3 and trained.labelled.where("cluster is not null").count() == 16
     labelled = training_rows(trained).select("id", "cleaned_description", "cluster", "topic", "actions")
+    bare = labelled.where("cluster is null").collect()  # texts of codes only stay, with the general actions
+    assert len(bare) == rows.count() - 16 and all(r.cleaned_description == "" and r.topic is None and r.actions for r in bare)
     assert labelled.groupBy("cleaned_description").agg(F.count_distinct("cluster").alias("n")).where("n > 1").count() == 0
     stages.write_stage(labelled, str(tmp_path / "stage"))
-    assert stages.read_stage(spark, str(tmp_path / "stage")).count() == 16
+    assert stages.read_stage(spark, str(tmp_path / "stage")).count() == rows.count()
     total = trained.centroids.agg(F.sum("size")).first()[0]
     assert total == 16
 

@@ -209,10 +209,12 @@ def agglomerate(points, linkage, k):
 @pytest.mark.parametrize("linkage", cl.LINKAGES)
 def test_trees_match_plain_agglomeration(spark, linkage):
     points = cloud(45)
-    tree = cl.topic_tree(vectors(spark, points), "id", "v", linkage)
+    df = vectors(spark, points)
+    # As many cells as points: every cell is a point.
+    tree = cl.topic_tree(df, "id", "v", "micro", cells=45, linkage=linkage)
     cut, heights = agglomerate(points, linkage, 7)
-    assert tree.exact and [h[2] for h in tree.history] == pytest.approx(heights)
-    out = vectors(spark, points).select("id", tree.labels(F.col("v"), 7).alias("c")).collect()
+    assert [h[2] for h in tree.history] == pytest.approx(heights)
+    out = tree.label(df, "v", [7], "c").select("id", F.col("c")[0].alias("c")).collect()
     groups = [sorted(r.id for r in out if r.c == c) for c in range(7)]
     assert sorted(groups) == cut and [g[0] for g in groups] == sorted(g[0] for g in groups)
     merges = tree.merge_table(spark)
@@ -220,19 +222,46 @@ def test_trees_match_plain_agglomeration(spark, linkage):
     assert merges.orderBy(F.desc("step")).first()["size"] == 45
 
 
+@pytest.mark.parametrize("last", [1, 12, 256])
+def test_exact_method_matches_plain_agglomeration(spark, last):
+    points = np.concatenate([cloud(45), cloud(45)[:6]])  # six points occur twice
+    df = vectors(spark, points)
+    tree = cl.topic_tree(df, "id", "v", "exact", last=last)
+    cut, heights = agglomerate(points, "ward", 7)
+    merges = tree.merge_table().orderBy("step").collect()
+    assert [m.distance for m in merges] == pytest.approx([h for h in heights if h > 1e-9])
+    assert [m.step for m in merges] == list(range(44)) and merges[-1]["size"] == 51
+    used = [x for m in merges for x in (m.left, m.right)]
+    assert sorted(used) == list(range(45 + 43))  # every cluster but the last is merged once
+    out = tree.label(df, "v", [7, 3], "c").collect()
+    groups = [sorted(r.id for r in out if r.c[0] == c) for c in range(7)]
+    assert sorted(groups) == cut and [g[0] for g in groups] == sorted(g[0] for g in groups)
+    assert len({(r.c[0], r.c[1]) for r in out}) == 7 and {r.c[1] for r in out} == {0, 1, 2}
+
+
+def test_method_is_the_callers_choice(spark):
+    df = vectors(spark, cloud(30))
+    for bad in ({"method": "exact", "cells": 5}, {"method": "micro"}, {"method": "fast"}, {"method": "exact", "linkage": "average"}):
+        with pytest.raises(ValueError):
+            cl.topic_tree(df, "id", "v", **bad)
+    nulls = df.withColumn("v", F.when(F.col("id") > 3, F.col("v")))
+    labels = {r.id: r.cluster for r in cl.ward_cluster(nulls, "id", "v", 4).collect()}
+    assert [labels[i] for i in range(4)] == [None] * 4 and {labels[i] for i in range(4, 30)} == {0, 1, 2, 3}
+
+
 def test_micro_clusters_cover_all_rows_and_stay_close(spark):
     points = cloud(600, 4)
     df = vectors(spark, points)
-    rough = cl.topic_tree(df, "id", "v", max_micro=60, max_exact=100)
-    assert not rough.exact and rough.sizes.sum() == 600 and len(rough.sizes) <= 60
+    rough = cl.topic_tree(df, "id", "v", "micro", cells=60)
+    assert rough.sizes.sum() == 600 and len(rough.sizes) <= 60
     heights = [h[2] for h in rough.history]
     assert heights == sorted(heights)
 
     def scatter(labels):
         return sum(((points[labels == c] - points[labels == c].mean(axis=0)) ** 2).sum() for c in set(labels))
 
-    whole = cl.topic_tree(df, "id", "v")
-    found = [np.array([r.c for r in df.select("id", t.labels(F.col("v"), 5).alias("c")).orderBy("id").collect()]) for t in (rough, whole)]
+    whole = cl.topic_tree(df, "id", "v", "exact")
+    found = [np.array([r.c[0] for r in t.label(df, "v", [5], "c").orderBy("id").collect()]) for t in (rough, whole)]
     assert scatter(found[0]) <= 1.1 * scatter(found[1])
 
 
@@ -240,9 +269,9 @@ def test_copies_weigh_in(spark):
     points = cloud(30)
     repeated = np.concatenate([points, np.repeat(points[:1], 20, axis=0)])
     weighted = vectors(spark, points).withColumn("w", F.when(F.col("id") == 0, 21).otherwise(1))
-    a = cl.topic_tree(vectors(spark, repeated), "id", "v")
-    b = cl.topic_tree(weighted, "id", "v", weight="w")
-    assert [h[2] for h in a.history] == pytest.approx([h[2] for h in b.history])
+    a = cl.topic_tree(vectors(spark, repeated), "id", "v", "exact").merge_table()
+    b = cl.topic_tree(weighted, "id", "v", "exact", weight="w").merge_table()
+    assert [m.distance for m in a.orderBy("step").collect()] == pytest.approx([m.distance for m in b.orderBy("step").collect()])
 
 
 def silhouette(points, labels, power):
@@ -270,15 +299,20 @@ def test_silhouettes(spark):
     assert exact["label"] == (pytest.approx(silhouette(points, labels, 1)), 70)
     assert exact["two"] == (pytest.approx(silhouette(points, two, 1)), 70)
     assert square == {"label": pytest.approx(silhouette(points, labels, 2)), "two": pytest.approx(silhouette(points, two, 2))}
+    some = df.withColumn("label", F.when(F.col("id") != 3, F.col("label")))  # rows without a label are left out
+    rest = np.arange(70) != 3
+    for score, power in ((cl.silhouette_exact, 1), (cl.silhouette_squared, 2)):
+        row = score(some, "v", ["label"]).first()
+        assert (row.silhouette, row["rows"]) == (pytest.approx(silhouette(points[rest], labels[rest], power)), 69)
 
 
 def test_sweep_balance_drilldown(spark):
     points = cloud(40)
     df = vectors(spark, points)
-    tree = cl.topic_tree(df, "id", "v")
-    sweep = {r.k: r.silhouette for r in cl.k_sweep(df, "id", "v", 5, 8).collect()}
+    tree = cl.topic_tree(df, "id", "v", "exact")
+    sweep = {r.k: r.silhouette for r in cl.k_sweep(df, "id", "v", 5, 8, metric="euclidean").collect()}
     for k, score in sweep.items():
-        labels = np.array([r.c for r in df.select("id", tree.labels(F.col("v"), k).alias("c")).orderBy("id").collect()])
+        labels = np.array([r.c[0] for r in tree.label(df, "v", [k], "c").orderBy("id").collect()])
         assert score == pytest.approx(silhouette(points, labels, 1)) and -1 <= score <= 1
     down = cl.topic_drilldown(df, tree, "v", 7, 15).collect()
     assert len({r.parent for r in down}) == 7 and len({r.child for r in down}) == 15 == len(down)
