@@ -215,7 +215,7 @@ def bertscore(pairs: DataFrame, key: list[str], prediction: str, reference: str,
             for x, y in parts:
                 rows = list(zip(x.to_pylist(), y.to_pylist(), strict=True))
                 every = sorted({t for pair in rows for side in pair for t in side})
-                vectors = np.array(model(every), "float64").reshape(len(every), -1)
+                vectors = np.array(model(every) if every else [[0.0]], "float64")
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)
                 place = {t: i for i, t in enumerate(every)}
                 yield pa.array([_greedy(p, r, place, vectors) for p, r in rows],

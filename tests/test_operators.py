@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from defectflow.functions.rules import parse_steps
 from defectflow.functions.vectors import cosine_similarity, euclidean_distance, hash_embedding, l2_normalize
 from defectflow.operators import clustering as cl, metrics, models, monitoring as mon, stats
 from defectflow.operators.lookups import keyed_join, top_per_group
