@@ -15,10 +15,7 @@ from defectflow.session import write_and_reread
 
 WIDTH = 5
 _SLOTS = 1 << 18  # of the frequency sketch
-_SIGN_BITS = 1024
-#: An entry of a list holds the place of its shingle in the order in its low bits; the rest names the list.
-_PLACE_BITS = 20
-_PLACE_MASK = (1 << _PLACE_BITS) - 1
+_SIGN_BITS = 1024  # at least
 _FILTER_BITS = 1 << 26
 _MULTIPLIERS = [np.uint64(m) for m in (
     0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F,
@@ -26,7 +23,7 @@ _MULTIPLIERS = [np.uint64(m) for m in (
 _LIST_BLOCK = 1 << 16  # rows of one list held while leaders are named
 _BLOCK = 4096  # rows of one list in a block when pairs are sought
 _STEP = 1024
-_NEAREST = 3
+_NEAREST = 2
 
 
 class WordCodes(dict):
@@ -84,10 +81,15 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     every candidate, and pairs with enough shingles stay. Sets are compared by
     64-bit codes.
 
+    The merge counts in how many short lists a candidate occurs. Of two sets, take
+    the one whose short lists end at the rarer shingle: what they share beyond is
+    in its long lists, so ``t`` less the number of its long lists must have been
+    met. Candidates with fewer occurrences go, and so do those whose parity signs
+    (a bit for each slot, about four slots a shingle) differ too often.
+
     How dense groups stay linear: equal sets are one set from the start. A first
     round links each set to the nearest leaders of its lists only. A second round
-    takes from each list the pairs of sets that are not yet in one component and
-    that sizes, places in the order and a 1,024-bit parity sign do not rule out.
+    takes from each list the pairs of sets that are not yet in one component.
     No list is collected: a long one is cut into blocks at random, and a task gets
     two blocks at a time.
     The order comes from counts of all shingles in a table of fixed size; that
@@ -97,32 +99,33 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     weights = docs.sparkSession.sparkContext.broadcast(_weights(rows))
     signed = write_and_reread(rows.select("id", "text").mapInArrow(
         lambda batches: _signatures(batches, weights.value),
-        "id bigint, n bigint, key_a bigint, key_b bigint, sign array<bigint>, prefix array<bigint>",
+        "id bigint, n bigint, key_a bigint, key_b bigint, sign binary, prefix array<bigint>",
     ), "join-signatures")
     same = signed.where("n > 0 and id is not null").groupBy("n", "key_a", "key_b").agg(F.min("id").alias("set_id"))
     same = write_and_reread(same, "join-sets")
     sets = signed.join(same.select(F.col("set_id").alias("id"), "n", "key_a", "key_b"), ["id", "n", "key_a", "key_b"])
-    lists = sets.select("id", F.explode("prefix").alias("entry"))
-    lists = lists.repartition(F.shiftright("entry", _PLACE_BITS)).sortWithinPartitions("entry", "id")
-    shared = write_and_reread(lists.mapInArrow(_leaders, "token bigint, id bigint, place int, leader bigint"), "join-lists")
+    lists = sets.select("id", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "id")
+    shared = write_and_reread(lists.mapInArrow(_leaders, "token bigint, id bigint, leader bigint"), "join-lists")
     near = shared.where("leader <> id").groupBy("id", "leader").count()
     by_count = Window.partitionBy("id").orderBy(F.col("count").desc(), "leader")
     near = near.withColumn("_k", F.row_number().over(by_count)).where(f"_k <= {_NEAREST}")
-    near = write_and_reread(near.select(F.col("id").alias("a"), F.col("leader").alias("b")), "join-nearest")
+    near = near.select(F.col("id").alias("a"), F.col("leader").alias("b"), F.col("count").alias("k"))
+    near = write_and_reread(near, "join-nearest")
 
     signs = write_and_reread(sets.select("id", "n", "sign").dropDuplicates(["id"]), "join-signs")
     links = _verify(near, signs, rows)
     found = write_and_reread(components(links), "join-components")
 
     state = signs.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = shared.select("token", "id", "place").join(state, "id")
-    placed = placed.select("token", "id", "n", "place", F.coalesce("component_id", "id").alias("component"))
+    placed = shared.select("token", "id").join(state, "id")
+    placed = placed.select("token", "id", "n", F.coalesce("component_id", "id").alias("component"))
     placed = write_and_reread(placed, "join-placed")
     mixed = placed.groupBy("token").agg(
         F.count("*").alias("_size"), F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high")
     mixed = write_and_reread(mixed.select("token", F.ceil(F.col("_size") / _BLOCK).alias("_blocks")), "join-mixed")
-    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, "a bigint, b bigint").distinct()
+    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, "a bigint, b bigint, k bigint")
+    rest = rest.groupBy("a", "b").agg(F.sum("k").alias("k"))
     links = links.unionByName(_verify(write_and_reread(rest, "join-pairs"), signs, rows))
     classes = components(write_and_reread(links, "join-links")).withColumnRenamed("node", "set_id")
     known = write_and_reread(same.join(classes, "set_id", "left").select(
@@ -177,19 +180,16 @@ def _signatures(batches: Iterator[pa.RecordBatch], weights: np.ndarray) -> Itera
             size = len(found)
             n.append(size)
             keys.append(xxhash.xxh3_128_digest(found.tobytes()))
-            odd = np.bincount((found & np.uint64(_SIGN_BITS - 1)).astype("int64"), minlength=_SIGN_BITS) & 1
-            signs.append(np.packbits(odd.astype("uint8")))
+            bits = _SIGN_BITS << max(0, (2 * size // _SIGN_BITS).bit_length())
+            odd = np.bincount((found & np.uint64(bits - 1)).astype("int64"), minlength=bits) & 1
+            signs.append(np.packbits(odd.astype("uint8")).tobytes())
             rank = weights[(found >> np.uint64(46)).astype("int64")]
             order = np.argsort(rank, kind="stable") if rank.any() else np.arange(size)
-            first = found[order[: size - -(-3 * size // 4) + 1]] if size else found
-            places = np.minimum(np.arange(len(first), dtype="uint64"), np.uint64(_PLACE_MASK))
-            prefixes.append(first & ~np.uint64(_PLACE_MASK) | places)
+            prefixes.append(found[order[: size - -(-3 * size // 4) + 1]] if size else found)
         keys = np.frombuffer(b"".join(keys), "<i8").reshape(-1, 2)
-        sign = pa.array(np.concatenate(signs).view("<i8")) if signs else pa.array([], pa.int64())
-        words = _SIGN_BITS // 64
         yield pa.RecordBatch.from_arrays([
             batch.column("id"), pa.array(n, pa.int64()), pa.array(keys[:, 0]), pa.array(keys[:, 1]),
-            pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype="int32") * words), sign),
+            pa.array(signs, pa.binary()),
             pa.ListArray.from_arrays(
                 pa.array(np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype("int32")),
                 pa.array(np.concatenate([*prefixes, np.zeros(0, "uint64")]).view("int64")),
@@ -229,24 +229,16 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]
 
 def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of lists with two sets or more; leader: the first of the list, or of its piece."""
-    def by_list():
-        for batch in batches:
-            entry = batch.column("entry").to_numpy()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(entry >> _PLACE_BITS), batch.column("id"), pa.array((entry & _PLACE_MASK).astype("int32"))],
-                ["token", "id", "place"],
-            )
-
-    for piece in _pieces(by_list()):
+    for piece in _pieces(batches):
         token = piece["token"]
         change = np.concatenate(([True], token[1:] != token[:-1], [True]))
         keep = ~(change[:-1] & change[1:])
         if not keep.any():
             continue
-        token, ids, place = token[keep], piece["id"][keep], piece["place"][keep]
+        token, ids = token[keep], piece["id"][keep]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         leader = np.repeat(ids[starts], np.diff(np.append(starts, len(ids))))
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids, place, leader)], ["token", "id", "place", "leader"])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, ids, leader)], ["token", "id", "leader"])
 
 
 def _block_pairs(lists: DataFrame) -> DataFrame:
@@ -255,14 +247,14 @@ def _block_pairs(lists: DataFrame) -> DataFrame:
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     low, high = F.least("block", "_other"), F.greatest("block", "_other")
     rows = rows.select(
-        F.xxhash64("token", low, high).alias("token"), "id", "n", "place", "component",
+        F.xxhash64("token", low, high).alias("token"), "id", "n", "component",
         F.when(low != high, F.col("block")).otherwise(-1).alias("block"),
     )
     return rows.repartition("token").sortWithinPartitions("token", "n", "id")
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each list that are in different components and that sizes and places allow."""
+    """Candidates of each list that are in different components and of sizes that can link, with their number."""
     for piece in _pieces(batches):
         token, component = piece["token"], piece["component"]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -274,17 +266,16 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(i, end, _STEP):
                     out.append(_allowed(piece, slice(i, min(i + _STEP, end)), slice(j, min(j + _STEP, end))))
         if out:
-            pairs = np.unique(np.concatenate(out, 1), axis=1)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x)) for x in pairs], ["a", "b"])
+            pairs, k = np.unique(np.concatenate(out, 1), axis=1, return_counts=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(x)) for x in (*pairs, k.astype("int64"))], ["a", "b", "k"]
+            )
 
 
 def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarray:
     """Pairs (smaller, larger) of two stretches of one list; rows are sorted by size, then id."""
     n, m = rows["n"][left][:, None], rows["n"][right][None]
-    p, q = rows["place"][left][:, None], rows["place"][right][None]
-    needed = _needed(n, m)
     good = (rows["component"][left][:, None] != rows["component"][right][None]) & (4 * n >= 3 * m)
-    good &= np.minimum(n - p, m - q) >= needed  # what is left of both sets from this token on
     block = rows["block"]
     good &= (block[left][:, None] != block[right][None]) | (block[left][:, None] < 0)
     if left == right:
@@ -299,16 +290,30 @@ def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
     Texts are read again for the sets of likely pairs alone; a bit map of their
     ids leaves the others where they are.
     """
+    sizes = signs.select("id", "n")
     for side in ("a", "b"):
-        pairs = pairs.join(signs.select(
-            F.col("id").alias(side), F.col("n").alias(f"n_{side}"), F.col("sign").alias(f"sign_{side}")
-        ), side)
-    differ = F.aggregate(
-        F.zip_with("sign_a", "sign_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x
-    )
+        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
+    n, m = F.col("n_a"), F.col("n_b")
+    needed = F.ceil(3 * (n + m) / 7)
+    met = needed - F.greatest(F.ceil(3 * n / 4), F.ceil(3 * m / 4)) + 1
+    pairs = pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("k") >= met)).select("a", "b", "n_a", "n_b")
+    pairs = write_and_reread(pairs, "join-counted")
+    for side in ("a", "b"):
+        pairs = pairs.join(signs.select(F.col("id").alias(side), F.col("sign").alias(f"sign_{side}")), side)
+
+    @F.arrow_udf("long")
+    def differ(a: pa.Array, b: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(a, b, strict=True):
+            x, y = np.frombuffer(x.as_buffer(), "uint8"), np.frombuffer(y.as_buffer(), "uint8")
+            if len(x) > len(y):
+                x, y = y, x
+            y = np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)  # the parities of fewer slots
+            out.append(int(np.bitwise_count(x ^ y).sum()))
+        return pa.array(out, pa.int64())
+
     # The symmetric difference is n + m - 2 i, and i is at least 3 (n + m) / 7.
-    total = F.col("n_a") + F.col("n_b")
-    likely = pairs.where((differ * 7 <= total) & (4 * F.least("n_a", "n_b") >= 3 * F.greatest("n_a", "n_b")))
+    likely = pairs.where(differ("sign_a", "sign_b") * 7 <= n + m)
     likely = write_and_reread(likely.select("a", "b"), "join-likely")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = write_and_reread(wanted, "join-wanted")
