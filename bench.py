@@ -19,7 +19,7 @@ HEADLINE = (
     "action_sequence parse_steps seq2seq_dataset stratified_split describe_steps describe_values cluster_samples "
     "cluster_keywords silhouette_exact silhouette_squared ward_cluster k_sweep_squared rouge_1 rouge_2 rouge_l meteor "
     "bertscore_static critical_step_scores topic_distribution centroid_drift low_confidence apply_corrections "
-    "stream_topic_distribution train_and_triage forest_predict"
+    "stream_topic_distribution train_and_triage forest_predict triage_classified ward_merges"
 ).split()
 # Queries whose work is one pass over the findings (one per order).
 PER_FINDING = ("triage", "clean_serving", "action_sequence", "train_and_triage")
