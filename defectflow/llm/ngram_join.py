@@ -106,14 +106,16 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = signed.join(same.select(F.col("set_id").alias("id"), "n", "key_a", "key_b"), ["id", "n", "key_a", "key_b"])
     lists = sets.select("id", F.explode("prefix").alias("token")).repartition("token").sortWithinPartitions("token", "id")
     shared = write_and_reread(lists.mapInArrow(_leaders, "token bigint, id bigint, leader bigint"), "join-lists")
+    signs = write_and_reread(sets.select("id", "n", "sign").dropDuplicates(["id"]), "join-signs")
     near = shared.where("leader <> id").groupBy("id", "leader").count()
     by_count = Window.partitionBy("id").orderBy(F.col("count").desc(), "leader")
     near = near.withColumn("_k", F.row_number().over(by_count)).where(f"_k <= {_NEAREST}")
     near = near.select(F.col("id").alias("a"), F.col("leader").alias("b"), F.col("count").alias("k"))
-    near = write_and_reread(near, "join-nearest")
+    sizes = write_and_reread(near, "join-nearest")
+    for side in ("a", "b"):
+        sizes = sizes.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
 
-    signs = write_and_reread(sets.select("id", "n", "sign").dropDuplicates(["id"]), "join-signs")
-    links = _verify(near, signs, rows)
+    links = _verify(sizes, signs, rows)
     found = write_and_reread(components(links), "join-components")
 
     state = signs.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
@@ -124,9 +126,11 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         F.count("*").alias("_size"), F.min("component").alias("_low"), F.max("component").alias("_high")
     ).where("_low <> _high")
     mixed = write_and_reread(mixed.select("token", F.ceil(F.col("_size") / _BLOCK).alias("_blocks")), "join-mixed")
-    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, "a bigint, b bigint, k bigint")
-    rest = rest.groupBy("a", "b").agg(F.sum("k").alias("k"))
-    links = links.unionByName(_verify(write_and_reread(rest, "join-pairs"), signs, rows))
+    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(
+        _open_pairs, "a bigint, b bigint, n_a bigint, n_b bigint, k bigint"
+    )
+    rest = rest.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
+    links = links.unionByName(_verify(rest, signs, rows))
     classes = components(write_and_reread(links, "join-links")).withColumnRenamed("node", "set_id")
     known = write_and_reread(same.join(classes, "set_id", "left").select(
         "n", "key_a", "key_b", "set_id", F.coalesce("component_id", "set_id").alias("component_id")
@@ -268,7 +272,7 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if out:
             pairs, k = np.unique(np.concatenate(out, 1), axis=1, return_counts=True)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(x)) for x in (*pairs, k.astype("int64"))], ["a", "b", "k"]
+                [pa.array(np.ascontiguousarray(x)) for x in (*pairs, k.astype("int64"))], ["a", "b", "n_a", "n_b", "k"]
             )
 
 
@@ -281,18 +285,15 @@ def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarr
     if left == right:
         good &= np.arange(good.shape[0])[:, None] < np.arange(good.shape[1])[None]
     i, j = np.nonzero(good)
-    return np.stack((rows["id"][left][i], rows["id"][right][j]))
+    return np.stack((rows["id"][left][i], rows["id"][right][j], rows["n"][left][i], rows["n"][right][j]))
 
 
 def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link: first by the parity signs, then by probing one set with the other.
+    """The pairs ``a, b`` that link: by their occurrences ``k``, by parity signs, then by probing one set with the other.
 
     Texts are read again for the sets of likely pairs alone; a bit map of their
     ids leaves the others where they are.
     """
-    sizes = signs.select("id", "n")
-    for side in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
     n, m = F.col("n_a"), F.col("n_b")
     needed = F.ceil(3 * (n + m) / 7)
     met = needed - F.greatest(F.ceil(3 * n / 4), F.ceil(3 * m / 4)) + 1
