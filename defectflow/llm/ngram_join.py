@@ -24,6 +24,8 @@ _LIST_BLOCK = 1 << 16  # rows of one list held while leaders are named
 _BLOCK = 4096  # rows of one list in a block when pairs are sought
 _STEP = 1024
 _NEAREST = 2
+_FEW = 4  # open pairs for each row of a list
+_PAIRS = "a bigint, b bigint, n_a bigint, n_b bigint, k bigint"
 
 
 class WordCodes(dict):
@@ -88,8 +90,10 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     (a bit for each slot, about four slots a shingle) differ too often.
 
     How dense groups stay linear: equal sets are one set from the start. A first
-    round links each set to the nearest leaders of its lists only. A second round
-    takes from each list the pairs of sets that are not yet in one component.
+    round links each set to the nearest leaders of its lists only. While lists
+    hold many pairs of sets that are not yet in one component, and their number
+    falls, another round leads each set to other leaders, outside of its component.
+    The last round takes all such pairs that are left.
     No list is collected: a long one is cut into blocks at random, and a task gets
     two blocks at a time.
     The order comes from counts of all shingles in a table of fixed size; that
@@ -115,22 +119,16 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for side in ("a", "b"):
         sizes = sizes.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
 
-    links = _verify(sizes, signs, rows)
-    found = write_and_reread(components(links), "join-components")
+    links = _verify(_met(sizes), signs, rows)
+    placed, mixed, least = _open_lists(shared, signs, links)
+    while least:
+        led = _verify(_led(placed.join(mixed, "token")), signs, rows)
+        links = links.unionByName(led)
+        placed, mixed, least = _open_lists(shared, signs, links, least)
 
-    state = signs.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
-    placed = shared.select("token", "id").join(state, "id")
-    placed = placed.select("token", "id", "n", F.coalesce("component_id", "id").alias("component"))
-    placed = write_and_reread(placed, "join-placed")
-    mixed = placed.groupBy("token").agg(
-        F.count("*").alias("_size"), F.min("component").alias("_low"), F.max("component").alias("_high")
-    ).where("_low <> _high")
-    mixed = write_and_reread(mixed.select("token", F.ceil(F.col("_size") / _BLOCK).alias("_blocks")), "join-mixed")
-    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(
-        _open_pairs, "a bigint, b bigint, n_a bigint, n_b bigint, k bigint"
-    )
+    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, _PAIRS)
     rest = rest.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
-    links = links.unionByName(_verify(rest, signs, rows))
+    links = links.unionByName(_verify(_met(rest), signs, rows))
     classes = components(write_and_reread(links, "join-links")).withColumnRenamed("node", "set_id")
     known = write_and_reread(same.join(classes, "set_id", "left").select(
         "n", "key_a", "key_b", "set_id", F.coalesce("component_id", "set_id").alias("component_id")
@@ -150,6 +148,51 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
 
 
+def _open_lists(shared: DataFrame, signs: DataFrame, links: DataFrame, before: int | None = None) -> tuple:
+    """Rows of the lists with size and component, the lists that hold two components or more, and their open pairs.
+
+    Open are pairs of sets in different components. The number is 0 when they are
+    few, or when a round has not made them fewer by a tenth: then all can be taken.
+    """
+    found = write_and_reread(components(links), "join-components")
+    state = signs.select("id", "n").join(found.withColumnRenamed("node", "id"), "id", "left")
+    placed = shared.select("token", "id").join(state, "id")
+    placed = placed.select("token", "id", "n", F.coalesce("component_id", "id").alias("component"))
+    placed = write_and_reread(placed, "join-placed")
+    size, squares = F.sum("count"), F.sum(F.col("count") * F.col("count"))
+    mixed = placed.groupBy("token", "component").count().groupBy("token").agg(
+        F.count("*").alias("_components"), size.alias("_size"), (size * size - squares).alias("_open")
+    ).where("_components > 1")
+    mixed = mixed.select("token", "_size", "_open", F.ceil(F.col("_size") / _BLOCK).alias("_blocks"))
+    mixed = write_and_reread(mixed, "join-mixed")
+    held, pairs = mixed.agg(F.sum(F.col("_size").cast("double")), F.sum(F.col("_open").cast("double")) / 2).first()
+    pairs = int(pairs or 0)
+    few = pairs <= _FEW * int(held or 0) or (before is not None and pairs > 0.9 * before)
+    return placed, mixed.select("token", "_blocks"), 0 if few else pairs
+
+
+def _led(lists: DataFrame) -> DataFrame:
+    """Each set with the leaders outside of its component that it meets most, in an order of leaders by hash."""
+    seen = lists.select("token", "id", "n", "component").repartition("token")
+    seen = seen.sortWithinPartitions("token", F.xxhash64("component", "id"))
+    near = seen.mapInArrow(_leaders_outside, _PAIRS).groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
+    near = near.where("4 * least(n_a, n_b) >= 3 * greatest(n_a, n_b)")
+    near = near.withColumn("_k", F.row_number().over(Window.partitionBy("a").orderBy(F.col("k").desc(), "b")))
+    near = near.where(f"_k <= {_NEAREST}")
+    turned = F.col("a") > F.col("b")
+    return near.select(*(
+        F.when(turned, F.col(f"{x}{w}")).otherwise(F.col(f"{x}{v}")).alias(f"{x}{v}")
+        for x in ("", "n_") for v, w in (("a", "b"), ("b", "a"))
+    )).distinct()
+
+
+def _met(pairs: DataFrame) -> DataFrame:
+    """Pairs of sizes that can link, which occur together in as many short lists as they must."""
+    n, m = F.col("n_a"), F.col("n_b")
+    least = F.ceil(3 * (n + m) / 7) - F.greatest(F.ceil(3 * n / 4), F.ceil(3 * m / 4)) + 1
+    return pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("k") >= least))
+
+
 # Steps inside tasks ----------------------------------------------------------
 
 def _weights(rows: DataFrame) -> np.ndarray:
@@ -270,10 +313,33 @@ def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for j in range(i, end, _STEP):
                     out.append(_allowed(piece, slice(i, min(i + _STEP, end)), slice(j, min(j + _STEP, end))))
         if out:
-            pairs, k = np.unique(np.concatenate(out, 1), axis=1, return_counts=True)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.ascontiguousarray(x)) for x in (*pairs, k.astype("int64"))], ["a", "b", "n_a", "n_b", "k"]
-            )
+            yield _counted(*np.concatenate(out, 1))
+
+
+def _leaders_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each row with its list's first row or, within that one's component, with the first row outside; with the number."""
+    for piece in _pieces(batches):
+        token, component, n = piece["token"], piece["component"], piece["n"]
+        starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
+        within = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(token))))
+        first = starts[within]
+        outside = component != component[first]
+        second = np.minimum.reduceat(np.where(outside, np.arange(len(token)), len(token)), starts)[within]
+        leader = np.where(outside, first, second)
+        led = leader < len(token)
+        if led.any():
+            leader = leader[led]
+            yield _counted(piece["id"][led], piece["id"][leader], n[led], n[leader])
+
+
+def _counted(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> pa.RecordBatch:
+    """The distinct pairs with the number of times that they occur."""
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    starts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))[: len(a)]
+    k = np.diff(np.append(starts, len(a)))
+    found = (a[starts], b[starts], n_a[order][starts], n_b[order][starts], k)
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "n_a", "n_b", "k"])
 
 
 def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarray:
@@ -289,16 +355,13 @@ def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarr
 
 
 def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs ``a, b`` that link: by their occurrences ``k``, by parity signs, then by probing one set with the other.
+    """The pairs ``a, b`` that link: by parity signs, then by probing one set with the other.
 
     Texts are read again for the sets of likely pairs alone; a bit map of their
     ids leaves the others where they are.
     """
     n, m = F.col("n_a"), F.col("n_b")
-    needed = F.ceil(3 * (n + m) / 7)
-    met = needed - F.greatest(F.ceil(3 * n / 4), F.ceil(3 * m / 4)) + 1
-    pairs = pairs.where((4 * F.least(n, m) >= 3 * F.greatest(n, m)) & (F.col("k") >= met)).select("a", "b", "n_a", "n_b")
-    pairs = write_and_reread(pairs, "join-counted")
+    pairs = write_and_reread(pairs.select("a", "b", "n_a", "n_b"), "join-counted")
     for side in ("a", "b"):
         pairs = pairs.join(signs.select(F.col("id").alias(side), F.col("sign").alias(f"sign_{side}")), side)
 

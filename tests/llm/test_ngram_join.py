@@ -64,9 +64,10 @@ def check(docs, rows):
         assert r.n_shingles in size[r.doc_id]
 
 
-@pytest.mark.parametrize("block", [4096, 3])
-def test_links_match_all_pairs(spark, monkeypatch, block):
+@pytest.mark.parametrize(("block", "few"), [(4096, 4), (3, 0)])
+def test_links_match_all_pairs(spark, monkeypatch, block, few):
     monkeypatch.setattr(ngram_join, "_BLOCK", block)
+    monkeypatch.setattr(ngram_join, "_FEW", few)
     rows = list(enumerate(near_copies()))
     random.Random(1).shuffle(rows)
     check(texts(spark, [t for _, t in sorted(rows)]), sorted(rows))
@@ -89,6 +90,26 @@ def test_lists_that_span_batches():
     assert one.sort_by("id").equals(many.sort_by("id"))
 
 
+def test_leaders_outside_of_the_component():
+    import numpy as np
+    import pyarrow as pa
+
+    pick = np.random.default_rng(2)
+    token, component = np.sort(pick.integers(0, 30, 400)), pick.integers(0, 3, 400)
+    ids = pick.permutation(400)
+    rows = pa.table({"token": token, "id": ids, "n": ids + 5, "component": component})
+    want = {}
+    for x in range(400):
+        of_list = [y for y in range(400) if token[y] == token[x]]
+        outside = [y for y in of_list if component[y] != component[x]]
+        if outside:
+            first = of_list[0] if of_list[0] in outside else outside[0]
+            want[int(ids[x]), int(ids[first])] = 1
+    found = pa.Table.from_batches(ngram_join._leaders_outside(iter(rows.to_batches(max_chunksize=9)))).to_pylist()
+    assert {(r["a"], r["b"]): r["k"] for r in found} == want
+    assert all(r["n_a"] == r["a"] + 5 and r["n_b"] == r["b"] + 5 for r in found)
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
