@@ -29,6 +29,13 @@ MARKS = frozenset(
 )
 _RAW = ("script", "style", "textarea", "title", "noscript", "iframe", "template")
 _ARTICLES = ("article", "main")
+#: Dropped without a trace: what stands before and after them is one line, or one line with a space.
+_INLINE = frozenset("script style noscript template iframe svg canvas object audio video button select textarea".split())
+_SILENT = frozenset("script style noscript template".split())
+#: Elements around a body; others that are dropped may stand between two of its paragraphs.
+_FRAMES = frozenset("nav footer header menu title head".split())
+#: Text of an article, whatever its class or id is called.
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption td th dd dt b i em strong code".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _SPACED = frozenset(("br", "img"))
 _TOKEN = re.compile(
@@ -50,7 +57,7 @@ def _surrounds(name: str, attributes: str, inside: bool) -> bool:
     words = set()
     for key, *values in _ATTRIBUTE.findall(attributes):
         key, value = key.lower(), "".join(values).lower()
-        if key in ("class", "id", "role"):
+        if key in ("class", "id", "role") and not (inside and name in _PROSE):
             words.update(_WORDS.findall(value))
         elif key == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -62,28 +69,35 @@ def _surrounds(name: str, attributes: str, inside: bool) -> bool:
 
 
 def text_lines(page: str, window: int = 3) -> list[str]:
-    """The page as one line per block; what surrounds articles leaves ``window`` empty lines."""
+    """The page as one line per block.
+
+    Menus and the elements around a body leave ``window`` empty lines, the borders of an article twice as many. Other dropped
+    elements leave none.
+    """
     lines: list[str] = []
     parts: list[str] = []
     linked = at = depth = articles = 0
-    links = 0
-    dropped = ""
+    links = empty = 0
+    dropped = block = ""
 
     def end_line():
-        nonlocal linked
+        nonlocal linked, links, empty
         if parts:
             line = " ".join(html.unescape("".join(parts)).split())
-            # Outside of articles a line that is mostly links belongs to a menu.
-            if line and (articles or 2 * linked <= len(line)):
+            # Outside of articles and paragraphs a line that is mostly links belongs to a menu.
+            if line and (articles or block == "p" or 2 * linked <= len(line)):
                 lines.append(line)
+                empty = 0
             elif line:
                 gap()
             parts.clear()
-        linked = 0
+        linked = links = 0
 
-    def gap():
-        if lines and lines[-1]:
-            lines.extend([""] * window)
+    def gap(times=1):
+        nonlocal empty
+        if lines and empty < times * window:
+            lines.extend([""] * (times * window - empty))
+            empty = times * window
 
     end = len(page)
     while at < end:
@@ -115,9 +129,12 @@ def text_lines(page: str, window: int = 3) -> list[str]:
                     at = _after(page, name, at)
                 continue
         if not closing and _surrounds(name, found[3], articles > 0):
-            end_line()
-            if not articles:
-                gap()
+            if name not in _INLINE:
+                end_line()
+                if not articles and name in _FRAMES:
+                    gap()
+            elif name not in _SILENT:
+                parts.append(" ")
             if name in _RAW:
                 at = _after(page, name, at)
             elif name not in _VOID and not found[3].endswith("/"):
@@ -127,16 +144,18 @@ def text_lines(page: str, window: int = 3) -> list[str]:
             end_line()
             if not closing:
                 if not articles:
-                    gap()
+                    gap(2)
                 articles += 1
             elif articles:
                 articles -= 1
                 if not articles:
-                    gap()
+                    gap(2)
+            block = ""
         elif name in BLOCKS:
             end_line()
+            block = "" if closing else name
         elif name == "a":
-            links = 0 if closing else 1
+            links = int(not closing and bool(re.search(r"(?:^|\s)href\s*=", found[3], re.I)))
         elif name in _SPACED:
             parts.append(" ")
     end_line()
@@ -158,6 +177,8 @@ def main_text(page: str | None, window: int = 3) -> str:
     ``sums[i]`` is the text in the ``window`` lines from line ``i`` on. Where the
     sums leave zero is a surge, where they are back at zero the dive that ends
     it; the stretch with most text between a surge and its dive is the article.
+    Neighbours of that stretch belong to it as long as their lines are at least half as long
+    on average, unless the border of an article lies between.
     """
     lines = text_lines(page or "", window)
     if not lines:
@@ -168,8 +189,17 @@ def main_text(page: str | None, window: int = 3) -> str:
     surges, dives = np.flatnonzero(rising > 0), np.flatnonzero(rising < 0)
     total = np.concatenate(([0], np.cumsum(lengths)))
     ends = np.minimum(dives, len(lines))
-    best = int(np.argmax(total[ends] - total[surges]))
-    return "\n".join(x for x in lines[surges[best] : ends[best]] if x)
+    texts = total[ends] - total[surges]
+    first = last = int(np.argmax(texts))
+    full = np.concatenate(([0], np.cumsum(lengths > 0)))
+    density = texts / (full[ends] - full[surges])
+    least = density[first] / 2
+    empty = surges[1:] - ends[:-1] + window - 1  # a dive comes when the window is past the text
+    while first and density[first - 1] >= least and empty[first - 1] < 2 * window:
+        first -= 1
+    while last + 1 < len(texts) and density[last + 1] >= least and empty[last] < 2 * window:
+        last += 1
+    return "\n".join(x for x in lines[surges[first] : ends[last]] if x)
 
 
 def extract_text(

@@ -41,6 +41,29 @@ def test_longest_stretch_without_article():
     assert main_text(page) == "body text " * 19 + "body text\nend."
 
 
+A, B = "long text of the first part " * 30, "long text of the second part " * 30
+
+
+@pytest.mark.parametrize("between", [
+    "<script>x()</script>", "<style>p{}</style>", "<iframe src=x></iframe>", "<svg><text>s</text></svg>", "<button>b</button>",
+    "<form><label>l</label></form>", "<aside>a</aside>", "<div class='ad'>buy</div>", "<div class='notice'>n</div>",
+    "<nav><a href='/'>home</a></nav>", "<ul><li><a href='/x'>link</a></li></ul>", "<p><a name='top'></p>",
+])
+def test_nothing_else_is_dropped_without_article(between):
+    want = f"{A.strip()}\n{B.strip()}"
+    assert main_text(f"<div><p>{A}</p>{between}<p>{B}</p></div>") == want
+    assert main_text(f"<nav>menu</nav><div><a name='top'><p>{A}</p>{between}<p>{B}</p></div><footer>f</footer><p>stray</p>") == want
+
+
+def test_links_scripts_and_classes_in_text():
+    linked = f"<p>{A}</p><p><a href='/1'>mostly</a> <a href='/2'>links</a></p><p>{B}</p>"
+    assert main_text(f"<div>{linked}</div>") == f"{A.strip()}\nmostly links\n{B.strip()}"
+    assert main_text("<div><p>one <script>x()</script>line<svg></svg>here</p></div>") == "one line here"
+    page = "<article><h2 id='social'>Social</h2><p class='alert'>Text</p><div class='share'>s</div><p id='related'>End</p></article>"
+    assert main_text(page) == "Social\nText\nEnd"
+    assert main_text(f"<article><p>{A}</p></article><div><p>{B[:300]}</p></div>") == A.strip()
+
+
 def test_table(spark):
     rows = [(1, "u", PAGE, "clash"), (2, None, None, "clash"), (2, None, None, "clash"), (3, "v", "<p>" + "x" * 300_000, None)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
