@@ -57,6 +57,21 @@ def test_verdicts(spark):
     assert [rows[i].base_failed for i in (380, 381)] == [True, True] and not any(rows[i].base_failed for i in range(380))
 
 
+def test_repeated_lines_and_words_reject_on_their_own(spark):
+    clean = [prose(i, 60 + i % 80) for i in range(300)]
+    once = [prose(i, 60) + ".\nthe same line\n" + prose(i + 500, 60) + "\nthe same line" for i in range(5)]
+    lists = []
+    for i in range(20):
+        pick, pool = random.Random(i), [prose(900 + 10 * i + k, 3) for k in range(4)]
+        lines = [prose(2000 + 100 * i + k, 3) if k % 3 == 0 else pick.choice(pool) for k in range(45)]
+        lists.append("\n".join(lines))
+    passages = [" ".join([prose(i, 40), prose(i + 700, 14), prose(i + 800, 32), prose(i + 700, 14)]) for i in range(20)]
+    got = {r.doc_id: r for r in quality_rules(texts(spark, [*clean, *once, *lists, *passages])).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert all(got[i].kept for i in range(305))
+    assert not any(got[i].kept for i in range(305, 345))
+
+
 def test_odd_rows_small_groups_and_empty_table(spark):
     docs = documents(spark)
     rows = quality_rules(docs).collect()
