@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
+from defectflow.llm.fill_middle import fill_in_middle, restore_middle
 from defectflow.llm.html_text import extract_text
 from defectflow.llm.language_model import quality_classifier
 from defectflow.llm.mixing import mix_sources
@@ -133,3 +134,33 @@ def op8(spark, sf_dir):
 @query("op3_suffix_dedup")
 def op3(spark, sf_dir):
     return repeated_passages(read(spark, sf_dir, "documents"))
+
+
+@query("op13_fill_in_middle", r"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), u AS (
+  SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM t
+), r AS (
+  SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS h1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS h2,
+    ('0x' || h[17:24])::BIGINT % 100 AS h3, ('0x' || h[25:32])::BIGINT % 100 AS h4 FROM u
+), c AS (
+  SELECT *, least(h1, h2) AS a, greatest(h1, h2) AS b, CASE
+    WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 >= 100 THEN 'plain'
+    WHEN h4 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r
+), p AS (
+  SELECT *, coalesce(array_to_string(units[:a], ''), '') AS prefix, coalesce(array_to_string(units[a + 1 : b], ''), '') AS middle,
+    coalesce(array_to_string(units[b + 1 :], ''), '') AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+    ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256
+FROM p
+""")
+def op13(spark, sf_dir):
+    cut = fill_in_middle(read(spark, sf_dir, "documents"), rate=100, spm=50, seed=7)
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(restore_middle(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: ASCII white space; words are the maximal runs of anything else.
@@ -61,3 +65,47 @@ def maybe_among(rows: DataFrame, keys: list[str], filter_map: DataFrame, bits: i
     byte = F.conv(F.hex(F.substring(F.col("_bits"), (place / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     found = F.coalesce(F.getbit(byte, (place % 8).cast("int")) == 1, F.lit(False))
     return marked.withColumn(name, found).select(*rows.columns, name)
+
+
+def parts(batches: Iterator[pa.RecordBatch], chars: int, column: str = "_text") -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Slices of Arrow batches with their texts: about ``chars`` characters, or one text if that is longer."""
+    for batch in batches:
+        texts: list[str | None] = []
+        begin = size = 0
+        for k, value in enumerate(batch.column(column)):
+            texts.append(value.as_py())
+            size += len(texts[-1] or "")
+            if size >= chars or k == batch.num_rows - 1:
+                yield batch.slice(begin, k + 1 - begin), texts
+                begin, size, texts = k + 1, 0, []
+
+
+def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
+    """``bits`` bits, set at the low bits of the 64-bit keys in the one column of ``keys``.
+
+    ``bits`` is a power of two; the size does not depend on the number of keys, so it may pass the driver.
+    """
+    slot = F.col(keys.columns[0]).bitwiseAND(bits - 1)
+    maps = keys.select(slot.alias("_slot")).groupBy(F.expr(f"_slot div {_BITS_PER_MAP}").alias("_map")).agg(
+        F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits")
+    )
+    held = np.zeros(bits // 8, "uint8")
+    for row in maps.toLocalIterator():
+        at = row["_map"] * (_BITS_PER_MAP // 8)
+        held[at : at + _BITS_PER_MAP // 8] = np.frombuffer(row["_bits"], "uint8")
+    return held
+
+
+def in_bit_map(held: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which 64-bit keys may be in the bit map; false is certain."""
+    slot = (keys.view("uint64") & np.uint64(8 * len(held) - 1)).astype("int64")
+    return (held[slot >> 3] >> (slot & 7).astype("uint8")) & 1 > 0
+
+
+def discard(table: DataFrame) -> None:
+    """Delete the files of a written hand-off after its last reader has run."""
+    spark = table.sparkSession
+    files = table.inputFiles()
+    if files:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
