@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from defectflow.llm import byte_bpe
 from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
 from defectflow.llm.exact_dedup import exact_dedup
@@ -164,3 +165,13 @@ def op13(spark, sf_dir):
         "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
         F.sha2(restore_middle(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query("op11_byte_bpe")
+def op11(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    coded = byte_bpe.encode(docs.withColumn("text", whole(F.col("text"))))
+    return byte_bpe.decode(coded, keep=["doc_id", "ids"]).select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.packed_ids("ids"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
