@@ -19,8 +19,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 _BATCH_CHARS = 1 << 22
 _REPLAY_BYTES = 1 << 21  # of distinct pieces merged together
-_CACHED_PIECES = 1 << 18
+_CACHED_PIECES = 1 << 19
 _CACHED_BYTES = 64  # longer pieces are not remembered
+_FEW = 16  # places merged one by one
+_NONE = 1 << 30  # stands for no token
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -38,17 +40,27 @@ class MergeReplay:
         missing = [b for b in range(256) if bytes([b]) not in ranks]
         if missing:
             raise ValueError(f"the vocabulary lacks the bytes {missing[:5]}")
-        self.first = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}  # two tokens to the token that they make together
+        self.first = np.array([ranks[bytes([b])] for b in range(256)], "int32")
+        self.pairs: dict[int, int] = {}  # two tokens to the token that they make together
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
-                    self.pairs[left, right] = rank
-
-    def encode(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of every piece; one that is a token itself is left whole."""
-        out: list[list[int] | None] = [[self.ranks[p]] if p in self.ranks else None for p in pieces]
+                    self.pairs[left << 32 | right] = rank
+        keys = np.array(sorted(self.pairs), "int64")
+        self._keys = np.append(keys, -1)
+        self._made = np.array([*map(self.pairs.get, keys.tolist()), _NONE], "int32")
+
+    def _make(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The token that each pair makes, or ``_NONE``; tokens below 0 make none."""
+        key = left.astype("int64") << 32 | right
+        at = np.searchsorted(self._keys[:-1], key)
+        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._made[at], _NONE)
+
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece as 32-bit integers; a piece that is a token itself is left whole."""
+        ranks = self.ranks
+        out: list[bytes | None] = [ranks[p].to_bytes(4, "little") if p in ranks else None for p in pieces]
         open_ = [k for k, ids in enumerate(out) if ids is None]
         begin = size = 0
         for k, at in enumerate(open_):
@@ -60,60 +72,119 @@ class MergeReplay:
                 begin, size = k + 1, 0
         return out
 
-    def _replay(self, pieces: list[bytes]) -> list[list[int]]:
+    def _replay(self, pieces: list[bytes]) -> list[bytes]:
         """One inverted index for all pieces: from the token that a pair makes to the places of such pairs.
 
         Ranks are taken in order from a heap. A merge unlinks one place, and only the
         pairs with its two neighbours are looked up and put into the index again.
         """
-        first, pairs = self.first, self.pairs
-        token: list[int] = []
-        for piece in pieces:
-            token += [first[b] for b in piece]
-            token.append(-1)  # pairs never reach over the end of a piece
-        size = len(token)
-        after, before = list(range(1, size + 1)), list(range(-1, size - 1))
-        index: dict[int, list[int]] = {}
-        for at in range(size - 1):
-            made = pairs.get((token[at], token[at + 1]))
-            if made is not None:
-                index.setdefault(made, []).append(at)
-        queue = list(index)
-        heapq.heapify(queue)
-        while queue:
-            rank = heapq.heappop(queue)
-            places = index.pop(rank)
-            places.sort()
-            for k, at in enumerate(places):
-                follower = after[at]
-                if token[at] == -2 or pairs.get((token[at], token[follower])) != rank:
-                    continue  # a neighbour has been merged meanwhile
-                token[at], token[follower] = rank, -2
-                follower = after[at] = after[follower]
-                before[follower] = at
-                earlier = False
-                for left, right in ((before[at], at), (at, follower)):
-                    made = pairs.get((token[left], token[right])) if left >= 0 else None
-                    if made is not None:
+        data = np.frombuffer(b"".join(pieces), "uint8")
+        ends = np.cumsum([len(p) + 1 for p in pieces])
+        size = int(ends[-1])
+        inside = np.ones(size, bool)
+        inside[ends - 1] = False
+        token = np.full(size + 1, -1, "int32")  # pairs never reach over the end of a piece
+        token[:-1][inside] = self.first[data]
+        after, before = np.arange(1, size + 2), np.arange(-1, size)
+        makes = np.full(size + 1, _NONE, "int32")
+        makes[:-1] = self._make(token[:-1], token[1:])
+        state = _Index(token, after, before, makes)
+        state.add(np.flatnonzero(makes != _NONE))
+        while state.queue:
+            rank, places = state.take()
+            if len(places) < _FEW or not self._merge_all(state, rank, places):
+                self._merge_each(state, rank, places.tolist())
+        ids = token[token >= -1][:-1]
+        cuts = 4 * np.flatnonzero(ids == -1)
+        packed = ids.astype("<i4").tobytes()
+        return [packed[a:b] for a, b in zip([0, *(cuts[:-1] + 4).tolist()], cuts.tolist(), strict=True)]
+
+    def _merge_all(self, state: _Index, rank: int, places: np.ndarray) -> bool:
+        """Merge all places of a rank at once; refuse where a merge opens an earlier rank."""
+        token, after, before, makes = state.token, state.after, state.before, state.makes
+        chained = np.concatenate(([False], after[places[:-1]] == places[1:]))  # overlaps its left neighbour: a run takes every other
+        if chained.any():
+            count = np.arange(len(places))
+            places = places[(count - np.maximum.accumulate(np.where(chained, 0, count))) % 2 == 0]
+        follower = after[places]
+        right, left = after[follower], before[places]
+        merged = np.full(len(places), rank, "int32")
+        beside = np.concatenate(([False], right[:-1] == places[1:]))  # its left neighbour is merged as well
+        made_right = self._make(merged, token[right])
+        made_left = np.where(left >= 0, self._make(np.where(beside, rank, token[left]), merged), _NONE)
+        left = np.where(beside, np.roll(places, 1), left)
+        if min(made_right.min(), made_left.min()) < rank:
+            return False
+        token[places], token[follower] = rank, -2
+        after[places], before[right] = right, places
+        makes[follower] = _NONE
+        makes[places] = made_right
+        inner = left >= 0
+        makes[left[inner]] = made_left[inner]
+        changed = np.concatenate((places, left[inner & ~beside]))
+        state.add(changed[makes[changed] != _NONE])
+        return True
+
+    def _merge_each(self, state: _Index, rank: int, places: list[int]) -> None:
+        """Merge the places of a rank one after the other; an earlier rank that becomes possible goes first."""
+        token, after, before, makes = state.views
+        pairs, index = self.pairs, state.index
+        for k, at in enumerate(places):
+            if makes[at] != rank:
+                continue  # its right neighbour has just been merged with the one before
+            follower = after[at]
+            token[at], token[follower], makes[follower] = rank, -2, _NONE
+            follower = after[at] = after[follower]
+            before[follower] = at
+            earlier = False
+            for left, right in ((before[at], at), (at, follower)):
+                if left >= 0:
+                    a, b = token[left], token[right]
+                    made = pairs.get(a << 32 | b, _NONE) if a >= 0 and b >= 0 else _NONE
+                    makes[left] = made
+                    if made != _NONE:
                         if made in index:
                             index[made].append(left)
                         else:
                             index[made] = [left]
-                            heapq.heappush(queue, made)
+                            heapq.heappush(state.queue, made)
                         earlier |= made < rank
-                if earlier and k + 1 < len(places):  # an earlier merge has become possible: it goes first
-                    if rank not in index:
-                        heapq.heappush(queue, rank)
-                    index[rank] = index.get(rank, []) + places[k + 1 :]
-                    break
-        out, ids = [], []
-        for t in token:
-            if t >= 0:
-                ids.append(t)
-            elif t == -1:
-                out.append(ids)
-                ids = []
-        return out
+            if earlier and k + 1 < len(places):
+                if rank not in index:
+                    heapq.heappush(state.queue, rank)
+                index.setdefault(rank, []).extend(places[k + 1 :])
+                break
+
+
+class _Index:
+    """The linked symbols of all pieces, and the places of pairs by the token that they make."""
+
+    def __init__(self, token: np.ndarray, after: np.ndarray, before: np.ndarray, makes: np.ndarray):
+        self.token, self.after, self.before, self.makes = token, after, before, makes
+        self.views = [memoryview(x) for x in (token, after, before, makes)]
+        self.index: dict[int, list] = {}
+        self.queue: list[int] = []
+
+    def add(self, places: np.ndarray) -> None:
+        made = self.makes[places]
+        order = np.argsort(made, kind="stable")
+        places, made = places[order], made[order]
+        starts = np.flatnonzero(np.concatenate(([True], made[1:] != made[:-1])))[: len(made)]
+        cuts = [*starts.tolist(), len(made)]
+        for k, rank in enumerate(made[starts].tolist()):
+            found = places[cuts[k] : cuts[k + 1]]
+            if rank in self.index:
+                self.index[rank].append(found)
+            else:
+                self.index[rank] = [found]
+                heapq.heappush(self.queue, rank)
+
+    def take(self) -> tuple[int, np.ndarray]:
+        """The least rank with its places that still make it, from left to right."""
+        rank = heapq.heappop(self.queue)
+        held = self.index.pop(rank)
+        places = np.unique(np.concatenate([np.atleast_1d(x) for x in held]) if len(held) > 1 else np.atleast_1d(held[0]))
+        return rank, places[self.makes[places] == rank]
 
 
 class Encoder:
@@ -132,8 +203,7 @@ class Encoder:
         if len(self.known) + len(new) > _CACHED_PIECES:  # keep what this batch uses
             self.known = {p: self.known[p] for p in used if p in self.known}
         known = self.known
-        coded = self.replay.encode([p.encode() for p in new])
-        known.update((p, np.array(ids, "<u4").tobytes()) for p, ids in zip(new, coded, strict=True))
+        known.update(zip(new, self.replay.encode([p.encode() for p in new]), strict=True))
         out = [b"".join([known[p] for p in pieces]) for pieces in split]
         for p in new:
             if len(p) > _CACHED_BYTES:
