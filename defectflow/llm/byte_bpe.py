@@ -6,6 +6,7 @@ import base64
 import heapq
 from collections.abc import Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,13 @@ from defectflow.llm.common import distinct_names, parts
 #: How the vocabulary's library cuts texts into pieces; fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-_BATCH_CHARS = 1 << 22
-_REPLAY_BYTES = 1 << 21  # of distinct pieces merged together
+_BATCH_CHARS = 1 << 20  # split at once
+_CORPUS_CHARS = 1 << 24  # of texts whose new pieces are merged together
+_CORPUS_PIECES = 1 << 18
+_REPLAY_BYTES = 1 << 21  # of distinct pieces under one index
 _CACHED_PIECES = 1 << 19
-_CACHED_BYTES = 64  # longer pieces are not remembered
+_CACHED_BYTES = 1 << 23
+_OUT_ROWS = 512  # of a batch of results
 _FEW = 16  # places merged one by one
 _NONE = 1 << 30  # stands for no token
 
@@ -187,28 +191,41 @@ class _Index:
         return rank, places[self.makes[places] == rank]
 
 
+class Pieces(dict):
+    """Numbers for pieces, in the order in which they are met."""
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = number = len(self)
+        return number
+
+
 class Encoder:
-    """Encodes batches of texts; remembers a bounded number of short pieces between batches."""
+    """Encodes texts; remembers a bounded number of pieces from one replay to the next."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
         self.pattern = regex.compile(pattern)
-        self.known: dict[str, bytes] = {}
+        self.number, self.ids = Pieces(), []
+
+    def split(self, text: str) -> np.ndarray:
+        """The numbers of the pieces of a text."""
+        return np.fromiter(map(self.number.__getitem__, self.pattern.findall(text)), "int32")
+
+    def waiting(self) -> int:
+        """How many pieces have no ids yet."""
+        return len(self.number) - len(self.ids)
+
+    def finish(self, split: list[np.ndarray]) -> list[bytes]:
+        """The ids of texts that have been split, as little-endian 32-bit integers; one replay for all new pieces."""
+        new = list(islice(self.number, len(self.ids), None))
+        self.ids += self.replay.encode([p.encode() for p in new])
+        out = [b"".join(map(self.ids.__getitem__, numbers.tolist())) for numbers in split]
+        if len(self.number) > _CACHED_PIECES or sum(map(len, new)) > _CACHED_BYTES:
+            self.number, self.ids = Pieces(), []
+        return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of every text as little-endian 32-bit integers."""
-        split = [self.pattern.findall(t) for t in texts]
-        used = {p for pieces in split for p in pieces}
-        new = [p for p in used if p not in self.known]
-        if len(self.known) + len(new) > _CACHED_PIECES:  # keep what this batch uses
-            self.known = {p: self.known[p] for p in used if p in self.known}
-        known = self.known
-        known.update(zip(new, self.replay.encode([p.encode() for p in new]), strict=True))
-        out = [b"".join([known[p] for p in pieces]) for pieces in split]
-        for p in new:
-            if len(p) > _CACHED_BYTES:
-                del known[p]
-        return out
+        return self.finish([self.split(t) for t in texts])
 
 
 @lru_cache(1)
@@ -223,36 +240,59 @@ def _shared(docs: DataFrame, path: str):
 
 def encode(
     docs: DataFrame, text_col: str = "text", keep: Sequence[str] = ("doc_id",), ranks_path: str = TOKENIZER,
-    pattern: str = PATTERN, ids_col: str = "ids",
+    pattern: str = PATTERN, ids_col: str = "ids", packed_col: str | None = None,
 ) -> DataFrame:
     """The ``keep`` columns with the token ``ids`` of every text, as the vocabulary's library gives them.
 
+    ``packed_col`` names a column for the ids as files hold them: little-endian
+    unsigned 32-bit integers, one after the other, null for null texts.
+
     Texts are cut into pieces by ``pattern``; no merge reaches over the end of a
-    piece, and a piece that is a token stays whole. The distinct pieces of a
-    batch are one corpus: an inverted index leads from each pair of tokens, by
+    piece, and a piece that is a token stays whole. The distinct pieces of many
+    texts are one corpus: an inverted index leads from each pair of tokens, by
     the token that they make, to all places where it stands, and merges are
     replayed over the whole corpus in the order of their ranks, leftmost first
     within a piece. After a merge only the two pairs next to it are indexed
     again. Special tokens are not known: their strings are ordinary text.
 
-    A narrow map. A task holds one batch of about four million characters, or one
-    text if that is longer. Null texts have null ids, empty ones an empty list;
-    repeated rows each get a row, an empty table none. The file of ranks is read
-    by the driver; executors get the vocabulary, whose size is fixed.
+    A narrow map. A corpus is what a task reads until it has sixteen million characters or
+    a quarter of a million new pieces; until then only the numbers of pieces are held, not the texts.
+    Null texts have null ids, empty ones an empty list; repeated rows each get a row, an
+    empty table none. The file of ranks is read by the driver; executors get the
+    vocabulary, whose size is fixed.
     """
-    distinct_names([*keep, ids_col])
+    added = [ids_col] if packed_col is None else [ids_col, packed_col]
+    distinct_names([*keep, *added])
     rows = docs.select(*keep, F.col(text_col).cast("string").alias("_text"))
-    schema = T.StructType([*rows.schema[:-1], T.StructField(ids_col, T.ArrayType(T.IntegerType()))])
+    fields = [T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    if packed_col is not None:
+        fields.append(T.StructField(packed_col, T.BinaryType()))
+    schema = T.StructType([*rows.schema[:-1], *fields])
     ranks = _shared(docs, ranks_path)
 
+    def finished(encoder, held):
+        coded = iter(encoder.finish([numbers for _, _, split in held for numbers in split]))
+        for columns, nulls, split in held:
+            mine = list(islice(coded, len(split)))
+            for begin in range(0, len(mine), _OUT_ROWS):
+                part, mask = mine[begin : begin + _OUT_ROWS], pa.array(nulls[begin : begin + _OUT_ROWS])
+                offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in part]))).astype("int32")
+                values = pa.array(np.frombuffer(b"".join(part), "<i4"))
+                arrays = [c.slice(begin, _OUT_ROWS) for c in columns] + [pa.ListArray.from_arrays(pa.array(offsets), values, mask=mask)]
+                if packed_col is not None:
+                    arrays.append(pa.array([None if n else c for c, n in zip(part, mask.to_pylist(), strict=True)], pa.binary()))
+                yield pa.RecordBatch.from_arrays(arrays, [*keep, *added])
+
     def run(batches):
         encoder = _encoder(ranks.value, pattern)
+        held, size = [], 0
         for part, texts in parts(batches, _BATCH_CHARS):
-            coded = encoder.encode([t or "" for t in texts])
-            offsets = np.concatenate(([0], np.cumsum([len(c) // 4 for c in coded]))).astype("int32")
-            values = pa.array(np.frombuffer(b"".join(coded), "<i4"))
-            ids = pa.ListArray.from_arrays(pa.array(offsets), values, mask=pa.array([t is None for t in texts]))
-            yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], [*keep, ids_col])
+            held.append((part.columns[:-1], [t is None for t in texts], [encoder.split(t or "") for t in texts]))
+            size += sum(len(t or "") for t in texts)
+            if size >= _CORPUS_CHARS or encoder.waiting() >= _CORPUS_PIECES:
+                yield from finished(encoder, held)
+                held, size = [], 0
+        yield from finished(encoder, held)
 
     return rows.mapInArrow(run, schema)
 
@@ -283,9 +323,3 @@ def decode(
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.binary())], [*keep, bytes_col])
 
     return rows.mapInArrow(run, schema)
-
-
-@F.arrow_udf(T.BinaryType())
-def packed_ids(ids: pa.Array) -> pa.Array:
-    """Ids as little-endian unsigned 32-bit integers, one after the other; null for null."""
-    return pa.array([np.asarray(x.values, "<i4").tobytes() if x.is_valid else None for x in ids], pa.binary())

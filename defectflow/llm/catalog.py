@@ -170,8 +170,7 @@ def op13(spark, sf_dir):
 @query("op11_byte_bpe")
 def op11(spark, sf_dir):
     docs = read(spark, sf_dir, "documents")
-    coded = byte_bpe.encode(docs.withColumn("text", whole(F.col("text"))))
-    return byte_bpe.decode(coded, keep=["doc_id", "ids"]).select(
-        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(byte_bpe.packed_ids("ids"), 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"),
-    )
+    coded = byte_bpe.encode(docs.withColumn("text", whole(F.col("text"))), packed_col="packed")
+    coded = coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2("packed", 256)})
+    texts = byte_bpe.decode(coded, keep=["doc_id", "n_tokens", "ids_sha256"])
+    return texts.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from cases import documents, prose
 from defectflow.llm import byte_bpe
-from defectflow.llm.byte_bpe import PATTERN, TOKENIZER, Encoder, MergeReplay, decode, encode, packed_ids, read_ranks
+from defectflow.llm.byte_bpe import PATTERN, TOKENIZER, Encoder, MergeReplay, decode, encode, read_ranks
 
 tiktoken = pytest.importorskip("tiktoken")
 if not os.path.exists(TOKENIZER):
@@ -82,7 +82,7 @@ def test_vocabularies_whose_ranks_are_out_of_order(seed):
 
 
 def test_small_batches_and_cache_do_not_matter(ranks, library, monkeypatch):
-    for name, value in (("_REPLAY_BYTES", 40), ("_CACHED_PIECES", 20), ("_CACHED_BYTES", 3)):
+    for name, value in (("_REPLAY_BYTES", 40), ("_CACHED_PIECES", 20)):
         monkeypatch.setattr(byte_bpe, name, value)
     fresh = Encoder(ranks, PATTERN)
     texts = [prose(i, 40) + " zqxj%d" % i for i in range(10)]
@@ -105,13 +105,28 @@ def test_round_trip_of_a_table(spark, library):
         encode(docs, keep=["doc_id", "ids"])
 
 
-def test_decoding_odd_ids_and_packing(spark):
+def test_decoding_odd_ids(spark):
     rows = [(1, [0, 1]), (2, [99_999]), (3, None), (4, []), (5, [50_255]), (6, [1, None])]
     coded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
     got = {r.doc_id: r.decoded for r in decode(coded).collect()}
     assert got[1] == b'!"' and got[2] is got[3] is got[6] is None and got[4] == b"" and got[5]
-    packed = {r.doc_id: r.p for r in coded.where("doc_id < 6").select("doc_id", packed_ids("ids").alias("p")).collect()}
-    assert packed[1] == b"\0\0\0\0\1\0\0\0" and packed[3] is None and packed[4] == b""
+
+
+def test_packed_ids_and_small_corpora(spark, library, monkeypatch):
+    docs = documents(spark)
+    for name, value in (("_BATCH_CHARS", 100), ("_CORPUS_CHARS", 300), ("_OUT_ROWS", 2)):
+        monkeypatch.setattr(byte_bpe, name, value)
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(byte_bpe)  # so that the tasks see the small sizes
+    try:
+        got = encode(docs, keep=["doc_id", "source", "text"], packed_col="packed").collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(byte_bpe)
+    assert len(got) == docs.count()
+    for r in got:
+        wanted = None if r.text is None else library.encode_ordinary(r.text)
+        assert r.ids == wanted and r.packed == (None if wanted is None else np.array(wanted, "<u4").tobytes())
 
 
 def test_digests_of_the_query(spark, tmp_path, library):
