@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from defectflow.llm import byte_bpe
 from defectflow.llm.chat import format_chats, loss_texts, read_chats
 from defectflow.llm.common import read, whole, without_spaces
+from defectflow.llm.divergence import source_divergence
 from defectflow.llm.exact_dedup import exact_dedup
 from defectflow.llm.fill_middle import fill_in_middle, restore_middle
 from defectflow.llm.html_text import extract_text
@@ -174,3 +175,45 @@ def op11(spark, sf_dir):
     coded = coded.withColumns({"n_tokens": F.size("ids").cast("long"), "ids_sha256": F.sha2("packed", 256)})
     texts = byte_bpe.decode(coded, keep=["doc_id", "n_tokens", "ids_sha256"])
     return texts.withColumn("decoded_sha256", F.sha2("decoded", 256)).drop("decoded")
+
+
+@query("op12_source_divergence", r"""
+WITH t AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS doc,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), w AS (
+  SELECT lang, source, doc, unnest(terms) AS term FROM t
+), kept AS (
+  SELECT lang, term FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 10
+), v AS (
+  SELECT g.lang, count(term) AS terms FROM (SELECT DISTINCT lang FROM t) g LEFT JOIN kept USING (lang) GROUP BY g.lang
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), n AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang, source FROM t) g
+  LEFT JOIN c USING (lang, source) GROUP BY g.lang, g.source
+), p AS (
+  SELECT n.lang, n.source, term, coalesce(n, 0) AS n,
+    (1 + 1000000000::HUGEINT * (coalesce(n, 0) + 2) // (total + 2 * terms))::BIGINT AS p
+  FROM n JOIN v USING (lang) JOIN kept USING (lang) LEFT JOIN c USING (lang, source, term)
+), q AS (
+  SELECT lang, term, (1 + 1000000000::HUGEINT * (n + 2) // (total + 2 * terms))::BIGINT AS q FROM
+    (SELECT lang, term, sum(n) AS n FROM p GROUP BY lang, term) JOIN
+    (SELECT lang, sum(total) AS total FROM n GROUP BY lang) USING (lang) JOIN v USING (lang)
+), apart AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pairs AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+  FROM n a JOIN n b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN apart ON apart.lang = a.lang AND apart.source = a.source AND apart.item = b.source
+), near AS (
+  SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // (p + q))::BIGINT AS value
+  FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+)
+SELECT lang, source, part, item, value, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank
+FROM (SELECT * FROM pairs UNION ALL SELECT * FROM near) QUALIFY part = 'pair' OR rank <= 10
+""")
+def op12(spark, sf_dir):
+    return source_divergence(read(spark, sf_dir, "documents"))

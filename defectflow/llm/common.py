@@ -90,7 +90,7 @@ def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
         F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits")
     )
     held = np.zeros(bits // 8, "uint8")
-    for row in maps.toLocalIterator():
+    for row in maps.collect():  # 4 KB each, no more than the bits need
         at = row["_map"] * (_BITS_PER_MAP // 8)
         held[at : at + _BITS_PER_MAP // 8] = np.frombuffer(row["_bits"], "uint8")
     return held

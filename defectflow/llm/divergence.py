@@ -45,7 +45,7 @@ def _postings(docs: DataFrame) -> DataFrame:
             if rows:
                 lang, source, terms, term, doc, n = zip(*rows, strict=True)
                 counts = [pa.array([x.astype("int32") for x in c], pa.list_(pa.int32())) for c in (term, doc, n)]
-                arrays = [pa.array(lang), pa.array(source, pa.list_(pa.string())), pa.array(terms, pa.binary()), *counts]
+                arrays = [pa.array(lang, pa.string()), pa.array(source, pa.list_(pa.string())), pa.array(terms, pa.binary()), *counts]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", "term", "doc", "n"])
 
     return docs.mapInArrow(index, _POSTINGS)
@@ -94,7 +94,7 @@ def _refine(postings: DataFrame, length: int, before: int, alive) -> DataFrame:
             n = np.bincount(pair // docs, minlength=len(marked))
             prefixes = [m[:length] for m in marked]
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(n)), pa.array(prefixes, pa.binary()), pa.array([len(m) > length for m in marked]),
+                pa.array([lang] * len(n), pa.string()), pa.array(prefixes, pa.binary()), pa.array([len(m) > length for m in marked]),
                 pa.array(_keys(lang, prefixes)), pa.array(n, pa.int64()),
             ], ["lang", "prefix", "open", "key", "docs"])
 
@@ -143,7 +143,7 @@ def _counts(postings: DataFrame, kept: DataFrame) -> DataFrame:
             pair, place = np.unique(pair, return_inverse=True)
             sums = np.bincount(place, n[at], len(pair)).astype("int64")
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(pair)), pa.array(names[pair % len(names)], pa.string()),
+                pa.array([lang] * len(pair), pa.string()), pa.array(names[pair % len(names)], pa.string()),
                 pa.array([terms[k] for k in (pair // len(names)).tolist()], pa.binary()), pa.array(sums),
             ], ["lang", "source", "term", "n"])
 
@@ -193,7 +193,7 @@ def _both(batches):
                     sums[k, k + 1 :] += change.sum(axis=0)
             a, b = np.triu_indices(len(names), 1)
             yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(a)), pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(sums[a, b]),
+                pa.array([lang] * len(a), pa.string()), pa.array(names[a], pa.string()), pa.array(names[b], pa.string()), pa.array(sums[a, b]),
             ], ["lang", "source", "item", "value"])
 
 
