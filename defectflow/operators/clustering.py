@@ -1,11 +1,9 @@
 """Topic discovery: hierarchical clustering by a method that the caller names.
 
-``exact`` builds Ward's tree of the distinct vectors: in every round the
-executors find each cluster's nearest partner, and pairs that are nearest to each
-other are merged, which gives the same tree as one merge at a time. The work is
-quadratic in the distinct vectors. ``micro`` condenses the rows to a stated number
-of k-means cells and builds the tree of the cells, with any linkage; its work is
-linear. The number of rows never picks the method.
+``exact`` builds the tree of the distinct vectors on the executors, with any
+linkage (``agglomeration.py``). The work is quadratic in the distinct vectors.
+``micro`` condenses the rows to a stated number of k-means cells and builds the
+tree of the cells; its work is linear. The number of rows never picks the method.
 """
 
 from __future__ import annotations
@@ -18,58 +16,23 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from defectflow.functions.vectors import scatter, to_matrix
+from defectflow.operators.agglomeration import LINKAGES, distance_matrix, merge_matrix, merge_tree, vector_hash
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, top_per_group
 from defectflow.operators.sums import vector_means, vector_sums
 from defectflow.operators.topics import Centroids, nearest_rows
 from defectflow.session import write_and_reread
 
-LINKAGES = ("ward", "average", "complete")
 METHODS = ("exact", "micro")
 
 
 def _merge_tree(means: np.ndarray, sizes: np.ndarray, linkage: str) -> list[tuple[int, int, float, int]]:
-    """Merge history of a bounded number of summaries, by distance updates.
-
-    Entry ``t`` joins two clusters into cluster ``m + t``. Each row keeps its
-    nearest partner, so a merge touches one row and the rows that pointed at it.
-    """
-    m = len(means)
-    size = sizes.astype(float)
-    gap = np.stack([np.sqrt(((means - row) ** 2).sum(axis=1)) for row in means])
-    if linkage == "ward":
-        gap = gap * np.sqrt(2.0 * size[:, None] * size[None, :] / (size[:, None] + size[None, :]))
-    np.fill_diagonal(gap, np.inf)
-    partner, best = gap.argmin(axis=1), gap.min(axis=1)
-    name, history = np.arange(m), []
-    for step in range(m - 1):
-        i = int(best.argmin())
-        i, j = sorted((i, int(partner[i])))
-        height, a, b = gap[i, j], gap[i].copy(), gap[j].copy()
-        live = np.isfinite(a) & np.isfinite(b)
-        row = np.full(m, np.inf)
-        if linkage == "ward":
-            near, far = (size[i] + size[live]) * a[live] ** 2, (size[j] + size[live]) * b[live] ** 2
-            row[live] = np.sqrt((near + far - size[live] * height**2) / (size[i] + size[j] + size[live]))
-        elif linkage == "average":
-            row[live] = (size[i] * a[live] + size[j] * b[live]) / (size[i] + size[j])
-        else:
-            row[live] = np.maximum(a[live], b[live])
-        size[i] += size[j]
-        history.append((int(name[i]), int(name[j]), float(height), int(size[i])))
-        name[i] = m + step
-        gap[i], gap[:, i] = row, row
-        gap[j], gap[:, j] = np.inf, np.inf
-        best[j] = np.inf
-        closer = row < best
-        best[closer], partner[closer] = row[closer], i
-        for k in np.flatnonzero(live & np.isin(partner, (i, j)) & ~closer):
-            partner[k], best[k] = gap[k].argmin(), gap[k].min()
-        partner[i], best[i] = gap[i].argmin(), gap[i].min()
-    return history
+    """Merge history of a bounded number of cells."""
+    sizes = sizes.astype(float)
+    return merge_matrix(distance_matrix(means, sizes, linkage), sizes, linkage)
 
 
 @dataclass
@@ -135,7 +98,7 @@ def _cells(usable: DataFrame, cells: int, seed: int, max_iter: int, tol: float):
     With no more distinct vectors than cells, each is a cell, as k-means would
     have it.
     """
-    distinct = usable.groupBy(_vector_hash(F.col("v")).alias("h")).agg(F.first("v").alias("v"))
+    distinct = usable.groupBy(vector_hash(F.col("v")).alias("h")).agg(F.first("v").alias("v"))
     few = bounded_table(distinct.select("v"), cells)
     if few is not None:
         centers, _ = to_matrix(few.column("v").combine_chunks())
@@ -162,16 +125,16 @@ def topic_tree(df: DataFrame, identifier: str, vector: str, method: str, cells:
 
     ``method`` is ``"exact"`` or ``"micro"``; the latter needs ``cells``, the number
     of k-means cells that stand for the rows and are merged by the driver.
-    ``exact`` knows Ward's linkage only; its ``last`` clusters are merged by the
-    driver, which shortens the rounds of few clusters and changes no result.
+    The ``last`` clusters of ``exact`` are merged by the driver, which shortens the
+    rounds of few clusters and changes no result.
     """
     if method == "micro":
         return topic_trees(df, identifier, vector, cells, (linkage,), seed, weight, max_iter, tol)[linkage]
     if method != "exact":
         raise ValueError(f"method must be one of {METHODS}")
-    if linkage != "ward" or cells is not None:
-        raise ValueError("the exact method has Ward's linkage and no cells")
-    return WardTree.build(_usable(df, identifier, vector, weight), last)
+    if linkage not in LINKAGES or cells is not None:
+        raise ValueError("the exact method has no cells, and one of the known linkages")
+    return merge_tree(_usable(df, identifier, vector, weight), linkage, last)
 
 
 def topic_trees(df: DataFrame, identifier: str, vector: str, cells: int, linkages=LINKAGES, seed: int = 42,
@@ -186,131 +149,6 @@ def topic_trees(df: DataFrame, identifier: str, vector: str, cells: int, linkage
     return {name: TopicTree(model, sizes, first_ids, _merge_tree(model.matrix, sizes, name)) for name in linkages}
 
 
-def _vector_hash(vector: Column) -> Column:
-    return F.when(vector.isNotNull(), F.sha2(F.to_json(F.struct(vector.cast("array<double>").alias("v"))), 256))
-
-
-def _nearest_of_block(keys, x, sizes, other, y, other_sizes):
-    """Each left cluster's nearest right cluster by Ward's cost; of equals the one with the lowest number."""
-    order = np.argsort(other)
-    other, y, mass = other[order], y[order], other_sizes[order].astype(float)
-    height, partner = np.empty(len(keys)), np.empty(len(keys), dtype="int64")
-    for i, row in enumerate(x):
-        own = float(sizes[i])
-        gap = np.sqrt(((y - row) ** 2).sum(axis=1)) * np.sqrt(2.0 * own * mass / (own + mass))
-        gap[other == keys[i]] = np.inf
-        best = int(gap.argmin())
-        height[i], partner[i] = gap[best], other[best]
-    return {"c": keys, "height": height, "low": np.minimum(keys, partner), "high": np.maximum(keys, partner)}
-
-
-@dataclass
-class WardTree:
-    """Ward's tree of distinct vectors as tables.
-
-    ``leaves`` has ``hash, c``: every distinct vector and its number, in the order
-    of first ids; a cluster goes by the lowest number in it. ``merges`` has
-    ``step, low, high, height, size``, ordered by height.
-    """
-
-    leaves: DataFrame
-    merges: DataFrame
-    n: int
-
-    @classmethod
-    def build(cls, usable: DataFrame, last: int) -> "WardTree":
-        spark = usable.sparkSession
-        distinct = usable.groupBy(_vector_hash(F.col("v")).alias("hash")).agg(
-            F.first("v").alias("mean"), F.sum("w").alias("size"), F.min("id").alias("first")
-        )
-        numbered = distinct.withColumn("c", F.row_number().over(Window.orderBy("first", "hash")).cast("long") - 1)
-        leaves = write_and_reread(numbered.select("hash", "c", "mean", "size"), "ward-leaves")
-        clusters, left = leaves.select("c", "mean", "size"), leaves.count()
-        n, rounds = left, []
-        while left > max(last, 1):
-            keyed = clusters.select(F.col("c").alias("key"), F.col("mean").alias("vector"), F.col("size").alias("tag"))
-            found = pair_blocks(keyed, keyed, _nearest_of_block, "c long, height double, low long, high long")
-            best = found.groupBy("c").agg(F.min(F.struct("height", "low", "high")).alias("e")).select("e.*")
-            mutual = best.groupBy("low", "high").agg(F.first("height").alias("height"), F.count("*").alias("k")).where("k = 2")
-            a = clusters.select(F.col("c").alias("low"), F.col("mean").alias("x"), F.col("size").alias("s"))
-            b = clusters.select(F.col("c").alias("high"), F.col("mean").alias("y"), F.col("size").alias("t"))
-            merged = write_and_reread(mutual.drop("k").join(a, "low").join(b, "high"), "ward-round")
-            rounds.append(merged.select(
-                F.lit(len(rounds)).alias("round"), "low", "high", "height", (F.col("s") + F.col("t")).alias("size")
-            ))
-            gone = merged.select(F.explode(F.array("low", "high")).alias("c"))
-            mean = F.zip_with("x", "y", lambda p, q: (p * F.col("s") + q * F.col("t")) / (F.col("s") + F.col("t")))
-            clusters = write_and_reread(clusters.join(gone, "c", "left_anti").unionByName(merged.select(
-                F.col("low").alias("c"), mean.alias("mean"), (F.col("s") + F.col("t")).alias("size")
-            )), "ward-clusters")
-            left = clusters.count()
-        table = clusters.toArrow().sort_by("c").combine_chunks()  # at most ``last`` rows
-        schema = "round int, low long, high long, height double, size double"
-        rest = []
-        if table.num_rows > 1:
-            names = table["c"].to_pylist()
-            means, _ = to_matrix(table["mean"].combine_chunks())
-            for x, y, height, _ in _merge_tree(means, table["size"].to_numpy(), "ward"):
-                low, high = sorted((names[x], names[y]))
-                names.append(low)
-                rest.append((len(rounds) + len(rest), low, high, height, 0.0))
-            sizes = dict(zip(table["c"].to_pylist(), table["size"].to_pylist()))
-            for i, (r, low, high, height, _) in enumerate(rest):
-                sizes[low] += sizes[high]
-                rest[i] = (r, low, high, height, sizes[low])
-        history = spark.createDataFrame(rest, schema)
-        for one in rounds:
-            history = history.unionByName(one)
-        step = F.row_number().over(Window.orderBy("height", "round", "low")).cast("int") - 1
-        merges = write_and_reread(history.withColumn("step", step), "ward-merges")
-        return cls(leaves.select("hash", "c"), merges, n)
-
-    def merge_table(self, spark=None) -> DataFrame:
-        """``(step, left, right, distance, size)``, one row per merge; step ``t`` makes cluster ``n + t``."""
-        before = Window.partitionBy("low").orderBy("step")
-        left = self.merges.withColumn("left", F.coalesce(self.n + F.lag("step").over(before), F.col("low")))
-        made = self.merges.groupBy(F.col("low").alias("high")).agg(F.max("step").alias("_made"))
-        return left.join(made, "high", "left").select(
-            "step", F.col("left").cast("int").alias("left"),
-            F.coalesce(self.n + F.col("_made"), F.col("high")).cast("int").alias("right"),
-            F.col("height").alias("distance"), F.col("size").cast("long").alias("size"),
-        )
-
-    def label(self, df: DataFrame, vector: str, ks: list[int], output: str) -> DataFrame:
-        """Add the clusters of a vector column at every ``k``, as an array, numbered by smallest member.
-
-        The leaves are led to the clusters of the largest ``k`` by pointer jumping;
-        coarser cuts follow from the last merges, fewer than that ``k``.
-        """
-        most = min(max(ks), self.n)
-        jumps = self.merges.where(F.col("step") < self.n - most).select(F.col("high").alias("c"), F.col("low").alias("root"))
-        jumps = write_and_reread(jumps, "ward-jumps")
-        while True:
-            onward = jumps.select(F.col("c").alias("root"), F.col("root").alias("next"))
-            moved = write_and_reread(
-                jumps.join(onward, "root", "left").select("c", F.coalesce("next", "root").alias("root"),
-                                                          F.col("next").isNotNull().alias("moved")), "ward-jumps")
-            jumps = moved.select("c", "root")
-            if not moved.where("moved").limit(1).count():
-                break
-        top = self.merges.where(F.col("step") >= self.n - most).orderBy("step").select("low", "high").collect()
-        held = self.leaves.select("c").join(jumps.select("c"), "c", "left_anti")
-        roots = sorted(r.c for r in held.collect())  # at most the largest k
-        table = {r: [] for r in roots}
-        for k in ks:
-            parent = dict(zip(roots, roots))
-            for merge in top[: max(most - k, 0)]:
-                parent = {r: merge.low if p == merge.high else p for r, p in parent.items()}
-            number = {p: i for i, p in enumerate(sorted(set(parent.values())))}
-            for r in roots:
-                table[r].append(number[parent[r]])
-        labels = df.sparkSession.createDataFrame(list(table.items()), "root long, labels array<int>")
-        led = self.leaves.join(jumps, "c", "left").select("hash", F.coalesce("root", "c").alias("root"))
-        led = write_and_reread(led.join(labels, "root").select(F.col("hash").alias("_hash"), F.col("labels").alias(output)),
-                               "ward-labels")
-        return df.withColumn("_hash", _vector_hash(F.col(vector))).join(led, "_hash", "left").drop("_hash")
-
-
 def ward_cluster(df: DataFrame, identifier: str, vector: str, k: int = 7, method: str = "exact",
                  cells: int | None = None, seed: int = 42) -> DataFrame:
     """Add ``cluster``: Ward clustering into ``k`` groups."""
@@ -318,13 +156,21 @@ def ward_cluster(df: DataFrame, identifier: str, vector: str, k: int = 7, method
     return tree.label(df, vector, [k], "cluster").withColumn("cluster", F.col("cluster")[0])
 
 
-def linkage_compare(df: DataFrame, identifier: str, vector: str, cells: int, k: int = 7) -> DataFrame:
-    """Cluster sizes under each linkage of k-means cells: ``(linkage, cluster, size)``."""
-    rows = []
-    for name, tree in topic_trees(df, identifier, vector, cells).items():
-        sizes = np.bincount(tree.cut(k), weights=tree.sizes)
-        rows += [(name, i, int(n)) for i, n in enumerate(sizes)]
-    return df.sparkSession.createDataFrame(rows, "linkage string, cluster int, size long")
+def linkage_compare(df: DataFrame, identifier: str, vector: str, k: int = 7, method: str = "exact",
+                    cells: int | None = None) -> DataFrame:
+    """Cluster sizes under each linkage: ``(linkage, cluster, size)``; ``cells`` are those of the method ``micro``."""
+    if method == "micro":
+        rows = []
+        for name, tree in topic_trees(df, identifier, vector, cells).items():
+            sizes = np.bincount(tree.cut(k), weights=tree.sizes)
+            rows += [(name, i, int(n)) for i, n in enumerate(sizes)]
+        return df.sparkSession.createDataFrame(rows, "linkage string, cluster int, size long")
+    parts = [
+        topic_tree(df, identifier, vector, method, cells, linkage).leaf_labels([k])
+        .groupBy(F.lit(linkage).alias("linkage"), F.col("labels")[0].alias("cluster")).agg(F.sum("size").cast("long").alias("size"))
+        for linkage in LINKAGES
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
 def last_merges(merges: DataFrame, n: int = 30) -> DataFrame:

@@ -157,7 +157,7 @@ def ward_cluster(spark, sf_dir):
 
 @query("linkage_compare")
 def linkage_compare(spark, sf_dir):
-    return cl.linkage_compare(embeddings(spark, sf_dir), "vec_id", "embedding", cells=256, k=7)
+    return cl.linkage_compare(embeddings(spark, sf_dir), "vec_id", "embedding", k=7)
 
 
 @query("merge_table")

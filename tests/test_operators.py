@@ -223,12 +223,12 @@ def test_trees_match_plain_agglomeration(spark, linkage):
     assert merges.orderBy(F.desc("step")).first()["size"] == 45
 
 
-@pytest.mark.parametrize("last", [1, 12, 256])
-def test_exact_method_matches_plain_agglomeration(spark, last):
+@pytest.mark.parametrize("linkage, last", [("ward", 1), ("ward", 12), ("ward", 256), ("average", 1), ("average", 20), ("complete", 3)])
+def test_exact_method_matches_plain_agglomeration(spark, linkage, last):
     points = np.concatenate([cloud(45), cloud(45)[:6]])  # six points occur twice
     df = vectors(spark, points)
-    tree = cl.topic_tree(df, "id", "v", "exact", last=last)
-    cut, heights = agglomerate(points, "ward", 7)
+    tree = cl.topic_tree(df, "id", "v", "exact", linkage=linkage, last=last)
+    cut, heights = agglomerate(points, linkage, 7)
     merges = tree.merge_table().orderBy("step").collect()
     assert [m.distance for m in merges] == pytest.approx([h for h in heights if h > 1e-9])
     assert [m.step for m in merges] == list(range(44)) and merges[-1]["size"] == 51
@@ -242,7 +242,7 @@ def test_exact_method_matches_plain_agglomeration(spark, last):
 
 def test_method_is_the_callers_choice(spark):
     df = vectors(spark, cloud(30))
-    for bad in ({"method": "exact", "cells": 5}, {"method": "micro"}, {"method": "fast"}, {"method": "exact", "linkage": "average"}):
+    for bad in ({"method": "exact", "cells": 5}, {"method": "micro"}, {"method": "fast"}, {"method": "exact", "linkage": "single"}):
         with pytest.raises(ValueError):
             cl.topic_tree(df, "id", "v", **bad)
     nulls = df.withColumn("v", F.when(F.col("id") > 3, F.col("v")))
