@@ -120,7 +120,7 @@ def _cells(usable: DataFrame, cells: int, seed: int, max_iter: int, tol: float):
 
 def topic_tree(df: DataFrame, identifier: str, vector: str, method: str, cells: int | None = None,
                linkage: str = "ward", seed: int = 42, weight: str | None = None, max_iter: int = 100,
-               tol: float = 1e-6, last: int = 256):
+               tol: float = 1e-6, last: int = 1_024):
     """Build the merge tree of a table of vectors; ``weight`` counts copies of a row.
 
     ``method`` is ``"exact"`` or ``"micro"``; the latter needs ``cells``, the number
