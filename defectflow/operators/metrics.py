@@ -18,6 +18,8 @@ from pyspark.sql.window import Window
 
 from defectflow.functions.stemming import stem_tokens
 from defectflow.functions.text import letter_tokens, ngrams, score_tokens
+from defectflow.operators.providers import apply_distinct
+from defectflow.session import write_and_reread
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -37,8 +39,7 @@ def rouge_n(pairs: DataFrame, key: list[str], prediction: str, reference: str, n
             stemmer: bool = True) -> DataFrame:
     """N-gram overlap: ``key, precision, recall, f1``. No shuffle.
 
-    The stemmer follows Porter's published rules; scorers with rules of their own
-    differ in a few words.
+    The stemmer follows Porter's rules with the additions that scorers use.
     """
     # Tokens are a column of their own: array lambdas cannot hold the stemmer.
     tokens = pairs.select(
@@ -177,7 +178,7 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
         for i in range(len(a)):
             p, pw = p_all[p_ends[i]:p_ends[i + 1]], p_weight[p_ends[i]:p_ends[i + 1]]
             r, rw = r_all[r_ends[i]:r_ends[i + 1]], r_weight[r_ends[i]:r_ends[i + 1]]
-            if not len(p) or not len(r):
+            if not pw.sum() or not rw.sum():
                 continue
             best_p, best_r = np.empty(len(p)), np.full(len(r), -np.inf)
             for start in range(0, len(p), 1_024):
@@ -244,6 +245,55 @@ def bertscore(pairs: DataFrame, key: list[str], prediction: str, reference: str,
     return scored.select(*key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
 
 
+def inverse_frequencies(texts: DataFrame, tokens: str) -> DataFrame:
+    """``token, weight``: ``log((N + 1) / (d + 1))`` for a token in ``d`` of ``N`` texts."""
+    held = texts.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("_d"))
+    total = texts.agg(F.count(F.lit(1)).alias("_n"))
+    return held.join(total).select("token", F.log((F.col("_n") + 1) / (F.col("_d") + 1)).alias("weight"))
+
+
+def contextual_scores(pairs: DataFrame, key: list[str], prediction: str, reference: str, factory: Callable,
+                      weights: DataFrame | None = None, batch: int = 32, cache: str | None = None, model: str | None = None,
+                      **options) -> DataFrame:
+    """``bertscore`` with vectors that depend on the whole text: ``key, precision, recall, f1``.
+
+    The model maps a list of texts to a list of token lists, each token a pair of
+    its form and its vector, as many as the text has. It runs once for each distinct text
+    (``cache`` and ``model`` as in ``embed_text``). ``weights(token, weight)`` weighs tokens, for
+    instance by ``inverse_frequencies`` of the references; tokens it lacks weigh
+    nothing. A side without tokens of any weight scores 0. ``key`` must name a pair.
+    """
+    kind = "array<struct<token:string,vector:array<double>>>"
+
+    def make():
+        inner = factory()
+        return lambda values, **more: [[{"token": t, "vector": list(map(float, v))} for t, v in text] for text in inner(values, **more)]
+
+    sides = pairs.select(*key, F.explode(F.array(
+        F.struct(F.lit(True).alias("hyp"), F.coalesce(prediction, F.lit("")).alias("text")),
+        F.struct(F.lit(False).alias("hyp"), F.coalesce(reference, F.lit("")).alias("text")),
+    )).alias("s")).select(*key, "s.*")
+    coded = apply_distinct(sides, "text", "tokens", make, kind, batch, options, cache, model)
+    if weights is None:
+        coded = coded.withColumn("w", F.transform("tokens", lambda t: F.lit(1.0)))
+    else:
+        # The vectors stay where they are; only forms are joined with their weights.
+        coded = write_and_reread(coded, "score-tokens")
+        forms = coded.select("text", F.explode(F.array_distinct("tokens.token")).alias("token")).distinct()
+        held = forms.join(weights.select("token", "weight"), "token").groupBy("text").agg(
+            F.map_from_entries(F.collect_list(F.struct("token", F.col("weight").cast("double")))).alias("_weights"))
+        coded = coded.join(held, "text", "left").withColumn("w", F.transform(
+            "tokens", lambda t: F.coalesce(F.try_element_at(F.col("_weights"), t["token"]), F.lit(0.0))))
+    weighed = coded.select(*key, "hyp", F.col("tokens.vector").alias("v"), "w")
+    both = weighed.groupBy(*key).agg(
+        F.first(F.when(F.col("hyp"), F.struct("v", "w")), ignorenulls=True).alias("p"),
+        F.first(F.when(~F.col("hyp"), F.struct("v", "w")), ignorenulls=True).alias("r"),
+    )
+    scored = both.select(*key, _best_cosines(F.col("p.v"), F.col("p.w"), F.col("r.v"), F.col("r.w")).alias("s"))
+    return scored.select(*key, "s.precision", "s.recall").select(
+        *key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
+
+
 def _greedy(p: list[str], r: list[str], place: dict[str, int], vectors: np.ndarray) -> dict[str, float]:
     if not p or not r:
         return {"precision": 0.0, "recall": 0.0}

@@ -67,3 +67,42 @@ def apply_corrections(df: DataFrame, identifier: str, label: str, latest: DataFr
         *[F.coalesce("corrected_label", F.col(label)).alias(label) if c == label else F.col(c) for c in df.columns],
         F.col("corrected_label").isNotNull().alias("was_corrected"),
     )
+
+
+def distance_sketches(df: DataFrame, ts: str, topic: str, distance: str, every: str = "30 days", k: int = 200) -> DataFrame:
+    """``window_start, topic, rows, total, sketch`` per time window and topic.
+
+    ``sketch`` is a KLL quantile sketch of ``k`` (about 1.33 % rank error at 200), of
+    a size that hardly depends on the rows; sums and sketches of any parts of the
+    rows can be merged by ``merged_sketches``.
+    """
+    rows = df.where(F.col(distance).isNotNull()).select(
+        F.window(F.col(ts), every)["start"].alias("window_start"), F.col(topic), F.col(distance).cast("double").alias("_d")
+    )
+    return rows.groupBy("window_start", topic).agg(
+        F.count(F.lit(1)).alias("rows"), F.sum("_d").alias("total"), F.kll_sketch_agg_double("_d", F.lit(k)).alias("sketch")
+    )
+
+
+def merged_sketches(sketches: DataFrame, by: list[str]) -> DataFrame:
+    """Sketches of many parts as one for each group of ``by``."""
+    return sketches.groupBy(*by).agg(
+        F.sum("rows").alias("rows"), F.sum("total").alias("total"), F.kll_merge_agg_double("sketch").alias("sketch")
+    )
+
+
+def sketched_thresholds(sketches: DataFrame, topic: str, quantile: float = 0.95) -> DataFrame:
+    """``confidence_thresholds`` from sketches: per topic, the distance beyond which an assignment needs review."""
+    merged = merged_sketches(sketches, [topic])
+    return merged.select(topic, F.kll_sketch_get_quantile_double("sketch", F.lit(quantile)).alias("threshold"))
+
+
+def sketched_drift(sketches: DataFrame, topic: str, baseline: int = 0) -> DataFrame:
+    """``centroid_drift`` from sketches: exact rows and means, medians within the sketch's rank error."""
+    merged = merged_sketches(sketches, ["window_start", topic])
+    means = merged.select(
+        "window_start", topic, "rows", (F.col("total") / F.col("rows")).alias("mean_distance"),
+        F.kll_sketch_get_quantile_double("sketch", F.lit(0.5)).alias("median_distance"),
+    )
+    whole = Window.partitionBy(topic).orderBy("window_start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return means.withColumn("drift", F.col("mean_distance") - F.nth_value("mean_distance", baseline + 1).over(whole))

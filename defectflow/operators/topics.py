@@ -14,8 +14,6 @@ from defectflow.operators.lookups import bounded_table
 from defectflow.operators.sums import vector_means, vector_sums
 from defectflow.session import write_and_reread
 
-MAX_CENTROIDS = 2_048
-
 
 def cluster_centroids(df: DataFrame, cluster: str, vector: str, weight: str | None = None) -> DataFrame:
     """``(cluster_id, centroid, size)``: the mean vector of every cluster.
@@ -31,17 +29,17 @@ def cluster_centroids(df: DataFrame, cluster: str, vector: str, weight: str | No
 
 @dataclass
 class Centroids:
-    """A checked, bounded centroid set held by the tasks."""
+    """A checked, bounded centroid set held by the tasks; ``CentroidIndex`` has no bound."""
 
     ids: np.ndarray
     matrix: np.ndarray
 
     @classmethod
-    def from_table(cls, table: DataFrame, max_rows: int = MAX_CENTROIDS) -> "Centroids | None":
-        """The centroids of a table, or ``None`` when there are too many to hold."""
+    def from_table(cls, table: DataFrame, max_rows: int = 2_048) -> "Centroids":
+        """The centroids of a table that has ``max_rows`` rows at most."""
         rows = bounded_table(table.select("cluster_id", "centroid"), max_rows)
         if rows is None:
-            return None
+            raise ValueError(f"over {max_rows} centroids: use a CentroidIndex")
         if rows.num_rows == 0:
             raise ValueError("the centroid table is empty")
         rows = rows.sort_by("cluster_id").combine_chunks()
@@ -87,19 +85,18 @@ def nearest_rows(points: np.ndarray, matrix: np.ndarray, cells: int = 4_000_000)
     return place, np.sqrt(((points - matrix[place]) ** 2).sum(axis=1))
 
 
-def nearest_centroid(df: DataFrame, vector: str, centroids: "DataFrame | Centroids",
-                     max_rows: int = MAX_CENTROIDS) -> DataFrame:
-    """Add ``cluster_id`` and ``distance`` of the nearest centroid.
+def nearest_centroid(df: DataFrame, vector: str, centroids) -> DataFrame:
+    """Add ``cluster_id`` and ``distance`` of the nearest centroid, a narrow map on batches and streams.
 
-    A bounded centroid set makes this a narrow map. A larger one is matched
-    block against block, see ``nearest_centroid_blocked``.
+    ``centroids`` is a ``CentroidIndex``, a bounded set of ``Centroids``, or a table
+    ``(cluster_id, centroid)`` of any size, which is indexed first. The caller
+    chooses; the number of centroids does not.
     """
-    model = centroids if isinstance(centroids, Centroids) else Centroids.from_table(centroids, max_rows)
-    if model is None:
-        return nearest_centroid_blocked(df, vector, centroids)
-    return df.withColumn("_near", model.nearest(F.col(vector))).select(
-        *df.columns, "_near.cluster_id", "_near.distance"
-    )
+    if isinstance(centroids, DataFrame):
+        from defectflow.operators.centroid_index import CentroidIndex
+
+        centroids = CentroidIndex.write(centroids)
+    return df.withColumn("_near", centroids.nearest(F.col(vector))).select(*df.columns, "_near.cluster_id", "_near.distance")
 
 
 def nearest_centroid_blocked(df: DataFrame, vector: str, centroids: DataFrame, block_rows: int = 1_024) -> DataFrame:

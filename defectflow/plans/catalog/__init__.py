@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from defectflow.functions.text import EQUIPMENT_CODE_PATTERNS, TRAINING_CODE_PATTERN, clean_serving
 from defectflow.functions.vectors import to_matrix
-from defectflow.operators.topics import cluster_centroids, nearest_centroid
+from defectflow.operators.topics import Centroids, cluster_centroids, nearest_centroid
 from defectflow.sources.demo import findings, findings_sql, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,7 +42,7 @@ def centroids(spark, sf_dir) -> DataFrame:
 def assigned(spark, sf_dir) -> DataFrame:
     """``vec_id, label, cluster_id, distance``: topics are found before any join."""
     vectors = embeddings(spark, sf_dir)
-    return nearest_centroid(vectors, "embedding", centroids(spark, sf_dir)).drop("embedding")
+    return nearest_centroid(vectors, "embedding", Centroids.from_table(centroids(spark, sf_dir))).drop("embedding")
 
 
 def labelled_findings(spark, sf_dir) -> DataFrame:
@@ -129,4 +129,4 @@ def micro_sql(vector: str) -> str:
     return f"array_to_string(list_transform({vector}, lambda x: round(x * 1e6)::BIGINT::VARCHAR), ',')"
 
 
-from defectflow.plans.catalog import evaluation, monitoring, tables, text, topics  # noqa: E402,F401
+from defectflow.plans.catalog import evaluation, models, monitoring, tables, text, topics  # noqa: E402,F401

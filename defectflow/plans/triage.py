@@ -38,12 +38,14 @@ def triage(
     keep: tuple[str, ...] = (),
     topic_vector: str | None = None,
     normalize: bool = True,
+    classifier_embed: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Triage every finding; ``keep`` carries further columns, such as an id.
 
     Two vectors are taken per finding: of the classifier text for the
     recommendation and of the cleaned text for the topic (``topic_vector``
-    names a column that holds the latter already); only the topic vector is
+    names a column that holds the latter already, ``classifier_embed`` the vectors
+    that a classifier of its own was trained on); only the topic vector is
     normalised, as in training. Without a classifier the initial
     recommendation is passed on; without a generator the action rules write
     the output. All steps are narrow, so nothing is shuffled.
@@ -51,7 +53,7 @@ def triage(
     rows = findings.withColumn("_clean", clean_serving(F.col("description")))
     if classifier is not None:
         text = classifier_text(F.col("priority"), F.col("description"), F.col("initial_recommendation"))
-        rows = predict_recommendation(rows.withColumn("_cv", embed(text)), "_cv", classifier)
+        rows = predict_recommendation(rows.withColumn("_cv", (classifier_embed or embed)(text)), "_cv", classifier)
     else:
         rows = rows.withColumn("predicted_recommendation", F.col("initial_recommendation"))
     if topic_vector is None:

@@ -51,8 +51,59 @@ def test_nearest_centroid_narrow_and_blocked_agree(spark):
     many = {r.id: (r.cluster_id, round(r.distance, 9)) for r in nearest_centroid_blocked(df, "v", table, 16).collect()}
     gaps = np.linalg.norm(np.concatenate([points, points[:30]])[:, None] - points[::7][None], axis=2)
     assert near == many == {i: (int(g.argmin()), round(float(g.min()), 9)) for i, g in enumerate(gaps)}
-    limited = nearest_centroid(df, "v", table, max_rows=3)  # over the bound: the blocked way
-    assert {r.id: (r.cluster_id, round(r.distance, 9)) for r in limited.collect()} == near
+    held = nearest_centroid(df, "v", Centroids.from_table(table))
+    assert {r.id: (r.cluster_id, round(r.distance, 9)) for r in held.collect()} == near
+    with pytest.raises(ValueError, match="CentroidIndex"):
+        Centroids.from_table(table, max_rows=3)
+
+
+def indexed(points, table, tmp_path):
+    """Lookups in this process, cell by cell."""
+    from defectflow.operators import centroid_index as ci
+
+    index = ci.CentroidIndex.write(table, f"file://{tmp_path}/index")
+    return index, ci.look_up(points, ci._Cells(index.path), index.ids, index.centers, index.radii)
+
+
+@pytest.mark.parametrize("spread", [0.3, 30.0])
+def test_index_of_many_centroids_is_exact(spark, tmp_path, monkeypatch, spread):
+    from defectflow.operators import centroid_index as ci
+
+    rng = np.random.default_rng(4)
+    places = rng.normal(size=(3_000, 3)) * np.array([spread, 5, 1]) + rng.integers(0, 4, (3_000, 1)) * 20
+    places[1_000:1_900] = places[7]  # a third of all centroids are one point
+    table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(places)], "cluster_id int, centroid array<double>")
+    points = np.concatenate([rng.normal(size=(400, 3)) * 30, places[:100], places[1_500:1_510]])
+    monkeypatch.setattr(ci, "_SLICE", 50)
+    monkeypatch.setattr(ci, "_HELD_BYTES", 20_000)
+    monkeypatch.setattr(ci, "_GAPS", 5_000)
+    index, (ids, gaps) = indexed(points, table, tmp_path)
+    wanted = np.sqrt(((points[:, None] - places[None]) ** 2).sum(axis=2))
+    assert ids.tolist() == wanted.argmin(axis=1).tolist() and gaps == pytest.approx(wanted.min(axis=1))
+    assert 30 <= len(index.ids) <= 55  # equal centroids chosen as centers are one
+    again = ci.CentroidIndex.load(spark, index.path)
+    assert (again.radii == index.radii).all() and (again.centers == index.centers).all()
+    rows = nearest_centroid(vectors(spark, points), "v", again).collect()
+    assert [(r.id, r.cluster_id) for r in sorted(rows)] == list(enumerate(ids.tolist()))
+
+
+def test_index_reads_few_cells_where_centroids_lie_apart(spark, tmp_path):
+    from defectflow.operators import centroid_index as ci
+
+    rng = np.random.default_rng(5)
+    places = rng.uniform(0, 1_000, size=(2_500, 2))
+    table = spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(places)], "cluster_id int, centroid array<double>")
+    index = ci.CentroidIndex.write(table, f"file://{tmp_path}/index")
+    cells = ci._Cells(index.path)
+    read = set()
+    slices = cells.slices
+    cells.slices = lambda cell: read.add(cell) or slices(cell)
+    points = rng.uniform(0, 50, size=(50, 2))
+    ids, _ = ci.look_up(points, cells, index.ids, index.centers, index.radii)
+    assert ids.tolist() == ((points[:, None] - places[None]) ** 2).sum(axis=2).argmin(axis=1).tolist()
+    assert len(read) < len(index.ids) / 3
+    with pytest.raises(ValueError, match="empty"):
+        ci.CentroidIndex.write(table.limit(0))
 
 
 def test_nearest_centroid_ties_and_nulls(spark):

@@ -162,5 +162,12 @@ def test_stemmer(spark):
         goodness="good", revival="reviv", adjustment="adjust", adoption="adopt", activate="activ", probate="probat",
         rate="rate", cease="ceas", controll="control", roll="roll", inspecting="inspect", corrosion="corros")
     assert {w: porter_stem(w) for w in known} == known
+    scorers = dict(
+        dies="die", flies="fli", skies="sky", sky="sky", tied="tie", cried="cri", dying="die", news="news", innings="inning",
+        enjoy="enjoy", happy="happi", spy="spi", by="by", say="say", nobly="nobli", possibly="possibl", hopefully="hope",
+        geologi="geolog", geology="geolog", logi="logi", formalli="formal", radically="radic", exceed="exceed", agreed="agre",
+        feed="feed", oiling="oil", hissing="hiss", fizzed="fizz", using="use", ated="ate", controlling="control", generalizations="gener",
+    )
+    assert {w: porter_stem(w, extended=True) for w in scorers} == scorers
     df = spark.createDataFrame([(["leaking", "oil"],), ([],), (None,)], "t array<string>")
     assert [r.s for r in df.select(stem_tokens(F.col("t")).alias("s")).collect()] == [["leak", "oil"], [], None]
