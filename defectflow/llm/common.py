@@ -40,6 +40,17 @@ def distinct_names(columns: list[str]) -> None:
         raise ValueError(f"columns would share a name: {sorted(columns)}")
 
 
+def free_names(docs: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores in front as it takes to be none of the table's columns."""
+    taken, found = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        found.append(name)
+    return found
+
+
 _BITS_PER_MAP = 8 * 4096  # fixed by bitmap_construct_agg
 
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from defectflow.llm.common import distinct_names, key_filter, maybe_among, whole, without_spaces
+from defectflow.llm.common import distinct_names, free_names, key_filter, maybe_among, whole, without_spaces
 from defectflow.session import write_and_reread
 
 
@@ -77,11 +77,16 @@ def exact_dedup(
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that :func:`exact_dedup` keeps, with all columns.
 
-    Rows that repeat both id and text are one document: one of them stays.
+    Rows that repeat both id and text are one document: one of them stays. Rows
+    that repeat an id with different texts are different documents. Null ids and
+    texts, empty tables and clashing names are those of :func:`exact_dedup`; columns may
+    have any names.
     """
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("_kept_id")).distinct()
-    rows = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")), "left_semi")
-    content = F.sha2(without_spaces(whole(F.col(text_col))), 256)
-    order = Window.partitionBy(id_col, "_content").orderBy(F.length(whole(F.col(text_col))).desc(), F.col(text_col))
-    ranked = rows.withColumn("_content", content).withColumn("_place", F.row_number().over(order))
-    return ranked.where("_place = 1").select(*docs.columns)
+    content, place, kept_id, kept_content = free_names(docs, "content", "place", "kept_id", "kept_content")
+    rows = docs.withColumn(content, F.sha2(without_spaces(whole(F.col(text_col))), 256))
+    kept = exact_dedup(rows, id_col, text_col, carry=[content]).where("kept")
+    kept = kept.select(F.col(id_col).alias(kept_id), F.col(content).alias(kept_content)).distinct()
+    same = F.col(id_col).eqNullSafe(F.col(kept_id)) & (F.col(content) == F.col(kept_content))
+    order = Window.partitionBy(id_col, content).orderBy(F.length(whole(F.col(text_col))).desc(), F.col(text_col))
+    ranked = rows.join(kept, same, "left_semi").withColumn(place, F.row_number().over(order))
+    return ranked.where(F.col(place) == 1).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from defectflow.llm.common import count_words
+from defectflow.llm.common import count_words, free_names
 from defectflow.session import write_and_reread
 
 _CHUNK = 1024  # blocks added up in one window when block sums are accumulated
@@ -108,11 +108,12 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     with most copies.
     """
     mix = mix_sources(docs, id_col=id_col, **options)
-    draws = mix.groupBy(F.col(id_col).alias("_mix_id")).agg(F.max(F.struct("copies", "draws")).alias("_mix"))
-    rows = docs.join(draws.where("_mix.copies > 0"), F.col(id_col).eqNullSafe(F.col("_mix_id")))
-    rows = rows.withColumn("_draw", F.explode("_mix.draws"))
-    dealt = rows.repartition("_draw.shard").sortWithinPartitions("_draw.shard", "_draw.place")
-    return dealt.select(*docs.columns)
+    name, held, draw = free_names(docs, "mix_id", "mix", "draw")
+    draws = mix.groupBy(F.col(id_col).alias(name)).agg(F.max(F.struct("copies", "draws")).alias(held))
+    rows = docs.join(draws.where(F.col(held)["copies"] > 0), F.col(id_col).eqNullSafe(F.col(name)))
+    rows = rows.withColumn(draw, F.explode(F.col(held)["draws"]))
+    shard, place = F.col(draw)["shard"], F.col(draw)["place"]
+    return rows.repartition(shard).sortWithinPartitions(shard, place).select(*docs.columns)
 
 
 def _targets(sized: DataFrame, weights: list[float], max_repeats: int, total: int, block: int) -> DataFrame:

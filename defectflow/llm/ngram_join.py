@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from defectflow.llm.common import key_filter, maybe_among
+from defectflow.llm.common import free_names, key_filter, maybe_among
 from defectflow.llm.links import components
 from defectflow.session import write_and_reread
 
@@ -143,9 +143,9 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose id is the smallest of its class, and rows without words."""
-    classes = link_near_copies(docs, id_col, text_col)
-    stay = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_stay")).distinct()
-    return docs.join(stay, F.col(id_col).cast("long").eqNullSafe(F.col("_stay")), "left_semi")
+    classes, (stay,) = link_near_copies(docs, id_col, text_col), free_names(docs, "stay")
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(stay)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(stay)), "left_semi")
 
 
 def _open_lists(shared: DataFrame, signs: DataFrame, links: DataFrame, before: int | None = None) -> tuple:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from defectflow.llm.common import free_names
 from defectflow.llm.ngram_join import WordCodes
 from defectflow.session import write_and_reread
 
@@ -159,9 +160,9 @@ def repeated_passages(
 def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50) -> DataFrame:
     """``docs`` with every passage left only in the document with the smallest id that holds it."""
     found = repeated_passages(docs, id_col, text_col, min_words).where("size(copies) > 0")
+    cut_id, held = free_names(docs, "cut_id", "copies")
     rows = docs.join(
-        found.select(F.col(id_col).alias("_cut_id"), F.col("copies").alias("_copies")),
-        F.col(id_col).cast("long") == F.col("_cut_id"), "left",
+        found.select(F.col(id_col).alias(cut_id), F.col("copies").alias(held)), F.col(id_col).cast("long") == F.col(cut_id), "left",
     )
 
     @F.pandas_udf("string")
@@ -182,7 +183,7 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
         return pd.Series(out)
 
-    return rows.withColumn(text_col, cut(F.col(text_col), F.col("_copies"))).select(*docs.columns)
+    return rows.withColumn(text_col, cut(F.col(text_col), F.col(held))).select(*docs.columns)
 
 
 def _merge(starts: list[int], width: int) -> list[dict[str, int]]:

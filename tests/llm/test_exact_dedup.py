@@ -56,3 +56,14 @@ def test_prefix_alone_does_not_decide(spark):
 def test_empty_table(spark):
     empty = documents(spark).limit(0)
     assert exact_dedup(empty).count() == 0 and drop_copies(empty).count() == 0
+
+
+def test_copies_of_repeated_ids_and_names_in_use(spark):
+    from defectflow.llm.exact_dedup import drop_copies
+
+    rows = [(1, "aa", 5, "x", 7), (2, "aa", 6, "y", 8), (2, "bb", 7, "z", 9), (2, "b b", 8, "z", 9), (3, "bb ", 1, "q", 2), (None, None, 0, "n", 0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _content int, content string, place int")
+    docs = docs.withColumnRenamed("_content", "kept_id")
+    got = drop_copies(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [rows[0], rows[3], rows[5]]))
