@@ -15,10 +15,9 @@ import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from defectflow.functions.vectors import scatter, to_matrix
+from defectflow.functions.vectors import to_matrix
 from defectflow.operators.agglomeration import LINKAGES, distance_matrix, merge_matrix, merge_tree, vector_hash
 from defectflow.operators.blocks import pair_blocks
 from defectflow.operators.lookups import bounded_table, top_per_group
@@ -231,66 +230,90 @@ def project_2d(df: DataFrame, vector: str) -> DataFrame:
 
 # Silhouettes ---------------------------------------------------------------
 
-def _score(own: np.ndarray, label: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """Silhouettes from per-cluster distance sums ``own`` (points x clusters)."""
-    at = np.arange(len(label))
-    inside = own[at, label] / np.maximum(counts[label] - 1, 1)
-    mean = own / np.maximum(counts, 1)
-    mean[:, counts == 0] = np.inf
-    mean[at, label] = np.inf
-    outside = mean.min(axis=1)
-    top = np.maximum(inside, outside)
-    score = np.where(top > 0, (outside - inside) / np.where(top > 0, top, 1.0), 0.0)
-    return np.where((counts[label] == 1) | ~np.isfinite(outside), 0.0, score)
-
-
 def _labelled(df: DataFrame, vector: str, clusters: list[str]) -> DataFrame:
-    """Rows with a vector and all labels; ``rows`` of a silhouette counts these only."""
+    """Distinct points with all labels: ``key (h, l), vector, tag (l, w)``; ``rows`` of a silhouette counts these only.
+
+    Equal points with equal labels are one point of their number ``w``.
+    """
     good = F.col(vector).isNotNull()
     for c in clusters:
         good = good & F.col(c).isNotNull()
-    return df.where(good)
+    points = df.where(good).select(
+        F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("l")
+    ).groupBy("v", "l").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    hashed = F.sha2(F.to_json(F.struct("v", "l")), 256).alias("h")
+    # Written once: the points are read for several blocks.
+    return write_and_reread(points.select(
+        F.struct(hashed, "l", "w").alias("key"), F.col("v").alias("vector"), F.struct("l", "w").alias("tag")
+    ), "points")
 
 
-def silhouette_squared(df: DataFrame, vector: str, clusters: list[str]) -> DataFrame:
+def _mean_scores(scored: DataFrame, clusters: list[str]) -> DataFrame:
+    """``labeling, silhouette, rows`` from ``w`` and the scores ``s`` of every labeling."""
+    names = F.array(*[F.lit(c) for c in clusters])
+    return (
+        scored.select("w", F.posexplode("s").alias("which", "x"))
+        .groupBy("which").agg((F.sum(F.col("x") * F.col("w")) / F.sum("w")).alias("silhouette"), F.sum("w").cast("long").alias("rows"))
+        .select(F.element_at(names, F.col("which") + 1).alias("labeling"), "silhouette", "rows")
+    )
+
+
+def _score(inside: float, outside: float, mass: float) -> float:
+    """The silhouette of a point from its mean distances to its own cluster of ``mass`` points and to the nearest other."""
+    top = max(inside, outside)
+    return (outside - inside) / top if mass > 1 and np.isfinite(outside) and top > 0 else 0.0
+
+
+def silhouette_squared(df: DataFrame, vector: str, clusters: list[str], block_rows: int = 1_024) -> DataFrame:
     """Mean silhouette under squared Euclidean distance, for several labelings.
 
-    Linear in the rows: the sum of squared distances to a cluster follows from
-    its size, vector sum and sum of squared norms. Returns one row per entry
-    of ``clusters``, whatever the number of labelings, in one pass for the
-    sums and one for the scores.
+    The sum of squared distances to a cluster follows from its size, vector sum and
+    sum of squared norms, so blocks of points meet blocks of clusters, of any number,
+    and only the best cluster of a block leaves a task. Linear in the rows where the clusters are few.
+    Returns one row per entry of ``clusters``, whatever the number of labelings.
     """
-    tagged = _labelled(df, vector, clusters).select(
-        F.col(vector).cast("array<double>").alias("v"), F.array(*[F.col(c).cast("int") for c in clusters]).alias("l")
-    )
-    sums = vector_sums(tagged, [F.col("l")[i] for i in range(len(clusters))], F.col("v"))
-    table = bounded_table(sums.select("which", "key", "n", "sums", "squares"), 100_000)
-    if table is None:
-        raise ValueError("too many clusters for a silhouette")
-    stats = []
-    for i in range(len(clusters)):
-        part = table.filter(pa.compute.equal(table["which"], i)).sort_by("key").combine_chunks()
-        matrix, _ = to_matrix(part.column("sums").combine_chunks())
-        stats.append((part["key"].to_numpy(), part["n"].to_numpy(), matrix, part["squares"].to_numpy()))
+    keyed, width = _labelled(df, vector, clusters), len(clusters)
+    sums = vector_sums(keyed, [F.col("tag")["l"][i] for i in range(width)], F.col("vector"), F.col("tag")["w"])
+    held = write_and_reread(sums.select(
+        F.struct("which", F.col("key").alias("name")).alias("key"), F.col("sums").alias("vector"),
+        F.struct("which", F.col("key").alias("name"), "n", "squares").alias("tag"),
+    ), "cluster-sums")
+
+    def nearest(keys, x, _tags, _names, total, tags):
+        which, name, n, squares = (np.array([t[c] for t in tags]) for c in ("which", "name", "n", "squares"))
+        label = np.array([k["l"] for k in keys]).reshape(len(keys), -1)
+        own, mass, best = np.full((len(keys), width), -1.0), np.zeros((len(keys), width)), np.full((len(keys), width), np.inf)
+        norms, row = (x * x).sum(axis=1), np.arange(len(keys))
+        for i in range(width):
+            at = np.flatnonzero(which == i)
+            at = at[np.argsort(name[at])]
+            if not len(at):
+                continue
+            means = x @ (-2.0 * total[at] / n[at, None]).T  # to each cluster, less the point's own norm
+            means += squares[at] / n[at]
+            place = np.minimum(np.searchsorted(name[at], label[:, i]), len(at) - 1)
+            mine = row[name[at][place] == label[:, i]]
+            place = place[mine]
+            own[mine, i] = np.maximum(means[mine, place] + norms[mine], 0.0) * n[at[place]]
+            mass[mine, i] = n[at[place]]
+            means[mine, place] = np.inf
+            best[:, i] = np.maximum(means.min(axis=1) + norms, 0.0)
+        return {"h": [k["h"] for k in keys], "w": [k["w"] for k in keys],
+                "found": pa.array(list(np.concatenate((own, mass, best), axis=1)), pa.list_(pa.float64()))}
+
+    found = pair_blocks(keyed, held, nearest, "h string, w double, found array<double>", block_rows)
 
     @F.arrow_udf("array<double>")
-    def scores(v: pa.Array, l: pa.Array) -> pa.Array:
-        points, _ = to_matrix(v)
-        labels = np.asarray(l.flatten()).reshape(len(points), -1)
-        norms = (points * points).sum(axis=1)
-        out = np.empty((len(points), len(stats)))
-        for i, (names, counts, total, squares) in enumerate(stats):
-            own = counts * norms[:, None] - 2.0 * points @ total.T + squares
-            out[:, i] = _score(np.maximum(own, 0.0), np.searchsorted(names, labels[:, i]), counts)
-        width = out.shape[1]
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(out) + 1, dtype="int32") * width), pa.array(out.reshape(-1)))
+    def scores(parts: pa.Array) -> pa.Array:
+        out = []
+        for part in parts:
+            cells = np.array(part.values.to_pylist()).reshape(-1, 3, width)
+            own, mass, best = cells[:, 0].max(axis=0), cells[:, 1].max(axis=0), cells[:, 2].min(axis=0)
+            out.append([_score(o / max(m - 1, 1), b, m) for o, m, b in zip(own, mass, best)])
+        return pa.array(out, pa.list_(pa.float64()))
 
-    names = F.array(*[F.lit(c) for c in clusters])
-    return (
-        tagged.select(F.posexplode(scores("v", "l")).alias("which", "s"))
-        .groupBy("which").agg(F.avg("s").alias("silhouette"), F.count(F.lit(1)).alias("rows"))
-        .select(F.element_at(names, F.col("which") + 1).alias("labeling"), "silhouette", "rows")
-    )
+    merged = found.groupBy("h", "w").agg(F.collect_list("found").alias("parts"))  # one part for each block of clusters
+    return _mean_scores(merged.select("w", scores("parts").alias("s")), clusters)
 
 
 def silhouette_exact(df: DataFrame, vector: str, clusters: list[str], block_rows: int = 1_024) -> DataFrame:
@@ -298,71 +321,52 @@ def silhouette_exact(df: DataFrame, vector: str, clusters: list[str], block_rows
 
     The measure needs every pair of distinct points, so work is quadratic in
     them. Equal points with equal labels are folded into one weighted point
-    first; blocks are compared with blocks and only per-cluster sums leave a
-    task. ``silhouette_squared`` is the linear-time relative for large tables.
+    first; blocks are compared with blocks and only sums for the clusters that a block holds leave a
+    task, however many clusters there are. ``silhouette_squared`` is its relative for large tables.
     """
-    labels = [F.col(c).cast("int") for c in clusters]
-    points = (
-        _labelled(df, vector, clusters)
-        .select(F.col(vector).cast("array<double>").alias("v"), F.array(*labels).alias("l"))
-        .groupBy("v", "l").agg(F.count(F.lit(1)).alias("w"))
-    )
-    sizes = points.select(F.posexplode("l").alias("which", "cluster"), "w").groupBy("which", "cluster").agg(
-        F.sum("w").alias("n")
-    )
-    table = bounded_table(sizes, 100_000)
-    if table is None:
-        raise ValueError("too many clusters for a silhouette")
-    counts = []
-    for i in range(len(clusters)):
-        part = table.filter(pa.compute.equal(table["which"], i)).sort_by("cluster")
-        counts.append((part["cluster"].to_numpy(), part["n"].to_numpy().astype(float)))
-    # Written once: the points are read as left and as right blocks.
-    keyed = write_and_reread(points.select(
-        F.struct("l", "w", F.sha2(F.to_json(F.struct("v", "l")), 256).alias("h")).alias("key"),
-        F.col("v").alias("vector"), F.struct("l", "w").alias("tag"),
-    ), "points")
+    keyed, width = _labelled(df, vector, clusters), len(clusters)
 
     def sums_by_cluster(keys, x, _tags, _other, y, tags):
         gap = np.stack([np.sqrt(((y - row) ** 2).sum(axis=1)) for row in x])
         weight = np.array([t["w"] for t in tags], dtype=float)
-        parts = []
-        for i, (names, _) in enumerate(counts):
-            place = np.searchsorted(names, [t["l"][i] for t in tags])
-            pick = np.zeros((len(y), len(names)))
-            pick[np.arange(len(y)), place] = weight
-            parts.append(gap @ pick)
-        out = np.concatenate(parts, axis=1)
+        label = np.array([t["l"] for t in tags]).reshape(len(tags), -1)
+        names, sums, mass = [], [], []
+        for i in range(width):
+            found, place = np.unique(label[:, i], return_inverse=True)
+            order = np.argsort(place, kind="stable")
+            starts = np.searchsorted(place[order], np.arange(len(found)))
+            names.append(found.astype("int64") * width + i)
+            sums.append(np.add.reduceat((gap * weight)[:, order], starts, axis=1))
+            mass.append(np.add.reduceat(weight[order], starts))
+        names, mass = np.concatenate(names), np.concatenate(mass)
         return {
-            "h": [k["h"] for k in keys], "l": pa.array([k["l"] for k in keys], pa.list_(pa.int32())),
-            "w": [k["w"] for k in keys],
-            "sums": pa.array(list(out), pa.list_(pa.float64())),
+            "h": [k["h"] for k in keys], "l": pa.array([k["l"] for k in keys], pa.list_(pa.int32())), "w": [k["w"] for k in keys],
+            "names": pa.array([names] * len(keys), pa.list_(pa.int64())), "mass": pa.array([mass] * len(keys), pa.list_(pa.float64())),
+            "sums": pa.array(list(np.concatenate(sums, axis=1)), pa.list_(pa.float64())),
         }
 
-    partial = pair_blocks(keyed, keyed, sums_by_cluster, "h string, l array<int>, w long, sums array<double>", block_rows)
-    whole = (
-        partial.groupBy("h", "l", "w").agg(Summarizer.sum(array_to_vector("sums")).alias("s"))
-        .select("l", "w", vector_to_array("s").alias("sums"))
-    )
+    schema = "h string, l array<int>, w double, names array<long>, mass array<double>, sums array<double>"
+    partial = pair_blocks(keyed, keyed, sums_by_cluster, schema, block_rows)
+    merged = partial.groupBy("h", "l", "w").agg(*[F.flatten(F.collect_list(c)).alias(c) for c in ("names", "mass", "sums")])
 
     @F.arrow_udf("array<double>")
-    def scores(l: pa.Array, sums: pa.Array) -> pa.Array:
-        own, _ = to_matrix(sums)
-        label = np.asarray(l.flatten()).reshape(len(own), -1)
-        out, start = np.empty((len(own), len(counts))), 0
-        for i, (names, n) in enumerate(counts):
-            out[:, i] = _score(own[:, start:start + len(names)].copy(), np.searchsorted(names, label[:, i]), n)
-            start += len(names)
-        return pa.ListArray.from_arrays(
-            pa.array(np.arange(len(out) + 1, dtype="int32") * len(counts)), pa.array(out.reshape(-1))
-        )
-
-    names = F.array(*[F.lit(c) for c in clusters])
-    return (
-        whole.select("w", F.posexplode(scores("l", "sums")).alias("which", "s"))
-        .groupBy("which").agg((F.sum(F.col("s") * F.col("w")) / F.sum("w")).alias("silhouette"), F.sum("w").alias("rows"))
-        .select(F.element_at(names, F.col("which") + 1).alias("labeling"), "silhouette", "rows")
-    )
+    def scores(l: pa.Array, names: pa.Array, mass: pa.Array, sums: pa.Array) -> pa.Array:
+        out = []
+        for labels, *cells in zip(l, names, mass, sums, strict=True):
+            name, weight, total = (np.asarray(c.values) for c in cells)
+            name, place = np.unique(name, return_inverse=True)
+            weight, total = np.bincount(place, weight), np.bincount(place, total)
+            row = []
+            for i, label in enumerate(labels.as_py()):
+                mine, held = name == label * width + i, name % width == i
+                others = held & ~mine
+                outside = (total[others] / weight[others]).min() if others.any() else np.inf
+                n = weight[mine][0]
+                row.append(_score(total[mine][0] / max(n - 1, 1), outside, n))
+            out.append(row)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    return _mean_scores(merged.select("w", scores("l", "names", "mass", "sums").alias("s")), clusters)
 
 
 def k_sweep(df: DataFrame, identifier: str, vector: str, k_min: int = 5, k_max: int = 19, metric: str = "squared",

@@ -215,3 +215,28 @@ def csv_round_trip(spark, sf_dir):
 def stage_table(spark, sf_dir):
     rows = findings(spark, sf_dir).select("finding_id", clean_serving(F.col("description")).alias("cleaned_description"))
     return write_and_reread(rows, "stage")
+
+
+_NAMES = "['DESCRIPTION', 'PRIORITY', 'INITIAL RECOMMENDATION']"
+
+
+@query("schema_verdict", f"""WITH {FINDINGS}, n AS (SELECT count(*) AS n, count(*) FILTER (priority = '1') AS first FROM findings)
+SELECT 'exact' AS case, true AS ok, concat('columns are valid, ', n, ' rows') AS message FROM n
+UNION ALL SELECT 'contains', true, concat('columns are valid, ', first, ' rows') FROM n
+UNION ALL SELECT 'extra', false, concat('expected columns ', $${_NAMES}$$, '; missing [], unexpected [''finding_id'']') FROM n
+UNION ALL SELECT 'absent', false, concat('expected columns ', $${_NAMES}$$, '; missing [''PRIORITY''], unexpected []') FROM n""")
+def schema_verdict(spark, sf_dir):
+    """Findings written as CSV with all, more and fewer columns, read back and judged."""
+    rows = findings(spark, sf_dir).select(
+        "finding_id", F.col("description").alias("DESCRIPTION"), F.col("priority").alias("PRIORITY"),
+        F.col("initial_recommendation").alias("INITIAL RECOMMENDATION"))
+    cases = {
+        "exact": (rows.drop("finding_id"), "exact"), "contains": (rows.where("PRIORITY = '1'"), "contains"),
+        "extra": (rows, "exact"), "absent": (rows.drop("PRIORITY", "finding_id"), "contains"),
+    }
+    verdicts = []
+    for name, (frame, mode) in cases.items():
+        path = scratch_path(spark, name) + ".csv"
+        results.write_results(frame, path)
+        verdicts.append((name, *src.validate_columns(src.read_findings(spark, path), mode=mode, count_rows=True)))
+    return spark.createDataFrame(verdicts, "case string, ok boolean, message string")

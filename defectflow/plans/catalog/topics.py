@@ -292,6 +292,36 @@ def project_2d(spark, sf_dir):
     return cl.project_2d(embeddings(spark, sf_dir), "embedding").select("vec_id", "label", "x", "y")
 
 
+# The two widest directions by 800 steps of orthogonal iteration on the covariances.
+_SPREAD = f"""WITH RECURSIVE {CENTROIDS},
+covariances AS (SELECT a.pos AS i, b.pos AS j, covar_samp(a.x, b.x) AS c FROM long_vectors a JOIN long_vectors b USING (vec_id) GROUP BY ALL),
+matrix AS MATERIALIZED (
+  SELECT list(cells ORDER BY i) AS m, sum(own) AS total FROM (
+    SELECT i, list(c ORDER BY j) AS cells, max(CASE WHEN i = j THEN c END) AS own FROM covariances GROUP BY i)),
+steps AS (
+  SELECT 0 AS k, list_transform(m, lambda r: 1.0::DOUBLE) AS v, list_transform(m, lambda r: r[1]) AS w FROM matrix
+  UNION ALL
+  SELECT k + 1, v1, list_transform(w2, lambda x: x / sqrt(list_dot_product(w2, w2))) FROM (
+    SELECT k, v1, list_transform(list_zip(w1, v1), lambda z: z[1] - z[2] * list_dot_product(w1, v1)) AS w2 FROM (
+      SELECT k, list_transform(mv, lambda x: x / sqrt(list_dot_product(mv, mv))) AS v1, mw AS w1 FROM (
+        SELECT k, list_transform(m, lambda r: list_dot_product(r, v)) AS mv, list_transform(m, lambda r: list_dot_product(r, w)) AS mw
+        FROM steps, matrix WHERE k < 800)))
+)"""
+
+
+@query("projected_variance", f"""{_SPREAD}
+SELECT (SELECT count(*) FROM embeddings) AS rows, round(total, 5) AS variance,
+  round(list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) + list_dot_product(w, list_transform(m, lambda r: list_dot_product(r, w))), 5) AS captured
+FROM steps, matrix WHERE k = 800""")
+def projected_variance(spark, sf_dir):
+    """How much of the vectors' variance the two coordinates for plotting keep."""
+    rows = cl.project_2d(embeddings(spark, sf_dir), "embedding")
+    width = len(rows.first()["embedding"])
+    return rows.agg(
+        F.count("*").alias("rows"), F.round(sum(F.var_samp(F.col("embedding")[i].cast("double")) for i in range(width)), 5).alias("variance"),
+        F.round(F.var_samp("x") + F.var_samp("y"), 5).alias("captured"))
+
+
 @query("label_index", f"""WITH {FINDINGS}
 SELECT finding_id, initial_recommendation, (dense_rank() OVER (ORDER BY initial_recommendation) - 1)::INTEGER AS label_index FROM findings""")
 def label_index(spark, sf_dir):

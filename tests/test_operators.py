@@ -358,6 +358,40 @@ def test_silhouettes(spark):
         assert (row.silhouette, row["rows"]) == (pytest.approx(silhouette(points[rest], labels[rest], power)), 69)
 
 
+def test_silhouettes_of_very_many_clusters(spark):
+    """More clusters than any table of them was once allowed to have; most points are alone or in pairs."""
+    n = 100_300
+    rows = spark.range(n).select(
+        "id", F.array((F.col("id") * 3).cast("double"), (F.col("id") % 7).cast("double")).alias("v"),
+        F.when(F.col("id") < 2_000, (F.col("id") / 2).cast("int")).otherwise(F.col("id").cast("int")).alias("label"))
+    out = cl.silhouette_squared(rows, "v", ["label"], block_rows=4_096).first()
+    points = np.stack([np.arange(2_100) * 3.0, np.arange(2_100) % 7.0], axis=1)
+    labels = np.where(np.arange(2_100) < 2_000, np.arange(2_100) // 2, np.arange(2_100))
+    # Only the first 2,000 points are in pairs; their nearest clusters lie among the first 2,100 points.
+    gap = ((points[:2_000, None] - points[None]) ** 2).sum(axis=2)
+    total = 0.0
+    for i in range(2_000):
+        sums = np.bincount(labels, gap[i])
+        counts = np.bincount(labels)
+        means = np.where(counts > 0, sums / np.maximum(counts, 1), np.inf)
+        own, means[labels[i]] = sums[labels[i]], np.inf
+        a, b = own, means.min()
+        total += (b - a) / max(a, b)
+    assert (out.silhouette, out["rows"]) == (pytest.approx(total / n), n)
+    few = rows.where("id < 3000")
+    plain = cl.silhouette_exact(few, "v", ["label"]).first()
+    near, counts = np.sqrt(((np.stack([np.arange(3_000) * 3.0, np.arange(3_000) % 7.0], 1)[:2_000, None]
+                             - np.stack([np.arange(3_000) * 3.0, np.arange(3_000) % 7.0], 1)[None]) ** 2).sum(axis=2)), None
+    labels = np.where(np.arange(3_000) < 2_000, np.arange(3_000) // 2, np.arange(3_000))
+    counts, total = np.bincount(labels), 0.0
+    for i in range(2_000):
+        sums = np.bincount(labels, near[i])
+        means = np.where(counts > 0, sums / np.maximum(counts, 1), np.inf)
+        a, means[labels[i]] = sums[labels[i]], np.inf
+        total += (means.min() - a) / max(a, means.min())
+    assert (plain.silhouette, plain["rows"]) == (pytest.approx(total / 3_000), 3_000)
+
+
 def test_sweep_balance_drilldown(spark):
     points = cloud(40)
     df = vectors(spark, points)
