@@ -96,10 +96,10 @@ def bit_map(keys: DataFrame, bits: int) -> np.ndarray:
 
     ``bits`` is a power of two; the size does not depend on the number of keys, so it may pass the driver.
     """
-    slot = F.col(keys.columns[0]).bitwiseAND(bits - 1)
-    maps = keys.select(slot.alias("_slot")).groupBy(F.expr(f"_slot div {_BITS_PER_MAP}").alias("_map")).agg(
-        F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits")
-    )
+    slots = keys.select(F.col(keys.columns[0]).bitwiseAND(bits - 1).alias("_slot"))
+    # Keys are shuffled, eight bytes each, and not the maps of every task.
+    slots = slots.withColumn("_map", F.expr(f"_slot div {_BITS_PER_MAP}")).repartition("_map")
+    maps = slots.groupBy("_map").agg(F.bitmap_construct_agg(F.col("_slot") % _BITS_PER_MAP).alias("_bits"))
     held = np.zeros(bits // 8, "uint8")
     for row in maps.collect():  # 4 KB each, no more than the bits need
         at = row["_map"] * (_BITS_PER_MAP // 8)

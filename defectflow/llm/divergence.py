@@ -5,151 +5,236 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from defectflow.llm.common import bit_map, discard, in_bit_map, parts, whole
-from defectflow.session import write_and_reread
+from defectflow.session import scratch_path, write_and_reread
 
 SCALE = 1_000_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in lower-cased bytes: runs of ASCII letters and of all that is not ASCII
-_CHUNK = 1 << 20  # characters whose terms are held together
-_OPEN_BITS = 1 << 27
-_POSTINGS = "lang string, sources array<string>, terms binary, term array<int>, doc array<int>, n array<int>"
+_CHUNK = 1 << 21  # characters whose terms are held together
+_ROWS_PER_FILE = 16
+_OPEN_BITS = 1 << 26
+_FIRST = 4  # bytes of the first prefixes
+_WIDE = 32  # bytes of neighbouring terms compared at once
+_NUMBERS = ("size", "same", "docs", "doc", "n")
+_POSTINGS = "lang string, sources array<string>, terms binary, " + ", ".join(f"{c} binary" for c in _NUMBERS)
+_HELD = 1 << 20  # counts that a task adds up before it sends them
 _CELLS = 1 << 20  # of a block of counts, terms by sources
 
 
 def _postings(docs: DataFrame) -> DataFrame:
     """One row for each language of a chunk of documents.
 
-    ``sources`` of its documents, its distinct ``terms`` joined by blanks, and the
-    distinct pairs of ``term`` and ``doc`` (by number) with the occurrences ``n``.
+    ``sources`` of its documents; its distinct ``terms`` in order and without gaps, the
+    bytes of each (``size``) and how many of them it shares with the term before (``same``);
+    in how many documents it is (``docs``), in which (``doc``) and how often (``n``). Numbers are
+    packed as 32-bit integers.
     """
 
     def index(batches):
         for part, texts in parts(batches, _CHUNK):
             langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
-            rows = []
             for lang in dict.fromkeys(langs):
                 chosen = [k for k, other in enumerate(langs) if other == lang]
                 found = [_TERM.findall((texts[k] or "").encode().lower()) for k in chosen]
                 sizes = [len(f) for f in found]
                 if not sum(sizes):
                     continue
-                codes, terms = pd.factorize(np.array([t for f in found for t in f], object))
-                pair = codes.astype("int64") * len(chosen) + np.repeat(np.arange(len(chosen)), sizes)
+                encoded = pa.array([t for f in found for t in f], pa.binary()).dictionary_encode()
+                codes, terms = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+                order = sorted(range(len(terms)), key=terms.__getitem__)
+                terms = [terms[k] for k in order]
+                place = np.empty(len(order), "int64")
+                place[order] = np.arange(len(order))
+                pair = place[codes] * len(chosen) + np.repeat(np.arange(len(chosen)), sizes)
                 pair, n = np.unique(pair, return_counts=True)
-                rows.append((lang, [sources[k] for k in chosen], b" ".join(terms), pair // len(chosen), pair % len(chosen), n))
-            if rows:
-                lang, source, terms, term, doc, n = zip(*rows, strict=True)
-                counts = [pa.array([x.astype("int32") for x in c], pa.list_(pa.int32())) for c in (term, doc, n)]
-                arrays = [pa.array(lang, pa.string()), pa.array(source, pa.list_(pa.string())), pa.array(terms, pa.binary()), *counts]
-                yield pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", "term", "doc", "n"])
+                size = np.array([len(t) for t in terms])
+                numbers = (size, _shared(terms, size), np.bincount(pair // len(chosen)), pair % len(chosen), n)
+                arrays = [pa.array([lang], pa.string()), pa.array([[sources[k] for k in chosen]], pa.list_(pa.string()))]
+                arrays += [pa.array([x], pa.binary()) for x in (b"".join(terms), *(x.astype("<i4").tobytes() for x in numbers))]
+                yield pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", *_NUMBERS])
 
     return docs.mapInArrow(index, _POSTINGS)
 
 
-def _rows(batches):
-    """``lang, sources, terms, term, doc, n`` of each row of postings, numbers as arrays."""
+def _written(postings: DataFrame) -> DataFrame:
+    """Postings as a table of small files: Spark reads what a file has of a column at once, and these rows are long."""
+    path = scratch_path(postings.sparkSession, "term-postings")
+    postings.write.option("maxRecordsPerFile", _ROWS_PER_FILE).parquet(path)
+    return postings.sparkSession.read.schema(postings.schema).parquet(path)
+
+
+def _shared(terms: list[bytes], size: np.ndarray) -> np.ndarray:
+    """How many bytes each of the sorted terms shares with the one before."""
+    cells = np.frombuffer(b"".join(t[:_WIDE].ljust(_WIDE, b"\0") for t in terms), "uint8").reshape(-1, _WIDE)
+    differ = np.ones((len(terms), _WIDE + 1), bool)
+    differ[1:, :_WIDE] = cells[1:] != cells[:-1]
+    differ[0] = True
+    same = np.minimum(differ.argmax(axis=1), size)
+    for k in np.flatnonzero(same == _WIDE).tolist():
+        a, b = terms[k - 1], terms[k]
+        most, same[k] = min(len(a), len(b)), _WIDE
+        while same[k] < most and a[same[k]] == b[same[k]]:
+            same[k] += 1
+    return same
+
+
+class _Chunk:
+    """A row of postings, numbers as arrays."""
+
+    def __init__(self, batch: pa.RecordBatch, k: int):
+        self.lang, self.sources, self.terms = batch.column("lang")[k].as_py(), batch.column("sources")[k], batch.column("terms")[k].as_py()
+        self.size, self.same, self.docs, self.doc, self.n = (
+            np.frombuffer(batch.column(c)[k].as_buffer(), "<i4") for c in _NUMBERS)
+        self.start = np.cumsum(self.size, dtype="int64") - self.size
+        self.seed = xxhash.xxh3_64_intdigest(self.lang.encode())
+
+    def groups(self, length: int) -> np.ndarray:
+        """Whether each term begins a prefix of ``length`` bytes; terms that end by then are groups of their own."""
+        ends = self.size <= length
+        new = (self.same < length) | ends
+        new[1:] |= ends[:-1]
+        new[0] = True
+        return new
+
+    def keys(self, at: np.ndarray, length: int | None = None) -> np.ndarray:
+        """Two 64-bit words for the prefix of each term, others where the term goes on than where it ends."""
+        terms, seed = self.terms, self.seed
+        size = self.size[at] if length is None else np.minimum(self.size[at], length)
+        goes_on = (self.size[at] > size).tolist()
+        begin = self.start[at].tolist()
+        cut = zip(begin, (self.start[at] + size).tolist(), goes_on, strict=True)
+        found = [xxhash.xxh3_128_digest(terms[b:e] + b" " if more else terms[b:e], seed) for b, e, more in cut]
+        return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+
+
+def _chunks(batches):
     for batch in batches:
         for k in range(batch.num_rows):
-            numbers = [np.asarray(batch.column(c)[k].values) for c in ("term", "doc", "n")]
-            yield batch.column("lang")[k].as_py(), batch.column("sources")[k], batch.column("terms")[k].as_py().split(b" "), *numbers
-
-
-def _keys(lang: str, prefixes: list[bytes]) -> np.ndarray:
-    salt = xxhash.xxh3_64_intdigest(lang.encode())
-    return np.array([xxhash.xxh3_64_intdigest(p, salt) for p in prefixes], "uint64").view("int64")
-
-
-def _next(length: int) -> int:
-    return length + max(2, length // 2)
+            yield _Chunk(batch, k)
 
 
 def _refine(postings: DataFrame, length: int, before: int, alive) -> DataFrame:
-    """``lang, prefix, open, key, docs``: how many documents have each prefix of ``length`` bytes.
+    """``a, b, open, docs``: how many documents have each prefix of ``length`` bytes, by its key ``(a, b)``.
 
     Only terms whose prefix of ``before`` bytes is alive and did not end there are
     looked at. Terms of ``length`` bytes or less are whole (not open).
     """
 
     def count(batches):
-        for lang, _, terms, term, doc, _ in _rows(batches):
-            going = np.array([len(t) > before for t in terms])
+        for chunk in _chunks(batches):
+            going = chunk.size > before
             if alive is not None and going.any():
-                at = np.flatnonzero(going)
-                going[at] = in_bit_map(alive.value, _keys(lang, [terms[k][:before] for k in at.tolist()]))
-            at = np.flatnonzero(going)
-            if not len(at):
+                new = chunk.groups(before)
+                parent = np.flatnonzero(new & going)
+                living = np.zeros(len(going), bool)
+                living[parent] = in_bit_map(alive.value, chunk.keys(parent, before)[:, 0])
+                going &= living[np.maximum.accumulate(np.where(new, np.arange(len(new)), 0))]
+            if not going.any():
                 continue
-            marked = [terms[k][: length + 1] for k in at.tolist()]  # a byte more where the term goes on
-            codes, marked = pd.factorize(np.array([m if len(m) <= length else m[:length] + b" " for m in marked], object))
-            prefix_of = np.full(len(terms), -1)
-            prefix_of[at] = codes
-            of = prefix_of[term]
-            docs = int(doc.max()) + 1
-            pair = np.unique(of[of >= 0] * docs + doc[of >= 0])  # a document counts once for a prefix
-            n = np.bincount(pair // docs, minlength=len(marked))
-            prefixes = [m[:length] for m in marked]
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(n), pa.string()), pa.array(prefixes, pa.binary()), pa.array([len(m) > length for m in marked]),
-                pa.array(_keys(lang, prefixes)), pa.array(n, pa.int64()),
-            ], ["lang", "prefix", "open", "key", "docs"])
-
-    found = postings.mapInArrow(count, "lang string, prefix binary, open boolean, key bigint, docs bigint")
-    return found.groupBy("lang", "prefix", "open", "key").agg(F.sum("docs").alias("docs"))
+            first = np.flatnonzero(chunk.groups(length) & going)  # a prefix is looked at as a whole or not at all
+            group = np.searchsorted(first, np.arange(len(going)), "right") - 1
+            n = np.zeros(len(first), "int64")
+            alone = np.diff(np.append(first, len(going))) == 1
+            n[alone] = chunk.docs[first[alone]]
+            several = going & ~alone[group]
+            if several.any():
+                among = np.repeat(several, chunk.docs)
+                of = np.repeat(group, chunk.docs)[among]
+                width = int(chunk.doc.max()) + 1
+                pair = np.unique(of * width + chunk.doc[among])  # a document counts once for a prefix
+                n += np.where(alone, 0, np.bincount(pair // width, minlength=len(first)))
+            key = chunk.keys(first, length)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[:, 0]), pa.array(key[:, 1]), pa.array(chunk.size[first] > length), pa.array(n)], ["a", "b", "open", "docs"])
+
+    found = postings.mapInArrow(count, "a bigint, b bigint, open boolean, docs bigint")
+    return found.groupBy("a", "b", "open").agg(F.sum("docs").alias("docs"))
 
 
 def frequent_terms(postings: DataFrame, least: int) -> DataFrame:
-    """``lang, term, key, docs`` of all terms in ``least`` documents of their language or more.
+    """``a, b, docs``: the keys of all terms in ``least`` documents of their language or more.
 
     Iceberg refinement: a term is in no more documents than each of its prefixes.
     Each level counts the distinct documents of longer prefixes, of those terms only
-    whose shorter prefix reached ``least``; terms that end are complete. Which
-    prefixes go on is handed to the tasks as a bit map of fixed size (16 MB): what
+    whose shorter prefix reached ``least``; terms that end are complete. Prefixes travel as
+    128-bit keys. Which of them go on is handed to the tasks as a bit map of fixed size (8 MB): what
     it lets through by chance is counted and dropped at the next level.
     """
     spark = postings.sparkSession
-    whole_terms, before, length, alive = [], 0, 2, None
+    whole_terms, before, length, alive = [], 0, _FIRST, None
     while True:
         level = _refine(postings, length, before, alive).where(F.col("docs") >= least)
         level = write_and_reread(level, f"terms-{length}")
-        whole_terms.append(level.where("not open").select("lang", F.col("prefix").alias("term"), "key", "docs"))
-        held = bit_map(level.where("open").select("key"), _OPEN_BITS)
+        whole_terms.append(level.where("not open").select("a", "b", "docs"))
+        held = bit_map(level.where("open").select("a"), _OPEN_BITS)
         if not held.any():
             break
         if alive is not None:
             alive.unpersist()
         alive = spark.sparkContext.broadcast(held)
-        before, length = length, _next(length)
+        before, length = length, length + max(2, length // 2)
     found = whole_terms[0]
     for part in whole_terms[1:]:
         found = found.unionByName(part)
     return write_and_reread(found, "terms-kept")
 
 
-def _counts(postings: DataFrame, kept: DataFrame) -> DataFrame:
-    """``lang, source, term, n`` of the kept terms, where they occur."""
-    alive = postings.sparkSession.sparkContext.broadcast(bit_map(kept.select("key"), _OPEN_BITS))
+def _counts(postings: DataFrame, kept: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
+    """``lang, term, place, n`` of the kept terms where they occur; ``place`` is that of the language and source in ``groups``.
 
-    def count(batches):
-        for lang, sources, terms, term, doc, n in _rows(batches):
-            stays = in_bit_map(alive.value, _keys(lang, terms))
-            which, names = pd.factorize(np.array(sources.as_py(), object))
-            at = stays[term]
-            pair = term[at].astype("int64") * len(names) + which[doc[at]]
-            pair, place = np.unique(pair, return_inverse=True)
-            sums = np.bincount(place, n[at], len(pair)).astype("int64")
-            yield pa.RecordBatch.from_arrays([
-                pa.array([lang] * len(pair), pa.string()), pa.array(names[pair % len(names)], pa.string()),
-                pa.array([terms[k] for k in (pair // len(names)).tolist()], pa.binary()), pa.array(sums),
-            ], ["lang", "source", "term", "n"])
+    A task adds up what it reads and sends one row for each term, with the counts of all sources.
+    """
+    spark = postings.sparkSession
+    alive = spark.sparkContext.broadcast(bit_map(kept.select("a"), _OPEN_BITS))
+    places = spark.sparkContext.broadcast({group: k for k, group in enumerate(groups)})
+    kind = "a bigint, b bigint, lang string, term binary, cells array<struct<place:int,n:bigint>>"
+
+    def packed(held):
+        key = np.concatenate([h[0] for h in held])
+        place, n = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+        lang = np.repeat(np.array([h[3] for h in held], object), [len(h[1]) for h in held])
+        term = [t for h in held for t in h[4]]
+        order = np.lexsort((place, key[:, 1], key[:, 0]))
+        key, place = key[order], place[order]
+        fresh = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
+        starts = np.flatnonzero(fresh | np.concatenate(([True], place[1:] != place[:-1])))
+        rows = np.flatnonzero(fresh)
+        cells = pa.StructArray.from_arrays([pa.array(place[starts], pa.int32()), pa.array(np.add.reduceat(n[order], starts))], ["place", "n"])
+        ends = np.append(np.searchsorted(starts, rows), len(starts)).astype("int32")
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key[rows, 0]), pa.array(key[rows, 1]), pa.array(lang[order[rows]], pa.string()),
+            pa.array([term[k] for k in order[rows].tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), cells),
+        ], ["a", "b", "lang", "term", "cells"])
 
-    found = postings.mapInArrow(count, "lang string, source string, term binary, n bigint")
-    found = found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
-    return found.join(kept.select("lang", "term"), ["lang", "term"], "left_semi")
+    def count(batches):
+        held, size = [], 0
+        for chunk in _chunks(batches):
+            key = chunk.keys(np.arange(len(chunk.size)))
+            stays = in_bit_map(alive.value, np.ascontiguousarray(key[:, 0]))
+            if not stays.any():
+                continue
+            place_of = np.array([places.value[chunk.lang, source] for source in chunk.sources.as_py()], "int64")
+            at = np.repeat(stays, chunk.docs)
+            pair = np.repeat(np.arange(len(stays)), chunk.docs)[at] * len(groups) + place_of[chunk.doc[at]]
+            pair, where = np.unique(pair, return_inverse=True)
+            term = pair // len(groups)
+            begin, end = chunk.start[term].tolist(), (chunk.start + chunk.size)[term].tolist()
+            texts = [chunk.terms[b:e] for b, e in zip(begin, end, strict=True)]
+            held.append((key[term], pair % len(groups), np.bincount(where, chunk.n[at], len(pair)).astype("int64"), chunk.lang, texts))
+            size += len(pair)
+            if size >= _HELD:
+                yield from packed(held)
+                held, size = [], 0
+        if held:
+            yield from packed(held)
+
+    found = postings.mapInArrow(count, kind).join(kept.select("a", "b"), ["a", "b"], "left_semi")
+    found = found.select("a", "b", "lang", "term", F.inline("cells")).groupBy("a", "b", "lang", "term", "place")
+    return write_and_reread(found.agg(F.sum("n").alias("n")).drop("a", "b"), "term-counts")
 
 
 def _chance(n: Column, total: Column, terms: Column) -> Column:
@@ -176,7 +261,8 @@ def _both(batches):
             cells = batch.column("found").filter(pa.array(langs == lang))
             sizes = cells.value_lengths().to_numpy()
             cells = cells.flatten()
-            codes, names = pd.factorize(np.array(cells.field("source").to_pylist(), object))
+            encoded = cells.field("source").dictionary_encode()
+            codes, names = encoded.indices.to_numpy(), np.array(encoded.dictionary.to_pylist(), object)
             p, rest = cells.field("p").to_numpy(), cells.field("p0").to_numpy()
             p0 = np.zeros(len(names), "int64")
             p0[codes] = rest
@@ -213,36 +299,39 @@ def source_divergence(
     in the language and furthest from it, ``top`` of them. Ranks go by falling value,
     then by item in the order of UTF-8.
 
-    All whole numbers, so that results are exact. A sum over all ``V`` terms never looks
+    All whole numbers, so that results are exact; until they are counted, terms go by 128-bit keys of their text. A sum over all ``V`` terms never looks
     at terms that neither source has: with ``p0`` for a count of 0 it is
     ``V f(p0, q0)``, plus for the terms of each source ``f(p, q0) - f(p0, q0)``, taken
     from a histogram of its counts, plus for terms in both
     ``f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)``, added up inside the tasks over blocks of terms by sources.
 
-    The text is read once: postings of chunks of about a million characters are
+    The text is read once: postings of chunks of about two million characters are
     written and every level reads those. Nothing of a language or source is held
-    in one task, but for the sources of one term and one row for each pair of sources.
+    in one task, but for the sources of one term and the list of all sources, which is handed to the
+    tasks; the result has a row for every two of them.
     Null languages, sources and texts count as empty; a source without terms is a
     group as well, all of whose values follow from ``p0`` (0 if no term is kept).
     Repeated rows count as rows of their own. Other columns are not read. An empty
     table gives an empty result.
     """
     rows = docs.select(whole(F.col(lang_col)).alias("lang"), whole(F.col(source_col)).alias("source"), F.col(text_col).cast("string").alias("_text"))
-    groups = rows.select("lang", "source").distinct()
-    postings = write_and_reread(_postings(rows), "term-postings")
-    kept = frequent_terms(postings, least)
-    counts = write_and_reread(_counts(postings, kept), "term-counts")
+    # The result has a row for every two groups of a language, so their list is short next to it.
+    listed = sorted(map(tuple, rows.select("lang", "source").distinct().collect()))
+    postings = _written(_postings(rows))
+    counts = _counts(postings, frequent_terms(postings, least), listed)
     discard(postings)
 
-    terms = kept.groupBy("lang").agg(F.count("*").alias("terms"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    groups = groups.join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
-    groups = groups.select("lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"))
+    in_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
+    terms = in_lang.groupBy("lang").agg(F.count("*").alias("terms"))
+    totals = counts.groupBy("place").agg(F.sum("n").alias("total"))
+    table = [(k, lang, source) for k, (lang, source) in enumerate(listed)]
+    groups = docs.sparkSession.createDataFrame(table, "place int, lang string, source string")
+    groups = groups.join(totals, "place", "left").join(terms, "lang", "left")
+    groups = groups.select("place", "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"))
     groups = groups.withColumn("p0", _chance(F.lit(0), F.col("total"), F.col("terms")))
     groups = write_and_reread(groups, "term-groups")
-    chances = counts.join(groups, ["lang", "source"]).withColumn("p", _chance(F.col("n"), F.col("total"), F.col("terms")))
+    chances = counts.join(groups.drop("lang"), "place").withColumn("p", _chance(F.col("n"), F.col("total"), F.col("terms")))
 
-    in_lang = counts.groupBy("lang", "term").agg(F.sum("n").alias("n"))
     lang_totals = groups.groupBy("lang").agg(F.sum("total").alias("total"), F.max("terms").alias("terms"))
     in_lang = in_lang.join(lang_totals, "lang").select("lang", "term", _chance(F.col("n"), F.col("total"), F.col("terms")).alias("q"))
     nearer = chances.join(in_lang, ["lang", "term"]).where("p > q").select(

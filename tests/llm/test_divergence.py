@@ -1,7 +1,11 @@
+import itertools
+import os
 import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +77,7 @@ def test_against_the_definition(spark, seed, sources, long):
 def test_small_chunks_and_blocks_do_not_matter(spark, monkeypatch):
     monkeypatch.setattr(divergence, "_CHUNK", 300)
     monkeypatch.setattr(divergence, "_CELLS", 20)
+    monkeypatch.setattr(divergence, "_HELD", 100)
     rows = sample(3, 200, ["a", "b", "c"], True)
     assert got(table(spark, rows).repartition(7), least=4, top=3) == plainly(rows, 4, 3)
 
@@ -96,20 +101,48 @@ def test_prefixes_in_many_documents_whose_terms_are_in_few(spark):
     rows = [("en", "a", f"commonstart{'x' * (i % 5)}{chr(97 + i % 26)}{'y' * i} ok") for i in range(60)]
     rows += [("en", "b", "commonstart commonstartling ab a")] * 10
     docs = table(spark, rows).select(F.col("lang"), F.col("source"), F.col("text").alias("_text"))
-    kept = frequent_terms(write_and_reread(_postings(docs), "test"), 10)
-    found = {(r.lang, bytes(r.term).decode()): r.docs for r in kept.collect()}
-    assert found == {("en", t): n for t, n in (("ok", 60), ("commonstart", 10), ("commonstartling", 10), ("ab", 10), ("a", 10))}
+    postings = write_and_reread(_postings(docs), "test")
+    kept = frequent_terms(postings, 10)
+    assert sorted(r.docs for r in kept.collect()) == [10, 10, 10, 10, 60]
+    counts = divergence._counts(postings, kept, [("en", "a"), ("en", "b")])
+    found = counts.groupBy("term").agg(F.sum("n").alias("n"))
+    assert {bytes(r.term).decode(): r.n for r in found.collect()} == {"ok": 60, "commonstart": 10, "commonstartling": 10, "ab": 10, "a": 10}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_prefixes_of_a_chunk(seed):
+    pick = random.Random(seed)
+    terms = sorted({bytes(pick.choice(b"ab\xc3") for _ in range(pick.choice((1, 3, 5, 40, 80)))) for _ in range(300)}
+                   | {b"a" * n for n in (31, 32, 33, 34, 64)} | {b"a" * 33 + b"b"})
+    size = np.array([len(t) for t in terms])
+    same = divergence._shared(terms, size)
+    assert same.tolist() == [0] + [len(os.path.commonprefix([a, b])) for a, b in itertools.pairwise(terms)]
+    numbers = (size, same, np.ones(len(terms)), np.arange(len(terms)), np.ones(len(terms)))
+    arrays = [pa.array(["en"]), pa.array([["s"] * len(terms)])]
+    arrays += [pa.array([x], pa.binary()) for x in (b"".join(terms), *(x.astype("<i4").tobytes() for x in numbers))]
+    chunk = divergence._Chunk(pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", *divergence._NUMBERS]), 0)
+    for length in (1, 2, 4, 6, 33, 90):
+        new = chunk.groups(length)
+        key = [(t[:length], len(t) > length) for t in terms]
+        assert new.tolist() == [True] + [a != b for a, b in itertools.pairwise(key)]
+        digests = [tuple(k) for k in chunk.keys(np.arange(len(terms)), length).tolist()]
+        assert len(set(digests)) == len(set(key)) and all((a == b) == (x == y) for (a, x), (b, y) in itertools.pairwise(zip(key, digests)))
+    assert [tuple(k) for k in chunk.keys(np.arange(len(terms))).tolist()] == [tuple(k) for k in chunk.keys(np.arange(len(terms)), 90).tolist()]
 
 
 def test_level_counts_fall_and_prune(spark):
-    docs = table(spark, sample(4, 300, ["a"], True)).select(F.coalesce("lang", F.lit("")).alias("lang"), F.lit("a").alias("source"), F.col("text").alias("_text"))
+    rows = sample(4, 300, ["a"], True)
+    docs = table(spark, rows).select(F.coalesce("lang", F.lit("")).alias("lang"), F.lit("a").alias("source"), F.col("text").alias("_text"))
     postings = write_and_reread(_postings(docs), "test")
+    counted = Counter()
+    for lang, _, text in rows:
+        counted.update({(lang or "", t.encode()[:6], len(t.encode()) > 6) for t in terms_of(text)})
     every = divergence._refine(postings, 6, 0, None)
-    below = every.where("docs < 10").count()
-    assert below  # what the levels leave out
+    assert sorted(r.docs for r in every.collect()) == sorted(counted.values())
+    assert every.where("docs < 10").count()  # what the levels leave out
     alive = spark.sparkContext.broadcast(divergence.bit_map(
-        divergence._refine(postings, 2, 0, None).where("open and docs >= 10").select("key"), divergence._OPEN_BITS))
+        divergence._refine(postings, 2, 0, None).where("open and docs >= 10").select("a"), divergence._OPEN_BITS))
     later = divergence._refine(postings, 6, 2, alive)
     assert later.count() < every.count()
-    frequent = {(r.lang, bytes(r.prefix), r.open, r.docs) for r in every.where("docs >= 10 and octet_length(prefix) > 2").collect()}
-    assert frequent <= {(r.lang, bytes(r.prefix), r.open, r.docs) for r in later.collect()}
+    wanted = sorted(n for (_, prefix, _), n in counted.items() if n >= 10 and len(prefix) > 2)
+    assert sorted(r.docs for r in later.where("docs >= 10").collect()) == wanted
