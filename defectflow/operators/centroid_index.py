@@ -114,16 +114,13 @@ class CentroidIndex:
             return pa.StructArray.from_arrays([pa.array(place.astype("int32")), pa.array(gap)], ["cell", "gap"])
 
         placed = rows.withColumn("_near", nearest_center("centroid")).select("cluster_id", "centroid", "_near.*")
-        placed.repartitionByRange("cell", "cluster_id").sortWithinPartitions("cell", "cluster_id").write.mode("overwrite").partitionBy(
-            "cell").parquet(f"{path}/cells")
-        return cls._with_directory(spark, path, centers)
-
-    @classmethod
-    def _with_directory(cls, spark: SparkSession, path: str, centers: np.ndarray) -> "CentroidIndex":
-        cells = spark.read.parquet(f"{path}/cells").groupBy("cell").agg(F.max("gap").alias("radius"))
-        found = [(r["cell"], r["radius"], json.dumps(centers[r["cell"]].tolist())) for r in cells.collect()]  # a row for each cell
-        table = spark.createDataFrame(found, "cell int, radius double, center string")
-        table.coalesce(1).write.mode("overwrite").parquet(f"{path}/directory")
+        placed = write_and_reread(placed, "placed-centroids")
+        radii = placed.groupBy("cell").agg(F.max("gap").alias("radius")).collect()  # a row for each cell
+        table = [(r["cell"], r["radius"], json.dumps(centers[r["cell"]].tolist())) for r in radii]
+        directory = spark.createDataFrame(table, "cell int, radius double, center string")
+        dealt = placed.select("cluster_id", "centroid", "cell").repartitionByRange("cell", "cluster_id")
+        dealt.sortWithinPartitions("cell", "cluster_id").write.mode("overwrite").partitionBy("cell").parquet(f"{path}/cells")
+        directory.coalesce(1).write.mode("overwrite").parquet(f"{path}/directory")
         return cls.load(spark, path)
 
     @classmethod
