@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,8 +15,8 @@ from defectflow.session import scratch_path, write_and_reread
 
 SCALE = 1_000_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")  # in lower-cased bytes: runs of ASCII letters and of all that is not ASCII
-_CHUNK = 1 << 21  # characters whose terms are held together
-_ROWS_PER_FILE = 16
+_CHUNK = 1 << 22  # characters whose terms are held together
+_ROWS_PER_FILE = 8
 _OPEN_BITS = 1 << 26
 _FIRST = 4  # bytes of the first prefixes
 _WIDE = 32  # bytes of neighbouring terms compared at once
@@ -43,8 +44,7 @@ def _postings(docs: DataFrame) -> DataFrame:
                 sizes = [len(f) for f in found]
                 if not sum(sizes):
                     continue
-                encoded = pa.array([t for f in found for t in f], pa.binary()).dictionary_encode()
-                codes, terms = encoded.indices.to_numpy(), encoded.dictionary.to_pylist()
+                codes, terms = pd.factorize(np.array([t for f in found for t in f], object))
                 order = sorted(range(len(terms)), key=terms.__getitem__)
                 terms = [terms[k] for k in order]
                 place = np.empty(len(order), "int64")
@@ -305,7 +305,7 @@ def source_divergence(
     from a histogram of its counts, plus for terms in both
     ``f(p, q) - f(p, q0) - f(p0, q) + f(p0, q0)``, added up inside the tasks over blocks of terms by sources.
 
-    The text is read once: postings of chunks of about two million characters are
+    The text is read once: postings of chunks of about four million characters are
     written and every level reads those. Nothing of a language or source is held
     in one task, but for the sources of one term and the list of all sources, which is handed to the
     tasks; the result has a row for every two of them.
