@@ -26,6 +26,13 @@ def _f1(precision: Column, recall: Column) -> Column:
     return F.when(precision + recall > 0, 2.0 * precision * recall / (precision + recall)).otherwise(F.lit(0.0))
 
 
+def _some_pairs(parts: Iterator[tuple[pa.Array, pa.Array]], size: int = 512) -> Iterator[list[tuple]]:
+    """The values of two columns, some rows at a time: as Python objects they take many times their bytes."""
+    for x, y in parts:
+        for start in range(0, len(x), size):
+            yield list(zip(x.slice(start, size).to_pylist(), y.slice(start, size).to_pylist(), strict=True))
+
+
 def _ratio(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
@@ -169,9 +176,11 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
             ends = np.concatenate([[0], np.cumsum(np.asarray(cells.value_lengths()))])
             inner = cells.flatten()
             rows = np.asarray(inner.flatten(), dtype=float).reshape(len(inner), -1) if len(inner) else np.zeros((0, 0))
-            rows = rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
             return ends, rows, np.asarray(weights.flatten(), dtype=float)
 
+        def unit(rows):
+            return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+
         p_ends, p_all, p_weight = side(a, wa)
         r_ends, r_all, r_weight = side(b, wb)
         precision, recall = np.zeros(len(a)), np.zeros(len(a))
@@ -180,6 +189,7 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
             r, rw = r_all[r_ends[i]:r_ends[i + 1]], r_weight[r_ends[i]:r_ends[i + 1]]
             if not pw.sum() or not rw.sum():
                 continue
+            p, r = unit(p), unit(r)  # pair by pair: a copy of the whole batch could be large
             best_p, best_r = np.empty(len(p)), np.full(len(r), -np.inf)
             for start in range(0, len(p), 1_024):
                 cosine = p[start:start + 1_024] @ r.T
@@ -213,8 +223,7 @@ def bertscore(pairs: DataFrame, key: list[str], prediction: str, reference: str,
         @F.arrow_udf("struct<precision:double,recall:double>")
         def match(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
             model = make()
-            for x, y in parts:
-                rows = list(zip(x.to_pylist(), y.to_pylist(), strict=True))
+            for rows in _some_pairs(parts):
                 every = sorted({t for pair in rows for side in pair for t in side})
                 vectors = np.array(model(every) if every else [[0.0]], "float64")
                 vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-300)

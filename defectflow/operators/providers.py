@@ -28,10 +28,9 @@ def _batched(factory: Callable, return_type: str, batch: int, options: dict):
         model = factory()
         for texts in parts:
             values = texts.tolist()
-            results = []
+            # What the model gave for one call leaves the worker before the next call.
             for start in range(0, len(values), batch):
-                results.extend(model(values[start:start + batch], **options))
-            yield pd.Series(results, index=texts.index)
+                yield pd.Series(list(model(values[start:start + batch], **options)))
 
     return run
 

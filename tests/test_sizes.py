@@ -16,3 +16,31 @@ def test_classified_triage_covers_every_finding(spark):
     out = QUERIES["triage_classified"](spark, SF).agg(F.sum("rows").alias("rows"), F.sum("learned").alias("learned")).first()
     assert out.rows == out.learned == spark.read.parquet(f"{SF}/orders.parquet").count()
     assert "% 7 = 0" not in ORACLES["triage_classified"]
+
+
+def test_model_outputs_leave_the_worker_call_by_call():
+    from defectflow.operators.providers import _batched
+
+    calls = []
+
+    def factory():
+        def model(texts):
+            calls.append(len(texts))
+            return [[float(len(t))] for t in texts]
+        return model
+
+    out = _batched(factory, "array<double>", 2, {}).func(iter([pd.Series(["a", "bb", "ccc", "dd", "e"])]))
+    assert len(next(out)) == 2 and calls == [2]
+    assert [v for part in out for v in part] == [[3.0], [2.0], [1.0]]
+
+
+def test_static_scores_take_some_pairs_at_a_time(spark):
+    def factory():
+        def model(tokens):
+            assert len(tokens) <= 1_024
+            return [[1.0, float(len(t))] for t in tokens]
+        return model
+
+    rows = spark.range(3_000, numPartitions=1).select("id", F.concat(F.lit("p"), "id").alias("p"), F.concat(F.lit("r"), "id").alias("r"))
+    out = metrics.bertscore(rows, ["id"], "p", "r", factory=factory).agg(F.count("*").alias("n"), F.avg("f1").alias("f1")).first()
+    assert out.n == 3_000 and out.f1 == pytest.approx(1.0)
