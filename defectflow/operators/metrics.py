@@ -2,7 +2,7 @@
 
 A pair table has one row per pair: ``key`` columns, a prediction and a
 reference. Scores come out as one row per pair; ``mean_scores`` averages them.
-Token work is exploded, counted and joined by Spark, keyed by pair.
+Tokens of a pair stay together in its row and are compared there.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.window import Window
 
 from defectflow.functions.stemming import stem_tokens
 from defectflow.functions.text import letter_tokens, ngrams, score_tokens
+from defectflow.operators.lookups import keyed_join
 from defectflow.operators.providers import apply_distinct
 from defectflow.session import write_and_reread
 
@@ -117,49 +117,21 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
     the ones before them, and so on.
     """
     words = pairs.select(*key, letter_tokens(F.col(prediction)).alias("p"), letter_tokens(F.col(reference)).alias("r"))
-    both = words.select(
-        *key, "p", "r",
-        (stem_tokens(F.col("p")) if stemmer else F.col("p")).alias("ps"),
-        (stem_tokens(F.col("r")) if stemmer else F.col("r")).alias("rs"),
-    )
-    side = F.concat(
-        F.transform(F.arrays_zip("p", "ps"), lambda t, i: F.struct(
-            F.lit(True).alias("hyp"), i.alias("pos"), t["p"].alias("word"), t["ps"].alias("stem"))),
-        F.transform(F.arrays_zip("r", "rs"), lambda t, i: F.struct(
-            F.lit(False).alias("hyp"), i.alias("pos"), t["r"].alias("word"), t["rs"].alias("stem"))),
-    )
-    # One shuffle by pair; every window and aggregate below is within a pair.
-    # Pairs without tokens keep one empty row.
-    free = both.repartition(*key).select(
-        *key, F.size("p").alias("_p"), F.size("r").alias("_r"), F.explode_outer(side).alias("t")
-    ).select(*key, "_p", "_r", "t.*")
-    stages = [F.col("word")] + ([F.col("stem")] if stemmer else [])
+    sides = [words.select(*key, "p", "r", *[(stem_tokens(F.col(c)) if stemmer else F.lit(None).cast("array<string>")).alias(f"{c}s") for c in "pr"])]
+    known = F.lit(None).cast("map<string,string>")
     if synonyms is not None:
-        groups = synonyms.select(F.col("word"), F.col("group").alias("_g"))
-        free = free.join(groups, "word", "left").repartition(*key)
-        stages.append(F.col("_g"))
-    free = free.withColumn("twin", F.lit(None).cast("int"))
-    for form in stages:
-        last_first = Window.partitionBy(*key, "_form", "_open", "hyp").orderBy(F.desc("pos"))
-        slot = Window.partitionBy(*key, "_form", "_open", "_n")
-        other = F.when(F.col("hyp"), F.max(F.when(~F.col("hyp"), F.col("pos"))).over(slot)).otherwise(
-            F.max(F.when(F.col("hyp"), F.col("pos"))).over(slot)
-        )
-        free = (
-            free.withColumns({"_form": form, "_open": F.col("twin").isNull() & form.isNotNull()})
-            .withColumn("_n", F.row_number().over(last_first))
-            .withColumn("twin", F.when(F.col("_open"), other).otherwise(F.col("twin")))
-            .drop("_form", "_open", "_n")
-        )
-    follow = Window.partitionBy(*key, "_hit").orderBy("pos")
-    goes_on = (F.col("pos") == F.lag("pos").over(follow) + 1) & (F.col("twin") == F.lag("twin").over(follow) + 1)
-    aligned = (
-        free.withColumn("_hit", F.coalesce(F.col("hyp") & F.col("twin").isNotNull(), F.lit(False)))
-        .withColumn("_new", F.col("_hit") & ~F.coalesce(goes_on, F.lit(False)))
-        .groupBy(*key)
-        .agg(F.max("_p").alias("_p"), F.max("_r").alias("_r"), F.count_if("_hit").alias("matches"),
-             F.count_if("_new").alias("chunks"))
-    )
+        # Only the words that a pair holds are joined with their groups.
+        held = words.select(*key, F.explode(F.array_union("p", "r")).alias("word")).distinct()
+        groups = synonyms.groupBy("word").agg(F.min(F.col("group").cast("string")).alias("_g")).where("word is not null and _g is not null")
+        held = held.join(groups, "word").groupBy(*key).agg(F.map_from_entries(F.collect_list(F.struct("word", "_g"))).alias("_groups"))
+        sides = [keyed_join(sides[0], held, key)]
+        known = F.first("_groups")
+    # Rows of one key are scored as one pair; their tokens meet in one shuffle of whole arrays.
+    grouped = sides[0].groupBy(*key).agg(
+        F.collect_list(F.struct("p", "ps")).alias("hyp"), F.collect_list(F.struct("r", "rs")).alias("ref"),
+        F.max(F.size("p")).alias("_p"), F.max(F.size("r")).alias("_r"), known.alias("groups"))
+    aligned = grouped.select(*key, "_p", "_r", _aligned(F.col("hyp"), F.col("ref"), F.col("groups")).alias("a")).select(
+        *key, "_p", "_r", "a.*")
     m, c = F.col("matches"), F.col("chunks")
     precision, recall = _ratio(m, F.col("_p")), _ratio(m, F.col("_r"))
     mean = F.when(m > 0, precision * recall / (alpha * precision + (1 - alpha) * recall)).otherwise(F.lit(0.0))
@@ -167,6 +139,50 @@ def meteor(pairs: DataFrame, key: list[str], prediction: str, reference: str, st
     return aligned.select(*key, m, c, (mean * (1 - penalty)).alias("score"))
 
 
+def _aligned(hyp: Column, ref: Column, groups: Column) -> Column:
+    """``struct<matches, chunks>`` of the tokens (and stems) of two sides, pair by pair."""
+
+    @F.arrow_udf("struct<matches:long,chunks:long>")
+    def run(a: pa.Array, b: pa.Array, known: pa.Array) -> pa.Array:
+        found = []
+        for start in range(0, len(a), 256):
+            some = (c.slice(start, 256).to_pylist(maps_as_pydicts="strict") for c in (a, b, known))
+            found.extend(_alignment([_forms(x, k or {}) for x in h], [_forms(y, k or {}) for y in r]) for h, r, k in zip(*some, strict=True))
+        return pa.array(found, pa.struct([("matches", pa.int64()), ("chunks", pa.int64())]))
+
+    return run(hyp, ref, groups)
+
+
+def _forms(side: dict, groups: dict) -> list[tuple]:
+    """The forms of each token in the order of the stages: itself, its stem, its group."""
+    tokens, stems = side.values()
+    return list(zip(tokens, stems or [None] * len(tokens), [groups.get(t) for t in tokens], strict=True))
+
+
+def _alignment(hyp: list[list[tuple]], ref: list[list[tuple]]) -> dict[str, int]:
+    """Matches and chunks; in each stage the last free occurrences of a form meet, then the ones before them."""
+    sides = [sorted(((pos, forms) for text in side for pos, forms in enumerate(text)), key=lambda t: t[0]) for side in (hyp, ref)]
+    free, twins = sides, []
+    for stage in range(3):
+        open_places: dict[str, list[int]] = {}
+        for at, (_, forms) in enumerate(free[1]):
+            if forms[stage] is not None:
+                open_places.setdefault(forms[stage], []).append(at)
+        taken, left = set(), []
+        for pos, forms in reversed(free[0]):
+            places = open_places.get(forms[stage])
+            if places:
+                at = places.pop()
+                taken.add(at)
+                twins.append((pos, free[1][at][0]))
+            else:
+                left.append((pos, forms))
+        free = [left[::-1], [t for at, t in enumerate(free[1]) if at not in taken]]
+    twins.sort()
+    goes_on = sum(x[0] == y[0] + 1 and x[1] == y[1] + 1 for x, y in zip(twins[1:], twins))
+    return {"matches": len(twins), "chunks": len(twins) - goes_on}
+
+
 def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
     """``struct<precision, recall>`` of two weighted sets of token vectors."""
 

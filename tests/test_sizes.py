@@ -44,3 +44,13 @@ def test_static_scores_take_some_pairs_at_a_time(spark):
     rows = spark.range(3_000, numPartitions=1).select("id", F.concat(F.lit("p"), "id").alias("p"), F.concat(F.lit("r"), "id").alias("r"))
     out = metrics.bertscore(rows, ["id"], "p", "r", factory=factory).agg(F.count("*").alias("n"), F.avg("f1").alias("f1")).first()
     assert out.n == 3_000 and out.f1 == pytest.approx(1.0)
+
+
+def test_alignment_meets_forms_within_a_row(spark):
+    rows = [(1, "big dogs run", "large dog ran fast"), (2, "a b a b", "b a b a"), (3, "", "x"), (4, None, None)]
+    df = spark.createDataFrame(rows, "id int, p string, r string")
+    words = spark.createDataFrame([("big", 1), ("large", 1), ("run", 2), ("ran", 2)], "word string, group int")
+    out = metrics.meteor(df, ["id"], "p", "r", synonyms=words)
+    assert {r.id: (r.matches, r.chunks) for r in out.collect()} == {1: (3, 1), 2: (4, 4), 3: (0, 0), 4: (0, 0)}
+    plan = metrics.meteor(df, ["id"], "p", "r")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Generate" not in plan  # no row for each token
