@@ -78,22 +78,45 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
     @F.arrow_udf("int")
     def run(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for left, right in zip(x.to_pylist(), y.to_pylist()):
-            places: dict[str, int] = {}
-            for i, token in enumerate(right):
-                places[token] = places.get(token, 0) | (1 << i)
-            full = (1 << len(right)) - 1
-            row = full
-            for token in left:
-                hit = row & places.get(token, 0)
-                row = ((row + hit) | (row - hit)) & full
-            out.append(len(right) - row.bit_count())
-        return pa.array(out, pa.int32())
+        return pa.array([_subsequence(left, right) for some in _some_pairs([(x, y)]) for left, right in some], pa.int32())
 
     return run(a, b)
 
 
+def _subsequence(left: list[str], right: list[str]) -> int:
+    places: dict[str, int] = {}
+    for i, token in enumerate(right):
+        places[token] = places.get(token, 0) | (1 << i)
+    full = (1 << len(right)) - 1
+    row = full
+    for token in left:
+        hit = row & places.get(token, 0)
+        row = ((row + hit) | (row - hit)) & full
+    return len(right) - row.bit_count()
+
+
+def rouge_scores(pairs: DataFrame, key: list[str], prediction: str, reference: str, stemmer: bool = True) -> DataFrame:
+    """``rouge_n`` for words and word pairs and ``rouge_l`` from one pass: ``key, metric, precision, recall, f1``."""
+
+    @F.arrow_udf("array<int>")
+    def hits(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([
+            [(Counter(p) & Counter(r)).total(), (Counter(zip(p, p[1:])) & Counter(zip(r, r[1:]))).total(), _subsequence(p, r)]
+            for some in _some_pairs([(x, y)]) for p, r in some
+        ], pa.list_(pa.int32()))
+
+    tokens = pairs.select(
+        *key, _tokens(F.col(prediction), stemmer).alias("p"), _tokens(F.col(reference), stemmer).alias("r"))
+    counted = tokens.select(*key, hits("p", "r").alias("hit"), F.size("p").alias("p"), F.size("r").alias("r"))
+    less = {"rouge1": 0, "rouge2": 1, "rougeL": 0}
+    each = counted.select(*key, F.explode(F.array(*[F.struct(
+        F.lit(name).alias("metric"), F.col("hit")[i].alias("hit"),
+        *[F.greatest(F.col(c) - cut, F.lit(0)).alias(c) for c in "pr"]) for i, (name, cut) in enumerate(less.items())
+    ])).alias("s")).select(*key, "s.*")
+    out = each.withColumns({"precision": _ratio(F.col("hit"), F.col("p")), "recall": _ratio(F.col("hit"), F.col("r"))})
+    return out.select(*key, "metric", "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
+
+
 def rouge_l(pairs: DataFrame, key: list[str], prediction: str, reference: str, stemmer: bool = True) -> DataFrame:
     """Longest-common-subsequence score: ``key, precision, recall, f1``. No shuffle."""
     tokens = pairs.select(

@@ -87,11 +87,8 @@ def rouge_l(spark, sf_dir):
 @query("rouge_stemmed")
 def rouge_stemmed(spark, sf_dir):
     """The three overlap scores with stemming, averaged: one row per score."""
-    pairs, args = turn_pairs(spark, sf_dir), (KEY, "prediction", "reference")
-    one = metrics.rouge_n(pairs, *args, 1).select(F.lit("rouge1").alias("metric"), "f1")
-    two = metrics.rouge_n(pairs, *args, 2).select(F.lit("rouge2").alias("metric"), "f1")
-    long = metrics.rouge_l(pairs, *args).select(F.lit("rougeL").alias("metric"), "f1")
-    return one.unionByName(two).unionByName(long).groupBy("metric").agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("pairs"))
+    scores = metrics.rouge_scores(turn_pairs(spark, sf_dir), KEY, "prediction", "reference")
+    return scores.groupBy("metric").agg(F.avg("f1").alias("f1"), F.count(F.lit(1)).alias("pairs"))
 
 
 def _meteor_sql() -> str:

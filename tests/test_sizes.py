@@ -54,3 +54,20 @@ def test_alignment_meets_forms_within_a_row(spark):
     assert {r.id: (r.matches, r.chunks) for r in out.collect()} == {1: (3, 1), 2: (4, 4), 3: (0, 0), 4: (0, 0)}
     plan = metrics.meteor(df, ["id"], "p", "r")._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "Generate" not in plan  # no row for each token
+
+
+def test_overlap_scores_from_one_pass(spark):
+    rows = [(1, "the running dogs ran", "the dog runs and ran"), (2, "one", "one"), (3, "", None), (4, "a b a b c", "b a b c c")]
+    df = spark.createDataFrame(rows, "id int, p string, r string")
+    both = metrics.rouge_scores(df, ["id"], "p", "r")
+    apart = {"rouge1": metrics.rouge_n(df, ["id"], "p", "r", 1), "rouge2": metrics.rouge_n(df, ["id"], "p", "r", 2), "rougeL": metrics.rouge_l(df, ["id"], "p", "r")}
+    for name, one in apart.items():
+        assert {tuple(r) for r in both.where(F.col("metric") == name).drop("metric").collect()} == {tuple(r) for r in one.collect()}
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") <= 2
+
+
+def test_stems_are_remembered_up_to_a_bound():
+    from defectflow.functions import stemming
+
+    assert stemming._remembered("running", True) == stemming.porter_stem("running", True)
+    assert stemming._remembered.cache_info().maxsize == 1 << 17
