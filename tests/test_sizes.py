@@ -71,3 +71,34 @@ def test_stems_are_remembered_up_to_a_bound():
 
     assert stemming._remembered("running", True) == stemming.porter_stem("running", True)
     assert stemming._remembered.cache_info().maxsize == 1 << 17
+
+
+def test_distances_of_near_and_far_points():
+    from defectflow.operators.blocks import distances
+
+    rng = np.random.default_rng(3)
+    x = np.concatenate((rng.normal(size=(40, 6)), 1e6 + rng.normal(size=(40, 6)) * 1e-3))
+    y = np.concatenate((x[::3], rng.normal(size=(20, 6))))
+    plain = np.linalg.norm(x[:, None] - y[None], axis=2)
+    assert distances(x, y) == pytest.approx(plain, rel=1e-9, abs=1e-12) and (distances(x, y)[plain == 0] == 0).all()
+
+
+def test_all_pairs_are_not_shuffled(spark):
+    from defectflow.operators import clustering as cl
+    from defectflow.operators.agglomeration import merge_tree
+
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=3) + 4 * (i % 3)], i % 3) for i in range(90)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, l int")
+    scored = cl.silhouette_exact(df, "v", ["l"], block_rows=16)
+    assert "Join" not in scored._jdf.queryExecution().optimizedPlan().toString()  # blocks used to meet by a join
+    points, label = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    gap = np.linalg.norm(points[:, None] - points[None], axis=2)
+    sums = np.stack([gap[:, label == c].sum(axis=1) for c in range(3)], axis=1)
+    own = sums[np.arange(90), label] / 29
+    sums[np.arange(90), label] = np.inf
+    other = sums.min(axis=1) / 30
+    assert scored.first().silhouette == pytest.approx(((other - own) / np.maximum(own, other)).mean(), abs=1e-12)
+    usable = df.select("id", "v", F.lit(1.0).alias("w"))
+    few, many = (merge_tree(usable, "ward", last).merges.orderBy("step").toPandas() for last in (1, 1_024))
+    assert (few[["low", "high"]] == many[["low", "high"]]).all().all() and np.allclose(few.height, many.height)
