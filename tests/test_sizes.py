@@ -102,3 +102,38 @@ def test_all_pairs_are_not_shuffled(spark):
     usable = df.select("id", "v", F.lit(1.0).alias("w"))
     few, many = (merge_tree(usable, "ward", last).merges.orderBy("step").toPandas() for last in (1, 1_024))
     assert (few[["low", "high"]] == many[["low", "high"]]).all().all() and np.allclose(few.height, many.height)
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_trees_without_a_table_of_distances(spark, linkage, monkeypatch):
+    from defectflow.operators import agglomeration
+
+    rng = np.random.default_rng(5)
+    points = np.concatenate((rng.normal(size=(150, 3)), rng.normal(size=(70, 3)) * 0.2 + 6, [[30.0, 0.0, 0.0]]))
+    df = spark.createDataFrame([(i, [float(x) for x in p], float(1 + i % 3)) for i, p in enumerate(points)], "id long, v array<double>, w double")
+    written = []
+    keep = agglomeration.scratch_path
+    monkeypatch.setattr(agglomeration, "scratch_path", lambda s, purpose: written.append((purpose, keep(s, purpose))) or written[-1][1])
+    whole = agglomeration.merge_tree(df, linkage).merges.orderBy("step").toPandas()
+    assert [purpose for purpose, _ in written] == ["tree-points"]  # a row of it held the distances to all clusters
+    # Clusters in pieces, points written again, every merge found by the executors.
+    monkeypatch.setattr(agglomeration._LinkageRounds, "piece", 7)
+    monkeypatch.setattr(agglomeration._LinkageRounds, "loose", 5)
+    tree = agglomeration.merge_tree(df, linkage, 1)
+    merges = tree.merges.orderBy("step").toPandas()
+    assert (merges[["low", "high"]] == whole[["low", "high"]]).all().all() and np.allclose(merges.height, whole.height, rtol=1e-9)
+    assert len([p for p, _ in written if p == "tree-points"]) > 3 and {f.name for f in spark.read.parquet(written[-1][1]).schema} == {"leaf", "run", "vector", "w"}
+    assert sorted(r.labels[0] for r in tree.leaf_labels([4]).collect())[-1] == 3
+
+
+@pytest.mark.parametrize("linkage", ["average", "complete"])
+def test_trees_of_equal_heights(spark, linkage):
+    from defectflow.operators.agglomeration import merge_tree
+
+    df = spark.createDataFrame([(9 * x + y, [float(x), float(y)], 1.0) for x in range(9) for y in range(9)], "id long, v array<double>, w double")
+    merges = merge_tree(df, linkage, 1).merges.orderBy("step").toPandas()
+    assert len(merges) == 80 and merges["size"].max() == 81 and merges.height[:32].tolist() == [1.0] * 32
+    made = {}
+    for m in merges.itertuples():  # no cluster comes before its parts
+        assert made.get(m.low, 1) + made.pop(m.high, 1) == m.size
+        made[m.low] = m.size
