@@ -137,3 +137,23 @@ def test_trees_of_equal_heights(spark, linkage):
     for m in merges.itertuples():  # no cluster comes before its parts
         assert made.get(m.low, 1) + made.pop(m.high, 1) == m.size
         made[m.low] = m.size
+
+
+def test_written_forest(spark, tmp_path):
+    from defectflow.operators import models
+    from defectflow.operators.forest import Forest
+
+    rng = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in rng.normal(size=4) + 0.7 * (i % 3)], f"class {i % 3}") for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, v array<double>, rec string")
+    # One fit: the very forest that the driver would hold.
+    held = models.predict_recommendation(df, "v", models.train_classifier(df, "v", "rec", trees=7, depth=6))
+    written = models.predict_recommendation(df, "v", Forest.write(df, "v", "rec", trees=7, depth=6))
+    assert held.columns == written.columns and sorted(held.collect()) == sorted(written.collect())
+    # Three fits of two or three trees: as many trees, each of them whole.
+    forest = Forest.write(df, "v", "rec", trees=7, path=str(tmp_path / "forest"), held=450)
+    nodes = spark.read.parquet(forest.path)
+    assert sorted(r.tree for r in nodes.select("tree").distinct().collect()) == list(range(7))
+    assert nodes.groupBy("tree").agg((F.max("id") + 1 == F.count("*")).alias("dense")).where("not dense").count() == 0
+    out = models.predict_recommendation(df.union(spark.createDataFrame([(-1, None, None)], df.schema)), "v", forest)
+    assert out.where("predicted_recommendation = rec").count() > 180 and out.where("id = -1").first().predicted_recommendation is None
