@@ -245,8 +245,11 @@ FROM acted"""
 
 
 def text_centroids(rows):
-    vector = l2_normalize(hash_embedding(clean_serving(F.col("description"))))
-    return cluster_centroids(rows.select(F.col("priority").cast("int").alias("p"), vector.alias("v")), "p", "v")
+    """The mean vector of each priority's texts; equal cleaned texts are embedded once and weigh by their copies."""
+    texts = rows.groupBy(F.col("priority").cast("int").alias("p"), clean_serving(F.col("description")).alias("clean")).agg(
+        F.count("*").alias("copies"))
+    vector = l2_normalize(hash_embedding(F.col("clean")))
+    return cluster_centroids(texts.select("p", "copies", vector.alias("v")), "p", "v", weight="copies")
 
 
 @query("text_triage", _TEXT_TRIAGE)
