@@ -157,3 +157,47 @@ def test_written_forest(spark, tmp_path):
     assert nodes.groupBy("tree").agg((F.max("id") + 1 == F.count("*")).alias("dense")).where("not dense").count() == 0
     out = models.predict_recommendation(df.union(spark.createDataFrame([(-1, None, None)], df.schema)), "v", forest)
     assert out.where("predicted_recommendation = rec").count() > 180 and out.where("id = -1").first().predicted_recommendation is None
+
+
+def test_equal_texts_teach_once(spark):
+    from defectflow.plans.catalog import monitoring, topics
+    from defectflow.sources.demo import findings
+
+    rows = findings(spark, SF)
+    plan = monitoring.text_centroids(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("count(1)") > plan.rindex("densify")  # texts are brought together below their embedding
+    seen = []
+    fit = topics.models.train_classifier
+    try:
+        topics.models.train_classifier = lambda df, *a, **k: seen.append(df) or fit(df, *a, **k)
+        topics.taught_classifier(rows)
+    finally:
+        topics.models.train_classifier = fit
+    assert seen[0].agg(F.sum("copies")).first()[0] == rows.count() and seen[0].count() < 200
+
+
+def test_single_tree_sees_every_row(spark):
+    from defectflow.operators import models
+
+    df = spark.createDataFrame([([float(i), float(i % 2)], f"class {i}", 1.0) for i in range(12)], "v array<double>, rec string, w double")
+    out = models.predict_recommendation(df, "v", models.train_classifier(df, "v", "rec", trees=1, weight="w"))
+    assert out.where("predicted_recommendation = rec").count() == 12
+
+
+def test_labels_stay_in_python(spark):
+    from defectflow.plans.training import train_topics, training_rows
+
+    df = spark.createDataFrame([(i, f"valve stuck {'x' * (i % 9)}" if i % 5 else "") for i in range(60)], "id int, description string")
+    out = training_rows(train_topics(df, "id", k=3, cells=6)).select("id", "cluster", "topic")
+    assert out._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1  # embedded and labelled in one step
+    assert {r.id for r in out.where("cluster is null").collect()} == {i for i in range(60) if not i % 5}
+
+
+def test_many_distinct_vectors_are_not_all_compared(spark, monkeypatch):
+    from defectflow.operators import clustering as cl
+
+    df = spark.createDataFrame([(i, [float(i % 40), 1.0]) for i in range(400)], "id long, v array<double>")
+    asked = []
+    monkeypatch.setattr(cl, "bounded_table", lambda table, n, f=cl.bounded_table: asked.append(n) or f(table, n))
+    assert cl.topic_tree(df, "id", "v", "micro", cells=10).sizes.sum() == 400 and not asked
+    assert len(cl.topic_tree(df, "id", "v", "micro", cells=64).sizes) == 40 and asked == [64]
