@@ -15,7 +15,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
 _BATCH_CHARS = 2_000_000
-_INDEX_BYTES = 1 << 20  # of distinct units that are indexed at once
+_INDEX_BYTES = 3 << 18  # of distinct units that are indexed at once
 _CACHED_UNITS = 400_000
 _SHORT = 40  # symbols up to which units are relaxed side by side
 
@@ -77,6 +77,7 @@ class PieceVocabulary:
                     low + np.searchsorted(part, self.high[word][k], "right"),
                 )
             first[k], last[k] = low, high
+        del keys  # the table takes their room
         counts = np.maximum(last - first, 0)
         places = np.repeat(first - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
         table = np.zeros((len(raw) + 1, self.longest + 1), "uint16" if len(self.costs) <= 1 << 16 else "int32")
