@@ -15,7 +15,7 @@ TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
 _UNIT = re.compile(" *[^ ]+| +")
 _BATCH_CHARS = 2_000_000
-_INDEX_BYTES = 3 << 18  # of distinct units that are indexed at once
+_INDEX_BYTES = 1 << 19  # of distinct units that are indexed at once
 _CACHED_UNITS = 400_000
 _SHORT = 40  # symbols up to which units are relaxed side by side
 
@@ -85,21 +85,41 @@ class PieceVocabulary:
         return table
 
     def _suffix_array(self, raw: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-        """Starts of characters, sorted by what follows up to the longest piece; the sorted text by eights."""
+        """Starts of characters, sorted by what follows up to the end of the unit; the sorted text by eights.
+
+        Sorted by eight bytes; only those that are equal and go on are sorted by the next eight.
+        """
         size = len(raw)
         padded = np.concatenate((raw, np.zeros(8 * self.words + 8, "uint8"))).astype("uint64")
         eights = np.zeros(size + 8 * self.words, "uint64")
         for i in range(8):
             eights = (eights << np.uint64(8)) | padded[i : i + len(eights)]
-        _, rank = np.unique(eights, return_inverse=True)
-        reach = 8
-        while reach < self.longest:  # prefix doubling
-            further = np.concatenate((rank[reach:], np.zeros(reach, rank.dtype)))
-            _, rank = np.unique(rank.astype("int64") * (int(rank.max()) + 1) + further, return_inverse=True)
-            reach *= 2
-        starts = np.flatnonzero(((raw & 0xC0) != 0x80) & (raw != 0xFF))
-        suffixes = starts[np.argsort(rank[starts])]
-        return suffixes, [eights[suffixes + 8 * i] for i in range(self.words)]
+        del padded
+        starts = np.flatnonzero((raw & 0xC0) != 0x80)
+        marks = np.flatnonzero(raw == 0xFF)
+        left = np.repeat(marks, np.diff(np.concatenate(([0], np.searchsorted(starts, marks, "right"))))) - starts
+        starts, left = starts[left > 0], left[left > 0].astype("int32")
+
+        def word(chosen, i):
+            """The eight bytes after ``8 i``, without what follows the mark of the unit."""
+            return eights[starts[chosen] + 8 * i] & _MASKS[np.clip(left[chosen] - 8 * i, -1, 7) + 1]
+
+        first = word(slice(None), 0)
+        order = np.argsort(first)
+        keys = [first[order]]
+        group = np.cumsum(np.concatenate(([False], keys[0][1:] != keys[0][:-1])))
+        for i in range(1, self.words):
+            twin = group[1:] == group[:-1]
+            tied = np.flatnonzero((np.concatenate((twin, [False])) | np.concatenate(([False], twin))) & (left[order] >= 8 * i))
+            next_word, rank = np.unique(word(order[tied], i), return_inverse=True)
+            inner = group[tied] * max(len(next_word), 1) + rank
+            by = np.argsort(inner)
+            order[tied], inner = order[tied[by]], inner[by]
+            fresh = np.zeros(len(group), bool)
+            fresh[tied[1:]] = (inner[1:] != inner[:-1]) & (group[tied[1:]] == group[tied[:-1]])
+            group += np.cumsum(fresh)
+            keys.append(word(order, i))
+        return starts[order], keys
 
     def encode_units(self, units: list[str]) -> list[bytes]:
         """The ids of each unit, as little-endian 32-bit numbers."""
@@ -134,24 +154,35 @@ class PieceVocabulary:
         mine = np.zeros(len(begins) + 1, "int8")
         np.add.at(mine, borders[chosen], 1)
         np.add.at(mine, borders[chosen + 1], -1)
-        cuts = np.flatnonzero(begins & (np.cumsum(mine)[:-1] > 0))
-        unit = np.searchsorted(borders, cuts, "right")
-        while len(cuts) > 2:
-            same = unit[:-2] == unit[2:]
-            length = cuts[2:] - cuts[:-2]
-            fits = same & (length <= self.longest)
-            cost = np.full(len(cuts), _NO_EDGE, "int64")
-            cost[:-2][fits] = self.costs[table[cuts[:-2][fits], length[fits]]]
+        cuts = np.flatnonzero(begins & (np.cumsum(mine, dtype="int8")[:-1] > 0))
+        unit = np.searchsorted(borders, cuts, "right").astype("int32")
+
+        def offers(k):
+            """The cost of the pairs that begin at cuts ``k``, and where, as one number."""
+            far = np.minimum(k + 2, len(cuts) - 1)
+            length = cuts[far] - cuts[k]
+            fits = (far == k + 2) & (unit[far] == unit[k]) & (length <= self.longest)
+            cost = np.full(len(k), _NO_EDGE, "int64")
+            cost[fits] = self.costs[table[cuts[k[fits]], length[fits]]]
+            return cost << 32 | cuts[k]
+
+        offer = offers(np.arange(len(cuts)))
+        while len(cuts):
             heads = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-            best = np.minimum.reduceat(cost << 32 | np.arange(len(cuts)), heads)
+            best = np.minimum.reduceat(offer, heads)
             going = best >> 32 < _NO_EDGE
             if not going.any():
                 break
-            joined = (best[going] & 0xFFFFFFFF) + 1
-            begins[cuts[joined]] = False
+            begin = best[going] & 0xFFFFFFFF
+            middle = np.searchsorted(cuts, begin) + 1
+            begins[cuts[middle]] = False
             stay = np.repeat(going, np.diff(np.append(heads, len(cuts))))
-            stay[joined] = False
-            cuts, unit = cuts[stay], unit[stay]
+            stay[middle] = False
+            cuts, unit, offer = cuts[stay], unit[stay], offer[stay]
+            joined = np.searchsorted(cuts, begin)  # only a new symbol and the one before it have new neighbours
+            offer[joined] = offers(joined)
+            joined = joined[joined > 0] - 1
+            offer[joined] = offers(joined)
 
     def _relax_long(self, begin: int, end: int, begins: np.ndarray, table: np.ndarray) -> None:
         """The same in one unit of many symbols, with a heap."""
@@ -183,6 +214,7 @@ class PieceVocabulary:
 
 
 _NO_EDGE = 1 << 20
+_MASKS = np.array([0, *[(1 << 64) - (1 << 8 * (7 - k)) for k in range(8)]], "uint64")  # by the bytes kept
 
 
 def _words_of(rows: list[bytes], words: int) -> list[np.ndarray]:
@@ -204,19 +236,27 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [_UNIT.findall(" " + t.replace(_SPACE, " ")) if t else [] for t in texts]
-        new = list({u for units in split for u in units if u not in self.known})
+        split = [_units(t.replace(_SPACE, " ")) if t else [] for t in texts]
+        used = set().union(*split)
+        new = list(used - self.known.keys())
         if len(self.known) + len(new) > _CACHED_UNITS:  # keep what this batch uses
-            self.known = {u: self.known[u] for units in split for u in units if u in self.known}
+            self.known = {u: self.known[u] for u in used - set(new)}
         size = begin = 0
         for k, unit in enumerate(new):
-            size += len(unit) + 1
+            size += len(unit) + 2
             if size >= _INDEX_BYTES or k == len(new) - 1:
                 part = new[begin : k + 1]
-                self.known.update(zip(part, self.vocabulary.encode_units(part), strict=True))
+                self.known.update(zip(part, self.vocabulary.encode_units([" " + u for u in part]), strict=True))
                 begin, size = k + 1, 0
-        known = self.known
-        return [b"".join([known[u] for u in units]) for units in split]
+        found = self.known.__getitem__
+        return [b"".join(map(found, units)) for units in split]
+
+
+def _units(text: str) -> list[str]:
+    """The units of a text, each without the space that it begins with; the first has one put before it."""
+    if text[0] == " " or text[-1] == " " or "  " in text:
+        return [u[1:] for u in _UNIT.findall(" " + text)]
+    return text.split(" ")
 
 
 def encode(
@@ -227,7 +267,7 @@ def encode(
     The result equals the library's encoding with the same model. A batch of
     texts is cut into units (a run of spaces with the word after it; no piece
     goes further). The distinct units of a batch are joined, and a suffix array
-    of that text is built by prefix doubling over as many bytes as the longest
+    of that text is built by sorting eight bytes, then ties by the next eight, over as many bytes as the longest
     piece has. Binary search finds the range of suffixes of every piece; the
     ranges give all edges, which are sorted by position. Relaxing follows the
     order of a BPE model: of the pairs of neighbours that an edge spans, the one

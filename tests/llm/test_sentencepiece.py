@@ -68,3 +68,30 @@ def test_decoding_odd_ids(spark):
     coded = spark.createDataFrame(rows, "doc_id bigint, ids array<int>")
     got = {r.doc_id: r.text for r in decode(coded).collect()}
     assert got == {1: "�A", 2: None, 3: None, 4: "", 5: ""}
+
+
+def test_only_new_neighbours_are_looked_up_again(encoder, library):
+    """Relaxing asks for the edge of a pair once, and again only beside a joined pair."""
+    import numpy as np
+
+    class Counting:
+        def __init__(self, costs):
+            self.costs, self.asked = costs, 0
+
+        def __getitem__(self, at):
+            self.asked += np.size(at)
+            return self.costs[at]
+
+        def __len__(self):
+            return len(self.costs)
+
+    vocabulary = encoder.vocabulary
+    units = [" " + (w * 30)[:38] for w in sorted({w for i in range(20) for w in prose(i, 60).split()})]
+    counting = Counting(vocabulary.costs)
+    vocabulary.costs = counting
+    try:
+        coded = vocabulary.encode_units(units)
+    finally:
+        vocabulary.costs = counting.costs
+    assert counting.asked <= 3 * sum(map(len, units))
+    assert [np.frombuffer(c, "<i4").tolist() for c in coded] == [library.encode(u[1:]) for u in units]
