@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -14,7 +12,8 @@ from defectflow.llm.common import bit_map, discard, in_bit_map, parts, whole
 from defectflow.session import scratch_path, write_and_reread
 
 SCALE = 1_000_000_000
-_TERM = re.compile(rb"[a-z\x80-\xff]+")  # in lower-cased bytes: runs of ASCII letters and of all that is not ASCII
+# Terms are runs of ASCII letters and of all that is not ASCII; A to Z are lower-cased, all else is a gap.
+_LOWERED = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 0x20 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 _CHUNK = 1 << 22  # characters whose terms are held together
 _ROWS_PER_FILE = 8
 _OPEN_BITS = 1 << 26
@@ -40,21 +39,21 @@ def _postings(docs: DataFrame) -> DataFrame:
             langs, sources = part.column("lang").to_pylist(), part.column("source").to_pylist()
             for lang in dict.fromkeys(langs):
                 chosen = [k for k, other in enumerate(langs) if other == lang]
-                found = [_TERM.findall((texts[k] or "").encode().lower()) for k in chosen]
-                sizes = [len(f) for f in found]
-                if not sum(sizes):
+                found, sizes = _terms([(texts[k] or "").encode() for k in chosen])
+                if not len(found):
                     continue
-                codes, terms = pd.factorize(np.array([t for f in found for t in f], object))
-                order = sorted(range(len(terms)), key=terms.__getitem__)
-                terms = [terms[k] for k in order]
+                found = found.dictionary_encode()
+                order = pc.sort_indices(found.dictionary).to_numpy()
+                terms = found.dictionary.take(pa.array(order))
                 place = np.empty(len(order), "int64")
                 place[order] = np.arange(len(order))
-                pair = place[codes] * len(chosen) + np.repeat(np.arange(len(chosen)), sizes)
+                pair = place[found.indices.to_numpy()] * len(chosen) + np.repeat(np.arange(len(chosen)), sizes)
                 pair, n = np.unique(pair, return_counts=True)
-                size = np.array([len(t) for t in terms])
-                numbers = (size, _shared(terms, size), np.bincount(pair // len(chosen)), pair % len(chosen), n)
+                size = pc.binary_length(terms).to_numpy().astype("int64")
+                joined = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(terms)], pa.int32()), terms), b"")
+                numbers = (size, _shared([joined[0].as_py()], size), np.bincount(pair // len(chosen)), pair % len(chosen), n)
                 arrays = [pa.array([lang], pa.string()), pa.array([[sources[k] for k in chosen]], pa.list_(pa.string()))]
-                arrays += [pa.array([x], pa.binary()) for x in (b"".join(terms), *(x.astype("<i4").tobytes() for x in numbers))]
+                arrays += [joined, *(pa.array([x.astype("<i4").tobytes()], pa.binary()) for x in numbers)]
                 yield pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", *_NUMBERS])
 
     return docs.mapInArrow(index, _POSTINGS)
@@ -67,17 +66,37 @@ def _written(postings: DataFrame) -> DataFrame:
     return postings.sparkSession.read.schema(postings.schema).parquet(path)
 
 
+def _terms(coded: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The terms of the texts, one after the other, and how many each text has."""
+    lowered = b" ".join([*coded, b""]).translate(_LOWERED)
+    cells = np.frombuffer(b" " + lowered, "uint8")
+    inside = cells != 0x20
+    borders = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = borders[::2], borders[1::2]
+    offsets = np.concatenate(([0], np.cumsum(ends - starts))).astype("int32")
+    found = pa.BinaryArray.from_buffers(
+        pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(cells[inside])])
+    sizes = np.diff(np.searchsorted(starts, np.cumsum([0, *[len(c) + 1 for c in coded]])))
+    return found, sizes
+
+
 def _shared(terms: list[bytes], size: np.ndarray) -> np.ndarray:
-    """How many bytes each of the sorted terms shares with the one before."""
-    cells = np.frombuffer(b"".join(t[:_WIDE].ljust(_WIDE, b"\0") for t in terms), "uint8").reshape(-1, _WIDE)
-    differ = np.ones((len(terms), _WIDE + 1), bool)
-    differ[1:, :_WIDE] = cells[1:] != cells[:-1]
-    differ[0] = True
-    same = np.minimum(differ.argmax(axis=1), size)
-    for k in np.flatnonzero(same == _WIDE).tolist():
-        a, b = terms[k - 1], terms[k]
-        most, same[k] = min(len(a), len(b)), _WIDE
-        while same[k] < most and a[same[k]] == b[same[k]]:
+    """How many bytes each of the sorted terms, given one by one or joined, shares with the one before."""
+    terms = b"".join(terms)
+    begin = np.cumsum(size) - size
+    cells = np.frombuffer(terms + bytes(_WIDE), "uint8")
+    most = np.minimum(size, np.concatenate(([0], size[:-1])))
+    same = np.zeros(len(size), "int64")
+    going = np.flatnonzero(most > 0)
+    for k in range(_WIDE):
+        going = going[cells[begin[going] + k] == cells[begin[going - 1] + k]]
+        same[going] += 1
+        going = going[most[going] > k + 1]
+        if not len(going):
+            break
+    for k in going.tolist():
+        x, y = begin[k - 1], begin[k]
+        while same[k] < most[k] and terms[x + same[k]] == terms[y + same[k]]:
             same[k] += 1
     return same
 

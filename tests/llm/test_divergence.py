@@ -146,3 +146,15 @@ def test_level_counts_fall_and_prune(spark):
     assert later.count() < every.count()
     wanted = sorted(n for (_, prefix, _), n in counted.items() if n >= 10 and len(prefix) > 2)
     assert sorted(r.docs for r in later.where("docs >= 10").collect()) == wanted
+
+
+def test_terms_of_a_chunk_never_become_python_objects():
+    import re
+
+    texts = ["Ab" * 40 + " " + "ab" * 41 + " ab abc Ä\xa0Ä äb　c", "", "1 2 3", "é", "ÀB z Z[`{@a\x7f\x00b", "x" * 90]
+    coded = [t.encode() for t in texts]
+    found, sizes = divergence._terms(coded)
+    want = [re.findall(rb"[a-z\x80-\xff]+", c.lower()) for c in coded]
+    assert found.to_pylist() == [t for w in want for t in w] and sizes.tolist() == [len(w) for w in want]
+    found, sizes = divergence._terms([b"", b"7"])
+    assert len(found) == 0 and sizes.tolist() == [0, 0]
