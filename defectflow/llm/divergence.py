@@ -22,6 +22,7 @@ _WIDE = 32  # bytes of neighbouring terms compared at once
 _NUMBERS = ("size", "same", "docs", "doc", "n")
 _POSTINGS = "lang string, sources array<string>, terms binary, " + ", ".join(f"{c} binary" for c in _NUMBERS)
 _HELD = 1 << 20  # counts that a task adds up before it sends them
+_SENT = 1 << 15  # terms that are Python objects, or rows that are sent, at once
 _CELLS = 1 << 20  # of a block of counts, terms by sources
 
 
@@ -121,13 +122,21 @@ class _Chunk:
 
     def keys(self, at: np.ndarray, length: int | None = None) -> np.ndarray:
         """Two 64-bit words for the prefix of each term, others where the term goes on than where it ends."""
-        terms, seed = self.terms, self.seed
-        size = self.size[at] if length is None else np.minimum(self.size[at], length)
-        goes_on = (self.size[at] > size).tolist()
-        begin = self.start[at].tolist()
-        cut = zip(begin, (self.start[at] + size).tolist(), goes_on, strict=True)
-        found = [xxhash.xxh3_128_digest(terms[b:e] + b" " if more else terms[b:e], seed) for b, e, more in cut]
-        return np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        terms, seed, out = self.terms, self.seed, np.empty((len(at), 2), "<i8")
+        for k in range(0, len(at), _SENT):
+            some = at[k : k + _SENT]
+            size = self.size[some] if length is None else np.minimum(self.size[some], length)
+            goes_on = (self.size[some] > size).tolist()
+            begin = self.start[some].tolist()
+            cut = zip(begin, (self.start[some] + size).tolist(), goes_on, strict=True)
+            found = [xxhash.xxh3_128_digest(terms[b:e] + b" " if more else terms[b:e], seed) for b, e, more in cut]
+            out[k : k + _SENT] = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+        return out
+
+    def words(self) -> pa.Array:
+        """The terms one by one."""
+        offsets = np.append(self.start, len(self.terms)).astype("int32")
+        return pa.BinaryArray.from_buffers(pa.binary(), len(self.size), [None, pa.py_buffer(offsets), pa.py_buffer(self.terms)])
 
 
 def _chunks(batches):
@@ -202,6 +211,63 @@ def frequent_terms(postings: DataFrame, least: int) -> DataFrame:
     return write_and_reread(found, "terms-kept")
 
 
+def _added_up(chunks, alive: np.ndarray, places: dict[tuple[str, str], int]):
+    """Counts of the terms that may be kept, some chunks at a time: one row for each term.
+
+    Terms are held once a chunk, as Arrow strings, and never become Python objects.
+    """
+    held, size = [], 0
+    for chunk in chunks:
+        key = chunk.keys(np.arange(len(chunk.size)))
+        stays = in_bit_map(alive, np.ascontiguousarray(key[:, 0]))
+        if not stays.any():
+            continue
+        place_of = np.array([places[chunk.lang, source] for source in chunk.sources.as_py()], "int64")
+        at = np.repeat(stays, chunk.docs)
+        row = np.cumsum(stays) - 1
+        pair = np.repeat(row, chunk.docs)[at] * len(places) + place_of[chunk.doc[at]]
+        pair, where = np.unique(pair, return_inverse=True)
+        n = np.bincount(where, chunk.n[at], len(pair)).astype("int64")
+        terms = chunk.words().filter(pa.array(stays))
+        held.append((key[stays], terms, pair // len(places), (pair % len(places)).astype("int32"), n, chunk.lang))
+        size += len(pair)
+        if size >= _HELD:
+            yield from _packed(held, len(places))
+            held, size = [], 0
+    if held:
+        yield from _packed(held, len(places))
+
+
+def _packed(held: list[tuple], width: int):
+    """One row for each term of the held chunks, :data:`_SENT` rows at once."""
+    sizes = [len(h[0]) for h in held]
+    key = np.concatenate([h[0] for h in held])
+    terms = pa.concat_arrays([h[1] for h in held])
+    order = np.lexsort((key[:, 1], key[:, 0]))
+    fresh = np.concatenate(([True], (key[order[1:]] != key[order[:-1]]).any(axis=1)))
+    first = order[fresh]  # where each term is found
+    number = np.empty(len(order), "int64")
+    number[order] = np.cumsum(fresh) - 1
+    before = np.cumsum([0, *sizes])
+    cell = np.concatenate([number[h[2] + k] * width + h[3] for h, k in zip(held, before, strict=False)])
+    n = np.concatenate([h[4] for h in held])
+    lang = pa.array([h[5] for h in held], pa.string()).take(pa.array(np.searchsorted(before, first, "right") - 1))
+    held.clear()
+    order = np.argsort(cell, kind="stable")
+    cell, n = cell[order], n[order]
+    starts = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1])))
+    cell, n = cell[starts], np.add.reduceat(n, starts)
+    for k in range(0, len(first), _SENT):
+        rows = first[k : k + _SENT]
+        ends = np.searchsorted(cell, np.arange(k, k + len(rows) + 1) * width)
+        cells = pa.StructArray.from_arrays(
+            [pa.array((cell[ends[0] : ends[-1]] % width).astype("int32")), pa.array(n[ends[0] : ends[-1]])], ["place", "n"])
+        yield pa.RecordBatch.from_arrays([
+            pa.array(key[rows, 0]), pa.array(key[rows, 1]), lang.slice(k, len(rows)), terms.take(pa.array(rows)),
+            pa.ListArray.from_arrays(pa.array((ends - ends[0]).astype("int32")), cells),
+        ], ["a", "b", "lang", "term", "cells"])
+
+
 def _counts(postings: DataFrame, kept: DataFrame, groups: list[tuple[str, str]]) -> DataFrame:
     """``lang, term, place, n`` of the kept terms where they occur; ``place`` is that of the language and source in ``groups``.
 
@@ -212,44 +278,8 @@ def _counts(postings: DataFrame, kept: DataFrame, groups: list[tuple[str, str]])
     places = spark.sparkContext.broadcast({group: k for k, group in enumerate(groups)})
     kind = "a bigint, b bigint, lang string, term binary, cells array<struct<place:int,n:bigint>>"
 
-    def packed(held):
-        key = np.concatenate([h[0] for h in held])
-        place, n = (np.concatenate([h[k] for h in held]) for k in (1, 2))
-        lang = np.repeat(np.array([h[3] for h in held], object), [len(h[1]) for h in held])
-        term = [t for h in held for t in h[4]]
-        order = np.lexsort((place, key[:, 1], key[:, 0]))
-        key, place = key[order], place[order]
-        fresh = np.concatenate(([True], (key[1:] != key[:-1]).any(axis=1)))
-        starts = np.flatnonzero(fresh | np.concatenate(([True], place[1:] != place[:-1])))
-        rows = np.flatnonzero(fresh)
-        cells = pa.StructArray.from_arrays([pa.array(place[starts], pa.int32()), pa.array(np.add.reduceat(n[order], starts))], ["place", "n"])
-        ends = np.append(np.searchsorted(starts, rows), len(starts)).astype("int32")
-        yield pa.RecordBatch.from_arrays([
-            pa.array(key[rows, 0]), pa.array(key[rows, 1]), pa.array(lang[order[rows]], pa.string()),
-            pa.array([term[k] for k in order[rows].tolist()], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), cells),
-        ], ["a", "b", "lang", "term", "cells"])
-
     def count(batches):
-        held, size = [], 0
-        for chunk in _chunks(batches):
-            key = chunk.keys(np.arange(len(chunk.size)))
-            stays = in_bit_map(alive.value, np.ascontiguousarray(key[:, 0]))
-            if not stays.any():
-                continue
-            place_of = np.array([places.value[chunk.lang, source] for source in chunk.sources.as_py()], "int64")
-            at = np.repeat(stays, chunk.docs)
-            pair = np.repeat(np.arange(len(stays)), chunk.docs)[at] * len(groups) + place_of[chunk.doc[at]]
-            pair, where = np.unique(pair, return_inverse=True)
-            term = pair // len(groups)
-            begin, end = chunk.start[term].tolist(), (chunk.start + chunk.size)[term].tolist()
-            texts = [chunk.terms[b:e] for b, e in zip(begin, end, strict=True)]
-            held.append((key[term], pair % len(groups), np.bincount(where, chunk.n[at], len(pair)).astype("int64"), chunk.lang, texts))
-            size += len(pair)
-            if size >= _HELD:
-                yield from packed(held)
-                held, size = [], 0
-        if held:
-            yield from packed(held)
+        return _added_up(_chunks(batches), alive.value, places.value)
 
     found = postings.mapInArrow(count, kind).join(kept.select("a", "b"), ["a", "b"], "left_semi")
     found = found.select("a", "b", "lang", "term", F.inline("cells")).groupBy("a", "b", "lang", "term", "place")

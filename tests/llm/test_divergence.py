@@ -158,3 +158,24 @@ def test_terms_of_a_chunk_never_become_python_objects():
     assert found.to_pylist() == [t for w in want for t in w] and sizes.tolist() == [len(w) for w in want]
     found, sizes = divergence._terms([b"", b"7"])
     assert len(found) == 0 and sizes.tolist() == [0, 0]
+
+
+def test_counts_of_many_terms_are_held_without_python_objects():
+    import tracemalloc
+
+    terms = sorted(f"term{k}".encode() for k in range(100_000))
+    arrays = [pa.array(["en"]), pa.array([["a", "b", "a"]])]
+    size = np.array([len(t) for t in terms])
+    doc = np.tile([0, 1, 2], len(terms))
+    numbers = (size, divergence._shared(terms, size), np.full(len(terms), 3), doc, doc + 1)
+    arrays += [pa.array([x], pa.binary()) for x in (b"".join(terms), *(x.astype("<i4").tobytes() for x in numbers))]
+    batch = pa.RecordBatch.from_arrays(arrays, ["lang", "sources", "terms", *divergence._NUMBERS])
+    every = np.full(divergence._OPEN_BITS // 8, 255, "uint8")
+    tracemalloc.start()
+    found = list(divergence._added_up(divergence._chunks([batch] * 4), every, {("en", "a"): 0, ("en", "b"): 1}))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 << 20 and max(len(b) for b in found) <= 1 << 15
+    rows = pa.Table.from_batches(found).to_pylist()
+    assert sorted(r["term"] for r in rows) == terms
+    assert all(r["lang"] == "en" and r["cells"] == [{"place": 0, "n": 16}, {"place": 1, "n": 8}] for r in rows)
