@@ -9,7 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from defectflow.llm.common import free_names, key_filter, maybe_among
+from defectflow.llm.common import discard, free_names, key_filter, maybe_among
 from defectflow.llm.links import components
 from defectflow.session import write_and_reread
 
@@ -24,6 +24,8 @@ _LIST_BLOCK = 1 << 16  # rows of one list held while leaders are named
 _BLOCK = 4096  # rows of one list in a block when pairs are sought
 _STEP = 1024
 _NEAREST = 2
+_TOGETHER = 1 << 18  # rows of the lists of one component that a task compares
+_HELD = 1 << 20  # open pairs that are held before they are counted; twice as many counted ones are
 _FEW = 4  # open pairs for each row of a list
 _PAIRS = "a bigint, b bigint, n_a bigint, n_b bigint, k bigint"
 
@@ -93,9 +95,11 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     round links each set to the nearest leaders of its lists only. While lists
     hold many pairs of sets that are not yet in one component, and their number
     falls, another round leads each set to other leaders, outside of its component.
-    The last round takes all such pairs that are left.
+    The last round takes all such pairs that are left. Lists in which the same component has most
+    rows go to the same task, about 260,000 rows at a time, so that a pair that meets in many of them is counted there
+    and sent once; it is not sent if the lists that one of the two has elsewhere are too few to make up what it lacks.
     No list is collected: a long one is cut into blocks at random, and a task gets
-    two blocks at a time.
+    two blocks at a time. Tables are deleted after their last reader.
     The order comes from counts of all shingles in a table of fixed size; that
     table (2 MB) is all that is broadcast.
     """
@@ -115,20 +119,27 @@ def link_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     by_count = Window.partitionBy("id").orderBy(F.col("count").desc(), "leader")
     near = near.withColumn("_k", F.row_number().over(by_count)).where(f"_k <= {_NEAREST}")
     near = near.select(F.col("id").alias("a"), F.col("leader").alias("b"), F.col("count").alias("k"))
-    sizes = write_and_reread(near, "join-nearest")
+    nearest = sizes = write_and_reread(near, "join-nearest")
     for side in ("a", "b"):
         sizes = sizes.join(signs.select(F.col("id").alias(side), F.col("n").alias(f"n_{side}")), side)
 
     links = _verify(_met(sizes), signs, rows)
+    discard(nearest)
     placed, mixed, least = _open_lists(shared, signs, links)
     while least:
         led = _verify(_led(placed.join(mixed, "token")), signs, rows)
         links = links.unionByName(led)
+        for table in (placed, mixed):
+            discard(table)
         placed, mixed, least = _open_lists(shared, signs, links, least)
+    discard(shared)
 
-    rest = _block_pairs(placed.join(mixed, "token")).mapInArrow(_open_pairs, _PAIRS)
+    rest = placed.join(_grouped(mixed), "token").withColumn("total", F.count("*").over(Window.partitionBy("id")))
+    rest = _block_pairs(rest).mapInArrow(_open_pairs, _PAIRS)
     rest = rest.groupBy("a", "b", "n_a", "n_b").agg(F.sum("k").alias("k"))
     links = links.unionByName(_verify(_met(rest), signs, rows))
+    for table in (placed, mixed, signs):
+        discard(table)
     classes = components(write_and_reread(links, "join-links")).withColumnRenamed("node", "set_id")
     known = write_and_reread(same.join(classes, "set_id", "left").select(
         "n", "key_a", "key_b", "set_id", F.coalesce("component_id", "set_id").alias("component_id")
@@ -159,16 +170,27 @@ def _open_lists(shared: DataFrame, signs: DataFrame, links: DataFrame, before: i
     placed = shared.select("token", "id").join(state, "id")
     placed = placed.select("token", "id", "n", F.coalesce("component_id", "id").alias("component"))
     placed = write_and_reread(placed, "join-placed")
+    discard(found)
     size, squares = F.sum("count"), F.sum(F.col("count") * F.col("count"))
-    mixed = placed.groupBy("token", "component").count().groupBy("token").agg(
-        F.count("*").alias("_components"), size.alias("_size"), (size * size - squares).alias("_open")
+    # One shuffle for both groupings.
+    mixed = placed.select("token", "component").repartition("token").groupBy("token", "component").count().groupBy("token").agg(
+        F.count("*").alias("_components"), size.alias("_size"), (size * size - squares).alias("_open"),
+        F.max(F.struct("count", "component"))["component"].alias("_most"),
     ).where("_components > 1")
-    mixed = mixed.select("token", "_size", "_open", F.ceil(F.col("_size") / _BLOCK).alias("_blocks"))
+    mixed = mixed.select("token", "_size", "_open", "_most", F.ceil(F.col("_size") / _BLOCK).alias("_blocks"))
     mixed = write_and_reread(mixed, "join-mixed")
     held, pairs = mixed.agg(F.sum(F.col("_size").cast("double")), F.sum(F.col("_open").cast("double")) / 2).first()
     pairs = int(pairs or 0)
     few = pairs <= _FEW * int(held or 0) or (before is not None and pairs > 0.9 * before)
-    return placed, mixed.select("token", "_blocks"), 0 if few else pairs
+    return placed, mixed, 0 if few else pairs
+
+
+def _grouped(mixed: DataFrame) -> DataFrame:
+    """The lists with the component that has most rows in each, and in how many parts the lists of that one are compared."""
+    rows = F.sum(F.col("_size") * F.col("_blocks"))
+    parts = mixed.groupBy("_most").agg(F.ceil(rows / _TOGETHER).alias("_parts")).where("_parts > 1")
+    found = mixed.join(write_and_reread(parts, "join-parts"), "_most", "left")
+    return found.select("token", "_blocks", "_most", F.coalesce("_parts", F.lit(1).cast("long")).alias("_parts"))
 
 
 def _led(lists: DataFrame) -> DataFrame:
@@ -251,26 +273,28 @@ def _code_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found, pa.binary())], ["id", "codes"])
 
 
-def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    """Sorted rows in pieces that end where a token ends, or after a block of one token's rows.
+def _pieces(
+    batches: Iterator[pa.RecordBatch], key: str = "token", most: int | None = _LIST_BLOCK
+) -> Iterator[dict[str, np.ndarray]]:
+    """Sorted rows in pieces that end where a token (``key``) ends, or after a block of one token's rows.
 
-    A piece that goes on within a token begins with the last row of the one before.
+    A piece that goes on within a token begins with the last row of the one before. Without ``most`` none does.
     """
     held: dict[str, np.ndarray] = {}
     for batch in batches:
         new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names}
         held = {c: np.concatenate((held[c], new[c])) for c in new} if held else new
-        token = held["token"]
+        token = held[key]
         if not len(token):
             continue
         cut = int(np.searchsorted(token == token[-1], True)) if token[0] != token[-1] else 0
         if cut:
             yield {c: v[:cut] for c, v in held.items()}
             held = {c: v[cut:] for c, v in held.items()}
-        elif len(token) > _LIST_BLOCK:
+        elif most is not None and len(token) > most:
             yield held
             held = {c: v[-1:] for c, v in held.items()}
-    if held and len(held["token"]):
+    if held and len(held[key]):
         yield held
 
 
@@ -289,31 +313,76 @@ def _leaders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _block_pairs(lists: DataFrame) -> DataFrame:
-    """Rows dealt to tasks of one block of a list, or of two; ``token`` then names the task."""
+    """Rows of one block of a list, or of two, which ``token`` then names; ``task`` has those of many lists of one component.
+
+    ``block`` is -1 if the list has no other, -2 if a block meets itself.
+    """
     rows = lists.withColumn("block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     low, high = F.least("block", "_other"), F.greatest("block", "_other")
-    rows = rows.select(
-        F.xxhash64("token", low, high).alias("token"), "id", "n", "component",
-        F.when(low != high, F.col("block")).otherwise(-1).alias("block"),
-    )
-    return rows.repartition("token").sortWithinPartitions("token", "n", "id")
+    rows = rows.withColumns({
+        "token": F.xxhash64("token", low, high), "block": F.when(low != high, F.col("block")).when(F.col("_blocks") > 1, -2).otherwise(-1),
+    })
+    task = F.xxhash64("_most", F.pmod("token", F.col("_parts"))).alias("task")
+    rows = rows.select(task, "token", "id", "n", "component", "block", "total")
+    return rows.repartition("task").sortWithinPartitions("task", "token", "n", "id")
 
 
 def _open_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidates of each list that are in different components and of sizes that can link, with their number."""
-    for piece in _pieces(batches):
+    """Candidates that are in different components and of sizes that can link, with their number in the lists of a task.
+
+    Those go that cannot occur together as often as they must, even if they meet in every list
+    that one of them has in other tasks.
+    """
+    for piece in _pieces(batches, "task", None):
         token, component = piece["token"], piece["component"]
         starts = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         mixed = np.maximum.reduceat(component, starts) != np.minimum.reduceat(component, starts)
         ends = np.append(starts[1:], len(token))
-        out = []
+        ids, first, place = np.unique(piece["id"], return_index=True, return_inverse=True)
+        sizes = piece["n"][first]
+        elsewhere = piece["total"][first] - np.bincount(place[piece["block"] == -1], minlength=len(ids))
+        held, count, found, whole = [], 0, (np.zeros(0, "int64"), np.zeros(0, "int64")), True
         for start, end in zip(starts[mixed], ends[mixed], strict=True):
             for i in range(start, end, _STEP):
                 for j in range(i, end, _STEP):
-                    out.append(_allowed(piece, slice(i, min(i + _STEP, end)), slice(j, min(j + _STEP, end))))
-        if out:
-            yield _counted(*np.concatenate(out, 1))
+                    left, right = _allowed(piece, slice(i, min(i + _STEP, end)), slice(j, min(j + _STEP, end)))
+                    held.append(place[left] * len(ids) + place[right])
+                    count += len(left)
+                    if count >= _HELD:
+                        found, held, count = _added(found, held), [], 0
+                    if len(found[0]) > 2 * _HELD:
+                        yield from _sent(*found, ids, sizes)
+                        found, whole = (found[0][:0], found[1][:0]), False
+        pair, k = _added(found, held)
+        if whole and len(pair):
+            a, b = np.divmod(pair, len(ids))
+            n, m = sizes[a], sizes[b]
+            least = _needed(n, m) - np.maximum(-(-3 * n // 4), -(-3 * m // 4)) + 1  # as in _met
+            can = k + np.minimum(elsewhere[a], elsewhere[b]) >= least
+            pair, k = pair[can], k[can]
+        yield from _sent(pair, k, ids, sizes)
+
+
+def _added(found: tuple[np.ndarray, np.ndarray], held: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct pairs, as numbers, and how often they occur, with those of ``held``, which are not counted yet."""
+    pair = np.concatenate([found[0][:0], *held])
+    held.clear()
+    pair, k = np.unique(pair, return_counts=True)
+    if not len(found[0]):
+        return pair, k
+    pair, k = np.concatenate((found[0], pair)), np.concatenate((found[1], k))
+    order = np.argsort(pair, kind="stable")
+    pair = pair[order]
+    starts = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+    return pair[starts], np.add.reduceat(k[order], starts)
+
+
+def _sent(pair: np.ndarray, k: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(pair), _LIST_BLOCK):
+        a, b = np.divmod(pair[at : at + _LIST_BLOCK], len(ids))
+        found = (ids[a], ids[b], sizes[a], sizes[b], k[at : at + _LIST_BLOCK])
+        yield pa.RecordBatch.from_arrays([pa.array(x.astype("int64")) for x in found], ["a", "b", "n_a", "n_b", "k"])
 
 
 def _leaders_outside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +411,8 @@ def _counted(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) ->
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b", "n_a", "n_b", "k"])
 
 
-def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarray:
-    """Pairs (smaller, larger) of two stretches of one list; rows are sorted by size, then id."""
+def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of the pairs (smaller, larger) of two stretches of one list; rows are sorted by size, then id."""
     n, m = rows["n"][left][:, None], rows["n"][right][None]
     good = (rows["component"][left][:, None] != rows["component"][right][None]) & (4 * n >= 3 * m)
     block = rows["block"]
@@ -351,7 +420,7 @@ def _allowed(rows: dict[str, np.ndarray], left: slice, right: slice) -> np.ndarr
     if left == right:
         good &= np.arange(good.shape[0])[:, None] < np.arange(good.shape[1])[None]
     i, j = np.nonzero(good)
-    return np.stack((rows["id"][left][i], rows["id"][right][j], rows["n"][left][i], rows["n"][right][j]))
+    return i + left.start, j + right.start
 
 
 def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
@@ -361,7 +430,7 @@ def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
     ids leaves the others where they are.
     """
     n, m = F.col("n_a"), F.col("n_b")
-    pairs = write_and_reread(pairs.select("a", "b", "n_a", "n_b"), "join-counted")
+    counted = pairs = write_and_reread(pairs.select("a", "b", "n_a", "n_b"), "join-counted")
     for side in ("a", "b"):
         pairs = pairs.join(signs.select(F.col("id").alias(side), F.col("sign").alias(f"sign_{side}")), side)
 
@@ -378,7 +447,7 @@ def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
 
     # The symmetric difference is n + m - 2 i, and i is at least 3 (n + m) / 7.
     likely = pairs.where(differ("sign_a", "sign_b") * 7 <= n + m)
-    likely = write_and_reread(likely.select("a", "b"), "join-likely")
+    listed = likely = write_and_reread(likely.select("a", "b"), "join-likely")
     wanted = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
     wanted = write_and_reread(wanted, "join-wanted")
     texts = maybe_among(rows, ["id"], key_filter(wanted, _FILTER_BITS), _FILTER_BITS, "_maybe").where("_maybe")
@@ -400,4 +469,7 @@ def _verify(pairs: DataFrame, signs: DataFrame, rows: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], ["a", "b"])
 
     found = likely.select("a", "b", "codes_a", "codes_b").mapInArrow(probe, "a bigint, b bigint")
-    return write_and_reread(found, "join-verified")
+    found = write_and_reread(found, "join-verified")
+    for table in (counted, listed, wanted, codes):
+        discard(table)
+    return found

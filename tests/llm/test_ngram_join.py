@@ -110,6 +110,59 @@ def test_leaders_outside_of_the_component():
     assert all(r["n_a"] == r["a"] + 5 and r["n_b"] == r["b"] + 5 for r in found)
 
 
+def test_a_pair_of_many_lists_is_sent_once(spark):
+    # 40 lists with a component of 30 sets and 5 sets outside of it, and one list without that component.
+    rows = [(t, i, 10 + i % 2, 0 if i < 30 else i) for t in range(40) for i in range(35)]
+    rows += [(99, i, 10, i) for i in (31, 33, 50)]
+    total = {i: sum(r[1] == i for r in rows) for i in range(60)}
+    placed = spark.createDataFrame([(*r, total[r[1]]) for r in rows], "token bigint, id bigint, n bigint, component bigint, total bigint")
+    mixed = spark.createDataFrame([(t, 35, 1, 0) for t in range(40)] + [(99, 3, 1, 50)], "token bigint, _size bigint, _blocks bigint, _most bigint")
+    for at_once in (1 << 17, 200):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(ngram_join, "_TOGETHER", at_once)
+            pairs = ngram_join._block_pairs(placed.join(ngram_join._grouped(mixed), "token"))
+            found = pairs.mapInArrow(ngram_join._open_pairs, ngram_join._PAIRS).collect()
+        want = {(a, b): 40 for a in range(35) for b in range(30, 35) if a < b}
+        want[31, 33] += 1
+        want |= {(31, 50): 1, (33, 50): 1}  # too few for sets of ten
+        got = {}
+        for r in found:
+            pair = (min(r.a, r.b), max(r.a, r.b))
+            got[pair] = got.get(pair, 0) + r.k
+        assert {p: k for p, k in got.items() if k > 1} == {p: k for p, k in want.items() if k > 1}
+        assert len(found) <= (len(want) + 1 if at_once > 200 else len(rows) // 200 * len(want) + 8 * len(want))
+
+
+def test_open_pairs_are_counted_some_at_a_time(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    pick = np.random.default_rng(3)
+    token = np.sort(pick.integers(0, 20, 600))
+    ids = pick.integers(0, 60, 600)
+    rows = sorted({(int(t), int(40 + i % 3), int(i)) for t, i in zip(token, ids)})
+    token, n, ids = (np.array(x) for x in zip(*rows))
+    rows = pa.table({"task": token // 10, "token": token, "id": ids, "n": n, "component": ids % 4, "block": np.full(len(ids), -1), "total": np.bincount(ids)[ids] + (ids == 5)})
+    want = {}
+    for t in range(20):
+        of_list = [(int(x), int(y)) for x, y in zip(n[token == t], ids[token == t])]
+        for i, a in enumerate(of_list):
+            for b in of_list[i + 1 :]:
+                if a[1] % 4 != b[1] % 4 and 4 * a[0] >= 3 * b[0]:
+                    want[a[1], b[1]] = want.get((a[1], b[1]), 0) + 1
+    for held in (1 << 21, 50):
+        monkeypatch.setattr(ngram_join, "_HELD", held)
+        got = {}
+        for r in pa.Table.from_batches(ngram_join._open_pairs(iter(rows.to_batches(max_chunksize=7)))).to_pylist():
+            got[r["a"], r["b"]] = got.get((r["a"], r["b"]), 0) + r["k"]
+            assert r["n_a"] == 40 + r["a"] % 3 and r["n_b"] == 40 + r["b"] % 3
+        for (a, b), k in want.items():
+            n, m = 40 + a % 3, 40 + b % 3
+            if k >= -(-3 * (n + m) // 7) - max(-(-3 * n // 4), -(-3 * m // 4)) + 1:
+                assert got[a, b] == k
+        assert all(k <= want[pair] for pair, k in got.items()) and (held < 100 or len(got) < len(want))
+
+
 def test_odd_rows_and_empty_table(spark):
     docs = documents(spark)
     rows = [(r.doc_id, r.text) for r in docs.collect()]
