@@ -138,16 +138,9 @@ def repeated_passages(
 
     span = "array<struct<start:int,words:int>>"
 
-    @F.pandas_udf(f"spans {span}, copies {span}, words long")
-    def spans(starts):
-        import pandas as pd
-
-        out = []
-        for one in starts:
-            at = sorted((int(s["start"]), bool(s["copy"])) for s in one)
-            whole = _merge([s for s, _ in at], min_words)
-            out.append((whole, _merge([s for s, copy in at if copy], min_words), sum(s["words"] for s in whole)))
-        return pd.DataFrame(out, columns=["spans", "copies", "words"])
+    @F.arrow_udf(f"struct<spans:{span},copies:{span},words:bigint>")
+    def spans(starts: pa.Array) -> pa.Array:
+        return _spans(starts, min_words)
 
     found = found.withColumn("_s", spans("starts"))
     sizes = suffixes.groupBy("id").agg((F.max("last") + min_words).cast("long").alias("n_words"))
@@ -186,14 +179,33 @@ def cut_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.withColumn(text_col, cut(F.col(text_col), F.col(held))).select(*docs.columns)
 
 
-def _merge(starts: list[int], width: int) -> list[dict[str, int]]:
-    spans: list[dict[str, int]] = []
-    for s in starts:
-        if spans and s <= spans[-1]["start"] + spans[-1]["words"]:
-            spans[-1]["words"] = max(spans[-1]["words"], s + width - spans[-1]["start"])
-        else:
-            spans.append({"start": s, "words": width})
-    return spans
+def _spans(starts: pa.Array, width: int, held: int = 1 << 20) -> pa.Array:
+    """``spans, copies, words`` of rows of window starts; about ``held`` starts at once, none of them a Python object."""
+    ends, out, begin = np.cumsum(np.asarray(starts.value_lengths())), [], 0
+    while begin < len(starts):
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + held, "right")))
+        part = starts.slice(begin, end - begin)
+        cells, row = part.flatten(), np.repeat(np.arange(len(part)), np.asarray(part.value_lengths()))
+        at, copy = cells.field("start").to_numpy(), cells.field("copy").to_numpy(zero_copy_only=False)
+        whole, words = _merged(row, at, len(part), width)
+        copies, _ = _merged(row[copy], at[copy], len(part), width)
+        out.append(pa.StructArray.from_arrays([whole, copies, pa.array(words)], ["spans", "copies", "words"]))
+        begin = end
+    span = pa.list_(pa.struct([("start", pa.int32()), ("words", pa.int32())]))
+    return pa.concat_arrays(out) if out else pa.array([], pa.struct([("spans", span), ("copies", span), ("words", pa.int64())]))
+
+
+def _merged(row: np.ndarray, start: np.ndarray, rows: int, width: int) -> tuple[pa.Array, np.ndarray]:
+    """The stretches that windows of ``width`` words cover in each row, and how many words they have together."""
+    order = np.lexsort((start, row))
+    row, start = row[order], start[order]
+    first = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (start[1:] > start[:-1] + width)))[: len(row)])
+    words = start[np.append(first[1:], len(row))[: len(first)] - 1] + width - start[first]
+    ends = np.concatenate(([0], np.cumsum(np.bincount(row[first], minlength=rows))))
+    cells = pa.StructArray.from_arrays([pa.array(c.astype("int32")) for c in (start[first], words)], ["start", "words"])
+    total = np.bincount(row[first], words, rows).astype("int64")
+    return pa.ListArray.from_arrays(pa.array(ends.astype("int32")), cells), total
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:

@@ -74,3 +74,34 @@ def test_odd_rows_and_empty_table(spark):
     assert set(got) == set(want) == {1, 2, 3, 9, 10}
     assert got[9].copies == [] and got[10].copies[0].words == 30_000
     assert repeated_passages(docs.limit(0)).count() == 0 and cut_passages(docs.limit(0)).count() == 0
+
+
+def test_many_starts_are_merged_in_little_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from defectflow.llm.passages import _spans
+
+    rng, kind = np.random.default_rng(3), pa.list_(pa.struct([("start", pa.int32()), ("copy", pa.bool_())]))
+    sizes = rng.integers(0, 200, 4_000)
+    cells = pa.StructArray.from_arrays([pa.array(rng.integers(0, 2_000, sizes.sum()).astype("int32")), pa.array(rng.random(sizes.sum()) < 0.3)], ["start", "copy"])
+    starts = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype("int32")), cells)
+    tracemalloc.start()
+    got = _spans(starts, 50, 1 << 14)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # as dictionaries, 400,000 starts take over 100 MB
+    for k in (0, 1, 17, 3_999):
+        one, found = starts[k].as_py(), got[k].as_py()
+        for name, chosen in (("spans", one), ("copies", [s for s in one if s["copy"]])):
+            want = np.zeros(2_050, bool)
+            for s in chosen:
+                want[s["start"] : s["start"] + 50] = True
+            covered = np.zeros(2_050, bool)
+            for a, b in zip(found[name], [*found[name][1:], None]):
+                covered[a["start"] : a["start"] + a["words"]] = True
+                assert b is None or a["start"] + a["words"] < b["start"]
+            assert (covered == want).all()
+        assert found["words"] == sum(s["words"] for s in found["spans"])
+    assert _spans(pa.array([], kind), 50).to_pylist() == [] and _spans(pa.array([[]], kind), 50).to_pylist() == [{"spans": [], "copies": [], "words": 0}]
