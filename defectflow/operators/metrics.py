@@ -8,18 +8,19 @@ Tokens of a pair stay together in its row and are compared there.
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from defectflow.functions.stemming import stem_tokens
 from defectflow.functions.text import letter_tokens, ngrams, score_tokens
 from defectflow.operators.lookups import keyed_join
-from defectflow.operators.providers import apply_distinct
-from defectflow.session import write_and_reread
+from defectflow.operators.providers import distinct_outputs
 
 
 def _f1(precision: Column, recall: Column) -> Column:
@@ -206,6 +207,22 @@ def _alignment(hyp: list[list[tuple]], ref: list[list[tuple]]) -> dict[str, int]
     return {"matches": len(twins), "chunks": len(twins) - goes_on}
 
 
+def _matched(p: np.ndarray, pw: np.ndarray, r: np.ndarray, rw: np.ndarray) -> tuple[float, float]:
+    """Precision and recall of two weighted sets of token vectors."""
+    def unit(rows):
+        return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
+
+    if not pw.sum() or not rw.sum():
+        return 0.0, 0.0
+    p, r = unit(p), unit(r)
+    best_p, best_r = np.empty(len(p)), np.full(len(r), -np.inf)
+    for start in range(0, len(p), 1_024):
+        cosine = p[start:start + 1_024] @ r.T
+        best_p[start:start + 1_024] = cosine.max(axis=1)
+        best_r = np.maximum(best_r, cosine.max(axis=0))
+    return np.average(best_p, weights=pw), np.average(best_r, weights=rw)
+
+
 def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
     """``struct<precision, recall>`` of two weighted sets of token vectors."""
 
@@ -217,25 +234,65 @@ def _best_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
             rows = np.asarray(inner.flatten(), dtype=float).reshape(len(inner), -1) if len(inner) else np.zeros((0, 0))
             return ends, rows, np.asarray(weights.flatten(), dtype=float)
 
-        def unit(rows):
-            return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1, keepdims=True)), 1e-300)
-
         p_ends, p_all, p_weight = side(a, wa)
         r_ends, r_all, r_weight = side(b, wb)
-        precision, recall = np.zeros(len(a)), np.zeros(len(a))
+        found = np.zeros((len(a), 2))
+        for i in range(len(a)):  # pair by pair: a copy of the whole batch could be large
+            found[i] = _matched(
+                p_all[p_ends[i]:p_ends[i + 1]], p_weight[p_ends[i]:p_ends[i + 1]],
+                r_all[r_ends[i]:r_ends[i + 1]], r_weight[r_ends[i]:r_ends[i + 1]])
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["precision", "recall"])
+
+    return run(x, wx, y, wy)
+
+
+_PACKED = "struct<forms:array<string>,vectors:binary>"
+
+
+def _block(vectors: np.ndarray) -> bytes:
+    """The vectors of a text as one block, place by place and byte by byte, compressed."""
+    planes = np.ascontiguousarray(vectors.T).view("uint8").reshape(-1, 8).T if vectors.size else np.zeros(0, "uint8")
+    return zlib.compress(np.ascontiguousarray(planes), 1)
+
+
+def _pack(tokens: list[tuple]) -> tuple[list[str], bytes]:
+    return [t for t, _ in tokens], _block(np.array([v for _, v in tokens], "float64"))
+
+
+def _unpack(block: bytes, tokens: int) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(block), "uint8")
+    if not tokens or not len(planes):
+        return np.zeros((tokens, 0))
+    return np.ascontiguousarray(planes.reshape(8, -1).T).view("float64").reshape(-1, tokens).T
+
+
+def _packed(tokens: Column) -> Column:
+    @F.arrow_udf(_PACKED)
+    def run(cells: pa.Array) -> pa.Array:
+        forms, blocks = [], []
+        for cell in cells:
+            inner = cell.values
+            forms.append(inner.field("token").to_pylist())
+            blocks.append(_block(np.asarray(inner.field("vector").flatten(), "float64").reshape(len(inner), -1) if len(inner) else np.zeros((0, 0))))
+        return pa.StructArray.from_arrays([pa.array(forms, pa.list_(pa.string())), pa.array(blocks, pa.binary())], ["forms", "vectors"])
+
+    return run(tokens)
+
+
+def _packed_cosines(x: Column, wx: Column, y: Column, wy: Column) -> Column:
+    """``_best_cosines`` of packed vectors, a pair at a time; null weights weigh all tokens alike."""
+
+    @F.arrow_udf("struct<precision:double,recall:double>")
+    def run(a: pa.Array, wa: pa.Array, b: pa.Array, wb: pa.Array) -> pa.Array:
+        found = np.zeros((len(a), 2))
         for i in range(len(a)):
-            p, pw = p_all[p_ends[i]:p_ends[i + 1]], p_weight[p_ends[i]:p_ends[i + 1]]
-            r, rw = r_all[r_ends[i]:r_ends[i + 1]], r_weight[r_ends[i]:r_ends[i + 1]]
-            if not pw.sum() or not rw.sum():
-                continue
-            p, r = unit(p), unit(r)  # pair by pair: a copy of the whole batch could be large
-            best_p, best_r = np.empty(len(p)), np.full(len(r), -np.inf)
-            for start in range(0, len(p), 1_024):
-                cosine = p[start:start + 1_024] @ r.T
-                best_p[start:start + 1_024] = cosine.max(axis=1)
-                best_r = np.maximum(best_r, cosine.max(axis=0))
-            precision[i], recall[i] = np.average(best_p, weights=pw), np.average(best_r, weights=rw)
-        return pa.StructArray.from_arrays([pa.array(precision), pa.array(recall)], ["precision", "recall"])
+            sides = []
+            for cell, weight in ((a[i], wa[i]), (b[i], wb[i])):
+                n = cell["n"].as_py()
+                own = np.ones(n) if weight.values is None else weight.values.to_numpy(zero_copy_only=False)
+                sides += [_unpack(cell["vectors"].as_py(), n), own]
+            found[i] = _matched(*sides)
+        return pa.StructArray.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["precision", "recall"])
 
     return run(x, wx, y, wy)
 
@@ -317,27 +374,31 @@ def contextual_scores(pairs: DataFrame, key: list[str], prediction: str, referen
         inner = factory()
         return lambda values, **more: [[{"token": t, "vector": list(map(float, v))} for t, v in text] for text in inner(values, **more)]
 
-    sides = pairs.select(*key, F.explode(F.array(
-        F.struct(F.lit(True).alias("hyp"), F.coalesce(prediction, F.lit("")).alias("text")),
-        F.struct(F.lit(False).alias("hyp"), F.coalesce(reference, F.lit("")).alias("text")),
-    )).alias("s")).select(*key, "s.*")
-    coded = apply_distinct(sides, "text", "tokens", make, kind, batch, options, cache, model)
+    def make_packed():
+        inner = factory()
+        return lambda values, **more: pd.DataFrame([_pack(text) for text in inner(values, **more)], columns=["forms", "vectors"])
+
+    texts = pairs.select(*key, *[F.coalesce(c, F.lit("")).alias(n) for c, n in ((prediction, "_p"), (reference, "_r"))])
+    both = texts.select(F.explode(F.array("_p", "_r")).alias("text"))
+    # Vectors are one compressed block a text from the model on; they are shuffled by text, and once more to the other side.
+    if cache is None:
+        coded = distinct_outputs(both, "text", "tokens", make_packed, _PACKED, batch, options)
+    else:
+        coded = distinct_outputs(both, "text", "tokens", make, kind, batch, options, cache, model).withColumn("tokens", _packed(F.col("tokens")))
     if weights is None:
-        coded = coded.withColumn("w", F.transform("tokens", lambda t: F.lit(1.0)))
+        coded = coded.withColumn("w", F.lit(None).cast("array<double>"))
     else:
         # The vectors stay where they are; only forms are joined with their weights.
-        coded = write_and_reread(coded, "score-tokens")
-        forms = coded.select("text", F.explode(F.array_distinct("tokens.token")).alias("token")).distinct()
-        held = forms.join(weights.select("token", "weight"), "token").groupBy("text").agg(
+        forms = coded.select("_hash", F.explode(F.array_distinct("tokens.forms")).alias("token"))
+        held = forms.join(weights.select("token", "weight"), "token").groupBy("_hash").agg(
             F.map_from_entries(F.collect_list(F.struct("token", F.col("weight").cast("double")))).alias("_weights"))
-        coded = coded.join(held, "text", "left").withColumn("w", F.transform(
-            "tokens", lambda t: F.coalesce(F.try_element_at(F.col("_weights"), t["token"]), F.lit(0.0))))
-    weighed = coded.select(*key, "hyp", F.col("tokens.vector").alias("v"), "w")
-    both = weighed.groupBy(*key).agg(
-        F.first(F.when(F.col("hyp"), F.struct("v", "w")), ignorenulls=True).alias("p"),
-        F.first(F.when(~F.col("hyp"), F.struct("v", "w")), ignorenulls=True).alias("r"),
-    )
-    scored = both.select(*key, _best_cosines(F.col("p.v"), F.col("p.w"), F.col("r.v"), F.col("r.w")).alias("s"))
+        coded = coded.join(held, "_hash", "left").select("_hash", "tokens", F.transform(
+            "tokens.forms", lambda t: F.coalesce(F.try_element_at(F.col("_weights"), t), F.lit(0.0))).alias("w"))
+    coded = coded.select("_hash", F.struct(F.size("tokens.forms").alias("n"), "tokens.vectors").alias("tokens"), "w")
+    hashed = texts.select(*key, F.sha2("_p", 256).alias("_p"), F.sha2("_r", 256).alias("_r")).dropDuplicates(key)
+    left, right = (coded.select(F.col("_hash").alias(c), F.col("tokens").alias(f"{c}_t"), F.col("w").alias(f"{c}_w")) for c in ("_p", "_r"))
+    scored = hashed.join(left, "_p").join(right, "_r").select(
+        *key, _packed_cosines(F.col("_p_t"), F.col("_p_w"), F.col("_r_t"), F.col("_r_w")).alias("s"))
     return scored.select(*key, "s.precision", "s.recall").select(
         *key, "precision", "recall", _f1(F.col("precision"), F.col("recall")).alias("f1"))
 

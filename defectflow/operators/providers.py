@@ -23,30 +23,38 @@ from defectflow.session import write_and_reread
 
 
 def _batched(factory: Callable, return_type: str, batch: int, options: dict):
-    @F.pandas_udf(return_type)
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    kind = pd.DataFrame if return_type.startswith("struct<") else pd.Series
+
+    def run(parts):
         model = factory()
         for texts in parts:
             values = texts.tolist()
             # What the model gave for one call leaves the worker before the next call.
             for start in range(0, len(values), batch):
-                yield pd.Series(list(model(values[start:start + batch], **options)))
+                found = model(values[start:start + batch], **options)
+                yield found if isinstance(found, pd.DataFrame) else pd.Series(list(found))
 
-    return run
+    run.__annotations__ = {"parts": Iterator[pd.Series], "return": Iterator[kind]}
+    return F.pandas_udf(run, return_type)
 
 
 def apply_distinct(df: DataFrame, text: str, output: str, factory, return_type: str, batch: int, options: dict,
                    cache: str | None = None, model: str | None = None) -> DataFrame:
     """Add a column computed by a model from each distinct text; see ``embed_text``."""
+    table = distinct_outputs(df, text, output, factory, return_type, batch, options, cache, model)
+    return df.withColumn("_hash", F.sha2(text, 256)).join(table, "_hash", "left").drop("_hash")
+
+
+def distinct_outputs(df: DataFrame, text: str, output: str, factory, return_type: str, batch: int, options: dict,
+                     cache: str | None = None, model: str | None = None) -> DataFrame:
+    """``_hash, output`` of each distinct text that is not null; a model whose return type is a struct gives tables."""
     texts = df.select(F.sha2(text, 256).alias("_hash"), F.col(text).alias("_text")).where(F.col(text).isNotNull())
     texts = texts.dropDuplicates(["_hash"])
     run = _batched(factory, return_type, batch, options)
     if cache is None:
         # Written once, so that a model is never run again for the join below.
-        table = write_and_reread(texts.select("_hash", run(F.col("_text")).alias(output)), "model-output")
-    else:
-        table = _cached(texts, run, return_type, cache, model, options).withColumnRenamed("value", output)
-    return df.withColumn("_hash", F.sha2(text, 256)).join(table, "_hash", "left").drop("_hash")
+        return write_and_reread(texts.select("_hash", run(F.col("_text")).alias(output)), "model-output")
+    return _cached(texts, run, return_type, cache, model, options).withColumnRenamed("value", output)
 
 
 def _cached(texts: DataFrame, run: Callable, return_type: str, cache: str, model: str | None, options: dict) -> DataFrame:

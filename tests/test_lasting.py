@@ -235,3 +235,24 @@ def test_contextual_scores(spark):
     assert (weighed[1].precision, weighed[1].recall) == pytest.approx(by_hand("bb a", "a bb", table.get))
     unknown = contextual_scores(df, ["id"], "p", "r", model, held.where("token = 'none'"))
     assert {r.f1 for r in unknown.collect()} == {0.0}
+
+
+def test_vectors_of_contextual_scores_travel_packed(spark, tmp_path):
+    from defectflow.operators import metrics
+
+    rng = np.random.default_rng(5)
+    for shape in ((0, 0), (1, 3), (40, 34)):
+        matrix = rng.normal(size=shape)
+        assert (metrics._unpack(metrics._block(matrix), shape[0]) == matrix).all()
+    digits = np.floor(rng.random((500, 34)) * 16) - 7.5
+    assert len(metrics._block(digits)) < digits.nbytes / 8
+
+    def model():
+        return lambda texts: [[(w, [float(len(w)), float(i == 0) * 9, 1.0 / 3]) for i, w in enumerate(t.split())] for t in texts]
+
+    rows = [(0, "a bb ccc", "a bb ccc dd"), (1, "bb a", "a bb"), (None, "x", None), (2, "bb a", "a bb"), (2, "bb a", "a bb")]
+    df = spark.createDataFrame(rows, "id int, p string, r string")
+    plain = metrics.contextual_scores(df, ["id"], "p", "r", model)
+    assert {f.dataType.simpleString() for f in spark.read.parquet(plain.inputFiles()[0]).schema} == {"string", "struct<forms:array<string>,vectors:binary>"}
+    kept = metrics.contextual_scores(df, ["id"], "p", "r", model, cache=str(tmp_path), model="m")
+    assert sorted(map(str, plain.collect())) == sorted(map(str, kept.collect())) and plain.count() == 4

@@ -21,3 +21,12 @@ def test_spread_only_when_splits_are_few(spark, tmp_path):
 def test_written_hand_off_cuts_lineage(spark):
     out = write_and_reread(spark.range(10).select(F.col("id").alias("x")), "t")
     assert out.count() == 10 and "Range" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_shuffle_files_of_a_hand_off_go_with_its_write(spark):
+    tracker = spark._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    rows = spark.range(1_000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n"))
+    before = tracker.shuffleStatuses().size()
+    out = write_and_reread(rows, "t")
+    assert tracker.shuffleStatuses().size() <= before
+    assert out.count() == 7 and rows.count() == 7  # what was planned by then can run again
