@@ -201,3 +201,33 @@ def test_many_distinct_vectors_are_not_all_compared(spark, monkeypatch):
     monkeypatch.setattr(cl, "bounded_table", lambda table, n, f=cl.bounded_table: asked.append(n) or f(table, n))
     assert cl.topic_tree(df, "id", "v", "micro", cells=10).sizes.sum() == 400 and not asked
     assert len(cl.topic_tree(df, "id", "v", "micro", cells=64).sizes) == 40 and asked == [64]
+
+
+@pytest.mark.parametrize("scale, offset", [(1.0, 0.0), (1.0, 1e4), (1e-12, 0.0), (1e20, 0.0)])
+@pytest.mark.parametrize("even", [True, False])
+def test_nearest_clusters_are_exact_in_single_precision(scale, offset, even):
+    import tracemalloc
+
+    from defectflow.operators.agglomeration import _nearest_of_all
+
+    rng = np.random.default_rng(4)
+    points = (rng.normal(size=(700, 12)) + offset) * scale
+    points[300:340] = points[100:140]
+    points[500] = points[400] + 1e-9 * scale
+    sizes, keys = np.ones(700) if even else rng.integers(1, 6, 700).astype(float), rng.permutation(700)
+    gap = np.sqrt(((points[:, None] - points) ** 2).sum(axis=2)) * np.sqrt(2.0 * sizes[:, None] * sizes / (sizes[:, None] + sizes))
+    np.fill_diagonal(gap, np.inf)
+    at = np.argsort(keys)
+    want = keys[at[gap[:, at].argmin(axis=1)]]
+    slices = [(keys[i : i + 256], points[i : i + 256], sizes[i : i + 256]) for i in range(0, 700, 256)]
+    got = _nearest_of_all(keys, points, sizes, iter(slices))
+    assert (got["c"] == keys).all() and (np.where(got["low"] == keys, got["high"], got["low"]) == want).all()
+    np.testing.assert_allclose(got["height"], gap.min(axis=1), rtol=1e-12, atol=0)
+    if scale == 1.0 and offset == 0:
+        many = rng.normal(size=(4_096, 12))
+        part = [(np.arange(4_096), many, np.ones(4_096) if even else rng.integers(1, 6, 4_096).astype(float))]
+        tracemalloc.start()
+        _nearest_of_all(np.arange(4_096), many, part[0][2], iter(part))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < (5.2e6 if even else 6.8e6)  # 5.9 and 8.0 MB in double precision
